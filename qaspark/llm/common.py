@@ -47,3 +47,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def words(text: Column) -> Column:
     """Array of words, never null; case is kept."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+
+
+#: Most rows (of ids and a few numbers) that are broadcast; above it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast only if it has been counted to be small. Cut its lineage before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
