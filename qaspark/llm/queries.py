@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
+from qaspark.llm import decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,5 +40,5 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op6_html_extraction, op8_quality, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
