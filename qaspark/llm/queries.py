@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
+from qaspark.llm import chat, decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(*chat.from_turns(read(spark, sf_dir, "conversations")), chat.TURN_TOOLS)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
 
@@ -40,5 +44,32 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, 'call_' || turn AS call_id, CASE WHEN turn >= 2 THEN 'call_' || (turn - 2) END AS needs, text,
+         CASE WHEN length(coalesce(text, '')) < 200 THEN 'lookup' ELSE 'compose' END AS name
+  FROM conversations WHERE role = 'user'),
+ids AS (SELECT conv_id, call_id, min(needs) AS needs FROM calls GROUP BY ALL),
+depths AS (
+  SELECT conv_id, call_id, 0 AS depth FROM ids WHERE needs IS NULL
+  UNION ALL
+  SELECT i.conv_id, i.call_id, d.depth + 1 FROM ids i JOIN depths d ON i.conv_id = d.conv_id AND i.needs = d.call_id),
+answers AS (
+  SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'turn': turn, 'text': text}) AS first, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn AS call_turn, a.first.turn AS result_turn, d.depth,
+  CASE WHEN c.turn IS NULL THEN 'no_call' WHEN c.errors > 0 THEN 'invalid' WHEN d.depth IS NULL THEN 'unordered'
+       WHEN a.first IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+  coalesce(c.errors, 0) AS n_errors, coalesce(a.n_results, 0) AS n_results,
+  '{"call":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE
+      '{"arguments":{"query":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || ',"turn":' || c.turn || '},"id":"' || c.call_id
+      || '","name":"' || c.name || '","needs":' || coalesce('"' || c.needs || '"', 'null') || '}' END
+  || ',"result":' || CASE WHEN a.first IS NULL THEN 'null' ELSE
+      '{"content":' || coalesce(CAST(to_json(a.first.text) AS VARCHAR), 'null') || ',"turn":' || a.first.turn || '}' END || '}' AS json
+FROM (SELECT *, CASE WHEN text IS NULL OR length(text) < 1 OR (name = 'lookup' AND length(text) > 150) THEN 1 ELSE 0 END AS errors FROM calls) c
+LEFT JOIN depths d ON c.conv_id = d.conv_id AND c.call_id = d.call_id
+FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+""",
+}
