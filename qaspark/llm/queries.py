@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import chat, decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
+from qaspark.llm import bpe, chat, decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.common import read
 
 
@@ -44,7 +44,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": """
 WITH RECURSIVE calls AS (
