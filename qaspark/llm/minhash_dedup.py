@@ -19,6 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qaspark.llm.common import checkpointed, small_batches, small_or_shuffled
 from qaspark.llm.components import components, relabelled, roots
@@ -55,17 +56,17 @@ def _describe(text: str | None) -> tuple:
     return len(items), xxhash.xxh3_128_digest(items.tobytes()), keys.tobytes(), (half[::2] << 4 | half[1::2]).tobytes()
 
 
-@F.pandas_udf("n long, kind binary, keys binary, sketch binary")
+@F.pandas_udf(T.StructType().add("n", "long").add("kind", "binary").add("keys", "binary").add("sketch", "binary"))
 def describe(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_describe(t) for t in texts], columns=["n", "kind", "keys", "sketch"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def full_set(texts: pd.Series) -> pd.Series:
     return pd.Series([pair_set(t).tobytes() for t in texts], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def linked(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * intersection >= 80 * union, on whole sets."""
     out = []

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qaspark.llm.common import checkpointed, small_batches, small_or_shuffled
 from qaspark.llm.shingling import run_hashes, word_hashes
@@ -48,7 +49,7 @@ def _anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs, np.where(runs[right] < runs[left], right, left)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def anchors(texts: pd.Series) -> pd.Series:
     """Distinct anchor hashes of each text."""
 
@@ -62,7 +63,7 @@ def anchors(texts: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in texts])
 
 
-@F.pandas_udf("array<struct<anchor: long, window: long, start: int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("anchor", "long").add("window", "long").add("start", "int")))
 def windows(texts: pd.Series, shared: pd.Series) -> pd.Series:
     """Windows whose anchor is among the shared ones."""
 
@@ -96,13 +97,13 @@ def _run(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> Iterator[tupl
         yield len(words), _kept(words, s, bool(w) and len(words) >= WINDOW)
 
 
-@F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
+@F.pandas_udf(T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string"))
 def digest(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
     rows = [(n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for n, k in _run(texts, starts, whole)]
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def remaining(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.Series:
     """The text itself where nothing goes, else the kept words joined by one space."""
     pairs = zip(texts, _run(texts, starts, whole), strict=True)
