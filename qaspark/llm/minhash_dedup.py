@@ -56,7 +56,7 @@ def _describe(text: str | None) -> tuple:
     return len(items), xxhash.xxh3_128_digest(items.tobytes()), keys.tobytes(), (half[::2] << 4 | half[1::2]).tobytes()
 
 
-@F.pandas_udf(T.StructType().add("n", "long").add("kind", "binary").add("keys", "binary").add("sketch", "binary"))
+@F.pandas_udf(T.StructType().add("n", T.LongType()).add("kind", T.BinaryType()).add("keys", T.BinaryType()).add("sketch", T.BinaryType()))
 def describe(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_describe(t) for t in texts], columns=["n", "kind", "keys", "sketch"])
 

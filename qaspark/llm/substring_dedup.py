@@ -63,7 +63,7 @@ def anchors(texts: pd.Series) -> pd.Series:
     return pd.Series([one(t) for t in texts])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("anchor", "long").add("window", "long").add("start", "int")))
+@F.pandas_udf(T.ArrayType(T.StructType().add("anchor", T.LongType()).add("window", T.LongType()).add("start", T.IntegerType())))
 def windows(texts: pd.Series, shared: pd.Series) -> pd.Series:
     """Windows whose anchor is among the shared ones."""
 
@@ -97,7 +97,7 @@ def _run(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> Iterator[tupl
         yield len(words), _kept(words, s, bool(w) and len(words) >= WINDOW)
 
 
-@F.pandas_udf(T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string"))
+@F.pandas_udf(T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType()))
 def digest(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
     rows = [(n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for n, k in _run(texts, starts, whole)]
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
