@@ -17,7 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Modules that register operators when they are imported.
-MODULES = """operators.results operators.metrics operators.validation operators.rewards operators.cases operators.knowledge""".split()
+MODULES = """operators.results operators.metrics operators.validation operators.rewards operators.cases operators.knowledge
+ operators.vectors operators.chunking""".split()
 
 
 def query(*tables: str, sql: str | None = None, name: str | None = None, prepare: Callable | None = None):
