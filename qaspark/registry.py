@@ -19,7 +19,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: Modules that register operators when they are imported.
 MODULES = """operators.results operators.metrics operators.validation operators.rewards operators.cases operators.knowledge
  operators.vectors operators.chunking operators.endpoints operators.validators operators.datagen
- operators.assertions operators.responses operators.sourcecode""".split()
+ operators.assertions operators.responses operators.sourcecode operators.reports streaming.jobs plans.workloads""".split()
 
 
 def query(*tables: str, sql: str | None = None, name: str | None = None, prepare: Callable | None = None):
