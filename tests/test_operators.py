@@ -1,0 +1,86 @@
+"""Small cases typed by hand, and comparisons with plain Python."""
+
+import numpy as np
+import pytest
+
+from qaspark.operators import assertions, chunking, sourcecode, validation, vectors
+from qaspark.operators.results import result_summary
+
+
+def test_empty_results(spark):
+    empty = spark.createDataFrame([], "passed boolean, execution_time double")
+    assert result_summary(empty).first().asDict() == {"total": 0, "passed": 0, "failed": 0, "pass_rate": 0.0, "total_time": 0.0, "average_time": 0.0}
+
+
+def test_sliding_chunks_cover_every_sentence():
+    text = "One short sentence here. " * 40 + "x" * 600 + ". Last one."
+    pieces = chunking.sliding(text)
+    sentences = [s for s in chunking.SENTENCE_END.split(text) if s]
+    assert all(any(s.strip() in p[0] for p in pieces) for s in sentences)
+    assert all(len(p[0]) == p[2] - p[1] for p in pieces)
+    assert chunking.sliding("") == []
+
+
+def test_semantic_and_code_chunks():
+    assert [p[0] for p in chunking.semantic("a\n\nb\n\n" + "c" * 600)] == ["a\n\nb", "c" * 600]
+    assert [p[0] for p in chunking.code("import x\ndef a():\n  pass\nclass B:\n  y = 1\n")] == ["import x\n", "def a():\n  pass\n", "class B:\n  y = 1\n"]
+    assert len(chunking.code("void f() {\n a();\n}\nvoid g() {\n}\n", "java")) == 2
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(200, 8))
+    rows = [(i, "a" if i % 2 else "b", [float(x) for x in v]) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "id long, index_name string, vec array<float>")
+    got = vectors.nearest(df, df.where("id < 5"), 3).collect()
+    for q in range(5):
+        for name in ("a", "b"):
+            ids = [i for i, n, _ in rows if n == name]
+            d = [(round(float(((np.float32(base[i]).astype(float) - np.float32(base[q]).astype(float)) ** 2).sum()), 6), i) for i in ids]
+            assert [r.id for r in sorted((r for r in got if r.query_id == q and r.index_name == name), key=lambda r: r.rank)] == [i for _, i in sorted(d)[:3]]
+
+
+def test_ivf_recall(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, "a", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 6)))], "id long, index_name string, vec array<float>")
+    queries = df.where("id % 50 = 0")
+    exact = {(r.query_id, r.id) for r in vectors.nearest(df, queries, 10).collect()}
+    got = {(r.query_id, r.id) for r in vectors.ivf_search(df, queries, nlist=20, nprobe=12).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_mmr_without_diversity_keeps_score_order(spark):
+    df = spark.createDataFrame([(i, "api_patterns", [float(i), 1.0]) for i in range(20)], "id long, index_name string, vec array<float>")
+    got = vectors.mmr(df, df.where("id = 3"), k=4, diversity="none").orderBy("position").collect()
+    assert [r.id for r in got] == [3, 2, 4, 1]
+    assert vectors.mmr(df, df.where("id = 3"), k=4).count() == 4
+
+
+@pytest.mark.parametrize(
+    ("assertion", "body", "kind", "passed"),
+    [
+        ("a.length == 3", '{"a": "xyz"}', "length", True),
+        ("a == null", '{"a": null}', "equals", False),
+        ("ok == True", '{"ok": true}', "equals", True),
+        ("a >= 5", '{"a": 9}', "error", False),
+        ("a is null", "{}", "null", True),
+        ("nonsense", "{}", "unknown", False),
+        ("a.b > 2", '{"a": {"b": 2.5}}', "greater_than", True),
+    ],
+)
+def test_assertions(spark, assertion, body, kind, passed):
+    row = assertions.evaluate_assertions(spark.createDataFrame([(1, assertion, body)], "id long, assertion string, response_json string")).first()
+    assert (row.type, row.passed) == (kind, passed)
+
+
+def test_restbed_and_django_routes(spark):
+    code = [("a.cpp", "cpp", 'r->set_path("/x"); r->set_method_handler("GET", f); r->set_method_handler("PUT", g);'), ("u.py", "python", "urlpatterns = [path('items/', views.items)]")]
+    files = spark.createDataFrame(code, "path string, language string, code string")
+    assert {(r.http_method, r.route) for r in sourcecode.endpoints_cpp(files).collect()} == {("GET", "/x"), ("PUT", "/x")}
+    assert [(r.framework, r.function_name, r.route) for r in sourcecode.endpoints_python(files).collect()] == [("django", "items", "/items/")]
+
+
+def test_missing_values_do_not_crash(spark):
+    cases = spark.createDataFrame([(1, 1, None, None, None, None, None)], "ordinal long, suite_id long, name string, method string, endpoint string, test_type string, test_case string")
+    assert validation.validate_test_cases(cases).first().error == "Missing required fields: ['name']"
+    assert validation.valid_http_method(cases).first().valid is False
