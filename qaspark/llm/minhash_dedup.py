@@ -3,8 +3,8 @@
 Each distinct shingle set gets a signature. The forest is ``ORDERS`` sorted orders of the sets, each by its own run of signature
 values: neighbours in an order share the longest prefixes there are, so every region is searched as deep as it is dense, with no
 bucket ever gathered. Neighbours that a small sketch calls similar are candidates; links are confirmed on the full sets. First
-every set is checked against its best smaller candidate; of the other candidates only those between groups still separate need a
-check. Components are found by joins.
+every set is checked against its best smaller candidate; of the other candidates, likeliest first, only those between groups still
+separate need a check. Components are found by joins.
 
 Edge cases: a null text counts as empty; rows with an empty set are linked with nothing; rows without an id keep no component;
 rows of equal sets (repeated rows too) form one class; an empty table gives no rows; extra columns are ignored.
@@ -32,6 +32,9 @@ VALUES = ORDERS * OWN
 REACH, DEPTH = 8, 1
 #: Four-bit sketch values, and how many must agree: far below what a similarity of 0.8 gives (52, deviation 3).
 SKETCH, AGREE = 64, 38
+#: After the best candidates, the others are checked in bands of agreement, the likeliest first: each band joins groups, and pairs
+#: inside a group need no check. The last band ends at AGREE.
+BANDS = (50, 44, AGREE)
 
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SHIFTS = mix(_SEEDS)
@@ -134,12 +137,23 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that are links, checked on the full sets of the two documents' texts."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets = checkpointed(docs.select("doc_id", "text").join(small_or_shuffled(ids), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", full_set("text").alias("_set")))
     one, other = (sets.select(F.col("doc_id").alias(e), F.col("_set").alias(f"_{e}")) for e in "ab")
     return pairs.join(one, "a").join(other, "b").where(linked("_a", "_b")).select("a", "b").distinct()
 
 
+def joined(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels (node, root), after the links among those pairs whose ends are still in different groups."""
+    apart = relabelled(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), labels)
+    apart = checkpointed(apart.select("a", "b", "x", "y"))
+    links = confirmed(docs, apart.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    upper = components(apart.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("a", "b"))
+    top = upper.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    moved = labels.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return checkpointed(moved.union(upper.select("node", "root")))  # the nodes of upper were roots, which have no label
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     small_batches(docs.sparkSession)
@@ -150,16 +164,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     best = F.max_by("a", F.struct(F.least("agree", F.lit(54)), -F.col("a")))
     first = checkpointed(found.groupBy("b").agg(best.alias("a")).select("a", "b"))
-    trees = roots(confirmed(docs, first).select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    apart = relabelled(found.join(first, ["a", "b"], "left_anti").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), trees)
-    apart = checkpointed(apart.select("a", "b", "x", "y"))
-    links = confirmed(docs, apart.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    joined = apart.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("a", "b")
-    upper = components(joined)
+    labels = roots(confirmed(docs, first).select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    found = found.join(first, ["a", "b"], "left_anti")
+    for least, below in zip(BANDS, (SKETCH + 1, *BANDS), strict=False):
+        band = found.where((F.col("agree") >= least) & (F.col("agree") < below))
+        labels = joined(docs, band, labels)
 
-    top = upper.select(F.col("node").alias("root"), F.col("root").alias("_top"))
-    labels = trees.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
-    labels = labels.union(upper.join(trees, "node", "left_anti").select("node", "root"))
     group = classes.join(labels, classes["id"] == labels["node"], "left").select("kind", F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "kind").join(group, "kind", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
