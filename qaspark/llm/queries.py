@@ -49,7 +49,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe)}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_dedup": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc_id, {_WORDS} AS ws FROM docs),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (shingle) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS doc, doc_id AS comp FROM n UNION SELECT e.b, r.comp FROM r JOIN e ON r.doc = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.comp, d.doc_id) AS component_id, d.doc_id = coalesce(c.comp, d.doc_id) AS kept
+FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc, min(comp) AS comp FROM r GROUP BY 1) c ON c.doc = d.doc_id
+""",
+    "op6_html_extraction": r"""
+WITH blocks AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<br>', ' ', 'g'), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda b: b <> '') AS parts FROM pages)
+SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10))) AS n_chars FROM blocks
+""",
+    "op9_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, start, md5(array_to_string(ws[start:start + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS start FROM w)),
+f AS (SELECT h, min(doc_id) AS least FROM p GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, start + k AS pos FROM (SELECT p.doc_id, p.start FROM p JOIN f USING (h) WHERE p.doc_id > f.least), range(50) g(k)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w) ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k USING (doc_id)
+""",
     "op5_chat_formatting": """
 WITH RECURSIVE calls AS (
   SELECT conv_id, turn, 'call_' || turn AS call_id, CASE WHEN turn >= 2 THEN 'call_' || (turn - 2) END AS needs, text,
