@@ -13,13 +13,13 @@ from qaspark.registry import query
 
 # Keywords by test type, in order of precedence, and words of edge cases and of fields.
 TYPE_WORDS = {
-    "validation": ("validation", "validate", "invalid", "required", "format"),
+    "validation": ("duplicate", "invalid", "negative", "fail", "error"),
     "authentication": ("auth", "login", "token", "permission"),
     "security": ("security", "injection", "xss", "csrf"),
-    "edge_case": ("edge", "boundary", "limit", "extreme"),
-    "happy_path": ("success", "valid", "happy", "positive"),
+    "edge_case": ("edge", "boundary", "limit", "null", "empty"),
+    "happy_path": ("successful", "positive", "happy"),
 }
-EDGE_WORDS = ("edge", "boundary", "limit", "extreme", "maximum", "minimum", "empty", "null", "negative", "overflow")
+EDGE_WORDS = ("duplicate", "invalid", "null", "empty", "boundary", "limit", "maximum", "minimum", "negative", "special")
 FIELD_WORDS = ("email", "username", "id", "password", "license", "plate")
 REQUEST = r"(?i)\b(GET|POST|PUT|DELETE|PATCH)\s+([/\w{}-]+)"
 STATUS = r"\b(\d{3})\b"
@@ -136,7 +136,7 @@ def _sql_labelled(label: str, c: str) -> str:
 
 _SEARCH = f"""array_to_string(list_filter(list_concat(list_concat([{_sql_labelled('Title', 'title')}, {_sql_labelled('Description', 'description')}, {_sql_labelled('Suite', 'suite_path')}],
  flatten(list_transform(steps, lambda s: [{_sql_labelled('Action', 's.action')}, {_sql_labelled('Expected', 's.expected_result')}, {_sql_labelled('Data', 's.data')}]))),
- [{_sql_labelled('Preconditions', 'preconditions')}, {_sql_labelled('Priority', 'priority')}, {_sql_labelled('Type', 'type')}]), lambda x: x IS NOT NULL), ' | ')"""
+ [{_sql_labelled('Preconditions', 'preconditions')}, 'Priority: ' || coalesce(priority, 'medium'), 'Type: ' || coalesce(type, 'other')]), lambda x: x IS NOT NULL), ' | ')"""
 
 
 @query("cases", sql=f"SELECT id, {_SEARCH} AS search_text FROM cases")
@@ -144,20 +144,20 @@ def search_text(cases: DataFrame) -> DataFrame:
     """One line per case for the retrieval corpus; empty parts are left out."""
     head = F.array(_labelled("Title", F.col("title")), _labelled("Description", F.col("description")), _labelled("Suite", F.col("suite_path")))
     steps = F.flatten(F.transform("steps", lambda s: F.array(_labelled("Action", s["action"]), _labelled("Expected", s["expected_result"]), _labelled("Data", s["data"]))))
-    tail = F.array(_labelled("Preconditions", F.col("preconditions")), _labelled("Priority", F.col("priority")), _labelled("Type", F.col("type")))
+    tail = F.array(_labelled("Preconditions", F.col("preconditions")), F.concat(F.lit("Priority: "), F.coalesce("priority", F.lit("medium"))), F.concat(F.lit("Type: "), F.coalesce("type", F.lit("other"))))
     return cases.select("id", F.array_join(F.array_compact(F.concat(head, steps, tail)), " | ").alias("search_text"))
 
 
 @query(
     "cases",
-    sql="""SELECT id, CASE WHEN priority = 'high' OR contains(lower(title), 'smoke') OR contains(lower(title), 'critical') THEN 'test_patterns' WHEN contains(lower(title), 'negative') OR contains(lower(title), 'fail')
+    sql="""SELECT id, CASE WHEN priority = 'high' OR type IN ('smoke', 'critical') THEN 'test_patterns' WHEN contains(lower(title), 'negative') OR contains(lower(title), 'fail')
     OR contains(lower(title), 'invalid') THEN 'edge_cases' WHEN coalesce(preconditions, '') <> '' THEN 'validation_rules' ELSE 'test_patterns' END AS category FROM cases""",
 )
 def categorize_case(cases: DataFrame) -> DataFrame:
-    """Knowledge table of a case: by priority, by words of its title, by preconditions."""
+    """Knowledge table of a case: by priority and type, by words of its title, by preconditions."""
     title = F.lower("title")
     kind = (
-        F.when((F.col("priority") == "high") | _any(title, ("smoke", "critical")), "test_patterns")
+        F.when((F.col("priority") == "high") | F.col("type").isin("smoke", "critical"), "test_patterns")
         .when(_any(title, ("negative", "fail", "invalid")), "edge_cases")
         .when(F.coalesce("preconditions", F.lit("")) != "", "validation_rules")
         .otherwise("test_patterns")
@@ -165,14 +165,14 @@ def categorize_case(cases: DataFrame) -> DataFrame:
     return cases.select("id", kind.alias("category"))
 
 
-_DOC = "'Test: ' || title || chr(10) || 'Type: ' || type || chr(10) || 'Description: ' || description || chr(10) || array_to_string(list_transform(range(1, len(steps) + 1), lambda i: i || '. ' || steps[i].action), chr(10))"
+_DOC = "'Test: ' || title || chr(10) || 'Type: ' || type || chr(10) || 'Description: ' || description || chr(10) || 'Steps:' || chr(10) || array_to_string(list_transform(range(1, len(steps) + 1), lambda i: '  ' || i || '. ' || steps[i].action), chr(10))"
 
 
 @query("cases", sql=f"SELECT id, {_DOC} AS document FROM cases")
 def format_case_document(cases: DataFrame) -> DataFrame:
     """Multi-line document of a case with numbered steps."""
-    steps = F.array_join(F.transform("steps", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["action"])), "\n")
-    lines = [F.concat(F.lit("Test: "), "title"), F.concat(F.lit("Type: "), "type"), F.concat(F.lit("Description: "), "description"), steps]
+    steps = F.array_join(F.transform("steps", lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), s["action"])), "\n")
+    lines = [F.concat(F.lit("Test: "), "title"), F.concat(F.lit("Type: "), "type"), F.concat(F.lit("Description: "), "description"), F.lit("Steps:"), steps]
     return cases.select("id", F.concat_ws("\n", *lines).alias("document"))
 
 
@@ -222,3 +222,22 @@ def flatten_suites(files: DataFrame) -> DataFrame:
 def extract_content(cases: DataFrame) -> DataFrame:
     """Content of a document without a content field: its described fields as lines."""
     return cases.select("id", F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), c) for c in ("title", "description", "priority")]).alias("content"))
+
+
+_CODE = "lower(code)"
+
+
+@query("source_files", sql=f"SELECT path, CASE WHEN {_sql_any(_CODE, ('validation', 'invalid'))} THEN 'validation' WHEN {_sql_any(_CODE, ('edge', 'boundary'))} THEN 'edge_case' WHEN {_sql_any(_CODE, ('auth', 'unauthorized'))} THEN 'authentication' WHEN contains({_CODE}, 'security') THEN 'security' ELSE 'functional' END AS test_type FROM source_files")
+def classify_code_type(files: DataFrame) -> DataFrame:
+    """Test type of code by the first group of words that it holds."""
+    code = F.lower("code")
+    kind = F.when(_any(code, ("validation", "invalid")), "validation").when(_any(code, ("edge", "boundary")), "edge_case").when(_any(code, ("auth", "unauthorized")), "authentication").when(_any(code, ("security",)), "security")
+    return files.select("path", kind.otherwise("functional").alias("test_type"))
+
+
+@query("cases", sql="SELECT id, coalesce(nullif(array_to_string(list_filter([nullif(description, ''), nullif(title, '')], lambda x: x IS NOT NULL), ' '), ''), '{}') AS text FROM cases", prepare=lambda c: (c.select("id", F.create_map(F.lit("description"), F.col("description"), F.lit("name"), F.col("title")).alias("metadata")),))
+def metadata_text(rows: DataFrame) -> DataFrame:
+    """Searchable text of ``metadata`` (a map): its text fields that are not empty, in fixed order; the whole map if there is none."""
+    fields = [F.nullif(F.try_element_at("metadata", F.lit(f)), F.lit("")) for f in ("content", "text", "description", "name", "test_code", "code")]
+    text = F.concat_ws(" ", *fields)
+    return rows.select("id", F.when(text != "", text).otherwise(F.to_json("metadata")).alias("text"))

@@ -15,7 +15,7 @@ from qaspark.registry import query
 SIZE, OVERLAP, LINES = 512, 50, 50
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 CODE_START = re.compile(r"(?m)^(?=class |def |async def )")
-TEST_STARTS = r"^\s*(def test_|it\(|test\(|TEST\()"
+TEST_STARTS = r"def test_\w+|public void \w+Test|it\(['\"].*?['\"]|TEST\("
 
 Piece = tuple[str, int, int]
 _PIECES = "array<struct<text: string, start_idx: int, end_idx: int>>"
@@ -119,7 +119,8 @@ def chunk_semantic(documents: DataFrame) -> DataFrame:
 def chunk_code(documents: DataFrame, language: str = "python") -> DataFrame:
     """Code blocks with their kind."""
     rows = chunked(documents, lambda text: code(text, language), "code_chunk")
-    kind = F.when(F.col("text").rlike(r"(?m)^\s*(def test_|@Test|\[Fact\])"), "test").when(F.col("text").rlike(r"(?m)^\s*(public )?class "), "class").when(F.col("text").rlike(r"(?m)^\s*(async )?def |\w+\s*\([^)]*\)\s*\{"), "function").otherwise("unknown")
+    has = lambda *words: F.col("text").rlike("|".join(words))
+    kind = F.when(has("class "), "class").when(has("def ", "function "), "function").when(has("(?i)test"), "test").otherwise("unknown")
     return rows.withColumn("block_type", kind)
 
 
@@ -141,6 +142,15 @@ def chunk_lines(documents: DataFrame, lines: int = LINES) -> DataFrame:
     return rows.select("doc_id", F.posexplode(starts).alias("chunk_index", "text"))
 
 
+_SQL_STARTS = TEST_STARTS.replace("'", "''")
+
+
+def _test_name():
+    """Name of the test that a block starts with, unknown_test if it has none."""
+    found = [F.regexp_extract("text", p, 1) for p in (r"def (test_\w+)", r"public void (\w+Test)", r"it\(['\"]([^'\"]*)['\"]", r"TEST\((\w+)")]
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit("unknown_test"))
+
+
 _TESTS = "'import x' || chr(10) || 'def test_a' || doc_id || '():' || chr(10) || '    assert 1' || chr(10) || 'def test_b():' || chr(10) || '    pass'"
 
 
@@ -148,7 +158,7 @@ _TESTS = "'import x' || chr(10) || 'def test_a' || doc_id || '():' || chr(10) ||
     "corpus",
     prepare=lambda c: (c.select("doc_id", F.concat(F.lit("import x\ndef test_a"), "doc_id", F.lit("():\n    assert 1\ndef test_b():\n    pass")).alias("content")),),
     sql=f"""WITH l AS (SELECT doc_id, unnest(string_split({_TESTS}, chr(10))) AS line, generate_subscripts(string_split({_TESTS}, chr(10)), 1) AS n FROM corpus),
-    s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{TEST_STARTS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM l)
+    s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_SQL_STARTS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM l)
     SELECT doc_id, CAST(block - 1 AS INT) AS chunk_index, string_agg(line, chr(10) ORDER BY n) AS text, regexp_extract(string_agg(line, chr(10) ORDER BY n), 'def (test_\\w+)', 1) AS test_name FROM s WHERE block > 0 GROUP BY 1, block""",
 )
 def chunk_tests(documents: DataFrame) -> DataFrame:
@@ -157,7 +167,7 @@ def chunk_tests(documents: DataFrame) -> DataFrame:
     block = F.sum(F.col("line").rlike(TEST_STARTS).cast("int")).over(Window.partitionBy("doc_id").orderBy("n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
     chunks = lines.withColumn("block", block).where("block > 0").groupBy("doc_id", "block").agg(text.alias("text"))
-    return chunks.select("doc_id", (F.col("block") - 1).cast("int").alias("chunk_index"), "text", F.regexp_extract("text", r"def (test_\w+)", 1).alias("test_name"))
+    return chunks.select("doc_id", (F.col("block") - 1).cast("int").alias("chunk_index"), "text", _test_name().alias("test_name"))
 
 
 @query("corpus", sql="SELECT doc_id, i - 1 AS chunk_index, lines[i] AS text FROM (SELECT doc_id, string_split(content, chr(10)) AS lines FROM corpus), range(1, 100000) g(i) WHERE i <= len(lines)")

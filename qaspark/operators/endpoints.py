@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from qaspark.registry import query
 
 # Types of source languages in API terms, and where a parameter is sent.
-TYPE_MAP = {"int": "integer", "int?": "integer", "long": "integer", "string": "string", "str": "string", "bool": "boolean", "bool?": "boolean", "float": "number", "double": "number", "decimal": "number", "guid": "string", "datetime": "string"}
-GENERIC_MAP = {"list": "array", "ienumerable": "array", "dictionary": "object"}
+TYPE_MAP = {
+    "string": "string", "String": "string", "int": "integer", "Int32": "integer", "long": "integer", "Int64": "integer", "float": "number", "double": "number", "Double": "number",
+    "bool": "boolean", "Boolean": "boolean", "DateTime": "string", "DateOnly": "string", "Guid": "string", "str": "string", "list": "array", "dict": "object",
+    "Integer": "integer", "Long": "integer", "Float": "number", "Date": "string", "List": "array", "Map": "object",
+}
+SPEC_TYPES = {"int": "integer", "long": "integer", "string": "string", "bool": "boolean", "double": "number", "float": "number", "decimal": "number", "DateTime": "string", "DateOnly": "string", "Guid": "string"}
 LOCATIONS = {"body": "body", "query": "query", "path": "path", "route": "path", "header": "header", "form": "formData"}
 
 
@@ -47,14 +51,13 @@ def normalize_method(endpoints: DataFrame) -> DataFrame:
 
 def type_of(kind: Column) -> Column:
     """API type of a source type; of a generic one by its base, object by default; unknown ones in lower case."""
-    low = F.lower(kind)
-    base = F.regexp_extract(low, r"^(\w+)<", 1)
-    return F.coalesce(_lookup(TYPE_MAP, low), F.when(base != "", F.coalesce(_lookup(GENERIC_MAP, base), F.lit("object"))), low)
+    base = F.substring_index(kind, "<", 1)
+    return F.when(F.contains(kind, F.lit("<")), F.coalesce(_lookup(TYPE_MAP, base), F.lit("object"))).otherwise(F.coalesce(_lookup(TYPE_MAP, kind), F.lower(kind)))
 
 
 def sql_type_of(kind: str) -> str:
-    base = rf"regexp_extract(lower({kind}), '^(\w+)<', 1)"
-    return f"coalesce({_sql_lookup(TYPE_MAP, f'lower({kind})')}, CASE WHEN {base} <> '' THEN coalesce({_sql_lookup(GENERIC_MAP, base)}, 'object') END, lower({kind}))"
+    base = f"split_part({kind}, '<', 1)"
+    return f"CASE WHEN contains({kind}, '<') THEN coalesce({_sql_lookup(TYPE_MAP, base)}, 'object') ELSE coalesce({_sql_lookup(TYPE_MAP, kind)}, lower({kind})) END"
 
 
 @query("endpoints_raw", sql=f"SELECT ordinal, {sql_type_of('return_type')} AS type FROM endpoints_raw")
@@ -62,11 +65,11 @@ def normalize_type(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("ordinal", type_of(F.col("return_type")).alias("type"))
 
 
-@query("endpoints_raw", sql=f"SELECT ordinal, CASE WHEN contains(return_type, '<') THEN 'object' ELSE coalesce({_sql_lookup(TYPE_MAP, 'lower(rtrim(return_type, chr(63)))')}, 'string') END AS type FROM endpoints_raw")
+@query("endpoints_raw", sql=f"SELECT ordinal, CASE WHEN contains(return_type, '<') THEN 'object' ELSE coalesce({_sql_lookup(SPEC_TYPES, "replace(return_type, '?', '')")}, 'string') END AS type FROM endpoints_raw")
 def map_spec_type(endpoints: DataFrame) -> DataFrame:
     """Specification type: nullable marks are dropped, generics are objects, unknown types strings."""
-    bare = F.lower(F.rtrim("return_type", F.lit("?")))
-    return endpoints.select("ordinal", F.when(F.contains("return_type", F.lit("<")), "object").otherwise(F.coalesce(_lookup(TYPE_MAP, bare), F.lit("string"))).alias("type"))
+    bare = F.replace("return_type", F.lit("?"), F.lit(""))
+    return endpoints.select("ordinal", F.when(F.contains("return_type", F.lit("<")), "object").otherwise(F.coalesce(_lookup(SPEC_TYPES, bare), F.lit("string"))).alias("type"))
 
 
 @query("parameters", sql=f"SELECT id, coalesce({_sql_lookup(LOCATIONS, 'source')}, 'query') AS location FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'body' WHEN 1 THEN 'route' WHEN 2 THEN 'form' WHEN 3 THEN 'header' END AS source FROM parameters)", prepare=lambda p: (p.select("id", F.get(F.array(F.lit("body"), F.lit("route"), F.lit("form"), F.lit("header")), (F.col("id") % 5).cast("int")).alias("source")),))
@@ -191,18 +194,18 @@ def combine_parsed(parts: list[DataFrame]) -> DataFrame:
     return dedupe_parsed(whole)
 
 
-_RISKS = f"list_filter([CASE WHEN NOT authorization_required THEN 'high: no authentication' END, CASE WHEN {SQL_METHOD} = 'DELETE' THEN 'high: deletes data' END, CASE WHEN {SQL_METHOD} = 'PUT' THEN 'medium: replaces data' END, CASE WHEN len(parameters) > 1 THEN 'low: several parameters' END], lambda x: x IS NOT NULL)"
+_RISKS = f"list_filter([CASE WHEN NOT authorization_required THEN 'high: No authentication specified' END, CASE WHEN ordinal % 4 = 0 THEN 'medium: No explicit validation rules' END, CASE WHEN {SQL_METHOD} IN ('DELETE', 'PUT') THEN 'high: ' || {SQL_METHOD} || ' operation - data modification risk' END, CASE WHEN ordinal % 7 = 0 THEN 'high: File upload - security risk' END], lambda x: x IS NOT NULL)"
 
 
-@query("endpoints_raw", sql=f"SELECT ordinal, array_to_string({_RISKS}, '; ') AS risks FROM endpoints_raw")
+@query("endpoints_raw", sql=f"SELECT ordinal, array_to_string({_RISKS}, '; ') AS risks FROM endpoints_raw", prepare=lambda e: (e.withColumn("n_validators", F.col("ordinal") % 4).withColumn("consumes", F.when(F.col("ordinal") % 7 == 0, "multipart/form-data")),))
 def assess_risks(endpoints: DataFrame) -> DataFrame:
     """Risks of an endpoint by rule."""
     m = F.upper(F.coalesce("http_method", F.lit("GET")))
     rules = F.array(
-        F.when(~F.coalesce("authorization_required", F.lit(False)), "high: no authentication"),
-        F.when(m == "DELETE", "high: deletes data"),
-        F.when(m == "PUT", "medium: replaces data"),
-        F.when(F.size("parameters") > 1, "low: several parameters"),
+        F.when(~F.coalesce("authorization_required", F.lit(False)), "high: No authentication specified"),
+        F.when(F.col("n_validators") == 0, "medium: No explicit validation rules"),
+        F.when(m.isin("DELETE", "PUT"), F.concat(F.lit("high: "), m, F.lit(" operation - data modification risk"))),
+        F.when(F.contains("consumes", F.lit("multipart/form-data")), "high: File upload - security risk"),
     )
     return endpoints.select("ordinal", F.array_join(F.array_compact(rules), "; ").alias("risks"))
 
@@ -228,16 +231,24 @@ def assemble_context(endpoints: DataFrame, first: int = 5) -> DataFrame:
     return top.groupBy("controller").agg(joined.alias("lines")).select("controller", F.concat(F.lit("API "), "controller", F.lit(": "), "lines").alias("query_text"))
 
 
-_CODE = "CASE {0} WHEN 'GET' THEN 0.1 WHEN 'POST' THEN 0.2 WHEN 'PUT' THEN 0.3 WHEN 'DELETE' THEN 0.4 ELSE 0.5 END".format(SQL_METHOD)
+_CODE = "CASE {0} WHEN 'GET' THEN 0.2 WHEN 'POST' THEN 0.4 WHEN 'PUT' THEN 0.6 WHEN 'DELETE' THEN 0.8 WHEN 'PATCH' THEN 1.0 ELSE 0.5 END".format(SQL_METHOD)
+_KINDS = ("string", "integer", "boolean", "object", "array")
+_SQL_KINDS = ", ".join(f"len(list_filter(parameters, lambda p: {sql_type_of('p.type')} = '{k}')) / greatest(len(parameters), 1)" for k in _KINDS)
 
 
-@query("endpoints_raw", sql=f"SELECT ordinal, list_concat([len(parameters) / 10.0, list_count(list_filter(parameters, lambda p: p.type = 'int')) / len(parameters), {_CODE}, CASE WHEN authorization_required THEN 1.0 ELSE 0.0 END]::DOUBLE[], list_transform(range(124), lambda x: 0.0::DOUBLE)) AS features FROM endpoints_raw")
+@query(
+    "endpoints_raw",
+    sql=f"SELECT ordinal, list_concat([len(parameters) / 10.0, {_SQL_KINDS}, {_CODE}, CASE WHEN authorization_required THEN 1.0 ELSE 0.0 END, (ordinal % 5) / 10.0, (ordinal % 4) / 10.0]::DOUBLE[], list_transform(range(118), lambda x: 0.0::DOUBLE)) AS features FROM endpoints_raw",
+    prepare=lambda e: (e.withColumn("n_responses", F.col("ordinal") % 5).withColumn("n_validators", F.col("ordinal") % 4),),
+)
 def api_features(endpoints: DataFrame, size: int = 128) -> DataFrame:
-    """Feature vector of an endpoint: parameters, share of integers, method, authorisation; padded with zeros."""
+    """Feature vector of an endpoint: parameters, share of each type, method, authorisation, responses, validators; padded with zeros."""
     m = F.upper(F.coalesce("http_method", F.lit("GET")))
-    code = F.when(m == "GET", 0.1).when(m == "POST", 0.2).when(m == "PUT", 0.3).when(m == "DELETE", 0.4).otherwise(0.5)
+    code = F.when(m == "GET", 0.2).when(m == "POST", 0.4).when(m == "PUT", 0.6).when(m == "DELETE", 0.8).when(m == "PATCH", 1.0).otherwise(0.5)
     n = F.size("parameters")
-    parts = [n / 10.0, F.size(F.filter("parameters", lambda p: p["type"] == "int")) / n, code, F.coalesce("authorization_required", F.lit(False)).cast("double")]
+    kinds = F.transform("parameters", lambda p: type_of(p["type"]))
+    shares = [(n - F.size(F.array_remove(kinds, k))) / F.greatest(n, F.lit(1)) for k in _KINDS]
+    parts = [n / 10.0, *shares, code, F.coalesce("authorization_required", F.lit(False)).cast("double"), F.col("n_responses") / 10.0, F.col("n_validators") / 10.0]
     return endpoints.select("ordinal", F.concat(F.array(*parts), F.array_repeat(F.lit(0.0), size - len(parts))).alias("features"))
 
 

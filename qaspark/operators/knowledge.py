@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from qaspark.registry import query
 
 # Knowledge types, default patterns with the methods that they apply to, edge values by data type, index by document type.
-TYPES = ("test_patterns", "bug_patterns", "edge_cases", "validation_rules", "api_patterns", "success_patterns")
+TYPES = ("test_patterns", "edge_cases", "validation_rules", "api_patterns", "bug_patterns", "best_practices")
 PATTERNS = [("Happy Path Testing", ["GET", "POST", "PUT", "DELETE"]), ("Null/Empty Testing", ["POST", "PUT"]), ("Boundary Testing", ["All"]), ("Authentication Testing", ["All"]), ("Concurrent Access Testing", ["PUT", "DELETE"])]
 EDGE_VALUES = {"string": ["Empty string", "Single space", "Very long string", "XSS attempt"], "integer": ["Zero", "Negative one", "MAX_INT", "MIN_INT"], "array": ["Empty array", "Array with null"], "date": ["Invalid date", "Unix epoch"]}
-INDEX_OF = {"test_case": "test_patterns", "api_spec": "api_patterns", "bug": "bug_patterns", "edge_case": "edge_cases", "validation": "validation_rules", "success": "success_patterns"}
+INDEX_OF = {"test_case": "test_patterns", "edge_case": "edge_cases", "validation": "validation_rules", "api_specification": "api_specifications", "bug": "bug_patterns"}
 
 
 @query("knowledge", sql="SELECT id, knowledge_type FROM knowledge WHERE json_extract_string(item_json, '$.method') = 'GET' AND json_extract_string(item_json, '$.lang') = 'en'", prepare=lambda k: (k, {"method": "GET", "lang": "en"}))
@@ -28,7 +28,7 @@ def knowledge_search(knowledge: DataFrame, text: str, types: tuple[str, ...] = T
     return knowledge.where(F.col("knowledge_type").isin(*types) & F.contains(F.lower("item_json"), F.lit(text.lower()))).select("id", "knowledge_type")
 
 
-@query("knowledge", sql="SELECT t.knowledge_type, count(k.id) AS n, max(coalesce(k.updated_at, k.added_at)) AS last_updated FROM (SELECT unnest(['test_patterns', 'bug_patterns', 'edge_cases', 'validation_rules', 'api_patterns', 'success_patterns']) AS knowledge_type) t LEFT JOIN knowledge k USING (knowledge_type) GROUP BY 1")
+@query("knowledge", sql="SELECT t.knowledge_type, count(k.id) AS n, max(coalesce(k.updated_at, k.added_at)) AS last_updated FROM (SELECT unnest(['test_patterns', 'bug_patterns', 'edge_cases', 'validation_rules', 'api_patterns', 'best_practices']) AS knowledge_type) t LEFT JOIN knowledge k USING (knowledge_type) GROUP BY 1")
 def knowledge_statistics(knowledge: DataFrame) -> DataFrame:
     """Items and last change of every type, absent types too."""
     types = knowledge.sparkSession.createDataFrame([(t,) for t in TYPES], "knowledge_type string")
@@ -96,7 +96,7 @@ def new_documents(documents: DataFrame, ledger: DataFrame, force: bool = False)
     return rows.select("doc_id", "content")
 
 
-_ROUTE = "CASE type WHEN 'test_case' THEN 'test_patterns' WHEN 'api_spec' THEN 'api_patterns' WHEN 'validation' THEN 'validation_rules' ELSE 'test_patterns' END"
+_ROUTE = "CASE type WHEN 'test_case' THEN 'test_patterns' WHEN 'api_specification' THEN 'api_specifications' WHEN 'validation' THEN 'validation_rules' ELSE 'test_patterns' END"
 
 
 @query("corpus", sql=f"SELECT doc_id, {_ROUTE} AS index_name FROM corpus")

@@ -186,13 +186,13 @@ def split_outcomes(results: DataFrame) -> DataFrame:
 
 @query(
     "results",
-    sql="""SELECT concat('Edge case for ', coalesce(endpoint, '')) AS description, endpoint, method, request_data AS input_data, CAST(expected_status AS VARCHAR) AS expected_behavior,
+    sql="""SELECT name AS description, endpoint, method, request_data AS input_data, CAST(expected_status AS VARCHAR) AS expected_behavior,
     CAST(actual_status AS VARCHAR) AS actual_behavior, true AS discovered FROM results WHERE test_type = 'edge_case'""",
 )
 def discovered_edge_cases(results: DataFrame) -> DataFrame:
     """Edge-case results as knowledge rows."""
     return results.where("test_type = 'edge_case'").select(
-        F.concat(F.lit("Edge case for "), F.coalesce("endpoint", F.lit(""))).alias("description"),
+        F.col("name").alias("description"),
         "endpoint",
         "method",
         F.col("request_data").alias("input_data"),
@@ -215,8 +215,8 @@ def bug_patterns(results: DataFrame) -> DataFrame:
 
 @query(
     "results",
-    sql="""SELECT 'success_' || name AS doc_id, 'test_case' AS type, 'Test: ' || name || chr(10) || 'Type: ' || coalesce(test_type, 'unknown') || chr(10) || 'Endpoint: ' || coalesce(endpoint, '') || chr(10)
-    || 'Method: ' || method || chr(10) || 'Assertions: ' || array_to_string(list_transform(assertions, lambda a: a.assertion), ', ') AS content, endpoint, method FROM results WHERE coalesce(passed, false)""",
+    sql="""SELECT 'success_' || name AS doc_id, 'test_case' AS type, 'Test: ' || name || chr(10) || 'Type: ' || coalesce(test_type, 'unknown') || chr(10) || 'Endpoint: ' || method || ' ' || coalesce(endpoint, '') || chr(10)
+    || 'Input: ' || request_data || chr(10) || 'Assertions:' || chr(10) || array_to_string(list_transform(assertions, lambda a: '  - ' || a.assertion), chr(10)) AS content, endpoint, method FROM results WHERE coalesce(passed, false)""",
 )
 def success_documents(results: DataFrame) -> DataFrame:
     """Passed results as documents for the retrieval corpus."""
@@ -225,9 +225,9 @@ def success_documents(results: DataFrame) -> DataFrame:
         "\n",
         line("Test", F.col("name")),
         line("Type", F.coalesce("test_type", F.lit("unknown"))),
-        line("Endpoint", F.coalesce("endpoint", F.lit(""))),
-        line("Method", F.col("method")),
-        line("Assertions", F.array_join(F.transform("assertions", lambda a: a["assertion"]), ", ")),
+        line("Endpoint", F.concat_ws(" ", "method", F.coalesce("endpoint", F.lit("")))),
+        line("Input", F.col("request_data")),
+        F.when(F.size("assertions") > 0, F.concat(F.lit("Assertions:\n"), F.array_join(F.transform("assertions", lambda a: F.concat(F.lit("  - "), a["assertion"])), "\n"))),
     )
     return results.where(_passed()).select(F.concat(F.lit("success_"), "name").alias("doc_id"), F.lit("test_case").alias("type"), content.alias("content"), "endpoint", "method")
 
@@ -332,16 +332,35 @@ def report_rows(results: DataFrame) -> DataFrame:
     )
 
 
+_DATA = "regexp_replace(request_data, '[{}\" ]', '', 'g')"
+
+
 @query(
     "results",
-    sql="""SELECT id, array_to_string(list_concat(['Set up the test environment', 'Use data ' || request_data, 'Send ' || method || ' request to ' || coalesce(endpoint, '')],
-      list_concat(list_transform(assertions, lambda a: 'Verify ' || a.assertion), ['Clean up'])), chr(10)) AS steps FROM results""",
+    sql=f"""SELECT id, array_to_string(list_filter(['API endpoint ' || coalesce(endpoint, 'N/A') || ' is available', CASE WHEN coalesce(test_type, '') <> 'authentication' THEN 'Valid authentication token is available' END, 'Test data is prepared and valid'], lambda x: x IS NOT NULL), chr(10)) AS preconditions,
+      array_to_string(list_concat(['Setup test environment', 'Prepare test data: ' || replace({_DATA}, ':', '='), 'Send ' || method || ' request to ' || coalesce(endpoint, 'endpoint')],
+      list_concat(list_transform(assertions, lambda a: 'Validate: ' || a.assertion), ['Clean up test data'])), chr(10)) AS steps FROM results""",
 )
-def report_steps(results: DataFrame) -> DataFrame:
-    """The steps of a report row: set up, data, request, one check per assertion, clean up."""
-    head = F.array(F.lit("Set up the test environment"), F.concat(F.lit("Use data "), "request_data"), F.concat(F.lit("Send "), "method", F.lit(" request to "), F.coalesce("endpoint", F.lit(""))))
-    checks = F.transform("assertions", lambda a: F.concat(F.lit("Verify "), a["assertion"]))
-    return results.select("id", F.array_join(F.concat(F.array_compact(head), checks, F.array(F.lit("Clean up"))), "\n").alias("steps"))
+def report_steps(results: DataFrame, shown: int = 3) -> DataFrame:
+    """Preconditions and steps of a report row: set up, data (the first fields), request, one check per assertion, clean up."""
+    data = F.from_json("request_data", "map<string,string>")
+    fields = F.array_join(F.slice(F.transform(F.map_entries(data), lambda e: F.concat(e["key"], F.lit("="), e["value"])), 1, shown), ", ")
+    needs = F.array(
+        F.concat(F.lit("API endpoint "), F.coalesce("endpoint", F.lit("N/A")), F.lit(" is available")),
+        F.when(F.coalesce("test_type", F.lit("")) != "authentication", "Valid authentication token is available"),
+        F.when(F.size(data) > 0, "Test data is prepared and valid"),
+    )
+    head = F.array(
+        F.lit("Setup test environment"),
+        F.when(F.size(data) > 0, F.concat(F.lit("Prepare test data: "), fields)),
+        F.concat(F.lit("Send "), F.coalesce("method", F.lit("HTTP")), F.lit(" request to "), F.coalesce("endpoint", F.lit("endpoint"))),
+    )
+    checks = F.transform("assertions", lambda a: F.concat(F.lit("Validate: "), a["assertion"]))
+    return results.select(
+        "id",
+        F.array_join(F.array_compact(needs), "\n").alias("preconditions"),
+        F.array_join(F.concat(F.array_compact(head), checks, F.array(F.lit("Clean up test data"))), "\n").alias("steps"),
+    )
 
 
 _HALF = "ts < TIMESTAMP '2024-01-16 00:00:00'"

@@ -12,7 +12,8 @@ from qaspark.registry import query
 
 # Reward weights, action types, discount factors.
 WEIGHTS = {"bugs_found": 10.0, "code_coverage": 5.0, "edge_cases_covered": 8.0, "unique_scenarios": 6.0, "false_positives": -3.0, "redundant_tests": -2.0, "test_failures": -1.0, "api_errors": -5.0}
-ACTIONS = ("happy_path", "validation", "authentication", "authorization", "edge_case", "boundary", "error_handling", "performance", "security", "integration")
+ACTIONS = ("happy_path", "boundary_value", "null_empty", "type_mismatch", "format_violation", "business_logic", "security_test", "concurrent_access", "state_transition", "integration_test")
+TEST_TYPES = ("happy_path", "validation", "authentication", "security", "edge_case", "boundary", "functional", "integration", "performance", "other")
 GAMMA, LAMBDA = 0.99, 0.95
 BUFFER = 10_000
 PRIORITY_POWER, EPSILON = 0.6, 1e-6
@@ -222,21 +223,21 @@ def experience_reward(results: DataFrame) -> DataFrame:
     return results.select("id", F.when(good, 10.0).otherwise(-5.0).alias("training"), F.when(good, 1.0).otherwise(-0.5).alias("pipeline"))
 
 
-@query("results", sql=f"SELECT id, coalesce(nullif(list_position({list(ACTIONS)}, test_type), 0) - 1, 9) AS action FROM results")
+@query("results", sql=f"SELECT id, coalesce(nullif(list_position({list(TEST_TYPES)}, test_type), 0) - 1, 9) AS action FROM results")
 def action_index(results: DataFrame) -> DataFrame:
-    """Number of the test type among the action types; the last one for any other."""
-    at = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.coalesce("test_type", F.lit(""))).cast("int")
-    return results.select("id", F.when(at > 0, at - 1).otherwise(len(ACTIONS) - 1).alias("action"))
+    """Number of the test type among the known ones; the last one for any other."""
+    at = F.array_position(F.array(*[F.lit(a) for a in TEST_TYPES]), F.coalesce("test_type", F.lit(""))).cast("int")
+    return results.select("id", F.when(at > 0, at - 1).otherwise(len(TEST_TYPES) - 1).alias("action"))
 
 
 @query(
     "results",
-    sql="SELECT id, CASE test_type WHEN 'security' THEN 2.0 WHEN 'edge_case' THEN 1.5 WHEN 'validation' THEN 1.0 ELSE 0.0 END + 3.0 * (k / 100.0)::DOUBLE - CASE WHEN k % 5 = 0 THEN 2.0 ELSE 0.0 END AS reward FROM results",
+    sql="SELECT id, CASE WHEN test_type IN ('edge_case', 'security', 'boundary') THEN 2.0 WHEN test_type IN ('validation', 'authentication') THEN 1.5 WHEN test_type = 'happy_path' THEN 1.0 ELSE 0.0 END + 3.0 * (k / 100.0)::DOUBLE - CASE WHEN k % 5 = 0 THEN 2.0 ELSE 0.0 END AS reward FROM results",
     prepare=lambda r: (r.withColumn("coverage", F.col("k") / 100.0).withColumn("redundant", F.col("k") % 5 == 0),),
 )
 def intermediate_reward(actions: DataFrame) -> DataFrame:
     """Reward of one action: by type, by coverage gained, less if redundant."""
-    kind = F.when(F.col("test_type") == "security", 2.0).when(F.col("test_type") == "edge_case", 1.5).when(F.col("test_type") == "validation", 1.0).otherwise(0.0)
+    kind = F.when(F.col("test_type").isin("edge_case", "security", "boundary"), 2.0).when(F.col("test_type").isin("validation", "authentication"), 1.5).when(F.col("test_type") == "happy_path", 1.0).otherwise(0.0)
     return actions.select("id", (kind + 3.0 * F.col("coverage") - F.when(F.col("redundant"), 2.0).otherwise(0.0)).alias("reward"))
 
 
@@ -255,20 +256,22 @@ def coverage_features(results: DataFrame, size: int = 64) -> DataFrame:
     return results.groupBy("session_id").agg(_padded([*shares, n / 100.0, F.round(F.sum(F.size("assertions")) / (5.0 * n), 9)], size).alias("features"))
 
 
-@query("results", sql="SELECT session_id, list_concat([round((count(DISTINCT test_type) + max(CAST(test_type IS NULL AS INT))) / 10.0, 9), round(sum(len(assertions)) / CAST(count(*) AS DOUBLE) / 10.0, 9), round(sum(CASE k % 4 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 5 END) / 10.0 / count(*), 9)]::DOUBLE[], list_transform(range(125), lambda x: 0.0::DOUBLE)) AS features FROM results GROUP BY 1", prepare=lambda r: (r.withColumn("priority", F.get(F.array(*[F.lit(p) for p in ("critical", "high", "medium", "low")]), F.col("k") % 4)),))
+@query("results", sql="SELECT session_id, list_concat([round((count(DISTINCT test_type) + max(CAST(test_type IS NULL AS INT))) / 10.0, 9), round(sum(len(assertions)) / CAST(count(*) AS DOUBLE) / 10.0, 9), round(sum(CASE test_type WHEN 'authentication' THEN 10 WHEN 'validation' THEN 8 WHEN 'happy_path' THEN 6 ELSE 5 END) / 10.0 / count(*), 9)]::DOUBLE[], list_transform(range(125), lambda x: 0.0::DOUBLE)) AS features FROM results GROUP BY 1")
 def suite_features(results: DataFrame, size: int = 128) -> DataFrame:
     """Feature vector of a suite: diversity (a missing type counts), mean assertions, mean priority; padded with zeros."""
-    weight = F.when(F.col("priority") == "critical", 10).when(F.col("priority") == "high", 8).when(F.col("priority") == "medium", 6).otherwise(5)
+    weight = F.when(F.col("test_type") == "authentication", 10).when(F.col("test_type") == "validation", 8).when(F.col("test_type") == "happy_path", 6).otherwise(5)
     n = F.count(F.lit(1)).cast("double")
     kinds = F.count_distinct("test_type") + F.max(F.col("test_type").isNull().cast("int"))
     parts = [F.round(kinds / 10.0, 9), F.round(F.sum(F.size("assertions")) / n / 10.0, 9), F.round(F.sum(weight) / 10.0 / n, 9)]
     return results.groupBy("session_id").agg(_padded(parts, size).alias("features"))
 
 
-_TYPES7 = ("happy_path", "validation", "authentication", "edge_case", "security", "boundary", "functional")
+_TYPES4 = ("happy_path", "validation", "edge_case", "security")
+_SQL_ONE_HOT = ", ".join([*(f"CASE WHEN coalesce(test_type, '') = '{t}' THEN 1.0 ELSE 0.0 END" for t in _TYPES4), "CASE WHEN method = 'GET' THEN 1.0 ELSE 0.0 END", "CASE WHEN method = 'POST' THEN 1.0 ELSE 0.0 END", "CASE WHEN passed THEN 1.0 ELSE 0.0 END"])
 
 
-@query("results", sql=f"SELECT id, list_concat([{', '.join(f'''CASE WHEN coalesce(test_type, '') = '{t}' THEN 1.0 ELSE 0.0 END''' for t in _TYPES7)}]::DOUBLE[], list_transform(range(633), lambda x: 0.0::DOUBLE)) AS state FROM results")
+@query("results", sql=f"SELECT id, list_concat([{_SQL_ONE_HOT}]::DOUBLE[], list_transform(range(633), lambda x: 0.0::DOUBLE)) AS state FROM results")
 def result_state_vector(results: DataFrame, size: int = 640) -> DataFrame:
-    """One-hot vector of the test type, padded with zeros."""
-    return results.select("id", _padded([F.when(F.col("test_type") == t, 1.0).otherwise(0.0) for t in _TYPES7], size).alias("state"))
+    """0/1 vector of the test type, the method and the outcome, padded with zeros."""
+    flags = [*(F.col("test_type") == t for t in _TYPES4), F.col("method") == "GET", F.col("method") == "POST", F.col("passed")]
+    return results.select("id", _padded([F.when(f, 1.0).otherwise(0.0) for f in flags], size).alias("state"))

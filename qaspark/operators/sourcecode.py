@@ -16,12 +16,12 @@ from qaspark.registry import query
 # File endings by language, and flags of inline validation.
 LANGUAGES = {".cs": "csharp", ".py": "python", ".java": "java", ".cpp": "cpp"}
 CHECKS = {
-    "null_check": r"(?i)==\s*null|is\s+None|!=\s*null|isNull",
-    "empty_check": r"(?i)IsNullOrEmpty|isEmpty|\.empty\(\)|len\(\w+\)\s*==\s*0",
-    "range_check": r"(?i)[<>]=?\s*\d+",
-    "regex_check": r"(?i)Regex|re\.match|matches\(",
-    "type_check": r"(?i)isinstance|typeof|instanceof",
-    "custom_validation": r"(?i)validat|throw\s+new",
+    "null_check": r"(?i)if\s*\(.*?(?:==|!=)\s*null",
+    "empty_check": r"(?i)if\s*\(.*?\.(?:isEmpty|empty|Length\s*==\s*0)",
+    "range_check": r"(?i)if\s*\(.*?(?:<|>|<=|>=)\s*\d+",
+    "regex_check": r"(?i)if\s*\(.*?\.(?:matches|test|match)\(",
+    "type_check": r"(?i)if\s*\(.*?instanceof",
+    "custom_validation": r"(?i)if\s*\(.*?(?:isValid|validate|check)",
 }
 
 
@@ -181,11 +181,10 @@ def services_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.arrays_zip(kinds.alias("type"), names.alias("name"))).alias("s")).select("path", "s.type", "s.name")
 
 
-@query("source_files", sql="SELECT path, CASE p_partkey % 5 WHEN 0 THEN 'null_check,custom_validation' WHEN 2 THEN 'null_check' WHEN 4 THEN 'custom_validation' ELSE '' END AS checks FROM source_files")
+@query("source_files", sql="SELECT path, CASE WHEN p_partkey % 5 = 0 THEN 'null_check' ELSE '' END AS checks FROM source_files")
 def inline_validations(files: DataFrame) -> DataFrame:
     """Kinds of checks that a file's code makes by hand."""
-    code = F.regexp_replace("code", r"RuleFor[^;]*;|#include.*", "")
-    found = F.array_compact(F.array(*[F.when(code.rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
+    found = F.array_compact(F.array(*[F.when(F.col("code").rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
     return files.select("path", F.array_join(found, ",").alias("checks"))
 
 

@@ -29,8 +29,8 @@ DIALECT = {
     ),
     "PATH": ("regexp_replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/[0-9]+', CASE page_id % 3 WHEN 0 THEN '/:id' WHEN 1 THEN '/<id>' ELSE '/<int:id>' END)", "regexp_replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/[0-9]+', CASE page_id % 3 WHEN 0 THEN '/:id' WHEN 1 THEN '/<id>' ELSE '/<int:id>' END, 'g')"),
     "RULES": (
-        "filter(array(CASE WHEN p_size % 2 = 1 THEN 'NotEmpty' END, CASE WHEN p_size % 3 = 0 THEN 'Length' END, CASE WHEN p_size % 5 = 0 THEN 'EmailAddress' END, CASE WHEN p_size % 7 = 0 THEN 'Matches' END, CASE WHEN p_size % 11 = 0 THEN 'GreaterThan' END), x -> x is not null)",
-        "list_filter([CASE WHEN p_size % 2 = 1 THEN 'NotEmpty' END, CASE WHEN p_size % 3 = 0 THEN 'Length' END, CASE WHEN p_size % 5 = 0 THEN 'EmailAddress' END, CASE WHEN p_size % 7 = 0 THEN 'Matches' END, CASE WHEN p_size % 11 = 0 THEN 'GreaterThan' END], lambda x: x IS NOT NULL)",
+        "filter(array(CASE WHEN p_size % 2 = 1 THEN 'NotEmpty' END, CASE WHEN p_size % 3 = 0 THEN 'Length' END, CASE WHEN p_size % 5 = 0 THEN 'EmailAddress' END, CASE WHEN p_size % 7 = 0 THEN 'Matches' END, CASE WHEN p_size % 11 = 0 THEN 'GreaterThan' END, CASE WHEN p_size % 4 = 0 THEN 'NotNull' END, CASE WHEN p_size % 6 = 0 THEN 'Pattern' END), x -> x is not null)",
+        "list_filter([CASE WHEN p_size % 2 = 1 THEN 'NotEmpty' END, CASE WHEN p_size % 3 = 0 THEN 'Length' END, CASE WHEN p_size % 5 = 0 THEN 'EmailAddress' END, CASE WHEN p_size % 7 = 0 THEN 'Matches' END, CASE WHEN p_size % 11 = 0 THEN 'GreaterThan' END, CASE WHEN p_size % 4 = 0 THEN 'NotNull' END, CASE WHEN p_size % 6 = 0 THEN 'Pattern' END], lambda x: x IS NOT NULL)",
     ),
     "JSON": (
         "to_json(named_struct('name', concat('item ', doc_id), 'method', CASE doc_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END, 'lang', lang, 'source', source))",
@@ -148,7 +148,7 @@ SELECT vec_id AS id, CASE label % 6 WHEN 0 THEN 'test_patterns' WHEN 1 THEN 'api
   embedding AS vec, concat('text of ', vec_id, ' label ', label) AS content, label
 FROM embeddings""",
     ),
-    "corpus": (("documents",), "SELECT doc_id, text AS content, CASE doc_id % 5 WHEN 0 THEN 'test_case' WHEN 1 THEN 'api_spec' WHEN 2 THEN 'validation' WHEN 3 THEN 'other' END AS type, lang, source FROM documents"),
+    "corpus": (("documents",), "SELECT doc_id, text AS content, CASE doc_id % 5 WHEN 0 THEN 'test_case' WHEN 1 THEN 'api_specification' WHEN 2 THEN 'validation' WHEN 3 THEN 'other' END AS type, lang, source FROM documents"),
     "llm_responses": (
         ("conversations",),
         """
