@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` from a Parquet table in the shared folder, which is smaller than a checkpoint, and a function that drops the table."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+
+    def drop() -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return spark.read.parquet(path), drop
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -53,6 +75,17 @@ def words(text: Column) -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast only if it has been counted to be small. Cut its lineage before."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Most elements in the arrays of such rows.
+BROADCAST_ELEMENTS = 2_000_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """``df``, marked for broadcast only if its rows, and the elements of its array column, have been counted to be few.
+
+    Cut its lineage before.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if array and (df.agg(F.sum(F.size(array))).first()[0] or 0) > BROADCAST_ELEMENTS:
+        return df
+    return F.broadcast(df)
