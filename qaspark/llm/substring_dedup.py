@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qaspark.llm.common import checkpointed, small_batches, small_or_shuffled
+from qaspark.llm.common import checkpointed, small_batches, small_or_shuffled, written
 from qaspark.llm.shingling import run_hashes, word_hashes
 
 WINDOW = 50
@@ -78,70 +78,91 @@ def windows(texts: pd.Series, shared: pd.Series) -> pd.Series:
     return pd.Series([one(t, w) for t, w in zip(texts, shared, strict=True)])
 
 
-def _kept(words: list[bytes], starts, whole: bool) -> list[bytes]:
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("n", T.IntegerType()).add("window", T.LongType())))
+def runs_of(found: pd.Series) -> pd.Series:
+    """Windows (start, hash) as runs: first start, number of starts in a row, hash of the first window."""
+
+    def one(windows):
+        s = np.array([w["start"] for w in windows], dtype=np.int64)
+        h = np.array([w["window"] for w in windows], dtype=np.int64)
+        order = np.lexsort((h, s))
+        s, h = s[order], h[order]
+        heads = np.flatnonzero(np.diff(s, prepend=s[0] - 2) != 1)
+        sizes = np.diff(np.append(heads, len(s)))
+        return [{"start": a, "n": n, "window": w} for a, n, w in zip(s[heads].tolist(), sizes.tolist(), h[heads].tolist(), strict=True)]
+
+    return pd.Series([one(w) for w in found])
+
+
+def _kept(words: list[bytes], gone, whole: bool) -> list[bytes]:
+    """Words outside the windows that go: runs of them, of which only those are this text's whose first window has the run's hash."""
     if whole:
         return []
-    if starts is None or not len(starts):
+    if gone is None or not len(gone) or len(words) < WINDOW:
         return words
+    s, n, hashes = (np.array([g[k] for g in gone], dtype=np.int64) for k in ("start", "n", "window"))
+    full = run_hashes(word_hashes(words), WINDOW).view(np.int64)
+    own = s + n <= len(full)
+    own[own] = full[s[own]] == hashes[own]
+    s, n = s[own], n[own]
     cover = np.zeros(len(words) + 1, dtype=np.int64)
-    s = np.asarray(starts, dtype=np.int64)
     np.add.at(cover, s, 1)
-    np.add.at(cover, s + WINDOW, -1)
+    np.add.at(cover, s + n + WINDOW - 1, -1)
     gone = np.cumsum(cover)[:-1] > 0
     return [w for w, g in zip(words, gone, strict=True) if not g]
 
 
-def _run(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
-    for t, s, w in zip(texts, starts, whole, strict=True):
+def _run(texts: pd.Series, gone: pd.Series, whole: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
+    for t, s, w in zip(texts, gone, whole, strict=True):
         words = _words(t)
         yield len(words), _kept(words, s, bool(w) and len(words) >= WINDOW)
 
 
 @F.pandas_udf(T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType()))
-def digest(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
-    rows = [(n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for n, k in _run(texts, starts, whole)]
+def digest(texts: pd.Series, gone: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    rows = [(n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for n, k in _run(texts, gone, whole)]
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
 
 @F.pandas_udf(T.StringType())
-def remaining(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.Series:
+def remaining(texts: pd.Series, gone: pd.Series, whole: pd.Series) -> pd.Series:
     """The text itself where nothing goes, else the kept words joined by one space."""
-    pairs = zip(texts, _run(texts, starts, whole), strict=True)
+    pairs = zip(texts, _run(texts, gone, whole), strict=True)
     return pd.Series([t if n == len(k) else b" ".join(k).decode("utf-8", "surrogatepass") for t, (n, k) in pairs], dtype=object)
 
 
 def _with_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with _starts (starts of windows that go) and _whole (copy of the text of a smaller id)."""
+    """``docs`` with _gone (runs of the windows that go) and _whole (copy of the text of a smaller id)."""
     small_batches(docs.sparkSession)
-    print_ = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    docs = docs.withColumn("_print", print_)
-    prints = checkpointed(docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WINDOW - 1)).select("doc_id", "_print"))
+    docs = docs.withColumn("_print", F.xxhash64(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    long_enough = F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WINDOW - 1)
+    prints = checkpointed(docs.where(long_enough).select("doc_id", "_print"))
     firsts = prints.groupBy("_print").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
     copies = checkpointed(prints.join(firsts, "_print").where("doc_id > _first").select("doc_id", "_print").distinct()).withColumn("_whole", F.lit(True))
-    key = ["doc_id", "_print"]
 
-    originals = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WINDOW - 1)).select("doc_id", "text", "_print")
-    originals = originals.join(small_or_shuffled(copies), key, "left_anti")
-    seeds = checkpointed(originals.select(*key, F.explode(anchors("text")).alias("anchor")))
+    originals = docs.where(long_enough).select("doc_id", "text", "_print").join(small_or_shuffled(copies), ["doc_id", "_print"], "left_anti")
+    seeds, drop_seeds = written(originals.select("doc_id", F.explode(anchors("text")).alias("anchor")))
     meeting = seeds.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor")
-    shared = checkpointed(seeds.join(meeting, "anchor", "left_semi").groupBy(*key).agg(F.collect_list("anchor").alias("_shared")))
-    extended = originals.join(small_or_shuffled(shared, 100_000), key).select(*key, F.explode(windows("text", "_shared")).alias("w"))
-    extended = checkpointed(extended.select(*key, "w.*"))
-    least = extended.groupBy("anchor", "window").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor", "window", "_a")
-    gone = extended.join(least, ["anchor", "window"]).where("doc_id > _a").groupBy(*key).agg(F.collect_list("start").alias("_starts"))
-
-    found = checkpointed(gone.withColumn("_whole", F.lit(False)).unionByName(copies.withColumn("_starts", F.lit(None).cast("array<int>"))))
-    return docs.join(small_or_shuffled(found, 100_000), key, "left")
+    shared = checkpointed(seeds.join(meeting, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("_shared")))
+    drop_seeds()
+    extended = originals.join(small_or_shuffled(shared, array="_shared"), "doc_id").select("doc_id", F.explode(windows("text", "_shared")).alias("w"))
+    extended, drop_extended = written(extended.select("doc_id", "w.*"))
+    least = extended.groupBy("anchor", "window").agg(F.min("doc_id").alias("_least"))
+    gone = extended.join(least, ["anchor", "window"]).where("doc_id > _least").groupBy("doc_id").agg(runs_of(F.collect_list(F.struct("start", "window"))).alias("_gone"))
+    gone = checkpointed(gone)
+    drop_extended()
+    docs = docs.join(small_or_shuffled(gone, array="_gone"), "doc_id", "left")
+    return docs.join(small_or_shuffled(copies), ["doc_id", "_print"], "left")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``."""
-    return _with_repeats(docs.select("doc_id", "text")).select("doc_id", digest("text", "_starts", "_whole").alias("d")).select("doc_id", "d.*")
+    return _with_repeats(docs.select("doc_id", "text")).select("doc_id", digest("text", "_gone", "_whole").alias("d")).select("doc_id", "d.*")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text``; n_chars, where there is one, is counted anew."""
-    marked = _with_repeats(docs).withColumn("text", remaining("text", "_starts", "_whole"))
+    marked = _with_repeats(docs).withColumn("text", remaining("text", "_gone", "_whole"))
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return marked.select(docs.columns)
