@@ -15,6 +15,7 @@ import re
 
 from collections import Counter
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,11 @@ INSULTS = frozenset(
     idiota imbécil estúpido estúpida basura asqueroso patético inútil mierda cabrón puta pendejo escoria""".split()
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur youre du dich dir dein deine ihr euch euer tu toi te ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
+OPENERS = "\"'([{<*_-.,"
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_]*(?:[^\W\d_][0134578@$!*.\-_]|[013457@$!][^\W\d_])[\w@$!*.\-]*")
+_SIGN_IN_WORD = re.compile(r"[^\W\d_][013457@$!*.\-_]+[^\W\d_]|[013457@$!][^\W\d_]")
 _JOINTS = re.compile(r"[^\W_]")
 
 
@@ -101,8 +103,9 @@ def features(text: str, stems: frozenset = frozenset()) -> list[float]:
         at = np.searchsorted(p, hits)
         gap = np.minimum(np.abs(p[np.minimum(at, len(p) - 1)] - hits), np.abs(p[np.maximum(at - 1, 0)] - hits))
         near, closest = int((gap <= 5).sum()), float(1.0 / gap.min()) if gap.min() else 1.0
-    disguised = _DISGUISED.findall(low)
-    hidden = sum("".join(_JOINTS.findall(w.translate(LOOKALIKE))) in INSULTS for w in disguised if not _LETTERS.fullmatch(w.strip(".-_*!")))
+    odd = [w for w in (w.rstrip(punctuation).lstrip(OPENERS) for w in low.split() if not w.isalpha()) if not w.isalpha()]
+    disguised = [w for w in odd if _SIGN_IN_WORD.search(w)]
+    hidden = sum("".join(_JOINTS.findall(w.translate(LOOKALIKE))) in INSULTS for w in disguised)
     c = byte_counts(text)
     size = max(1, len(text))
     upper, lower = float(c @ UPPER), float(c @ LOWER)
