@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact weighted-shingle check.
 
-A document's window has as many words as a benchmark item. Only windows that share a five-word shingle with an item of their size
-are fingerprinted: others have similarity 0. The 64-bit fingerprints are cut into ``BLOCKS`` blocks; two fingerprints within
+A document's window has as many words as a benchmark item; a shorter text is one window. Only windows that share a five-word shingle,
+at any place, with an item of their size are fingerprinted: others have similarity 0. The 64-bit fingerprints are cut into ``BLOCKS`` blocks; two fingerprints within
 ``RADIUS`` bits agree in some block up to RADIUS // BLOCKS bits, so a join on (size, block, value), with the items' blocks
 entered under every value that near, guarantees all of them. Candidates within the radius are then checked exactly: shared weight
 over total weight of the two shingle bags, each shingle weighted by how often it occurs.
@@ -75,10 +75,32 @@ def _run_hashes(text: Column, k: int) -> Column:
     return hashes if k == 1 else F.when(F.size(words(text)) >= k, hashes).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def _windows(hits: Column, n: Column, k: int) -> Column:
+    """Structs (start, size) of the item-sized windows that hold some hit (pos, size), in a text of ``n`` shingles."""
+
+    def starts(hit: Column) -> Column:
+        further = hit["size"] - k
+        last = F.greatest(n - further - 1, F.lit(0))  # 0: the whole of a shorter text
+        each = F.sequence(F.greatest(hit["pos"] - further, F.lit(0)), F.least(hit["pos"], last))
+        return F.transform(each, lambda s: F.struct(s.alias("start"), hit["size"].alias("size")))
+
+    return F.array_distinct(F.flatten(F.transform(hits, starts)))
+
+
+def _reported(matches: DataFrame, key: list[str]) -> DataFrame:
+    """The matches without the shifted windows that overlap an aligned one of their item."""
+    held = matches.where("_aligned").select(*key, "item_id", F.col("start").alias("_start"))
+    apart = F.abs(F.col("start") - F.col("_start")) < F.col("size")
+    same = [matches[c] == held[c] for c in (*key, "item_id")]
+    shifted = matches.where("not _aligned").join(held, [*same, apart], "left_anti")
+    return matches.where("_aligned").unionByName(shifted).select("doc_id", "item_id", "start", "size", "distance", "similarity").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Windows like an item: doc_id, item_id, start and size (in words), distance (bits) and similarity.
 
-    A window starts where some shingle stands at the same place as in an item of that size; overlapping ones are all reported.
+    ``size`` is the item's. Windows with some shingle at the same place as in the item are all reported, also overlapping ones; windows
+    shifted against the item only where none of those overlaps them, as for passages cut at an edge of the text.
     """
     items = checkpointed(_items(benchmark))
     text = F.lower(F.coalesce("text", F.lit("")))
@@ -87,25 +109,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     found = None
     for k in sorted(r["k"] for r in items.select("k").distinct().collect()):  # 1 to 5
         of_size = items.where(F.col("k") == k)
-        entries = of_size.select("size", F.posexplode("bag").alias("at", "hash")).distinct()
+        entries = of_size.select("size", F.explode("bag").alias("hash")).distinct()
         runs = docs.select(*key, F.posexplode(_run_hashes(F.col("text"), k)).alias("pos", "hash"))
-        starts = runs.join(small_or_shuffled(entries), "hash").select(*key, "size", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0").distinct()
-        wanted = checkpointed(starts.groupBy(*key).agg(F.collect_list(F.struct("start", "size")).alias("_wanted")))
-        bags = docs.join(small_or_shuffled(wanted, array="_wanted"), key).select("doc_id", "_wanted", _run_hashes(F.col("text"), k).alias("_bag"))
-        one = bags.select("doc_id", "_bag", F.explode("_wanted").alias("w")).where(F.col("w.start") + F.col("w.size") - k + 1 <= F.size("_bag"))
-        one = one.select("doc_id", "w.start", "w.size", F.slice("_bag", F.col("w.start") + 1, F.col("w.size") - k + 1).alias("bag"))
+        hits = runs.join(small_or_shuffled(entries), "hash").select(*key, "size", "pos").distinct()
+        wanted = checkpointed(hits.groupBy(*key).agg(F.collect_list(F.struct("pos", "size")).alias("_wanted")))
+        bags = docs.join(small_or_shuffled(wanted, array="_wanted"), key).select(*key, "_wanted", _run_hashes(F.col("text"), k).alias("_bag"))
+        one = bags.select(*key, "_bag", F.explode(_windows(F.col("_wanted"), F.size("_bag"), k)).alias("w"))
+        one = one.select(*key, "w.start", "w.size", F.slice("_bag", F.col("w.start") + 1, F.col("w.size") - k + 1).alias("bag"))
         one = checkpointed(one.distinct().withColumn("print", simhash(F.col("bag"))))
 
         marked = of_size.withColumn("item_print", simhash(F.col("bag"))).withColumnRenamed("bag", "item_bag")
         near = marked.select("item_id", "size", "item_bag", "item_print", F.explode(blocks(F.col("item_print"))).alias("b"))
         near = near.select("item_id", "size", "item_bag", "item_print", "b.block", F.explode(F.transform(_masks(), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
-        windows = one.select("doc_id", "start", "size", "bag", "print", F.explode(blocks(F.col("print"))).alias("b")).select("doc_id", "start", "size", "bag", "print", "b.block", "b.value")
+        windows = one.select(*key, "start", "size", "bag", "print", F.explode(blocks(F.col("print"))).alias("b")).select(*key, "start", "size", "bag", "print", "b.block", "b.value")
         distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
         pairs = windows.join(small_or_shuffled(checkpointed(near)), ["size", "block", "value"]).where(distance <= RADIUS)
         first = F.struct("bag", "item_bag", distance.cast("int").alias("distance"))
-        pairs = pairs.groupBy("doc_id", "item_id", "start", "size", F.xxhash64("bag").alias("_bag")).agg(F.first(first).alias("p"))
+        pairs = pairs.groupBy(*key, "item_id", "start", "size").agg(F.first(first).alias("p"))
         likeness = let(F.col("p"), lambda p: weight_similarity(p["bag"], p["item_bag"]))
-        part = pairs.select("doc_id", "item_id", "start", "size", "p.distance", likeness.alias("similarity")).where(F.col("similarity") >= similarity).distinct()
+        aligned = F.exists(F.zip_with("p.bag", "p.item_bag", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda q: q)
+        part = pairs.select(*key, "item_id", "start", "size", "p.distance", likeness.alias("similarity"), aligned.alias("_aligned"))
+        part = _reported(checkpointed(part.where(F.col("similarity") >= similarity)), key)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("start"), "size", F.lit(0).alias("distance"), F.lit(0.0).alias("similarity"))
