@@ -14,6 +14,7 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 #: Rows in an Arrow batch: long texts times this many stay well inside a Python worker's memory.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,27 +22,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers see at most ARROW_ROWS rows at once."""
+    """Python workers see at most ARROW_ROWS rows, and about ARROW_BYTES, at once. Set for the session: Spark has no narrower place."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share (``spark.checkpoint.dir``).
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that all executors share (``spark.checkpoint.dir``); only a local session without it gets its own."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
-    Only where that setting is missing, as in tests, is a folder chosen here.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
@@ -71,21 +77,40 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
-#: Most rows (of ids and a few numbers) that are broadcast; above it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+def private(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores before it as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-#: Most elements in the arrays of such rows.
-BROADCAST_ELEMENTS = 2_000_000
+#: Most rows (of ids and a few numbers) that are broadcast, and most elements in their arrays; above it the same join shuffles.
+BROADCAST_ROWS = 500_000
+BROADCAST_ELEMENTS = 1_000_000
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+def small_or_shuffled(df: DataFrame, array: str | None = None) -> DataFrame:
     """``df``, marked for broadcast only if its rows, and the elements of its array column, have been counted to be few.
 
-    Cut its lineage before.
+    Cut its lineage before. Columns other than ``array`` must be of bounded width.
+    """
+    elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    rows, inside = df.agg(F.count(F.lit(1)), elements).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and inside <= BROADCAST_ELEMENTS else df
+
+
+#: A key is hot if it holds more than this share of the rows: fewer than its inverse are.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row of bounded width for each key, and in ``n`` how many rows have it.
+
+    Hot keys, fewer than HOT_SHARE of them whatever the size, are broadcast, so that no task gets all rows of one; the others meet
+    in a shuffle. ``rows`` is read twice: cut its lineage before, as that of ``keyed``.
     """
-    if df.limit(rows + 1).count() > rows:
-        return df
-    if array and (df.agg(F.sum(F.size(array))).first()[0] or 0) > BROADCAST_ELEMENTS:
-        return df
-    return F.broadcast(df)
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total // HOT_SHARE
+    few, rest = F.broadcast(keyed.where(hot).drop(n)), keyed.where(~hot).drop(n)
+    return rows.join(few, key).unionByName(rows.join(few.select(*key), key, "left_anti").join(rest, key))

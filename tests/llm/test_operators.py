@@ -16,12 +16,12 @@ import tiktoken
 from qaspark.llm import boosting, bpe, chat, decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.components import components
 
-SCHEMA = "doc_id long, text string, _row long, kind string, n long, component_id long, shard int, _print string"
+SCHEMA = "doc_id long, text string, _row long, kind string, n long, component_id long, shard int, print string, gone string, _gone int, whole string, start int"
 
 
 def table(spark, texts):
     """Documents with extra columns whose names the operators use themselves."""
-    rows = [(i, t, 1, "x", 2, 3, 4, "y") for i, t in texts]
+    rows = [(i, t, 1, "x", 2, 3, 4, "y", "g", 5, "w", 6) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -283,6 +283,29 @@ def test_repeats_equal_brute_force(spark, corpus):
     cut = substring_dedup.without_repeats(table(spark, corpus))
     assert cut.columns == table(spark, []).columns and cut.count() == len(corpus)
     assert cut.where("doc_id = 1003").first().text == "" and cut.where("doc_id = 5").first().text == corpus[5][1]
+    extra = [c for c in cut.columns if c not in ("doc_id", "text")]
+    assert cut.select(extra).distinct().collect() == table(spark, corpus).select(extra).distinct().collect()
+
+
+def test_repeats_of_third_documents_and_of_ids_with_two_texts(spark):
+    rng = random.Random(6)
+    make = lambda n: words(rng, n, 10**6)
+    anchor, left, right, other = make(25), make(40), make(40), make(40)
+    docs = [(1, make(40) + anchor + make(40))]  # owns the anchor with words around it that no other text has
+    docs += [(i, make(9) + left + anchor + right + make(i % 7)) for i in range(2, 30)]  # match each other, not the owner
+    docs += [(40, left[20:] + anchor + other), (40, make(60) + left[-25:] + anchor + make(3)), (41, other + left), (41, left + other)]
+    docs += [(50, ["same"] * 3000), (51, ["same"] * 70 + make(5)), (52, make(30) + ["x", "y"] * 400), (53, ["x", "y"] * 40)]
+    docs += [(60, make(49) + left + right), (61, left[:49]), (62, left + right[:10]), (62, left + right[:10]), (None, left + right)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    got = substring_dedup.repeats(table(spark, docs)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(docs)
+
+
+def test_a_cut_text_keeps_its_line_breaks(spark):
+    passage = " ".join(words(random.Random(8), 60, 10**6))
+    docs = [(1, passage), (2, f"one\ntwo  three\n{passage}\nfour\tfive"), (3, f"a {passage}"), (4, f"{passage} z\n"), (5, None)]
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(table(spark, docs)).collect()}
+    assert got == {1: passage, 2: "one\ntwo  three\nfour\tfive", 3: "a", 4: "z", 5: None}
 
 
 # 10: byte-level BPE
