@@ -1,13 +1,20 @@
 """MinHash near-dedup with an LSH forest.
 
 Each distinct shingle set gets a signature. The forest is ``ORDERS`` sorted orders of the sets, each by its own run of signature
-values: neighbours in an order share the longest prefixes there are, so every region is searched as deep as it is dense, with no
-bucket ever gathered. Neighbours that a small sketch calls similar are candidates; links are confirmed on the full sets. First
-every set is checked against its best smaller candidate; of the other candidates, likeliest first, only those between groups still
-separate need a check. Components are found by joins.
+values: neighbours in an order share the longest prefixes there are, so every region is searched as deep as it is dense (down to
+``KEY`` values), with no bucket ever gathered. Neighbours that a small sketch calls similar are candidates; links are confirmed on
+the full sets. First every set is checked against its best smaller candidate; of the other candidates, likeliest first, only those
+between groups still separate need a check. Components are found by joins.
+
+An order shows each set at most ``REACH`` neighbours to each side. What that hides is a set with very many partners that are not
+partners of each other, as an original with thousands of copies edited each in its own way. Such sets, hubs, have many confirmed
+links already. So in every region (sets with the same first ``REGION`` values of an order) the set with most links is compared
+with all others of the region, then the next one, for as long as that joins groups. Each round costs one join, linear in the sets.
 
 Edge cases: a null text counts as empty; rows with an empty set are linked with nothing; rows without an id keep no component;
-rows of equal sets (repeated rows too) form one class; an empty table gives no rows; extra columns are ignored.
+rows of equal sets (repeated rows too) form one class; an id with different texts is linked through any of them; a set of any size
+is signed and compared whole; equally likely candidates are taken by id; an empty table gives no rows; extra columns, of whatever
+name, are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -21,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qaspark.llm.common import checkpointed, small_batches, small_or_shuffled
+from qaspark.llm.common import checkpointed, join_by_key, small_batches, small_or_shuffled, written
 from qaspark.llm.components import components, relabelled, roots
 from qaspark.llm.shingling import mix, pair_set
 
-#: Sorted orders, signature values that each order starts with before it shares values, and values in a sort key.
-ORDERS, OWN, KEY = 20, 6, 8
+#: Sorted orders, signature values that each order starts with before it shares values, and values in a sort key: the first REGION
+#: of them with two bytes each, the others with one.
+ORDERS, OWN, KEY, REGION = 20, 6, 28, 4
+KEY_BYTES = KEY + REGION
 VALUES = ORDERS * OWN
-#: Neighbours looked at in each order, and the shortest common prefix.
-REACH, DEPTH = 8, 1
+#: Neighbours looked at in each order, to each side; they share the first value at least.
+REACH = 8
 #: Four-bit sketch values, and how many must agree: far below what a similarity of 0.8 gives (52, deviation 3).
 SKETCH, AGREE = 64, 38
 #: After the best candidates, the others are checked in bands of agreement, the likeliest first: each band joins groups, and pairs
@@ -54,7 +63,8 @@ def _describe(text: str | None) -> tuple:
     if not len(items):
         return 0, None, None, None
     s = signature(items)
-    keys = s.astype(">u2")[_AT]
+    values = s.astype(">u2")[_AT]
+    keys = np.hstack([values[:, :REGION].copy().view(np.uint8), (values[:, REGION:] & 255).astype(np.uint8)])
     half = ((s[:SKETCH] >> np.uint64(20)) & np.uint64(15)).astype(np.uint8)
     return len(items), xxhash.xxh3_128_digest(items.tobytes()), keys.tobytes(), (half[::2] << 4 | half[1::2]).tobytes()
 
@@ -84,6 +94,17 @@ def _matrix(column, kind, width) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind).reshape(-1, width)
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many sketch values agree, row by row."""
+    differ = a ^ b
+    return ((differ & 15) == 0).sum(1) + ((differ >> 4) == 0).sum(1)
+
+
+@F.pandas_udf(T.IntegerType())
+def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(_agreement(_matrix(a, np.uint8, SKETCH // 2), _matrix(b, np.uint8, SKETCH // 2))).astype("int32")
+
+
 def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Similar neighbours within one sorted partition, and the partition's first and last rows (``id`` set) for the borders."""
     tail: pd.DataFrame | None = None
@@ -102,13 +123,12 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pairs_within(rows: pd.DataFrame) -> pd.DataFrame:
     order, ids = rows["order"].to_numpy(), rows["id"].to_numpy()
-    keys, sketch = _matrix(rows["key"], np.uint16, KEY), _matrix(rows["sketch"], np.uint8, SKETCH // 2)
+    keys, sketch = _matrix(rows["key"], np.uint8, KEY_BYTES)[:, :2], _matrix(rows["sketch"], np.uint8, SKETCH // 2)
     found = []
     for step in range(1, min(REACH, len(rows) - 1) + 1):
-        near = (order[step:] == order[:-step]) & (keys[step:, :DEPTH] == keys[:-step, :DEPTH]).all(1)
+        near = (order[step:] == order[:-step]) & (keys[step:] == keys[:-step]).all(1)
         i = np.flatnonzero(near)
-        differ = sketch[i] ^ sketch[i + step]
-        agree = ((differ & 15) == 0).sum(1) + ((differ >> 4) == 0).sum(1)
+        agree = _agreement(sketch[i], sketch[i + step])
         i, agree = i[agree >= AGREE], agree[agree >= AGREE]
         found.append((np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step]), agree))
     a, b, agree = (np.concatenate(x) if found else np.zeros(0) for x in (zip(*found, strict=True) if found else ([], [], [])))
@@ -119,14 +139,18 @@ def pairs_within(rows: pd.DataFrame) -> pd.DataFrame:
 _SORTED = "order int, key binary, id long, sketch binary"
 
 
+def in_orders(sets: DataFrame, size: int) -> DataFrame:
+    """order, key (its first ``size`` bytes), id and sketch of each set in each order."""
+    orders = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.struct(i.alias("order"), F.substring("keys", i * KEY_BYTES + 1, F.lit(size)).alias("key")))
+    return sets.select("id", "sketch", F.explode(orders).alias("o")).select("o.order", "o.key", "id", "sketch")
+
+
 def candidates(sets: DataFrame) -> DataFrame:
     """(a, b, agree), a < b: similar neighbours in some order. ``sets`` has id, keys and sketch.
 
     Every order is sorted by range partitions. Pairs across a border come from the rows at the borders, a few for each partition.
     """
-    size = KEY * 2
-    orders = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.struct(i.alias("order"), F.substring("keys", i * size + 1, F.lit(size)).alias("key")))
-    rows = sets.select("id", "sketch", F.explode(orders).alias("o")).select("o.order", "o.key", "id", "sketch")
+    rows = in_orders(sets, KEY_BYTES)
     schema = f"{_SORTED}, a long, b long, agree int"
     sort = ("order", "key", "id")
     found = checkpointed(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInPandas(neighbours, schema))
@@ -143,15 +167,40 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(linked("_a", "_b")).select("a", "b").distinct()
 
 
-def joined(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labels (node, root), after the links among those pairs whose ends are still in different groups."""
+def joined(docs: DataFrame, pairs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labels (node, root) after the links among those pairs whose ends are still in different groups, and these links (a, b)."""
     apart = relabelled(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), labels)
     apart = checkpointed(apart.select("a", "b", "x", "y"))
-    links = confirmed(docs, apart.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = checkpointed(confirmed(docs, apart.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     upper = components(apart.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("a", "b"))
     top = upper.select(F.col("node").alias("root"), F.col("root").alias("_top"))
     moved = labels.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
-    return checkpointed(moved.union(upper.select("node", "root")))  # the nodes of upper were roots, which have no label
+    return checkpointed(moved.union(upper.select("node", "root"))), links  # the nodes of upper were roots, which have no label
+
+
+def joined_by_hubs(docs: DataFrame, sets: DataFrame, found: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after comparing hubs with all sets of their regions. ``found`` are all candidates, ``links`` the confirmed ones."""
+    ends = links.select(F.col("a").alias("id")).unionAll(links.select("b"))
+    hubs = checkpointed(ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") >= REACH))
+    if hubs.isEmpty():
+        return labels
+    region = ["order", "key"]
+    similar = found.select(F.col("a").alias("id")).unionAll(found.select("b")).distinct()
+    members, drop_members = written(in_orders(sets.join(similar, "id", "left_semi"), 2 * REGION))
+    hubs = checkpointed(members.join(small_or_shuffled(hubs), "id").select(*region, F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), F.struct("links", -F.col("id")).alias("rank")))
+    sizes = members.groupBy(*region).agg(F.count(F.lit(1)).alias("n"))
+    tried = checkpointed(sizes.join(hubs.select(*region).distinct(), region, "left_semi").where(F.col("n") > REACH).withColumn("last", F.lit(None).cast(hubs.schema["rank"].dataType)))
+    while not tried.isEmpty():
+        best = F.max_by(F.struct("hub", "hub_sketch", "rank"), "rank").alias("h")
+        now = tried.join(hubs, region).where(F.col("last").isNull() | (F.col("rank") < F.col("last"))).groupBy(*region, "n").agg(best)
+        now = checkpointed(now.select(*region, "n", "h.*"))
+        near = join_by_key(members, now, region, "n").where((F.col("id") != F.col("hub")) & (agreement("sketch", "hub_sketch") >= AGREE))
+        near = checkpointed(near.select(*region, F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
+        labels, new = joined(docs, near.select("a", "b").distinct(), labels)
+        gained = near.join(new, ["a", "b"], "left_semi").select(*region).distinct()
+        tried = checkpointed(now.join(gained, region, "left_semi").select(*region, "n", F.col("rank").alias("last")))
+    drop_members()
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -164,11 +213,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     best = F.max_by("a", F.struct(F.least("agree", F.lit(54)), -F.col("a")))
     first = checkpointed(found.groupBy("b").agg(best.alias("a")).select("a", "b"))
-    labels = roots(confirmed(docs, first).select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    found = found.join(first, ["a", "b"], "left_anti")
+    links = checkpointed(confirmed(docs, first))
+    labels = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    others = found.join(first, ["a", "b"], "left_anti")
     for least, below in zip(BANDS, (SKETCH + 1, *BANDS), strict=False):
-        band = found.where((F.col("agree") >= least) & (F.col("agree") < below))
-        labels = joined(docs, band, labels)
+        labels, new = joined(docs, others.where((F.col("agree") >= least) & (F.col("agree") < below)), labels)
+        links = links.unionAll(new)
+    labels = joined_by_hubs(docs, classes, found, links, labels)
 
     group = classes.join(labels, classes["id"] == labels["node"], "left").select("kind", F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "kind").join(group, "kind", "left")

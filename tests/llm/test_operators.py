@@ -113,6 +113,32 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert kept.columns == table(spark, []).columns and kept.where("doc_id > 1000 and doc_id < 2000").isEmpty()
 
 
+def test_copies_that_are_like_their_original_only(spark):
+    rng = random.Random(12)
+    original = words(rng, 201, 10**6)
+    docs = [(5000, " ".join(original))]
+    for i in range(600):
+        w = list(original)
+        for at in rng.sample(range(5, 196), 10):
+            w[at] = f"e{i}x{at}"
+        docs.append((i, " ".join(w)))
+    for i in range(700):  # a template: much alike, no links but the planted ones
+        w = list(docs[1][1].split())
+        for at in range(0, 200, 8):
+            w[at] = f"t{i}x{at}"
+        docs.append((10_000 + i, " ".join(w)))
+        if i % 50 == 0:
+            for at in (3, 60, 101, 150):
+                w[at] = f"p{i}x{at}"
+            docs.append((20_000 + i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {i: pairs_of(t) for i, t in docs}
+    linked = [i for i in range(600) if 100 * len(sets[i] & sets[5000]) >= 80 * len(sets[i] | sets[5000])]
+    assert len(linked) > 550 and {got[i] for i in [5000, *linked]} == {min(linked)}
+    assert sum(got[20_000 + i] == 10_000 + i for i in range(0, 700, 50)) == 14
+    assert all(got[10_000 + i] == 10_000 + i for i in range(700))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50, 90)] + [(7, i) for i in range(100, 130)] + [(7, 3), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
