@@ -4,8 +4,15 @@ A page is cut into blocks at block-level tags. A classifier's odds for content b
 blocks next to each other in the page, and siblings in the DOM, are joined by smoothness edges that weaken with DOM distance.
 The minimum cut, found by max-flow, separates content from boilerplate.
 
-Edge cases: null or empty html gives an empty text; unclosed and truncated markup is read as far as it goes; character references
-are decoded after the markup is gone; null ids and urls are kept; an empty table gives no rows; extra columns are ignored.
+The costs are set by hand, since the pages carry no labels. They follow an order: a boilerplate element outweighs whatever else a
+block can have, at any length; an article outweighs everything but that; length, paragraph tags and the share of link text decide
+only among blocks that neither holds, and smoothness only where these are close. ``html`` and ``body`` have no role. An element
+that is boilerplate by a class name only, but encloses the article and over half of the page's words, is layout and has no role.
+
+Edge cases: null or empty html gives an empty text; unclosed and truncated markup is read as far as it goes; a ``>`` inside a quoted
+attribute ends no tag; character references are decoded after the markup is gone; a page of any length is read whole; ties (a cut
+of equal cost) count as boilerplate; repeated rows give equal results; null ids and urls are kept; an empty table gives no rows;
+extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +29,11 @@ from pyspark.sql import functions as F
 
 from qaspark.llm.common import small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?/?[a-zA-Z][^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)([^>]*)")
-_ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|title)\b(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>.*?(?:</\1\s*>|\Z)|<!?/?[a-zA-Z](?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?:>|\Z)|<\?[^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)(.*)", re.S)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _BLANK = re.compile(r"\s+")
+_NAME = re.compile(r"[^\s\"']+")
 _PART = re.compile(r"[a-z]+")
 
 # HTML elements by role.
@@ -33,11 +41,13 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav footer header aside form menu dialog head button label fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILER_NAMES = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login share sharing social related recommended comments comment reply replies respond disqus widget toolbar copyright legal search".split())
+BOILER_NAMES = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login share sharing social related recommended comments comment commentlist discussion review reviews reply replies respond disqus widget toolbar copyright legal search".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
+#: A class name that starts so says what a page has or lacks, not what the element is.
+STATE_WORDS = frozenset("has with no without is hide show".split())
 
 #: Log-odds of content: a page's prior, then what speaks for or against. Smoothness: strength of neighbours and of siblings.
-PRIOR, IN_CONTENT, IN_BOILER_TAG, IN_BOILER_NAME, IN_CONTENT_NAME, IN_TEXT_TAG, PER_LOG_WORD, LINKS = -1.0, 6.0, -7.0, -7.0, 1.5, 0.5, 0.35, -4.0
+PRIOR, IN_CONTENT, IN_BOILER, IN_CONTENT_NAME, IN_TEXT_TAG, PER_LOG_WORD, LINKS = -1.0, 6.0, -40.0, 1.5, 0.5, 0.35, -4.0
 NEIGHBOUR, SIBLING = 0.6, 0.4
 
 
@@ -53,6 +63,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[int, str, int]] = [(0, "", 0)]
     found: list[Block] = []
     words: list[str] = []
+    around: set[int] = set()
     links = serial = in_link = 0
 
     def close() -> None:
@@ -95,21 +106,47 @@ def blocks_of(page: str) -> list[Block]:
         if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") or name in BLOCKS:
             while stack[-1][1] == "p" or stack[-1][1] not in BLOCKS and len(stack) > 1 or (name in ("li", "tr", "td", "th", "dt", "dd") and stack[-1][1] == name):
                 stack.pop()
-        role = -1 if name in BOILER_TAGS else name in CONTENT_TAGS
-        if not role and t[3]:
-            parts = {x for a in _ATTRIBUTE.findall(t[3]) for x in _PART.findall(a.lower())}
-            role = -2 if parts & BOILER_NAMES else 2 * bool(parts & CONTENT_NAMES)
         serial += 1
-        stack.append((serial, name, int(role)))
+        stack.append((serial, name, role_of(name, t[3])))
+        if stack[-1][2] == 1:
+            around.update(s for s, _, _ in stack)
     close()
-    return found
+    return without_layout(found, around)
+
+
+def role_of(name: str, attributes: str) -> int:
+    """-1: boilerplate by its tag, -2: by a class name, id or role, 1: content by its tag, 2: by a name, 0: neither."""
+    if name in BOILER_TAGS:
+        return -1
+    if name in ("html", "body"):
+        return 0
+    parts: set[str] = set()
+    for key, value in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
+        if key.lower() in ("class", "id", "role"):
+            for word in _NAME.findall(value.lower()):
+                found = _PART.findall(word)
+                parts.update(() if found and found[0] in STATE_WORDS else found)
+    if parts & BOILER_NAMES:
+        return -2
+    return 1 if name in CONTENT_TAGS else 2 * bool(parts & CONTENT_NAMES)
+
+
+def without_layout(blocks: list[Block], around: set[int]) -> list[Block]:
+    """The blocks, where elements named like boilerplate that enclose an article (``around``) and over half of the words have no role."""
+    named = {s for b in blocks for s, _, role in b.path if role == -2 and s in around}
+    size = [b.text.count(" ") + 1 for b in blocks]
+    layout = {s for s in named if 2 * sum(n for b, n in zip(blocks, size, strict=True) if any(x[0] == s for x in b.path)) > sum(size)}
+    if layout:
+        for b in blocks:
+            b.path = tuple((s, tag, 0 if s in layout else role) for s, tag, role in b.path)
+    return blocks
 
 
 def odds(b: Block) -> float:
     """The classifier's log-odds that a block is content."""
     roles = {r for _, _, r in b.path}
     z = PRIOR + PER_LOG_WORD * float(np.log1p(b.text.count(" ") + 1))
-    z += IN_CONTENT * (1 in roles) + IN_BOILER_TAG * (-1 in roles) + IN_BOILER_NAME * (-2 in roles) + IN_CONTENT_NAME * (2 in roles)
+    z += IN_CONTENT * (1 in roles) + IN_BOILER * (-1 in roles or -2 in roles) + IN_CONTENT_NAME * (2 in roles)
     z += IN_TEXT_TAG * (b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li", "td"))
     return z + LINKS * min(1.0, b.links / max(1, len(b.text)))
 

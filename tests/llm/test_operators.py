@@ -235,6 +235,21 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).isEmpty()
 
 
+def test_pages_with_awkward_markup():
+    text, long = "The article tells what happened on that day in the town.", "A reader thinks that this is all wrong and says so. " * 60
+    page = lambda body, top="": f"<html><body {top}>{body}</body></html>"
+    article = f"<article><h1>Head</h1><p>{text}</p>%s</article>"
+    want = f"Head\n\n{text}"
+    assert html_extract.main_text(page(article % "", 'class="has-sidebar no-ads sidebar-left"')) == want
+    assert html_extract.main_text(page(f'<div class="content-sidebar-wrap">{article % ""}</div><nav>Home</nav>')) == want
+    for inner in (f'<div class="comments"><p>{long}</p></div>', f"<aside><p>{long}</p></aside>", f'<section id="user-reviews"><p>{long}</p></section>', f'<div class="comment-list"><article class="comment"><p>{long}</p></article></div>'):
+        assert html_extract.main_text(page(article % inner)) == want
+        assert html_extract.main_text(page(article % "" + inner)) == want
+    assert html_extract.main_text(page(article % """<p>See <img alt="a > b" src='x>y'>it <a title='1 > 0' href="/">here</a> and 5" tall <b =">.</p>""")) == f'{want}\n\nSee it here and 5" tall .'
+    many = [f"Line {i} of a very long page." for i in range(4000)]
+    assert html_extract.main_text(page("<nav>Menu</nav><article>" + "".join(f"<p>{x}" for x in many) + "</article>")) == "\n\n".join(many)
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(4)
     for _ in range(60):
