@@ -1,7 +1,9 @@
 """Corpus pipeline: ``STAGES`` turn ``documents`` into clean, distinct, decontaminated and tokenised documents.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the columns of
-``documents``. Rows keep their ids; an empty table passes through.
+``documents``, also extra ones of whatever name. Rows keep their ids; rows without an id, and null or empty texts, pass all stages
+unless their text is toxic; texts of any length are processed whole; repeated rows share the fate of their id; of equally good
+copies the one with the smallest id stays; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``documents`` with tokens and n_tokens."""
+    """The columns of ``documents`` with tokens, n_tokens and the digest of what the tokens decode to."""
     return bpe.with_tokens(docs)
 
 

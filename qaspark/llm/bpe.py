@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import let, small_batches
+from qaspark.llm.common import let, private, small_batches
 
 #: Default vocabulary; any file of base64 pieces and ranks will do.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -178,14 +178,19 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int] | None = None) ->
 
 
 def with_tokens(docs: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """``docs`` with tokens (array of ids) and n_tokens in place of any such columns."""
+    """``docs`` with tokens (array of ids), n_tokens and decoded_sha256 (of the ids' bytes) in place of any such columns."""
     small_batches(docs.sparkSession)
     ranks = ranks or read_ranks()
 
-    @F.pandas_udf("array<int>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(ranks)
+    @F.pandas_udf("tokens array<int>, decoded_sha256 string")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode, decode = encoder(ranks), decoder(ranks)
         for texts in batches:
-            yield pd.Series([np.frombuffer(encode(t or ""), dtype="<u4").astype(np.int32) for t in texts])
+            ids = [encode(t or "") for t in texts]
+            arrays = [np.frombuffer(i, dtype="<u4").astype(np.int32) for i in ids]
+            yield pd.DataFrame({"tokens": arrays, "decoded_sha256": [hashlib.sha256(decode(i)).hexdigest() for i in ids]})
 
-    return docs.withColumn("tokens", tokens("text")).withColumn("n_tokens", F.size("tokens").cast("long"))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ("tokens", "n_tokens", "decoded_sha256")]
+    found = private("found", docs)
+    rows = docs.withColumn(found, tokens("text"))
+    return rows.select(*kept, F.col(f"{found}.tokens").alias("tokens"), F.size(f"{found}.tokens").cast("long").alias("n_tokens"), F.col(f"{found}.decoded_sha256").alias("decoded_sha256"))

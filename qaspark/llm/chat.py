@@ -2,12 +2,15 @@
 
 Calls and results are two tables that meet in a hash join on (conversation, call id). A call may name the call that it needs; its
 depth is its distance from a call that needs none, found by doubling pointers, so a long chain of dependencies takes few joins.
-(depth, turn, call id) orders the calls of a conversation topologically. Each call is a row of its own, so a conversation of any
-length is never gathered into one task. JSON is canonical: keys in code point order, no blanks, nulls written out.
+``position`` numbers the calls of a conversation topologically, from 0 without gaps, by (depth, turn, call id). Each call is a row of
+its own, and positions are counted over range partitions, so a conversation of any length is never gathered into one task. JSON is
+canonical: keys in code point order, no blanks, nulls written out.
 
 Edge cases: a call without a result has status "no_result", a result without a call is kept as status "no_call"; a null id links
-with nothing; of several results for one call the earliest is linked (ties: smallest content) and the rest counted; calls on a
-cycle, or whose need is missing, get depth null and status "unordered"; null arguments are invalid; an empty table gives no rows.
+with nothing; of several results for one call the earliest is linked (ties: smallest content) and the rest counted; rows that
+repeat a call id keep a row each and share its depth and position, those of its smallest need and earliest turn; calls on a cycle,
+or whose need is missing, get neither depth nor position, and status "unordered"; null arguments are invalid; texts of any length
+are written whole; an empty table gives no rows; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qaspark.functions.tables import numbered
 from qaspark.llm.common import checkpointed
 
 #: A tool's schema: argument name -> (type, required, least, most). Strings are bounded in length, numbers in value.
@@ -67,15 +71,16 @@ def argument_errors(arguments: Column, schema: Schema) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and depth of the calls that do not hang on a cycle or on a missing call."""
-    at = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("needs").alias("needs"))
-    at = checkpointed(at.select("conv_id", "call_id", F.col("needs").alias("_at"), F.when(F.col("needs").isNull(), 0).otherwise(1).alias("depth")))
+    """conv_id, call_id, turn (the earliest) and depth of the calls that do not hang on a cycle or on a missing call."""
+    at = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("needs").alias("needs"), F.min("turn").alias("turn"))
+    at = checkpointed(at.select("conv_id", "call_id", "turn", F.col("needs").alias("_at"), F.when(F.col("needs").isNull(), 0).otherwise(1).alias("depth")))
     total = at.where("_at is not null").count()
     while total:
         up = at.select("conv_id", F.col("call_id").alias("_at"), F.col("_at").alias("_up"), F.col("depth").alias("_depth"))
         at = at.join(up, ["conv_id", "_at"], "left").select(
             "conv_id",
             "call_id",
+            "turn",
             F.when(F.col("_depth").isNull(), F.col("_at")).otherwise(F.col("_up")).alias("_at"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
         )
@@ -84,17 +89,19 @@ def depths(calls: DataFrame) -> DataFrame:
         if left in (0, total):  # a chain that can be ordered gets shorter in every round
             break
         total = left
-    return at.where("_at is null").select("conv_id", "call_id", "depth")
+    return at.where("_at is null").select("conv_id", "call_id", "turn", "depth")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
-    """One row per call (and per result that has no call): depth, turns, status, n_errors, n_results and canonical JSON.
+    """One row per call (and per result that has no call): position, depth, turns, status, n_errors, n_results and canonical JSON.
 
-    Columns: conv_id, call_id, call_turn, result_turn, depth, status, n_errors, n_results, json.
+    Columns: conv_id, call_id, call_turn, result_turn, position, depth, status, n_errors, n_results, json.
     """
+    calls = calls.select("conv_id", F.col("turn").alias("call_turn"), "call_id", "needs", "name", "arguments")
     answers = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("_first"), F.count(F.lit(1)).alias("n_results"))
-    calls = calls.join(depths(calls), ["conv_id", "call_id"], "left")
-    rows = calls.withColumnRenamed("turn", "call_turn").join(answers, ["conv_id", "call_id"], "full_outer")
+    places = numbered(depths(calls.withColumnRenamed("call_turn", "turn")), ["conv_id"], ["depth", "turn", "call_id"], "position").drop("turn")
+    calls = calls.join(places.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    rows = calls.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer")
 
     errors, arguments = F.array(F.lit("name is unknown")), escaped(F.lit(None).cast("string"))
     for name, schema in schemas.items():
@@ -117,6 +124,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema])
         "call_id",
         "call_turn",
         F.col("_first.turn").alias("result_turn"),
+        "position",
         "depth",
         status.alias("status"),
         F.size("_errors").alias("n_errors"),
@@ -132,11 +140,26 @@ TURN_TOOLS: dict[str, Schema] = {
 }
 
 
-def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results that plain conversations stand for.
+def with_messages(linked: DataFrame, messages: DataFrame) -> DataFrame:
+    """The linked rows, and the messages that are neither call nor result, with status "message" and their turn in ``call_turn``."""
+    fields = {"content": escaped(F.col("text")), "role": escaped(F.col("role")), "turn": F.col("turn").cast("string")}
+    own = {
+        "conv_id": F.col("conv_id"),
+        "call_turn": F.col("turn"),
+        "status": F.lit("message"),
+        "n_errors": F.lit(0),
+        "n_results": F.lit(0),
+        "json": canonical_object(message=canonical_object(**fields)),
+    }
+    missing = F.lit(None)
+    return linked.unionByName(messages.select(*[own.get(f.name, missing).cast(f.dataType).alias(f.name) for f in linked.schema]))
+
+
+def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls and results that plain conversations stand for, and the other messages (conv_id, turn, role, text).
 
     A user turn calls a tool (a short one "lookup", a longer one "compose") and needs the call two turns before; an assistant turn
-    is the result of the call one turn before.
+    is the result of the call one turn before; turns of any other role, or of none, are messages.
     """
     call = lambda t: F.concat(F.lit("call_"), t.cast("string"))
     turn = F.col("turn")
@@ -149,4 +172,4 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.create_map(F.lit("query"), F.col("text"), F.lit("turn"), turn.cast("string")).alias("arguments"),
     )
     results = turns.where("role = 'assistant'").select("conv_id", "turn", call(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    return calls, results, turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", "text")

@@ -25,7 +25,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_calls(*chat.from_turns(read(spark, sf_dir, "conversations")), chat.TURN_TOOLS)
+    calls, results, messages = chat.from_turns(read(spark, sf_dir, "conversations"))
+    return chat.with_messages(chat.link_calls(calls, results, chat.TURN_TOOLS), messages)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,15 +82,16 @@ WITH RECURSIVE calls AS (
   SELECT conv_id, turn, 'call_' || turn AS call_id, CASE WHEN turn >= 2 THEN 'call_' || (turn - 2) END AS needs, text,
          CASE WHEN length(coalesce(text, '')) < 200 THEN 'lookup' ELSE 'compose' END AS name
   FROM conversations WHERE role = 'user'),
-ids AS (SELECT conv_id, call_id, min(needs) AS needs FROM calls GROUP BY ALL),
-depths AS (
-  SELECT conv_id, call_id, 0 AS depth FROM ids WHERE needs IS NULL
+ids AS (SELECT conv_id, call_id, min(needs) AS needs, min(turn) AS turn FROM calls WHERE conv_id IS NOT NULL AND call_id IS NOT NULL GROUP BY ALL),
+steps AS (
+  SELECT conv_id, call_id, turn, 0 AS depth FROM ids WHERE needs IS NULL
   UNION ALL
-  SELECT i.conv_id, i.call_id, d.depth + 1 FROM ids i JOIN depths d ON i.conv_id = d.conv_id AND i.needs = d.call_id),
+  SELECT i.conv_id, i.call_id, i.turn, d.depth + 1 FROM ids i JOIN steps d ON i.conv_id = d.conv_id AND i.needs = d.call_id),
+depths AS (SELECT conv_id, call_id, depth, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn, call_id) - 1 AS position FROM steps),
 answers AS (
   SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'turn': turn, 'text': text}) AS first, count(*) AS n_results
   FROM conversations WHERE role = 'assistant' GROUP BY ALL)
-SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn AS call_turn, a.first.turn AS result_turn, d.depth,
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.turn AS call_turn, a.first.turn AS result_turn, d.position, d.depth,
   CASE WHEN c.turn IS NULL THEN 'no_call' WHEN c.errors > 0 THEN 'invalid' WHEN d.depth IS NULL THEN 'unordered'
        WHEN a.first IS NULL THEN 'no_result' ELSE 'linked' END AS status,
   coalesce(c.errors, 0) AS n_errors, coalesce(a.n_results, 0) AS n_results,
@@ -101,5 +103,9 @@ SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id)
 FROM (SELECT *, CASE WHEN text IS NULL OR length(text) < 1 OR (name = 'lookup' AND length(text) > 150) THEN 1 ELSE 0 END AS errors FROM calls) c
 LEFT JOIN depths d ON c.conv_id = d.conv_id AND c.call_id = d.call_id
 FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+UNION ALL
+SELECT conv_id, NULL, turn, NULL, NULL, NULL, 'message', 0, 0,
+  '{"message":{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """,
 }

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tiktoken
-
+from pyspark.sql import functions as F
 
 from qaspark.llm import boosting, bpe, chat, decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.components import components
@@ -200,11 +200,14 @@ def test_chat_linking(spark):
     arguments = {"query": 'say "hi"\n', "turn": "3"}
     calls = [(1, 0, "a", None, "lookup", arguments), (1, 2, "b", "a", "lookup", {"query": "x", "turn": "no", "z": "1"}), (1, 4, "c", "d", "lookup", arguments), (1, 5, "d", "c", "lookup", arguments), (1, 6, "e", "b", "nope", arguments), (1, 7, None, None, "lookup", None), (None, 8, "a", None, "lookup", arguments)]
     results = [(1, 1, "a", "fine"), (1, 3, "a", "again"), (1, 9, "zz", "lost"), (1, 9, None, None)]
-    got = chat.link_calls(spark.createDataFrame(calls, chat.CALL), spark.createDataFrame(results, chat.RESULT), chat.TURN_TOOLS).collect()
+    clash = [F.lit(9).alias(c) for c in ("depth", "position", "_first", "_errors", "_arguments", "n_results", "_part", "_at", "status")]
+    made = [spark.createDataFrame(x, y).select("*", *clash) for x, y in ((calls, chat.CALL), (results, chat.RESULT))]
+    got = chat.link_calls(*made, chat.TURN_TOOLS).collect()
     by = {(r.conv_id, r.call_id, r.call_turn): r for r in got}
     assert len(got) == len(calls) + 2
     a = by[(1, "a", 0)]
-    assert (a.status, a.depth, a.result_turn, a.n_results) == ("linked", 0, 1, 2)
+    assert (a.status, a.position, a.depth, a.result_turn, a.n_results) == ("linked", 0, 0, 1, 2)
+    assert [by[(1, x, t)].position for x, t in (("b", 2), ("e", 6), ("c", 4))] == [1, 2, None]
     assert a.json == '{"call":{"arguments":{"query":"say \\"hi\\"\\n","turn":3},"id":"a","name":"lookup","needs":null},"result":{"content":"fine","turn":1}}'
     assert (by[(1, "b", 2)].status, by[(1, "b", 2)].depth, by[(1, "b", 2)].n_errors) == ("invalid", 1, 2)
     assert by[(1, "c", 4)].depth is None and by[(1, "c", 4)].status == "unordered"
@@ -214,6 +217,20 @@ def test_chat_linking(spark):
     assert empty.isEmpty()
 
 
+def test_turns_of_other_roles_are_kept(spark):
+    turns = [(1, 0, "system", "be good"), (1, 1, "user", "x" * 50_000), (1, 2, "assistant", "ok"), (1, 3, None, None), (1, 4, "user", "ab"), (1, 4, "user", "ab"), (None, None, "tool", "")]
+    calls, results, messages = chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = chat.with_messages(chat.link_calls(calls, results, chat.TURN_TOOLS), messages).collect()
+    assert sorted((r.call_turn or -1, r.json) for r in got if r.status == "message") == [
+        (-1, '{"message":{"content":"","role":"tool","turn":null}}'),
+        (-1, '{"message":{"content":"be good","role":"system","turn":0}}'),
+        (3, '{"message":{"content":null,"role":null,"turn":3}}'),
+    ]
+    calls = [r for r in got if r.status != "message"]
+    assert [(r.call_turn, r.status, r.position) for r in sorted(calls, key=lambda r: r.call_turn)] == [(1, "linked", 0), (4, "unordered", None), (4, "unordered", None)]
+    assert "x" * 50_000 in min(calls, key=lambda r: r.call_turn).json
+
+
 def test_long_chains_are_ordered(spark):
     calls = [(1, i, f"c{i}", f"c{i - 1}" if i else None, "lookup", {"query": "q", "turn": "1"}) for i in range(100)]
     got = chat.depths(spark.createDataFrame(calls, chat.CALL)).collect()

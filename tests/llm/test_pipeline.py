@@ -1,10 +1,13 @@
 """The pipeline against a plain Python version of its stages, and on empty tables."""
 
+import functools
+import hashlib
 import random
 import re
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from qaspark.llm import bpe, toxicity
@@ -87,10 +90,24 @@ def test_pipeline_equals_plain_python(spark, folder):
     want = without_leaks(without_repeats(without_near_duplicates([d for d in docs if d[0] not in toxic])), items)
     tokenizer = tiktoken.Encoding("own", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={})
     got = corpus_pipeline.run(spark, path)
-    assert got.columns == [*table.columns, "tokens", "n_tokens"]
+    assert got.columns == [*table.columns, "tokens", "n_tokens", "decoded_sha256"]
+    assert all(r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in got.collect())
     assert {r.doc_id: (r.text, r.n_chars, r.tokens) for r in got.collect()} == {i: (t, None if t is None else len(t), tokenizer.encode_ordinary(t or "")) for i, t in want} | {340: (None, got.where("doc_id = 340").first().n_chars, [])}
 
 
+def test_stages_with_clashing_columns(spark, folder):
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id >= 300 or doc_id < 20")
+    names = ("gone", "_gone", "whole", "_whole", "print", "_print", "kind", "score", "predicted", "label", "component_id", "kept", "tokens", "found")
+    extra = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, path)
+        assert out.columns == extra.columns
+        wrong = [F.col(n) != F.concat(F.lit(n), "doc_id") for n in names]
+        assert out.count() > 0 and out.where(functools.reduce(lambda a, b: a | b, wrong)).isEmpty()
+    assert "tokens" in corpus_pipeline.STAGES[-1][1](spark, extra, path).columns
+
+
 def test_stages_keep_columns_and_empty_tables(spark, folder):
     path = folder[0]
     empty = spark.read.parquet(f"{path}/documents.parquet").limit(0)
