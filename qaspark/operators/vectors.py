@@ -1,7 +1,7 @@
 """Vectors: embedding, normalising, indexing, exact and approximate nearest neighbours, hybrid search and re-ranking.
 
-Search takes the base in Arrow batches against broadcast blocks of queries (a matrix product each), keeps the nearest k of every
-batch, and ranks what is left per query: partitions x queries x k rows are shuffled, never all pairs.
+Search packs base and queries into blocks of vectors and pairs block with block (one matrix product each); a pair of blocks yields
+the nearest k of each of its queries, and what is left is ranked per query. Nothing is gathered in the driver, however many queries.
 """
 
 from __future__ import annotations
@@ -13,54 +13,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions.numbers import let
 from qaspark.registry import query
 
-#: Queries in a broadcast block; more queries take more passes. Search defaults: neighbours and least score.
-QUERY_BLOCK = 4096
+#: About how many vectors a block holds. Search defaults: neighbours and least score.
+BASE_BLOCK, QUERY_BLOCK = 8192, 1024
 TOP_K, MIN_SCORE = 10, 0.3
 
 _HITS = "query_id long, index_name string, id long, distance double"
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """query_id, index_name, id, distance (squared L2), score (1 / (1 + distance)) and rank (from 0) of each query's k nearest in each index.
+def blocks(vectors: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """One row for about ``size`` vectors (id, vec) of equal ``keys``: ids and vecs, the vectors' numbers one after another.
 
-    ``queries`` (id, vec) is a bounded set: it is brought to the driver in blocks of ``QUERY_BLOCK`` and broadcast. Equal
-    distances rank by id. Null vectors are left out.
+    Rows are dealt by hash, so a key of any size is cut into as many blocks as it needs.
     """
-    rows = queries.where("vec is not null").select("id", "vec").orderBy("id").toPandas()
-    hits = None
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = rows.iloc[at : at + QUERY_BLOCK]
-        found = base.where("vec is not null").select("index_name", "id", "vec").mapInPandas(_block_search(block["id"].to_numpy(), np.array(block["vec"].tolist(), dtype=np.float64), k), _HITS)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = base.limit(0).select(F.col("id").alias("query_id"), "index_name", "id", F.lit(0.0).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "index_name").orderBy("distance", "id")) - 1
-    return hits.withColumn("rank", rank).where(F.col("rank") < k).withColumn("score", 1 / (1 + F.col("distance")))
+    rows = vectors.where("vec is not null").select(*keys, "id", F.col("vec").cast("array<float>").alias("vec"))
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    deal = F.pmod(F.xxhash64("id"), F.lit(-(-most // size) or 1))
+    packed = rows.withColumn("_deal", deal).groupBy(*keys, "_deal").agg(F.collect_list(F.struct("id", "vec")).alias("b"))
+    return packed.select(*keys, F.transform("b", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("b", lambda x: x["vec"])).alias("vecs"))
+
 
+def search(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, index_name, id, distance, rank and score of the nearest k. ``pairs``: index_name, ids, vecs, query_ids and query_vecs.
+
+    Equal distances rank by id. A pair that comes twice counts once.
+    """
 
-def _block_search(ids: np.ndarray, q: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        norms = (q * q).sum(1)
-        for b in batches:
-            for name, part in b.groupby("index_name"):
-                part = part.sort_values("id", kind="stable")
-                v = np.array(part["vec"].tolist(), dtype=np.float64)
-                d = np.round(np.maximum(norms[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0), 6)
+        for batch in batches:
+            for name, ids, vecs, query_ids, query_vecs in batch.itertuples(index=False):
+                order = np.argsort(ids, kind="stable")
+                v = vecs.reshape(len(ids), -1).astype(np.float64)[order]
+                q = query_vecs.reshape(len(query_ids), -1).astype(np.float64)
+                d = np.round(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0), 6)
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(ids)), best.shape[1])
+                row = np.repeat(np.arange(len(query_ids)), best.shape[1])
                 at = best.ravel()
-                yield pd.DataFrame({"query_id": ids[row], "index_name": name, "id": part["id"].to_numpy()[at], "distance": d[row, at]})
+                yield pd.DataFrame({"query_id": query_ids[row], "index_name": name, "id": ids[order][at], "distance": d[row, at]})
+
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    hits = pairs.select("index_name", "ids", "vecs", "query_ids", "query_vecs").mapInPandas(run, _HITS)
+    rank = F.row_number().over(Window.partitionBy("query_id", "index_name").orderBy("distance", "id")) - 1
+    return hits.withColumn("rank", rank).where(F.col("rank") < k).withColumn("score", 1 / (1 + F.col("distance")))
+
 
-    return run
+def nearest(base: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """query_id, index_name, id, distance (squared L2), score (1 / (1 + distance)) and rank (from 0) of each query's k nearest in each index.
+
+    ``queries`` (id, vec) is a stated set. Every block of it meets every block of the base. Equal distances rank by id. Null vectors
+    are left out.
+    """
+    asked = blocks(queries, [], QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
+    return search(blocks(base, ["index_name"], BASE_BLOCK).crossJoin(asked), k)
 
 
-_QUERIES = "(SELECT id AS query_id, vec AS q FROM vectors WHERE id < 20)"
+_QUERIES = "(SELECT id AS query_id, vec AS q FROM vectors WHERE id % 50 = 0)"
 _DIST = "round(list_sum(list_transform(range(1, len(v.vec) + 1), lambda i: (v.vec[i]::DOUBLE - q.q[i]::DOUBLE) * (v.vec[i]::DOUBLE - q.q[i]::DOUBLE))), 6)"
 SQL_HITS = f"""WITH d AS (SELECT q.query_id, v.index_name, v.id, v.content, {_DIST} AS distance FROM vectors v, {_QUERIES} q),
  h AS (SELECT query_id, index_name, id, content, distance, 1 / (1 + distance) AS score, row_number() OVER (PARTITION BY query_id, index_name ORDER BY distance, id) - 1 AS rank FROM d)"""
-_BOTH = lambda v: (v, v.where("id < 20").select("id", "vec"))
+#: The query set: every vector whose id is divisible by 50.
+_BOTH = lambda v: (v, v.where("id % 50 = 0").select("id", "vec"))
 
 
 @query("vectors", sql=f"{SQL_HITS} SELECT query_id, id, distance, rank FROM h WHERE index_name = 'test_patterns' AND rank < 10", prepare=lambda v: _BOTH(v))
@@ -176,41 +190,34 @@ def mmr(base: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.5, di
 
 
 @query("vectors", prepare=lambda v: _BOTH(v))
-def ivf_search(base: DataFrame, queries: DataFrame, nlist: int = 50, nprobe: int = 10, k: int = TOP_K, train_rows: int = 10_000, seed: int = 1) -> DataFrame:
-    """Approximate search: k-means cells fitted on a bounded sample, each query searches its nearest cells only.
+def ivf_search(base: DataFrame, queries: DataFrame, nlist: int = 50, nprobe: int = 30, k: int = TOP_K, train_rows: int = 10_000, seed: int = 1) -> DataFrame:
+    """Approximate search: k-means cells fitted on at most ``train_rows`` vectors; all are indexed, each query searches its nearest cells.
 
-    Few rows (under 39 for each of the fewest cells) are searched exactly. Cells are salted by the batches of the scan, so a large
-    cell is no single task.
+    Queries and base meet in an equi-join on the cell, block by block, so a large cell is no single task. Fewer vectors than
+    ``nlist`` make as many cells. The default ``nprobe`` suits vectors without clusters; clustered ones need fewer.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    count = base.count()
-    if count < 2 * nlist:
-        return nearest(base.withColumn("index_name", F.lit("all")), queries, k).select("query_id", "id", "rank")
+    base = base.where("vec is not null")
     sample = base.orderBy(F.xxhash64("id"), "id").limit(train_rows).select(array_to_vector("vec").alias("features"))
-    centres = np.array(KMeans(k=min(nlist, count // 2), seed=seed, maxIter=10).fit(sample).clusterCenters())
-    rows = queries.select("id", "vec").orderBy("id").toPandas()
-    q = np.array(rows["vec"].tolist(), dtype=float)
-    probes = np.argsort(((q[:, None, :] - centres[None]) ** 2).sum(2), axis=1)[:, :nprobe]
-    wanted = {c: np.flatnonzero((probes == c).any(1)) for c in range(len(centres))}
-    ids = rows["id"].to_numpy()
+    count = sample.count()
+    if count < 2:
+        return nearest(base.withColumn("index_name", F.lit("all")), queries, k).select("query_id", "id", "rank")
+    centres = np.array(KMeans(k=min(nlist, count), seed=seed, maxIter=10).fit(sample).clusterCenters())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v = np.array(b["vec"].tolist(), dtype=float)
-            if not len(v):
-                continue
-            cell = ((v * v).sum(1)[:, None] + (centres**2).sum(1) - 2 * v @ centres.T).argmin(1)
-            for c in np.unique(cell):
-                for_queries = wanted[int(c)]
-                if len(for_queries):
-                    part = b[cell == c].assign(index_name="all")
-                    yield from _block_search(ids[for_queries], q[for_queries], k)(iter([part]))
-
-    hits = base.select("id", "vec").mapInPandas(run, _HITS)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")) - 1
-    return hits.withColumn("rank", rank).where(F.col("rank") < k).select("query_id", "id", "rank")
+    def cells(n: int):
+        @F.pandas_udf("array<int>")
+        def nearest_cells(vecs: pd.Series) -> pd.Series:
+            v = np.array(vecs.tolist(), dtype=float)
+            d = (v * v).sum(1)[:, None] + (centres**2).sum(1) - 2 * v @ centres.T
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return F.explode(nearest_cells("vec")).alias("cell")
+
+    stored = blocks(base.select("id", "vec", cells(1)), ["cell"], BASE_BLOCK).withColumn("index_name", F.lit("all"))
+    asked = blocks(queries.where("vec is not null").select("id", "vec", cells(nprobe)), ["cell"], QUERY_BLOCK)
+    return search(stored.join(asked.withColumnsRenamed({"ids": "query_ids", "vecs": "query_vecs"}), "cell"), k).select("query_id", "id", "rank")
 
 
 @query("vectors", prepare=lambda v: _BOTH(v), sql=f"{SQL_HITS.replace('v.index_name', chr(39) + 'all' + chr(39) + ' AS index_name')} SELECT query_id, id, distance, rank FROM h WHERE rank < 10")
@@ -220,17 +227,20 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def hash_embedding(text: Column, dim: int = 384) -> Column:
-    """Deterministic unit vector: the bytes of sha256 repeated to ``dim``, scaled to -1 .. 1."""
-    digest = F.sha2(text.cast("binary"), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(raw, i % 32))
-    return normalized(vec)
+    """Deterministic unit vector: the bytes of sha256 repeated to ``dim``, scaled to -1 .. 1. Each step is computed once for a text."""
+    pair = lambda digest, i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1
+    raw = let(F.sha2(text.cast("binary"), 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: pair(digest, i)))
+    return normalized(let(raw, lambda r: F.slice(F.flatten(F.array_repeat(r, -(-dim // 32))), 1, dim)))
 
 
 def normalized(vec: Column) -> Column:
     """Row of length 1; a zero row stays."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    return F.get(F.transform(F.array(F.struct(vec.alias("v"), norm.alias("n"))), lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(x))), F.lit(0))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return let(vec, scaled)
 
 
 _BYTES = "list_transform(range(0, {d}), lambda i: (CAST('0x' || substr(sha256({t}), CAST(2 * (i % 32) + 1 AS BIGINT), 2) AS BIGINT) / 127.5 - 1)::DOUBLE)"
