@@ -191,31 +191,39 @@ def structured_text(parameters: DataFrame) -> DataFrame:
 
 def _suite_texts(documents: DataFrame) -> DataFrame:
     """A suite tree per source, as JSON text: the source's documents are cases of nested suites."""
-    case = F.to_json(F.struct(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("title")))
+    case = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("lang").alias("priority")))
     suite = F.concat(F.lit('{"title":"L'), F.col("doc_id") % 3, F.lit('","cases":['), case, F.lit('],"suites":[{"cases":['), case, F.lit("]}]}"))
     return documents.select(F.col("source").alias("path"), F.concat(F.lit('{"suites":['), suite, F.lit("]}")).alias("content"))
 
 
-@query("documents", prepare=lambda d: (_suite_texts(d),), sql="SELECT source AS path, 'L' || (doc_id % 3) AS suite_path, doc_id AS id FROM documents UNION ALL SELECT source, 'L' || (doc_id % 3) || ' > Unknown Suite', doc_id FROM documents")
+_CASE_FIELDS = "MAP {'title': coalesce(text, ''), 'priority': coalesce(lang, '')}"
+
+
+@query(
+    "documents",
+    prepare=lambda d: (_suite_texts(d.fillna("", ["text", "lang"])),),
+    sql=f"SELECT source AS path, 'L' || (doc_id % 3) AS suite_path, doc_id AS id, {_CASE_FIELDS} AS fields FROM documents UNION ALL SELECT source, 'L' || (doc_id % 3) || ' > Unknown Suite', doc_id, {_CASE_FIELDS} FROM documents",
+)
 def flatten_suites(files: DataFrame) -> DataFrame:
-    """Cases of suite trees (JSON texts in ``content``), depth first, with the path of suite titles; any depth."""
+    """Cases of suite trees (JSON texts in ``content``), depth first, with the path of suite titles and all their fields; any depth.
 
-    def walk(suites: list, above: str) -> Iterator[tuple[str, int]]:
+    Fields that are no strings come as JSON.
+    """
+
+    def walk(suites: list, above: str) -> Iterator[tuple[str, int, dict[str, str]]]:
         for s in suites or []:
             title = s.get("title") or "Unknown Suite"
             at = f"{above} > {title}" if above else title
             for c in s.get("cases") or []:
-                yield at, c.get("id")
+                yield at, c.get("id"), {k: v if isinstance(v, str) else json.dumps(v) for k, v in c.items() if k != "id"}
             yield from walk(s.get("suites"), at)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(p, *x) for p, t in zip(b["path"], b["content"], strict=True) for x in walk(json.loads(t).get("suites"), "")]
-            yield pd.DataFrame(rows, columns=["path", "suite_path", "id"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, suite_path string, id long")
-
+            yield pd.DataFrame(rows, columns=["path", "suite_path", "id", "fields"])
 
+    return files.select("path", "content").mapInPandas(run, "path string, suite_path string, id long, fields map<string,string>")
 
 
 @query("cases", sql="SELECT id, array_to_string(list_filter(['title: ' || title, 'description: ' || description, 'priority: ' || priority], lambda x: x IS NOT NULL), chr(10)) AS content FROM cases")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.registry import query
@@ -115,7 +115,7 @@ def chunk_semantic(documents: DataFrame) -> DataFrame:
     return chunked(documents, semantic)
 
 
-@query("corpus", prepare=lambda c: (c.withColumn("content", F.concat(F.lit("import os\nclass A:\n    x = 1\n\ndef f(a):\n    return '"), F.substring("content", 1, 20), F.lit("'\n"))),))
+@query("corpus", prepare=lambda c: (c.withColumn("content", F.concat(F.lit("import os\nclass A:\n    x = 1\n\ndef f(a):\n    return '"), "content", F.lit("'\n"))),))
 def chunk_code(documents: DataFrame, language: str = "python") -> DataFrame:
     """Code blocks with their kind."""
     rows = chunked(documents, lambda text: code(text, language), "code_chunk")
@@ -151,23 +151,26 @@ def _test_name():
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit("unknown_test"))
 
 
-_TESTS = "'import x' || chr(10) || 'def test_a' || doc_id || '():' || chr(10) || '    assert 1' || chr(10) || 'def test_b():' || chr(10) || '    pass'"
+_TESTS = "'import x' || chr(10) || 'def test_a' || doc_id || '():' || chr(10) || content || chr(10) || 'def test_b():' || chr(10) || '    pass'"
 
 
 @query(
     "corpus",
-    prepare=lambda c: (c.select("doc_id", F.concat(F.lit("import x\ndef test_a"), "doc_id", F.lit("():\n    assert 1\ndef test_b():\n    pass")).alias("content")),),
+    prepare=lambda c: (c.select("doc_id", F.concat(F.lit("import x\ndef test_a"), "doc_id", F.lit("():\n"), "content", F.lit("\ndef test_b():\n    pass")).alias("content")),),
     sql=f"""WITH l AS (SELECT doc_id, unnest(string_split({_TESTS}, chr(10))) AS line, generate_subscripts(string_split({_TESTS}, chr(10)), 1) AS n FROM corpus),
     s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_SQL_STARTS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM l)
     SELECT doc_id, CAST(block - 1 AS INT) AS chunk_index, string_agg(line, chr(10) ORDER BY n) AS text, regexp_extract(string_agg(line, chr(10) ORDER BY n), 'def (test_\\w+)', 1) AS test_name FROM s WHERE block > 0 GROUP BY 1, block""",
 )
 def chunk_tests(documents: DataFrame) -> DataFrame:
-    """A chunk for each test, from its first line on; what stands before the first test is dropped."""
-    lines = documents.select("doc_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    block = F.sum(F.col("line").rlike(TEST_STARTS).cast("int")).over(Window.partitionBy("doc_id").orderBy("n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    chunks = lines.withColumn("block", block).where("block > 0").groupBy("doc_id", "block").agg(text.alias("text"))
-    return chunks.select("doc_id", (F.col("block") - 1).cast("int").alias("chunk_index"), "text", _test_name().alias("test_name"))
+    """A chunk for each test, from its first line on; what stands before the first test is dropped. A text without tests is cut by
+    sentences, its chunks named unknown_test. Lines are folded inside their row: nothing is shuffled."""
+    lines = F.split("content", "\n")
+    seen = F.exists(lines, lambda x: x.rlike(TEST_STARTS))
+    marked = F.transform(lines, lambda x: F.when(x.rlike(TEST_STARTS), F.concat(F.lit("\0"), x)).otherwise(x))
+    parts = F.transform(F.slice(F.split(F.concat(F.lit("\n"), F.array_join(marked, "\n")), "\n\0"), 2, F.size(lines)), lambda x: x)
+    tests = documents.where(seen).select("doc_id", F.posexplode(parts).alias("chunk_index", "text")).withColumn("test_name", _test_name())
+    others = chunked(documents.where(~F.coalesce(seen, F.lit(False))), sliding)
+    return tests.unionByName(others.select("doc_id", "chunk_index", "text", F.lit("unknown_test").alias("test_name")))
 
 
 @query("corpus", sql="SELECT doc_id, i - 1 AS chunk_index, lines[i] AS text FROM (SELECT doc_id, string_split(content, chr(10)) AS lines FROM corpus), range(1, 100000) g(i) WHERE i <= len(lines)")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import numbered
 from qaspark.registry import query
 
 # Knowledge types, default patterns with the methods that they apply to, edge values by data type, index by document type.
@@ -64,12 +65,12 @@ _METHODS = "(VALUES ('Happy Path Testing', ['GET', 'POST', 'PUT', 'DELETE']), ('
 
 @query("results", sql=f"SELECT r.id, p.pattern FROM results r JOIN {_METHODS} ON list_contains(p.applicable_to, 'All') OR list_contains(p.applicable_to, r.method)", prepare=lambda r: (r, r.sparkSession.createDataFrame(PATTERNS, "pattern string, applicable_to array<string>")))
 def patterns_for_method(requests: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Patterns that apply to a request's method: an equi-join on the exploded methods, 'All' standing for each of them."""
-    methods = requests.select("method").distinct()
-    each = patterns.select("pattern", F.explode("applicable_to").alias("method"))
-    every = each.where("method = 'All'").select("pattern").join(F.broadcast(methods))  # a handful of methods
-    pairs = each.where("method <> 'All'").unionByName(every).distinct()
-    return requests.join(F.broadcast(pairs), "method").select("id", "pattern")
+    """Patterns that apply to a request's method, and those that apply to 'All', also for a request without a method."""
+    each = patterns.select("pattern", F.explode("applicable_to").alias("method")).distinct()
+    every = each.where("method = 'All'")
+    pairs = every.unionByName(each.join(every.select("pattern"), "pattern", "left_anti"))
+    named = requests.select("id", F.explode(F.array_compact(F.array("method", F.lit("All")))).alias("method"))
+    return named.join(pairs, "method").select("id", "pattern")
 
 
 _EDGES = "(VALUES ('string', ['Empty string', 'Single space', 'Very long string', 'XSS attempt']), ('integer', ['Zero', 'Negative one', 'MAX_INT', 'MIN_INT']), ('array', ['Empty array', 'Array with null']), ('date', ['Invalid date', 'Unix epoch'])) e(type, vals)"
@@ -117,5 +118,5 @@ def indexing_stats(documents: DataFrame, ledger: DataFrame) -> DataFrame:
 @query("corpus", sql=f"SELECT doc_id, index_name, 100 + row_number() OVER (PARTITION BY index_name ORDER BY doc_id) AS vector_id FROM (SELECT doc_id, {_ROUTE} AS index_name FROM corpus)", prepare=lambda c: (route_index(c), route_index(c).select("index_name").distinct().withColumn("last_id", F.lit(100))))
 def assign_vector_ids(documents: DataFrame, last: DataFrame) -> DataFrame:
     """New ids per index, after the last one there, in order of document."""
-    n = F.row_number().over(Window.partitionBy("index_name").orderBy("doc_id"))
-    return documents.join(F.broadcast(last), "index_name", "left").select("doc_id", "index_name", (F.coalesce("last_id", F.lit(0)) + n).cast("long").alias("vector_id"))
+    rows = numbered(documents.select("doc_id", "index_name"), ["index_name"], ["doc_id"], "n").join(last, "index_name", "left")
+    return rows.select("doc_id", "index_name", (F.coalesce("last_id", F.lit(0)) + F.col("n") + 1).cast("long").alias("vector_id"))

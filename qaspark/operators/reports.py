@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import shared_folder
 from qaspark.operators.metrics import comprehensive_report
 from qaspark.operators.results import _priority, report_rows, severity
 from qaspark.registry import query
@@ -16,12 +14,6 @@ from qaspark.registry import query
 CSV_COLUMNS = ("Test Name", "Status", "Type", "Endpoint", "Method", "Severity", "Priority", "Execution Time", "Error")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 @query("results", sql="SELECT coalesce(name, 'Unnamed Test') AS \"Test Name\", CASE WHEN coalesce(passed, false) THEN 'PASSED' ELSE 'FAILED' END AS Status, test_type AS Type, endpoint AS Endpoint, method AS Method, CASE WHEN test_type IN ('authentication', 'security') THEN 'critical' WHEN test_type IN ('validation', 'error_handling') THEN 'major' WHEN test_type IN ('boundary', 'edge_case') THEN 'normal' ELSE 'minor' END AS Severity, CASE WHEN NOT coalesce(passed, false) AND test_type IN ('authentication', 'security') THEN 'high' WHEN NOT coalesce(passed, false) AND test_type IN ('validation', 'error_handling') THEN 'medium' ELSE 'low' END AS Priority, execution_time AS \"Execution Time\", coalesce(error, '') AS Error FROM results")
 def export_results_csv(results: DataFrame) -> DataFrame:
     """The nine columns of the CSV export; ``write_csv`` writes them."""

@@ -54,10 +54,10 @@ def parse_code_responses(responses: DataFrame) -> DataFrame:
 
 
 def _headed(responses: DataFrame) -> DataFrame:
-    return responses.select("id", F.concat(F.lit("# First Part\n"), F.substring("text", 1, 10), F.lit("\n## Second one\nrow "), "id").alias("text"))
+    return responses.select("id", F.concat(F.lit("# First Part\n"), "text", F.lit("\n## Second one\nrow "), "id").alias("text"))
 
 
-@query("llm_responses", prepare=lambda r: (_headed(r),), sql="SELECT id, 'first_part' AS section, trim(substring(text, 1, 10), chr(10) || ' ') AS content FROM llm_responses UNION ALL SELECT id, 'second_one', 'row ' || id FROM llm_responses")
+@query("llm_responses", prepare=lambda r: (_headed(r),), sql="SELECT id, 'first_part' AS section, trim(text, chr(10) || ' ') AS content FROM llm_responses WHERE text IS NOT NULL UNION ALL SELECT id, 'second_one', 'row ' || id FROM llm_responses WHERE text IS NOT NULL")
 def parse_sections(responses: DataFrame) -> DataFrame:
     """Sections of a response by heading (numbered, # or **); the key is in lower case with underscores."""
     heading = r"^\s*(?:#+\s*|\*\*|\d+\.\s+)([^\n*]+?)(?:\*\*)?:?\s*(?:\n|$)"

@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import numbered, shared_folder
 from qaspark.operators.chunking import chunked, sliding
-from qaspark.operators.knowledge import new_documents, route_index
+from qaspark.operators.knowledge import _ROUTE, route_index
 from qaspark.operators.vectors import hash_embedding
 from qaspark.registry import query
 
+_TABLES = {"vectors": "index_name string, vector_id long, doc_id long, chunk_id string, text string, vec array<double>, part int", "ledger": "doc_id long, index_name string, part int"}
 
-@query("corpus", prepare=lambda c: (c, c.where("doc_id % 3 = 0").select("doc_id"), 64))
-def index_documents(documents: DataFrame, ledger: DataFrame, dim: int = 384) -> DataFrame:
-    """New, non-empty documents, routed to their index, cut to chunks, embedded and numbered per index.
 
-    Returns index_name, vector_id, doc_id, chunk_id and the vector's norm. Chunks are numbered per index in order of document.
+def index_vectors(documents: DataFrame, last: DataFrame, dim: int = 384) -> DataFrame:
+    """Documents routed to their index, cut to chunks, embedded, and numbered per index after its ``last_id``.
+
+    Returns index_name, vector_id, doc_id, chunk_id, text and vec. Chunks are embedded where they are cut, then numbered in order of
+    document, without a task that holds a whole index.
     """
-    fresh = new_documents(documents, ledger).where("content <> ''")
-    chunks = chunked(fresh, sliding).join(route_index(documents), "doc_id")
-    n = F.row_number().over(Window.partitionBy("index_name").orderBy("doc_id", "chunk_index"))
-    rows = chunks.select("index_name", (n - 1).cast("long").alias("vector_id"), "doc_id", "chunk_id", hash_embedding(F.col("text"), dim).alias("vec"))
-    return rows.select("index_name", "vector_id", "doc_id", "chunk_id", F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+    cut = chunked(documents, sliding).join(route_index(documents), "doc_id")
+    rows = cut.select("index_name", "doc_id", "chunk_index", "chunk_id", "text", hash_embedding(F.col("text"), dim).alias("vec"))
+    rows = numbered(rows, ["index_name"], ["doc_id", "chunk_index"], "n").join(last, "index_name", "left")
+    return rows.select("index_name", (F.coalesce(F.col("last_id") + 1, F.lit(0)) + F.col("n")).cast("long").alias("vector_id"), "doc_id", "chunk_id", "text", "vec")
+
+
+def stored_index(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Table "vectors" or "ledger" of an index in ``folder``; empty if nothing has been indexed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(_TABLES[table]).parquet(f"{folder}/{table}") if there else spark.createDataFrame([], _TABLES[table])
+
+
+def index_into(documents: DataFrame, folder: str, part: int, dim: int = 384) -> DataFrame:
+    """Add the documents that the ledger in ``folder`` lacks to the stored index; returns total, indexed and skipped documents.
+
+    A run writes its own ``part`` of vectors and ledger and replaces it if it is repeated, so a run that was cut off can be repeated.
+    A document counts once; empty ones, and those of other parts, are skipped.
+    """
+    spark = documents.sparkSession
+    known = stored_index(spark, folder, "ledger").where(F.col("part") != part)
+    fresh = documents.where("content <> ''").dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
+    last = stored_index(spark, folder, "vectors").where(F.col("part") != part).groupBy("index_name").agg(F.max("vector_id").alias("last_id"))
+    index_vectors(fresh, last, dim).write.mode("overwrite").parquet(f"{folder}/vectors/part={part}")
+    route_index(fresh).write.mode("overwrite").parquet(f"{folder}/ledger/part={part}")
+    done = stored_index(spark, folder, "ledger").where(F.col("part") == part).agg(F.count(F.lit(1)).alias("indexed"))
+    return documents.agg(F.count(F.lit(1)).alias("total_documents")).crossJoin(done).select("total_documents", "indexed", (F.col("total_documents") - F.col("indexed")).alias("skipped"))
+
+
+@query("corpus", sql=f"WITH n AS (SELECT {_ROUTE} AS index_name, count(*) FILTER (WHERE doc_id % 3 = 0) AS before, count(*) FILTER (WHERE doc_id % 3 <> 0) AS added FROM corpus WHERE content <> '' GROUP BY 1) SELECT index_name, before, added, true AS gapless FROM n")
+def index_documents(documents: DataFrame) -> DataFrame:
+    """Two runs into one index, the second with all documents: documents that each adds to an index, and whether its ids have no gaps."""
+    spark, folder = documents.sparkSession, shared_folder(documents.sparkSession)
+    index_into(documents.where("doc_id % 3 = 0"), folder, 0, 64)
+    index_into(documents, folder, 1, 64)
+    ledger = stored_index(spark, folder, "ledger").groupBy("index_name").agg(F.count_if(F.col("part") == 0).alias("before"), F.count_if(F.col("part") == 1).alias("added"))
+    ids = stored_index(spark, folder, "vectors").groupBy("index_name").agg((F.max("vector_id") + 1 == F.count(F.lit(1))).alias("_all"), (F.sum("vector_id") * 2 == F.max("vector_id") * F.count(F.lit(1))).alias("_sum"))
+    return ledger.join(ids, "index_name").select("index_name", "before", "added", (F.col("_all") & F.col("_sum")).alias("gapless"))

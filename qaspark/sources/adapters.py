@@ -19,8 +19,8 @@ DIALECT = {
         "list_transform(range(1, 2 + k % 3), lambda i: {'type': 'status', 'assertion': 'check ' || i, 'passed': (k + i) % 4 <> 0})",
     ),
     "STEPS": (
-        "array(named_struct('action', concat('Open the form ', substring(text, 1, 12)), 'expected_result', 'Form is shown', 'data', ''), named_struct('action', concat(CASE doc_id % 4 WHEN 0 THEN 'Send a get request to ' WHEN 1 THEN 'POST /api/v1/items' WHEN 2 THEN 'DELETE /api/users/{id}' ELSE 'Check ' END, ''), 'expected_result', CASE doc_id % 3 WHEN 0 THEN 'Status 404 is returned' WHEN 1 THEN 'Code 201' ELSE 'Works' END, 'data', concat('row ', doc_id)))",
-        "[{'action': 'Open the form ' || substring(text, 1, 12), 'expected_result': 'Form is shown', 'data': ''}, {'action': CASE doc_id % 4 WHEN 0 THEN 'Send a get request to ' WHEN 1 THEN 'POST /api/v1/items' WHEN 2 THEN 'DELETE /api/users/{id}' ELSE 'Check ' END, 'expected_result': CASE doc_id % 3 WHEN 0 THEN 'Status 404 is returned' WHEN 1 THEN 'Code 201' ELSE 'Works' END, 'data': 'row ' || doc_id}]",
+        "array(named_struct('action', concat('Open the form ', source), 'expected_result', 'Form is shown', 'data', ''), named_struct('action', concat(CASE doc_id % 4 WHEN 0 THEN 'Send a get request to ' WHEN 1 THEN 'POST /api/v1/items' WHEN 2 THEN 'DELETE /api/users/{id}' ELSE 'Check ' END, ''), 'expected_result', CASE doc_id % 3 WHEN 0 THEN 'Status 404 is returned' WHEN 1 THEN 'Code 201' ELSE 'Works' END, 'data', concat('row ', doc_id)))",
+        "[{'action': 'Open the form ' || source, 'expected_result': 'Form is shown', 'data': ''}, {'action': CASE doc_id % 4 WHEN 0 THEN 'Send a get request to ' WHEN 1 THEN 'POST /api/v1/items' WHEN 2 THEN 'DELETE /api/users/{id}' ELSE 'Check ' END, 'expected_result': CASE doc_id % 3 WHEN 0 THEN 'Status 404 is returned' WHEN 1 THEN 'Code 201' ELSE 'Works' END, 'data': 'row ' || doc_id}]",
     ),
     "TAGS": ("array('smoke', concat('t', doc_id % 3))", "['smoke', 't' || (doc_id % 3)]"),
     "PARAMS": (
@@ -85,9 +85,9 @@ FROM (SELECT *, {K} AS k FROM events) e""",
         ("documents",),
         """
 SELECT doc_id AS id,
-  concat(substring(text, 1, 40), CASE doc_id % 10 WHEN 0 THEN ' validation of email' WHEN 1 THEN ' invalid login token' WHEN 2 THEN ' duplicate license' WHEN 3 THEN ' boundary limit'
+  concat(split_part(text, chr(10), 1), CASE doc_id % 10 WHEN 0 THEN ' validation of email' WHEN 1 THEN ' invalid login token' WHEN 2 THEN ' duplicate license' WHEN 3 THEN ' boundary limit'
     WHEN 4 THEN ' successful booking' WHEN 5 THEN ' sql injection' WHEN 6 THEN ' negative price' ELSE ' listing' END) AS title,
-  concat(substring(text, 41, 100), CASE doc_id % 4 WHEN 0 THEN ' must be unique' ELSE '' END) AS description,
+  concat(substring(text, length(split_part(text, chr(10), 1)) + 2), CASE doc_id % 4 WHEN 0 THEN ' must be unique' ELSE '' END) AS description,
   CASE doc_id % 3 WHEN 0 THEN 'user exists' WHEN 1 THEN '' END AS preconditions,
   CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' END AS priority,
   CASE doc_id % 2 WHEN 0 THEN 'smoke' ELSE 'functional' END AS type, source AS suite_path, {STEPS} AS steps, {TAGS} AS tags
@@ -152,9 +152,9 @@ FROM embeddings""",
     "llm_responses": (
         ("conversations",),
         """
-SELECT conv_id * 1000 + turn AS id, CASE turn % 3 WHEN 0 THEN text
+SELECT concat(conv_id, '/', turn) AS id, conv_id, turn, CASE turn % 3 WHEN 0 THEN text
   WHEN 1 THEN concat('Here it is: ', {FENCE}, ' done') ELSE concat('Result ', '{', '"name": "n', conv_id, '", "method": "GET"', '}', ' end') END AS text
-FROM conversations WHERE role <> 'system' AND turn < 1000""",
+FROM conversations""",
     ),
 }
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.operators.chunking import chunked, sliding
+from qaspark.functions.tables import shared_folder
+from qaspark.operators.knowledge import _ROUTE
 from qaspark.operators.metrics import SQL_ENDPOINT, endpoint_statistics
-from qaspark.operators.reports import shared_folder
 from qaspark.operators.results import bug_patterns, discovered_edge_cases, success_documents
+from qaspark.plans.workloads import index_into, stored_index
 from qaspark.registry import ORACLE_SQL, QUERIES
 from qaspark.sources.adapters import ADAPTERS, dialect, duck_ctes
 
@@ -22,26 +23,30 @@ def _stream(spark: SparkSession, sf_dir: str, base: str, table: str) -> DataFram
 
 
 def stream_endpoint_stats(results: DataFrame, folder: str) -> DataFrame:
-    """Statistics per endpoint as results arrive. Each micro-batch replaces the table of all of them (there are few endpoints)."""
+    """Statistics per endpoint as results arrive. Each micro-batch writes the table of all of them anew (there are few endpoints).
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table")
+    Tables are numbered and stay, so readers of an earlier one are not disturbed; the last one is returned.
+    """
+    written: list[int] = []
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table={number}")
+        written.append(number)
 
     spark = results.sparkSession
-    run = endpoint_statistics(results).writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = endpoint_statistics(results).writeStream.outputMode("complete").foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
-
+    return spark.read.parquet(f"{folder}/table={max(written)}")
 
-def stream_incremental_index(documents: DataFrame, folder: str) -> DataFrame:
-    """Chunks of every document, each document once however often it arrives."""
 
-    def append(batch: DataFrame, number: int) -> None:
-        chunked(batch, sliding).write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")  # a repeated batch replaces itself
+def stream_incremental_index(documents: DataFrame, folder: str, dim: int = 384) -> DataFrame:
+    """The stored index of the documents as they arrive: each micro-batch adds its chunks' vectors and its ledger rows, as its own part.
 
-    once = documents.dropDuplicates(["doc_id"])
-    once.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return documents.sparkSession.read.parquet(f"{folder}/chunks").drop("batch")
+    The ledger, not the stream's state, knows what has been indexed, so the state stays empty. Returns the ledger.
+    """
+    run = documents.writeStream.foreachBatch(lambda batch, number: index_into(batch, folder, number, dim) and None)
+    run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stored_index(documents.sparkSession, folder, "ledger").select("doc_id", "index_name")
 
 
 def stream_feedback(results: DataFrame, folder: str) -> DataFrame:
@@ -60,10 +65,11 @@ def stream_feedback(results: DataFrame, folder: str) -> DataFrame:
 
 QUERIES |= {
     "stream_endpoint_stats": lambda spark, d: stream_endpoint_stats(_stream(spark, d, "events", "results"), shared_folder(spark)),
-    "stream_incremental_index": lambda spark, d: stream_incremental_index(_stream(spark, d, "documents", "corpus"), shared_folder(spark)),
+    "stream_incremental_index": lambda spark, d: stream_incremental_index(_stream(spark, d, "documents", "corpus"), shared_folder(spark), 64),
     "stream_feedback": lambda spark, d: stream_feedback(_stream(spark, d, "events", "results"), shared_folder(spark)),
 }
 ORACLE_SQL |= {
     "stream_endpoint_stats": duck_ctes(["results"], SQL_ENDPOINT),
+    "stream_incremental_index": duck_ctes(["corpus"], f"SELECT doc_id, {_ROUTE} AS index_name FROM corpus WHERE content <> ''"),
     "stream_feedback": duck_ctes(["results"], "SELECT 'success' AS kind, count(*) FILTER (WHERE coalesce(passed, false)) AS n FROM results UNION ALL SELECT 'bugs', count(*) FILTER (WHERE NOT coalesce(passed, false)) FROM results UNION ALL SELECT 'edge_cases', count(*) FILTER (WHERE test_type = 'edge_case') FROM results"),
 }
