@@ -1,4 +1,4 @@
-"""What the corpus operators share: reading tables, column-name hygiene, checkpoints, let-bindings."""
+"""What the corpus operators share: reading tables, column-name hygiene, tables that cut the lineage, let-bindings."""
 
 from __future__ import annotations
 
@@ -38,12 +38,6 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
     _checkpoint_folder(spark)
@@ -51,7 +45,11 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` from a Parquet table in the shared folder, which is smaller than a checkpoint, and a function that drops the table."""
+    """``df`` from a Parquet table in the shared folder, and a function that drops the table.
+
+    This cuts the lineage as a checkpoint does; the table is smaller, is read by column, and hands on nothing of what the planner
+    has inferred, which makes the plans of long loops slow.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
 
@@ -59,7 +57,12 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    return spark.read.parquet(path), drop
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from a table that stays in the shared folder."""
+    return written(df)[0]
 
 
 def let(value: Column, body) -> Column:
@@ -87,7 +90,7 @@ def private(name: str, df: DataFrame) -> str:
 
 #: Most rows (of ids and a few numbers) that are broadcast, and most elements in their arrays; above it the same join shuffles.
 BROADCAST_ROWS = 500_000
-BROADCAST_ELEMENTS = 1_000_000
+BROADCAST_ELEMENTS = 2_000_000
 
 
 def small_or_shuffled(df: DataFrame, array: str | None = None) -> DataFrame:
@@ -104,13 +107,15 @@ def small_or_shuffled(df: DataFrame, array: str | None = None) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed``, which has one row of bounded width for each key, and in ``n`` how many rows have it.
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str, width: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row of at most ``width`` bytes for each key, and in ``n`` how many rows have it.
 
-    Hot keys, fewer than HOT_SHARE of them whatever the size, are broadcast, so that no task gets all rows of one; the others meet
-    in a shuffle. ``rows`` is read twice: cut its lineage before, as that of ``keyed``.
+    A small ``keyed`` is broadcast whole. Else its hot keys, fewer than HOT_SHARE of them whatever the size, are broadcast, so that
+    no task gets all rows of one, and the others meet in a shuffle. ``rows`` is read twice: cut its lineage before, as that of ``keyed``.
     """
-    total = keyed.agg(F.sum(n)).first()[0] or 0
+    keys, total = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0))).first()
+    if keys * width <= BROADCAST_ROWS * 64:
+        return rows.join(F.broadcast(keyed.drop(n)), key)
     hot = F.col(n) > total // HOT_SHARE
     few, rest = F.broadcast(keyed.where(hot).drop(n)), keyed.where(~hot).drop(n)
     return rows.join(few, key).unionByName(rows.join(few.select(*key), key, "left_anti").join(rest, key))

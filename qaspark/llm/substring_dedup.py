@@ -135,6 +135,21 @@ def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "print", "start", "n", "anchor", "window"]).astype({"anchor": "Int64"})
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("n", T.IntegerType())))
+def merged(found: pd.Series) -> pd.Series:
+    """Runs of windows put together where one goes on from another: the maximal repeats of a document."""
+
+    def one(runs):
+        s = np.array([r["start"] for r in runs], dtype=np.int64)
+        end = s + np.array([r["n"] for r in runs], dtype=np.int64)
+        order = np.argsort(s, kind="stable")
+        s, end = s[order], np.maximum.accumulate(end[order])
+        heads = np.flatnonzero(np.append(True, s[1:] > end[:-1]))
+        return [{"start": a, "n": b - a} for a, b in zip(s[heads].tolist(), end[np.append(heads[1:], len(s)) - 1].tolist(), strict=True)]
+
+    return pd.Series([one(r) for r in found])
+
+
 def _cover(n: int, gone) -> np.ndarray:
     """Which of ``n`` words lie in the runs of windows (start, n) that go."""
     s, k = (np.array([g[x] for g in gone], dtype=np.int64) for x in ("start", "n"))
@@ -214,7 +229,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     around = found.where("mine").groupBy("anchor").agg(F.min(F.struct("left", "right")).alias("w"), F.min("doc_id").alias("owner"))
     around = around.join(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")), "anchor")
     around, drop_around = written(around.select("anchor", "owner", F.col("w.left").alias("own_left"), F.col("w.right").alias("own_right"), "places"))
-    matches, drop_matches = written(join_by_key(found, around, ["anchor"], "places").mapInPandas(extended, _MATCHES))
+    matches, drop_matches = written(join_by_key(found, around, ["anchor"], "places", 16 * WINDOW).mapInPandas(extended, _MATCHES))
     drop_found()
     drop_around()
 
@@ -223,7 +238,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     least = checkpointed(least.where("first < last").drop("last"))
     rest = join_by_key(over, least, ["anchor", "window"], "places").where("doc_id > first")
     runs = matches.where("window is null").select(*key, "start", "n").unionByName(rest.select(*key, "start", "n"))
-    gone = checkpointed(runs.groupBy(*key).agg(F.collect_list(F.struct("start", "n")).alias("gone")))
+    gone = checkpointed(runs.groupBy(*key).agg(merged(F.collect_list(F.struct("start", "n"))).alias("gone")))
     drop_matches()
     return checkpointed(gone.withColumn("whole", F.lit(False)).unionByName(copies.select(*key, F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"), F.lit(True).alias("whole"))))
 
