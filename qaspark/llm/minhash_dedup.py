@@ -8,8 +8,8 @@ between groups still separate need a check. Components are found by joins.
 
 An order shows each set at most ``REACH`` neighbours to each side. What that hides is a set with very many partners that are not
 partners of each other, as an original with thousands of copies edited each in its own way. Such sets, hubs, have many confirmed
-links already. So in every region (sets with the same first ``REGION`` values of an order) the set with most links is compared
-with all others of the region, then the next one, for as long as that joins groups. Each round costs one join, linear in the sets.
+links already. So in every region (sets with the same first ``REGION`` values of an order) that holds several groups, the set with most links is
+compared with all others, then the next one, for as long as that joins groups. Each round costs one join, linear in the sets.
 
 Edge cases: a null text counts as empty; rows with an empty set are linked with nothing; rows without an id keep no component;
 rows of equal sets (repeated rows too) form one class; an id with different texts is linked through any of them; a set of any size
@@ -188,17 +188,21 @@ def joined_by_hubs(docs: DataFrame, sets: DataFrame, found: DataFrame, links: Da
     similar = found.select(F.col("a").alias("id")).unionAll(found.select("b")).distinct()
     members, drop_members = written(in_orders(sets.join(similar, "id", "left_semi"), 2 * REGION))
     hubs = checkpointed(members.join(small_or_shuffled(hubs), "id").select(*region, F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), F.struct("links", -F.col("id")).alias("rank")))
-    sizes = members.groupBy(*region).agg(F.count(F.lit(1)).alias("n"))
-    tried = checkpointed(sizes.join(hubs.select(*region).distinct(), region, "left_semi").where(F.col("n") > REACH).withColumn("last", F.lit(None).cast(hubs.schema["rank"].dataType)))
+    group = members.join(hubs.select(*region).distinct(), region, "left_semi").join(labels.select(F.col("node").alias("id"), "root"), "id", "left")
+    group = group.groupBy(*region).agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("root", "id")).alias("_least"), F.max(F.coalesce("root", "id")).alias("_most"))
+    group = group.where((F.col("n") > REACH) & (F.col("_least") < F.col("_most"))).select(*region, "n")
+    tried = checkpointed(group.withColumn("last", F.lit(None).cast(hubs.schema["rank"].dataType)))
     while not tried.isEmpty():
         best = F.max_by(F.struct("hub", "hub_sketch", "rank"), "rank").alias("h")
         now = tried.join(hubs, region).where(F.col("last").isNull() | (F.col("rank") < F.col("last"))).groupBy(*region, "n").agg(best)
-        now = checkpointed(now.select(*region, "n", "h.*"))
+        now, drop_now = written(now.select(*region, "n", "h.*"))
         near = join_by_key(members, now, region, "n").where((F.col("id") != F.col("hub")) & (agreement("sketch", "hub_sketch") >= AGREE))
-        near = checkpointed(near.select(*region, F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
+        near, drop_near = written(near.select(*region, F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
         labels, new = joined(docs, near.select("a", "b").distinct(), labels)
         gained = near.join(new, ["a", "b"], "left_semi").select(*region).distinct()
         tried = checkpointed(now.join(gained, region, "left_semi").select(*region, "n", F.col("rank").alias("last")))
+        drop_now()
+        drop_near()
     drop_members()
     return labels
 
