@@ -34,7 +34,7 @@ from qaspark.llm.shingling import mix, pair_set
 
 #: Sorted orders, signature values that each order starts with before it shares values, and values in a sort key: the first REGION
 #: of them with two bytes each, the others with one.
-ORDERS, OWN, KEY, REGION = 20, 6, 28, 4
+ORDERS, OWN, KEY, REGION = 20, 6, 8, 4
 KEY_BYTES = KEY + REGION
 VALUES = ORDERS * OWN
 #: Neighbours looked at in each order, to each side; they share the first value at least.
