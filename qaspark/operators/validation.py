@@ -91,8 +91,8 @@ def validate_url(rows: DataFrame) -> DataFrame:
 
 @query(
     "llm_responses",
-    prepare=lambda r: (r.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"id": '), "id", F.lit("}"))).otherwise(F.concat(F.lit('{"id": '), "id")).alias("data")),),
-    sql="""SELECT id, data, json_valid(data) AS valid FROM (SELECT id, '{"id": ' || id || CASE WHEN id % 2 = 0 THEN '}' ELSE '' END AS data FROM llm_responses)""",
+    prepare=lambda r: (r.select("id", F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"id": '), "turn", F.lit("}"))).otherwise(F.concat(F.lit('{"id": '), "turn")).alias("data")),),
+    sql="""SELECT id, data, json_valid(data) AS valid FROM (SELECT id, '{"id": ' || turn || CASE WHEN turn % 2 = 0 THEN '}' ELSE '' END AS data FROM llm_responses)""",
 )
 def validate_json(rows: DataFrame) -> DataFrame:
     """Does ``data`` parse as strict JSON?"""

@@ -3,8 +3,13 @@
 import numpy as np
 import pytest
 
-from qaspark.operators import assertions, chunking, sourcecode, validation, vectors
+from pyspark.sql import functions as F
+
+from qaspark.functions import tables
+from qaspark.operators import assertions, chunking, knowledge, sourcecode, validation, vectors
 from qaspark.operators.results import result_summary
+from qaspark.plans import workloads
+from qaspark.sources import adapters
 
 
 def test_empty_results(spark):
@@ -49,6 +54,45 @@ def test_ivf_recall(spark):
     assert len(exact & got) >= 0.9 * len(exact)
 
 
+def test_ivf_recall_at_the_registered_settings(spark):
+    vectors_of = adapters.load(spark, "/root/testdata/sf0.01", "vectors")
+    queries = vectors_of.where("id % 50 = 0").select("id", "vec")
+    exact = {(r.query_id, r.id) for r in vectors.knn_join(vectors_of, queries).collect()}
+    got = {(r.query_id, r.id) for r in vectors.ivf_search(vectors_of, queries).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_texts_without_tests_are_cut_by_sentences(spark):
+    docs = spark.createDataFrame([(1, "No test here. " * 60), (2, "x\ndef test_a():\n  1\ndef test_b():\n  2"), (3, None)], "doc_id long, content string")
+    got = {(r.doc_id, r.chunk_index): (r.text, r.test_name) for r in chunking.chunk_tests(docs).collect()}
+    assert got[(2, 0)] == ("def test_a():\n  1", "test_a") and got[(2, 1)] == ("def test_b():\n  2", "test_b")
+    assert [got[(1, i)][0] for i in range(2)] == [p[0] for p in chunking.sliding("No test here. " * 60)][:2] and (2, 2) not in got
+
+
+def test_patterns_of_a_request_without_method(spark):
+    patterns = spark.createDataFrame([("p", ["All", "GET"]), ("q", ["PUT"])], "pattern string, applicable_to array<string>")
+    requests = spark.createDataFrame([(1, None), (2, "PUT"), (3, "GET")], "id long, method string")
+    assert sorted(map(tuple, knowledge.patterns_for_method(requests, patterns).collect())) == [(1, "p"), (2, "p"), (2, "q"), (3, "p")]
+
+
+def test_numbers_have_no_gaps(spark):
+    rows = spark.range(500).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2).alias("g"), "id")
+    got = tables.numbered(rows, ["g"], [F.desc("id")], "n").collect()
+    for g in (None, 0, 1):
+        assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: -r.id)] == list(range(sum(r.g == g for r in got)))
+
+
+def test_a_second_run_indexes_new_documents_only(spark):
+    folder = tables.shared_folder(spark)
+    docs = spark.createDataFrame([(i, "test_case" if i % 2 else None, "Some words. " * 80, "en") for i in range(6)] + [(9, None, "", "en")], "doc_id long, type string, content string, lang string")
+    first = workloads.index_into(docs.where("doc_id < 3"), folder, 0, 8).first().asDict()
+    second = workloads.index_into(docs, folder, 1, 8).first().asDict()
+    assert first == {"total_documents": 3, "indexed": 3, "skipped": 0} and second == {"total_documents": 7, "indexed": 3, "skipped": 4}
+    assert workloads.index_into(docs, folder, 1, 8).first().asDict() == second  # repeated
+    ids = [r.vector_id for r in workloads.stored_index(spark, folder, "vectors").collect()]
+    assert sorted(ids) == list(range(len(ids)))
+
+
 def test_mmr_without_diversity_keeps_score_order(spark):
     df = spark.createDataFrame([(i, "api_patterns", [float(i), 1.0]) for i in range(20)], "id long, index_name string, vec array<float>")
     got = vectors.mmr(df, df.where("id = 3"), k=4, diversity="none").orderBy("position").collect()
