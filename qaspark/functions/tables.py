@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``, which all executors share; only a local session without it gets its own folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{uuid.uuid4().hex}"
 
