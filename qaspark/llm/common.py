@@ -33,7 +33,7 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not sc.master.startswith("local["):
+    if not folder and sc.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
