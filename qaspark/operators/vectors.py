@@ -123,10 +123,11 @@ def hybrid_search(base: DataFrame, queries: DataFrame, per_index: int = 5, k: in
     return hits.withColumn("position", at).where(F.col("position") < k).select("query_id", "index_name", "id", "position")
 
 
-@query("vectors", sql=f"{SQL_HITS} SELECT query_id, index_name, count(*) AS n FROM h WHERE rank < 10 GROUP BY 1, 2", prepare=lambda v: _BOTH(v))
+@query("vectors", sql=f"{SQL_HITS} SELECT query_id, index_name, id, content, round(score, 5) AS score FROM h WHERE rank < 10", prepare=lambda v: _BOTH(v))
 def hybrid_union(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """How many hits each index gives each query."""
-    return nearest(base, queries).groupBy("query_id", "index_name").agg(F.count(F.lit(1)).alias("n"))
+    """The hits of all indices together, each with its index, content and score."""
+    hits = nearest(base, queries).join(base.select("index_name", "id", "content"), ["index_name", "id"])
+    return hits.select("query_id", "index_name", "id", "content", F.round("score", 5).alias("score"))
 
 
 @query("vectors", sql=f"{SQL_HITS} SELECT query_id, id, rank FROM h WHERE index_name = 'edge_cases' AND rank < 10 AND score >= 0.3", prepare=lambda v: _BOTH(v))
