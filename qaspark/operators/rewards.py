@@ -87,16 +87,25 @@ def reward_trend(experiences: DataFrame, last: int = 10, slope: float = 0.1) ->
     return tail.groupBy("episode").agg(F.when(F.count(F.lit(1)) < 2, "stable").when(s > slope, "improving").when(s < -slope, "declining").otherwise("stable").alias("trend"))
 
 
-@query("experiences", sql="SELECT count(DISTINCT episode) AS episodes, round(CAST(sum(CAST(reward AS DECIMAL(28,6))) AS DOUBLE) / count(*), 6) AS mean, round(stddev_pop(reward), 6) AS std, max(reward) AS max, min(reward) AS min FROM experiences")
-def reward_statistics(experiences: DataFrame) -> DataFrame:
-    """Mean, population deviation and range of all rewards, and the number of episodes."""
-    return experiences.agg(
+@query(
+    "experiences",
+    sql=f"""WITH e AS (SELECT reward, row_number() OVER (ORDER BY id DESC) AS n FROM experiences), t AS (SELECT {_TREND} AS recent_trend FROM e)
+    SELECT count(DISTINCT episode) AS episodes, round(CAST(sum(CAST(reward AS DECIMAL(28,6))) AS DOUBLE) / count(*), 6) AS mean, round(stddev_pop(reward), 6) AS std, max(reward) AS max, min(reward) AS min,
+    (SELECT recent_trend FROM t) AS recent_trend FROM experiences""",
+)
+def reward_statistics(experiences: DataFrame, last: int = 10, slope: float = 0.1) -> DataFrame:
+    """Mean, population deviation and range of all rewards, the number of episodes, and the trend of the last rewards by id."""
+    every = experiences.agg(
         F.count_distinct("episode").alias("episodes"),
         F.round(exact_sum("reward") / F.count(F.lit(1)), 6).alias("mean"),
         F.round(F.stddev_pop("reward"), 6).alias("std"),
         F.max("reward").alias("max"),
         F.min("reward").alias("min"),
     )
+    tail = experiences.select("id", "reward").orderBy(F.desc("id")).limit(last).agg(F.array_sort(F.collect_list(F.struct("id", "reward"))).alias("t"))
+    s = F.regr_slope("t.reward", "n")
+    trend = F.when(F.count("t") < 2, "stable").when(s > slope, "improving").when(s < -slope, "declining").otherwise("stable")
+    return every.crossJoin(tail.select(F.posexplode_outer("t").alias("n", "t")).agg(trend.alias("recent_trend")))  # one row each
 
 
 @query("experiences", sql="SELECT episode, step, coalesce(max(priority) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 10000 PRECEDING AND 1 PRECEDING), 1.0) AS initial_priority FROM experiences")
