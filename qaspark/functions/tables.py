@@ -38,3 +38,9 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
     inside = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
     found = rows.withColumn(name, inside).join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part])
     return found.select(*df.columns, (F.col(name) + F.col("_before")).cast("long").alias(name))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of this name, in whatever file system it names?"""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)

@@ -117,25 +117,60 @@ def test_type_breakdown(metrics: DataFrame) -> DataFrame:
     )
 
 
+TEST_VALUES = ("total", "passed", "failed", "errors", "skipped", "pass_rate", "avg_execution_time", "avg_response_time", "total_execution_time", "min_response_time", "max_response_time")
+AGENT_VALUES = ("executions", "successful", "failed", "success_rate", "tokens", "api_calls", "avg_execution_time", "total_execution_time")
 
 
-@query(
-    "results",
-    "agent_metrics",
-    sql=f"""WITH t AS (SELECT '' AS key, CAST(count(*) AS DOUBLE) AS total, CAST({_sql_n('passed')} AS DOUBLE) AS passed FROM results),
-    k AS (SELECT coalesce(test_type, 'unknown') AS key, CAST(count(*) AS DOUBLE) AS total, CAST({_sql_n('passed')} AS DOUBLE) AS passed FROM results GROUP BY 1),
-    e AS (SELECT {SQL_KEY} AS key, CAST(count(*) AS DOUBLE) AS total, CAST({_sql_n('passed')} AS DOUBLE) AS passed FROM results GROUP BY 1),
-    a AS (SELECT agent_type AS key, CAST(count(*) AS DOUBLE) AS total, CAST({_OK} AS DOUBLE) AS passed FROM agent_metrics GROUP BY 1)
-    SELECT s.section, s.key, m.metric, CASE m.metric WHEN 'total' THEN s.total WHEN 'passed' THEN s.passed ELSE {sql_share('s.passed', 's.total')} END AS value
-    FROM (SELECT 'tests' AS section, * FROM t UNION ALL SELECT 'test_types', * FROM k UNION ALL SELECT 'endpoints', * FROM e UNION ALL SELECT 'agents', * FROM a) s, (VALUES ('total'), ('passed'), ('pass_rate')) m(metric)""",
-)
+def _sql_tests(failed: str) -> str:
+    return f"""count(*) AS total, {_sql_n('passed')} AS passed, {failed} AS failed, {_sql_n('error')} AS errors, {_sql_n('skipped')} AS skipped, {sql_share(_sql_n('passed'), 'count(*)')} AS pass_rate, {SQL_TIMES},
+    {sql_round2('min(response_time)')} AS min_response_time, {sql_round2('max(response_time)')} AS max_response_time"""
+
+
+def _sql_long(table: str, values: tuple[str, ...]) -> str:
+    doubles = ", ".join(f"CAST({v} AS DOUBLE) AS {v}" for v in values)
+    return f"SELECT section, key, metric, value FROM (SELECT section, key, {doubles} FROM {table}) UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(values)}))"
+
+
+SQL_REPORT = f"""WITH t AS (SELECT 'tests' AS section, '' AS key, {_sql_tests(_sql_n('failed'))} FROM results
+    UNION ALL SELECT 'test_types', coalesce(test_type, 'unknown'), {_sql_tests(_sql_n('failed'))} FROM results GROUP BY 2
+    UNION ALL SELECT 'endpoints', {SQL_KEY}, {_sql_tests(f"count(*) - {_sql_n('passed')}")} FROM results GROUP BY 2),
+    a AS (SELECT 'all_agents' AS section, '' AS key, {SQL_AGENT} FROM agent_metrics UNION ALL SELECT 'agents', agent_type, {SQL_AGENT} FROM agent_metrics GROUP BY 2)
+    {_sql_long('t', TEST_VALUES)} UNION ALL {_sql_long('a', AGENT_VALUES)}
+    UNION ALL SELECT 'status_codes', {SQL_KEY} || ' ' || actual_status, 'total', CAST(count(*) AS DOUBLE) FROM results WHERE actual_status <> 0 GROUP BY 2"""
+
+
+def _long(rows: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    return rows.select("section", "key", *[F.col(v).cast("double").alias(v) for v in values]).unpivot(["section", "key"], list(values), "metric", "value")
+
+
+@query("results", "agent_metrics", sql=SQL_REPORT)
 def comprehensive_report(metrics: DataFrame, agents: DataFrame) -> DataFrame:
-    """Long form (section, key, metric, value): all tests, test types, endpoints by one pass with grouping sets, and agents."""
-    kind, key = F.coalesce("test_type", F.lit("unknown")), endpoint_key()
-    rows = metrics.select(kind.alias("kind"), key.alias("endpoint"), (F.col("status") == "passed").alias("good"))
-    sets = rows.groupingSets([[], ["kind"], ["endpoint"]], "kind", "endpoint").agg(F.grouping_id().alias("g"), _all().alias("total"), F.count_if("good").alias("passed"))
-    section = F.when(F.col("g") == 3, "tests").when(F.col("g") == 1, "test_types").otherwise("endpoints")
-    tests = sets.select(section.alias("section"), F.coalesce("kind", "endpoint", F.lit("")).alias("key"), "total", "passed")
-    by_agent = agents.groupBy(F.col("agent_type").alias("key")).agg(_all().alias("total"), F.count_if("success").alias("passed")).select(F.lit("agents").alias("section"), "key", "total", "passed")
-    every = tests.union(by_agent).withColumn("pass_rate", share(F.col("passed"), F.col("total")))
-    return every.select("section", "key", *[F.col(c).cast("double").alias(c) for c in ("total", "passed", "pass_rate")]).unpivot(["section", "key"], ["total", "passed", "pass_rate"], "metric", "value")
+    """Long form (section, key, metric, value): all tests, test types, endpoints and their status codes, all agents and their types.
+
+    Each table is read once, by grouping sets. Of an endpoint, all that did not pass counts as failed, as in its statistics.
+    """
+    rows = metrics.select(F.coalesce("test_type", F.lit("unknown")).alias("kind"), endpoint_key().alias("endpoint"), F.col("actual_status").alias("code"), "status", "execution_time", "response_time")
+    run, answer = exact_sum("execution_time"), exact_sum("response_time")
+    sets = rows.groupingSets([[], ["kind"], ["endpoint"], ["endpoint", "code"]], "kind", "endpoint", "code").agg(
+        F.grouping_id().alias("g"),
+        _all().alias("total"),
+        _n("passed").alias("passed"),
+        _n("failed").alias("failed"),
+        _n("error").alias("errors"),
+        _n("skipped").alias("skipped"),
+        share(_n("passed"), _all()).alias("pass_rate"),
+        mean2(run, _all()).alias("avg_execution_time"),
+        mean2(answer, _all()).alias("avg_response_time"),
+        F.coalesce(round2(run), F.lit(0.0)).alias("total_execution_time"),
+        round2(F.min("response_time")).alias("min_response_time"),
+        round2(F.max("response_time")).alias("max_response_time"),
+    )
+    section = F.when(F.col("g") == 7, "tests").when(F.col("g") == 3, "test_types").when(F.col("g") == 5, "endpoints").otherwise("status_codes")
+    key = F.when(F.col("g") == 4, F.concat_ws(" ", "endpoint", F.col("code").cast("string"))).otherwise(F.coalesce("kind", "endpoint", F.lit("")))
+    failed = F.when(F.col("g") == 5, F.col("total") - F.col("passed")).otherwise(F.col("failed"))
+    sets = sets.where("g <> 4 or code <> 0").select(section.alias("section"), key.alias("key"), *[failed.alias(v) if v == "failed" else v for v in TEST_VALUES])
+    tests = _long(sets, TEST_VALUES).where("section <> 'status_codes' or metric = 'total'")
+    kinds = agents.groupingSets([[], ["agent_type"]], "agent_type").agg(F.grouping_id().alias("g"), *_agent())
+    whole = F.col("g") == 1
+    kinds = kinds.select(F.when(whole, "all_agents").otherwise("agents").alias("section"), F.when(whole, "").otherwise(F.col("agent_type")).alias("key"), *AGENT_VALUES)
+    return tests.union(_long(kinds, AGENT_VALUES))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.functions.tables import shared_folder
-from qaspark.operators.metrics import comprehensive_report
+from qaspark.functions.tables import exists, shared_folder
+from qaspark.operators.knowledge import TYPES
+from qaspark.operators.metrics import SQL_REPORT, comprehensive_report
 from qaspark.operators.results import _priority, report_rows, severity
 from qaspark.registry import query
 
@@ -26,13 +27,18 @@ def write_csv(results: DataFrame, path: str) -> None:
     export_results_csv(results).write.csv(path, header=True)
 
 
-@query("results", "agent_metrics", sql="SELECT section, count(*) AS n FROM (SELECT 'tests' AS section UNION ALL SELECT 'tests' UNION ALL SELECT 'tests' UNION ALL SELECT 'test_types' FROM (SELECT DISTINCT coalesce(test_type, 'unknown') FROM results), range(3) UNION ALL SELECT 'endpoints' FROM (SELECT DISTINCT method, coalesce(endpoint, 'unknown') FROM results), range(3) UNION ALL SELECT 'agents' FROM (SELECT DISTINCT agent_type FROM agent_metrics), range(3)) GROUP BY 1")
+@query("results", "agent_metrics", sql=f"SELECT section, count(*) AS n FROM ({SQL_REPORT}) GROUP BY 1 UNION ALL SELECT 'raw_tests', count(*) FROM results UNION ALL SELECT 'raw_agents', count(*) FROM agent_metrics")
 def export_metrics_json(metrics: DataFrame, agents: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the comprehensive report as JSON lines; returns how many lines each section has, read back."""
+    """Writes the comprehensive report and the raw metrics as JSON lines; returns how many lines each section has, read back."""
     spark = metrics.sparkSession
     path = path or shared_folder(spark)
-    comprehensive_report(metrics, agents).write.mode("overwrite").json(path)
-    return spark.read.schema("section string, key string, metric string, value double").json(path).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    parts = {"report": comprehensive_report(metrics, agents), "raw_tests": metrics, "raw_agents": agents}
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+    found = spark.read.schema("section string").json(f"{path}/report")
+    for name in ("raw_tests", "raw_agents"):
+        found = found.unionByName(spark.read.schema(parts[name].schema).json(f"{path}/{name}").select(F.lit(name).alias("section")))
+    return found.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("results", sql="SELECT id, name, error FROM results ORDER BY ts, id LIMIT 100")
@@ -57,26 +63,54 @@ def html_report_rows(results: DataFrame) -> DataFrame:
     return rows.select("id", F.concat(F.lit('<tr class="'), F.lower("status"), F.lit('"><td>'), escaped(F.col("title")), F.lit("</td><td>"), escaped(F.col("error")), F.lit("</td></tr>")).alias("html"))
 
 
-@query("knowledge", sql="SELECT knowledge_type, count(*) AS n FROM knowledge GROUP BY 1")
-def write_knowledge(knowledge: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the items by type as JSON lines; returns what is read back, counted."""
+@query("knowledge", sql="SELECT knowledge_type, '2025-01-01T00:00:00' AS exported_at, count(*) AS n FROM knowledge GROUP BY 1", prepare=lambda k: (k, "2025-01-01T00:00:00"))
+def write_knowledge(knowledge: DataFrame, exported_at: str, path: str | None = None) -> DataFrame:
+    """Writes the items by type as JSON lines, each with the time of the export; returns what is read back, counted."""
     spark = knowledge.sparkSession
     path = path or shared_folder(spark)
-    knowledge.select("knowledge_type", "id", "item_json", "added_at", "updated_at").write.partitionBy("knowledge_type").mode("overwrite").json(path)
-    return read_stored_knowledge(spark, path).groupBy("knowledge_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = knowledge.select("knowledge_type", "id", "item_json", "added_at", "updated_at", F.lit(exported_at).alias("exported_at"))
+    rows.write.partitionBy("knowledge_type").mode("overwrite").json(path)
+    return read_export(spark, path).groupBy("knowledge_type", "exported_at").agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_stored_knowledge(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id string, item_json string, added_at string, updated_at string, knowledge_type string").json(path)
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, item_json string, added_at string, updated_at string, exported_at string, knowledge_type string").json(path)
 
 
-@query("knowledge", sql="SELECT id, knowledge_type, item_json FROM knowledge")
+#: About how many items an array file that is written here holds.
+ARRAY_ITEMS = 10_000
+
+
+def write_arrays(knowledge: DataFrame, folder: str) -> None:
+    """Writes the items of each type below ``<type>.json``, in files of one JSON array; a large type gets several files."""
+    pieces = -(-knowledge.count() // ARRAY_ITEMS) or 1
+    packed = knowledge.groupBy("knowledge_type", F.pmod(F.xxhash64("id"), F.lit(pieces)).alias("piece")).agg(F.array_join(F.collect_list("item_json"), ",\n").alias("items"))
+    for (kind,) in packed.select("knowledge_type").distinct().collect():
+        rows = packed.where(F.col("knowledge_type") == kind).select("piece", F.concat(F.lit("[\n"), "items", F.lit("\n]")).alias("value"))
+        rows.write.partitionBy("piece").mode("overwrite").text(f"{folder}/{kind}.json")
+
+
+def read_arrays(spark: SparkSession, folder: str, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """knowledge_type, id and item_json of the items in ``<type>.json`` (a file, or a folder of files) of each type; each file holds
+    one JSON array, over as many lines as it likes. A type without a file gives nothing."""
+    found = spark.createDataFrame([], "knowledge_type string, item_json string")
+    for kind in types:
+        path = f"{folder}/{kind}.json"
+        if exists(spark, path):
+            files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+            found = found.unionByName(files.select(F.lit(kind).alias("knowledge_type"), F.explode(F.from_json("value", "array<string>")).alias("item_json")))
+    return found.select("knowledge_type", F.get_json_object("item_json", "$.id").alias("id"), "item_json")
+
+
+_ITEM = """'{"id":"' || id || '",' || substr(item_json, 2)"""
+
+
+@query("knowledge", sql=f"SELECT id, knowledge_type, {_ITEM} AS item_json FROM knowledge", prepare=lambda k: (k.withColumn("item_json", F.expr(_ITEM)),))
 def read_knowledge(knowledge: DataFrame) -> DataFrame:
-    """Items read from JSON array files, one array for each type; types without a file give nothing."""
-    spark = knowledge.sparkSession
-    path = shared_folder(spark)
-    knowledge.select("knowledge_type", "id", "item_json").write.partitionBy("knowledge_type").json(path)
-    return spark.read.schema("id string, item_json string, knowledge_type string").json(path).select("id", "knowledge_type", "item_json")
+    """The items, written as JSON arrays of each type and read back; types without a file give nothing."""
+    folder = shared_folder(knowledge.sparkSession)
+    write_arrays(knowledge, folder)
+    return read_arrays(knowledge.sparkSession, folder).select("id", "knowledge_type", "item_json")
 
 
 @query("vectors", sql="SELECT index_name, id, len(vec) AS dim, content FROM vectors")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.functions.tables import numbered, shared_folder
+from qaspark.functions.tables import exists, numbered, shared_folder
 from qaspark.operators.chunking import chunked, sliding
 from qaspark.operators.knowledge import _ROUTE, route_index
 from qaspark.operators.vectors import hash_embedding
@@ -28,8 +28,7 @@ def index_vectors(documents: DataFrame, last: DataFrame, dim: int = 384) -> Data
 
 def stored_index(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Table "vectors" or "ledger" of an index in ``folder``; empty if nothing has been indexed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    there = exists(spark, f"{folder}/{table}")
     return spark.read.schema(_TABLES[table]).parquet(f"{folder}/{table}") if there else spark.createDataFrame([], _TABLES[table])
 
 
