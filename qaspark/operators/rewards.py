@@ -52,18 +52,35 @@ def flag_redundant(results: DataFrame) -> DataFrame:
 _BUG = "NOT coalesce(passed, false) AND test_type IN ('security', 'validation')"
 
 
+_RAW = "greatest(-100.0, least(100.0, 10.0 * bugs + 5.0 * cover + 8.0 * edges + 6.0 * kinds - 3.0 * alarms - 2.0 * repeats - 1.0 * fails - 5.0 * errors))"
+
+
+def _supplied(results: DataFrame) -> DataFrame:
+    return results.groupBy("session_id").agg(*[F.count_if(F.col("k") % 10 == i).alias(c) for i, c in enumerate(("code_coverage", "false_positives", "test_failures"))])
+
+
 @query(
     "results",
+    prepare=lambda r: (r, None, _supplied(r.where("session_id % 2 = 0"))),
     sql=f"""WITH m AS (SELECT session_id, count(*) FILTER (WHERE {_BUG}) AS bugs, count(*) FILTER (WHERE test_type IN ('edge_case', 'boundary')) AS edges,
-      count(DISTINCT (coalesce(endpoint, chr(0)), coalesce(method, chr(0)), coalesce(test_type, chr(0)))) AS kinds, count(*) - count(DISTINCT {_SIGNATURE}) AS repeats, count(*) FILTER (WHERE error <> '') AS errors FROM results GROUP BY 1)
-    SELECT session_id, CAST(greatest(-100.0, least(100.0, 10.0 * bugs + 8.0 * edges + 6.0 * kinds - 2.0 * repeats - 5.0 * errors)) AS DOUBLE) AS raw,
-      round(2 / (1 + exp(-greatest(-100.0, least(100.0, 10.0 * bugs + 8.0 * edges + 6.0 * kinds - 2.0 * repeats - 5.0 * errors)) / 10)) - 1, 9) AS reward FROM m""",
+      count(DISTINCT (coalesce(endpoint, chr(0)), coalesce(method, chr(0)), coalesce(test_type, chr(0)))) AS kinds, count(*) - count(DISTINCT {_SIGNATURE}) AS repeats, count(*) FILTER (WHERE error <> '') AS errors,
+      count(*) FILTER (WHERE k % 10 = 0 AND session_id % 2 = 0) AS cover, count(*) FILTER (WHERE k % 10 = 1 AND session_id % 2 = 0) AS alarms, count(*) FILTER (WHERE k % 10 = 2 AND session_id % 2 = 0) AS fails FROM results GROUP BY 1)
+    SELECT session_id, CAST({_RAW} AS DOUBLE) AS raw, round(2 / (1 + exp(-{_RAW} / 10)) - 1, 9) AS reward FROM m""",
 )
-def session_reward(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted reward of each session, clipped to 100 either way, and scaled to (-1, 1). Weights are a parameter."""
+def session_reward(results: DataFrame, weights: dict[str, float] | None = None, supplied: DataFrame | None = None) -> DataFrame:
+    """Weighted reward of each session, clipped to 100 either way, and scaled to (-1, 1). Weights are a parameter.
+
+    ``supplied`` may give further signals of sessions (code_coverage, false_positives, test_failures; one row a session); they count
+    0 where it does not.
+    """
     w = weights or WEIGHTS
     signals = results.groupBy("session_id").agg(*_signals(), (F.count(F.lit(1)) - F.count_distinct(signature())).alias("redundant_tests"))
-    raw = sum((F.col(c) * w[c] for c in ("bugs_found", "edge_cases_covered", "unique_scenarios", "redundant_tests", "api_errors")), F.lit(0.0))
+    names = ["bugs_found", "edge_cases_covered", "unique_scenarios", "redundant_tests", "api_errors"]
+    if supplied is not None:
+        more = [c for c in ("code_coverage", "false_positives", "test_failures") if c in supplied.columns]
+        signals = signals.join(supplied.select("session_id", *more), "session_id", "left")
+        names += more
+    raw = sum((F.coalesce(c, F.lit(0)) * w[c] for c in names), F.lit(0.0))
     raw = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), raw))
     return signals.select("session_id", raw.alias("raw"), F.round(2 / (1 + F.exp(-raw / 10)) - 1, 9).alias("reward"))
 
