@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.numbers import let
 from qaspark.registry import query
 
 # The forms of an assertion, tried in this order; length comes before equality, which it would also match.
@@ -36,29 +37,42 @@ def _python_text(value: Column, raw: Column) -> Column:
 )
 def evaluate_assertions(rows: DataFrame) -> DataFrame:
     """Type and outcome of ``assertion`` ("path operator value") on ``response_json``. An unknown form, and >= and <=, do not pass."""
-    text = F.trim("assertion")
-    kind = F.lit("unknown")
-    for name, form in reversed(FORMS.items()):
-        kind = F.when(text.rlike(form), name).otherwise(kind)
-    rows = rows.select("id", "response_json", text.alias("_text"), kind.alias("type"))
-    part = lambda i: F.coalesce(*[F.when(F.col("type") == n, F.regexp_extract("_text", f, i)) for n, f in FORMS.items() if i == 1 or "(.+)" in f or "(\\d+)" in f])
-    rows = rows.withColumn("_path", part(1)).withColumn("_value", F.trim(part(2), F.lit("\"' ")))
-    tree = F.try_parse_json("response_json")
-    raw = F.try_variant_get(tree, F.concat(F.lit("$."), "_path"), "string")
-    rows = rows.withColumn("_actual", raw).withColumn("_bad", F.col("type").isin("greater_than", "less_than") & F.col("_value").try_cast("double").isNull())
-    number, limit = F.col("_actual").try_cast("double"), F.col("_value").try_cast("double")
-    printed = _python_text(F.col("_actual"), F.col("_actual"))
-    passed = (
-        F.when(F.col("type") == "equals", printed == F.col("_value"))
-        .when(F.col("type") == "not_equals", printed != F.col("_value"))
-        .when(F.col("type") == "greater_than", number > limit)
-        .when(F.col("type") == "less_than", number < limit)
-        .when(F.col("type") == "contains", F.contains("_actual", F.col("_value")))
-        .when(F.col("type") == "null", F.col("_actual").isNull())
-        .when(F.col("type") == "not_null", F.col("_actual").isNotNull())
-        .when(F.col("type") == "length", F.length("_actual") == F.col("_value").try_cast("int"))
-    )
-    return rows.select("id", F.when(F.col("_bad"), "error").otherwise(F.col("type")).alias("type"), F.coalesce(passed & ~F.col("_bad"), F.lit(False)).alias("passed"))
+    return rows.select("id", outcome(F.col("assertion"), F.col("response_json")).alias("o")).select("id", "o.type", "o.passed")
+
+
+def outcome(assertion: Column, response: Column) -> Column:
+    """Struct of type and passed: how an assertion fares on a JSON text."""
+
+    def read(text: Column) -> Column:
+        kind = F.lit("unknown")
+        for name, form in reversed(FORMS.items()):
+            kind = F.when(text.rlike(form), name).otherwise(kind)
+        return F.struct(text.alias("text"), kind.alias("type"))
+
+    def taken_apart(r: Column) -> Column:
+        part = lambda i: F.coalesce(*[F.when(r["type"] == n, F.regexp_extract(r["text"], f, i)) for n, f in FORMS.items() if i == 1 or "(.+)" in f or "(\\d+)" in f])
+        value = F.trim(part(2), F.lit("\"' "))
+        actual = F.try_variant_get(F.try_parse_json(response), F.concat(F.lit("$."), part(1)), "string")
+        return F.struct(r["type"].alias("type"), value.alias("value"), actual.alias("actual"))
+
+    def judged(r: Column) -> Column:
+        actual, value = r["actual"], r["value"]
+        number, limit = actual.try_cast("double"), value.try_cast("double")
+        printed = _python_text(actual, actual)
+        passed = (
+            F.when(r["type"] == "equals", printed == value)
+            .when(r["type"] == "not_equals", printed != value)
+            .when(r["type"] == "greater_than", number > limit)
+            .when(r["type"] == "less_than", number < limit)
+            .when(r["type"] == "contains", F.contains(actual, value))
+            .when(r["type"] == "null", actual.isNull())
+            .when(r["type"] == "not_null", actual.isNotNull())
+            .when(r["type"] == "length", F.length(actual) == value.try_cast("int"))
+        )
+        bad = r["type"].isin("greater_than", "less_than") & limit.isNull()
+        return F.struct(F.when(bad, "error").otherwise(r["type"]).alias("type"), F.coalesce(passed & ~bad, F.lit(False)).alias("passed"))
+
+    return let(let(let(F.trim(assertion), read), taken_apart), judged)
 
 
 def _subset(expected, actual) -> bool:
@@ -76,15 +90,28 @@ def _parse(text):
 
 @query(
     "results",
-    prepare=lambda r: (r.select("id", "expected_status", "actual_status", F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"k": '), "k", F.lit("}"))).otherwise(F.lit('{"z": 1}')).alias("expected"), F.concat(F.lit('{"k": '), "k", F.lit(', "more": [1]}')).alias("actual")),),
-    sql="SELECT id, coalesce(expected_status = actual_status, false) AS status_ok, k % 2 = 0 AS body_ok, coalesce(expected_status = actual_status, false) AND k % 2 = 0 AS passed FROM results",
+    prepare=lambda r: (
+        r.select(
+            "id",
+            "expected_status",
+            "actual_status",
+            F.when(F.col("k") % 4 == 0, None).when(F.col("k") % 2 == 0, F.concat(F.lit('{"k": '), "k", F.lit("}"))).otherwise(F.lit('{"z": 1}')).alias("expected"),
+            F.concat(F.lit('{"k": '), "k", F.lit(', "more": [1]}')).alias("actual"),
+            F.when(F.col("id") % 4 == 0, F.array(F.lit("k > 20"), F.lit("k is not null"))).alias("assertions"),
+        ),
+    ),
+    sql="""SELECT *, status_ok AND body_ok AND assertions_ok AS passed FROM (SELECT id, coalesce(expected_status = actual_status, false) AS status_ok, k % 2 = 0 AS body_ok, id % 4 <> 0 OR k > 20 AS assertions_ok FROM results)""",
 )
 def validate_responses(rows: DataFrame) -> DataFrame:
-    """Status equality, and whether the expected JSON is a subset of the actual one (lists are compared whole)."""
+    """Status equality; whether the expected JSON is a subset of the actual one (lists are compared whole; none expected is fine); and
+    whether all ``assertions`` pass on the actual one. A response passes if all three do."""
 
     @F.pandas_udf("boolean")
     def subset(expected: pd.Series, actual: pd.Series) -> pd.Series:
-        return pd.Series([_subset(_parse(e), _parse(a)) for e, a in zip(expected, actual, strict=True)])
+        parsed = ((_parse(e), a) for e, a in zip(expected, actual, strict=True))
+        return pd.Series([not e or _subset(e, _parse(a)) for e, a in parsed], dtype=bool)
 
     status = F.coalesce(F.col("expected_status") == F.col("actual_status"), F.lit(False))
-    return rows.select("id", status.alias("status_ok"), subset("expected", "actual").alias("body_ok")).withColumn("passed", F.col("status_ok") & F.col("body_ok"))
+    all_pass = F.coalesce(F.forall("assertions", lambda a: outcome(a, F.col("actual"))["passed"]), F.lit(True))
+    checked = rows.select("id", status.alias("status_ok"), subset("expected", "actual").alias("body_ok"), all_pass.alias("assertions_ok"))
+    return checked.withColumn("passed", F.col("status_ok") & F.col("body_ok") & F.col("assertions_ok"))

@@ -165,14 +165,35 @@ def categorize_case(cases: DataFrame) -> DataFrame:
     return cases.select("id", kind.alias("category"))
 
 
-_DOC = "'Test: ' || title || chr(10) || 'Type: ' || type || chr(10) || 'Description: ' || description || chr(10) || 'Steps:' || chr(10) || array_to_string(list_transform(range(1, len(steps) + 1), lambda i: '  ' || i || '. ' || steps[i].action), chr(10))"
+def _given(rows: DataFrame, name: str, kind: str = "string") -> Column:
+    """The column of this name, or nulls where the table has none."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
 
 
-@query("cases", sql=f"SELECT id, {_DOC} AS document FROM cases")
+_DOC = """'Test: ' || coalesce(title, 'Unnamed') || chr(10) || 'Type: ' || coalesce(type, 'unknown') || chr(10) || 'Endpoint: ' || CASE WHEN id % 3 = 0 THEN '/c/' || id ELSE '' END || chr(10) || 'Method: GET' || coalesce(chr(10) || 'Description: ' || description, '') ||
+ chr(10) || 'Steps:' || chr(10) || array_to_string(list_transform(range(1, len(steps) + 1), lambda i: '  ' || i || '. ' || steps[i].action), chr(10)) ||
+ CASE WHEN id % 2 = 0 THEN chr(10) || 'Assertions:' || chr(10) || '  - status == 200' || chr(10) || '  - id is not null' ELSE '' END || CASE WHEN id % 5 = 0 THEN chr(10) || 'Test Data: {"id":"' || id || '"}' ELSE '' END"""
+
+
+def _as_tests(cases: DataFrame) -> DataFrame:
+    return cases.select(
+        "*",
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("/c/"), "id")).alias("endpoint"),
+        F.lit("GET").alias("method"),
+        F.when(F.col("id") % 2 == 0, F.array(F.lit("status == 200"), F.lit("id is not null"))).alias("assertions"),
+        F.when(F.col("id") % 5 == 0, F.create_map(F.lit("id"), F.col("id").cast("string"))).alias("test_data"),
+    )
+
+
+@query("cases", sql=f"SELECT id, {_DOC} AS document FROM cases", prepare=lambda c: (_as_tests(c),))
 def format_case_document(cases: DataFrame) -> DataFrame:
-    """Multi-line document of a case with numbered steps."""
+    """Multi-line document of a case: test, type, endpoint and method always; description, numbered steps, assertions and test data where
+    the case has them. Columns that the table lacks count as missing."""
     steps = F.array_join(F.transform("steps", lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), s["action"])), "\n")
-    lines = [F.concat(F.lit("Test: "), "title"), F.concat(F.lit("Type: "), "type"), F.concat(F.lit("Description: "), "description"), F.lit("Steps:"), steps]
+    checks = F.array_join(F.transform(_given(cases, "assertions", "array<string>"), lambda a: F.concat(F.lit("  - "), a)), "\n")
+    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(_given(cases, c), F.lit(default))) for label, c, default in (("Test", "title", "Unnamed"), ("Type", "type", "unknown"), ("Endpoint", "endpoint", ""), ("Method", "method", ""))]
+    lines += [F.concat(F.lit("Description: "), _given(cases, "description")), F.concat(F.lit("Steps:\n"), steps), F.concat(F.lit("Assertions:\n"), checks)]
+    lines.append(F.concat(F.lit("Test Data: "), F.to_json(_given(cases, "test_data", "map<string,string>"))))
     return cases.select("id", F.concat_ws("\n", *lines).alias("document"))
 
 
@@ -182,11 +203,24 @@ def item_text(items: DataFrame) -> DataFrame:
     return items.select("ordinal", F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in map(F.col, ("name", "description", "endpoint", "method", "test_type"))]).alias("text"))
 
 
-@query("parameters", sql="SELECT id, array_to_string(list_filter(['Endpoint: ' || endpoint, 'Param: ' || name || ' Type: ' || type, 'min: ' || min_value, 'max: ' || max_value], lambda x: x IS NOT NULL), ' | ') AS text FROM parameters")
-def structured_text(parameters: DataFrame) -> DataFrame:
-    """One line of a structured record: its fields by label, missing ones left out."""
+#: Fields of a record that come first, by label.
+COMMON = {"endpoint": "Endpoint", "path": "Path", "method": "Method", "name": "Name", "description": "Description"}
+
+
+@query(
+    "parameters",
+    prepare=lambda p: (p.select("id", "endpoint", "name", F.array(F.struct("name", F.col("type").alias("values"))).alias("parameters"), "min_value", "max_value"),),
+    sql="SELECT id, array_to_string(list_filter(['Endpoint: ' || endpoint, 'Name: ' || name, 'Param: ' || name || ' Values: ' || type, 'min_value: ' || min_value, 'max_value: ' || max_value], lambda x: x IS NOT NULL), ' | ') AS text FROM parameters",
+)
+def structured_text(records: DataFrame) -> DataFrame:
+    """One line of a structured record (its columns but ``id``): the common fields by label, then its ``parameters`` (name and values),
+    then all other fields by name. Missing fields are left out, and so are common ones that are empty."""
     labelled = lambda label, c: F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))
-    return parameters.select("id", F.concat_ws(" | ", labelled("Endpoint", "endpoint"), F.concat(F.lit("Param: "), "name", F.lit(" Type: "), "type"), labelled("min", "min_value"), labelled("max", "max_value")).alias("text"))
+    parts = [F.when(F.col(c) != "", labelled(label, c)) for c, label in COMMON.items() if c in records.columns]
+    if "parameters" in records.columns:
+        parts.append(F.transform("parameters", lambda p: F.concat(F.lit("Param: "), F.coalesce(p["name"], F.lit("")), F.lit(" Values: "), F.coalesce(p["values"], F.lit("")))))
+    parts += [labelled(c, c) for c in records.columns if c not in {"id", "parameters", *COMMON}]
+    return records.select("id", F.concat_ws(" | ", *parts).alias("text"))
 
 
 def _suite_texts(documents: DataFrame) -> DataFrame:
@@ -226,10 +260,28 @@ def flatten_suites(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, suite_path string, id long, fields map<string,string>")
 
 
-@query("cases", sql="SELECT id, array_to_string(list_filter(['title: ' || title, 'description: ' || description, 'priority: ' || priority], lambda x: x IS NOT NULL), chr(10)) AS content FROM cases")
-def extract_content(cases: DataFrame) -> DataFrame:
-    """Content of a document without a content field: its described fields as lines."""
-    return cases.select("id", F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), c) for c in ("title", "description", "priority")]).alias("content"))
+@query(
+    "cases",
+    prepare=lambda c: (
+        c.select(
+            "id",
+            F.when(F.col("id") % 4 == 0, F.col("description")).alias("content"),
+            F.when(F.col("id") % 4 == 1, F.col("title")).alias("text"),
+            F.when(F.col("id") % 4 == 2, F.concat(F.lit("code "), "id")).alias("code"),
+            F.col("title").alias("name"),
+            "description",
+            F.col("priority").alias("summary"),
+        ),
+    ),
+    sql="""SELECT * FROM (SELECT id, CASE id % 4 WHEN 0 THEN description WHEN 1 THEN title WHEN 2 THEN 'code ' || id
+    ELSE array_to_string(list_filter(['name: ' || title, 'description: ' || description, 'summary: ' || priority], lambda x: x IS NOT NULL), chr(10)) END AS content FROM cases) WHERE content <> ''""",
+)
+def extract_content(documents: DataFrame) -> DataFrame:
+    """Content of a document: its content, else text, else code, else its described fields as lines. Empty documents are skipped, and
+    columns that the table lacks count as missing."""
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), _given(documents, c)) for c in ("name", "description", "summary", "body")])
+    content = F.coalesce(*[_given(documents, c) for c in ("content", "text", "code")], lines)
+    return documents.select("id", content.alias("content")).where("content <> ''")
 
 
 _CODE = "lower(code)"
@@ -238,9 +290,13 @@ _CODE = "lower(code)"
 @query("source_files", sql=f"SELECT path, CASE WHEN {_sql_any(_CODE, ('validation', 'invalid'))} THEN 'validation' WHEN {_sql_any(_CODE, ('edge', 'boundary'))} THEN 'edge_case' WHEN {_sql_any(_CODE, ('auth', 'unauthorized'))} THEN 'authentication' WHEN contains({_CODE}, 'security') THEN 'security' ELSE 'functional' END AS test_type FROM source_files")
 def classify_code_type(files: DataFrame) -> DataFrame:
     """Test type of code by the first group of words that it holds."""
-    code = F.lower("code")
+    return files.select("path", code_type(F.col("code")).alias("test_type"))
+
+
+def code_type(code: Column) -> Column:
+    code = F.lower(code)
     kind = F.when(_any(code, ("validation", "invalid")), "validation").when(_any(code, ("edge", "boundary")), "edge_case").when(_any(code, ("auth", "unauthorized")), "authentication").when(_any(code, ("security",)), "security")
-    return files.select("path", kind.otherwise("functional").alias("test_type"))
+    return kind.otherwise("functional")
 
 
 @query("cases", sql="SELECT id, coalesce(nullif(array_to_string(list_filter([nullif(description, ''), nullif(title, '')], lambda x: x IS NOT NULL), ' '), ''), '{}') AS text FROM cases", prepare=lambda c: (c.select("id", F.create_map(F.lit("description"), F.col("description"), F.lit("name"), F.col("title")).alias("metadata")),))

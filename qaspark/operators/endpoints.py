@@ -262,14 +262,41 @@ def build_url(requests: DataFrame, base: str) -> DataFrame:
     return requests.select("ordinal", whole.alias("url"))
 
 
-@query("test_cases", sql="SELECT ordinal, CASE WHEN upper(method) IN ('GET', 'DELETE') THEN 'id=' || k END AS query_params, CASE WHEN upper(method) IN ('POST', 'PUT', 'PATCH') THEN '{\"id\":\"' || k || '\"}' END AS body, 'Bearer t' || suite_id AS authorization FROM test_cases", prepare=lambda c: (c.withColumn("test_data", F.create_map(F.lit("id"), F.col("k").cast("string"))).withColumn("auth_token", F.concat(F.lit("t"), "suite_id")),))
+#: Headers of every request.
+HEADERS = {"Content-Type": "application/json", "Accept": "application/json"}
+
+
+def _updated(there: Column, more: Column) -> Column:
+    """A map with the entries of another, which win."""
+    return F.map_concat(F.map_filter(there, lambda k, _: ~F.map_contains_key(more, k)), more)
+
+
+@query(
+    "test_cases",
+    prepare=lambda c: (
+        c.select(
+            "*",
+            F.create_map(F.lit("id"), F.col("k").cast("string")).alias("test_data"),
+            F.concat(F.lit("t"), "suite_id").alias("auth_token"),
+            F.when(F.col("k") % 3 == 0, F.create_map(F.lit("Accept"), F.lit("text/plain"), F.lit("X-Suite"), F.col("suite_id").cast("string"))).alias("headers"),
+        ),
+    ),
+    sql="""SELECT ordinal, CASE WHEN upper(method) IN ('GET', 'DELETE') THEN 'id=' || k END AS query_params, CASE WHEN upper(method) IN ('POST', 'PUT', 'PATCH') THEN '{"id":"' || k || '"}' END AS body,
+    CASE WHEN k % 3 = 0 THEN ['Accept: text/plain', 'Authorization: Bearer t' || suite_id, 'Content-Type: application/json', 'X-Suite: ' || suite_id] ELSE ['Accept: application/json', 'Authorization: Bearer t' || suite_id, 'Content-Type: application/json'] END AS headers FROM test_cases""",
+)
 def request_shape(requests: DataFrame) -> DataFrame:
-    """Query parameters or JSON body by method, and the authorisation header."""
+    """Query parameters or JSON body by method, and header lines in order: the usual ones, then the request's own ``headers``, then its
+    ``auth_token``; later ones replace earlier ones."""
     m = F.upper("method")
     pairs = F.array_join(F.transform(F.map_entries("test_data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
+    own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    token = F.when(F.col("auth_token").isNotNull(), F.create_map(F.lit("Authorization"), F.concat(F.lit("Bearer "), "auth_token")))
+    merged = F.create_map(*[F.lit(x) for kv in HEADERS.items() for x in kv])
+    for more in (own, F.coalesce(token, F.create_map().cast("map<string,string>"))):
+        merged = _updated(merged, more)
     return requests.select(
         "ordinal",
         F.when(m.isin("GET", "DELETE"), pairs).alias("query_params"),
         F.when(m.isin("POST", "PUT", "PATCH"), F.to_json("test_data")).alias("body"),
-        F.concat(F.lit("Bearer "), "auth_token").alias("authorization"),
+        F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))).alias("headers"),
     )

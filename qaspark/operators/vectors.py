@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.functions.numbers import let
+from qaspark.operators.cases import code_type
 from qaspark.registry import query
 
 #: About how many vectors a block holds. Search defaults: neighbours and least score.
@@ -136,10 +137,25 @@ def retrieve_edge_cases(base: DataFrame, queries: DataFrame) -> DataFrame:
     return nearest(base.where("index_name = 'edge_cases'"), queries).where(F.col("score") >= MIN_SCORE).select("query_id", "id", "rank")
 
 
-@query("vectors", sql=f"{SQL_HITS} SELECT query_id, id, rank FROM h WHERE index_name = 'test_patterns' AND rank < 5", prepare=lambda v: _BOTH(v))
-def retrieve_similar_tests(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """Nearest test patterns."""
-    return nearest(base.where("index_name = 'test_patterns'"), queries, 5).select("query_id", "id", "rank")
+_TEST_CODES = ("checks invalid input", "at the boundary", "unauthorized call", "plain call")
+
+
+def _with_code(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    code = F.get(F.array(*[F.lit(c) for c in _TEST_CODES]), (F.col("label") % 4).cast("int"))
+    return vectors.withColumn("test_code", F.when(F.col("id") % 2 == 0, code)), vectors.where("id % 50 = 0").select("id", "vec")
+
+
+@query(
+    "vectors",
+    prepare=_with_code,
+    sql=f"""{SQL_HITS} SELECT h.query_id, h.id, h.rank, CASE WHEN h.id % 2 = 0 THEN CASE v.label % 4 WHEN 0 THEN 'validation' WHEN 1 THEN 'edge_case' WHEN 2 THEN 'authentication' ELSE 'functional' END END AS test_type
+    FROM h JOIN vectors v ON v.index_name = h.index_name AND v.id = h.id WHERE h.index_name = 'test_patterns' AND rank < 5""",
+)
+def retrieve_similar_tests(base: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Nearest test patterns, with the test type of their ``test_code`` where they have one."""
+    stored = base.where("index_name = 'test_patterns'")
+    kinds = stored.select("id", F.when(F.col("test_code").isNotNull(), code_type(F.col("test_code"))).alias("test_type"))
+    return nearest(stored, queries, k).join(kinds, "id").select("query_id", "id", "rank", "test_type")
 
 
 @query("vectors", sql=f"{SQL_HITS} SELECT query_id, id, rank FROM h WHERE index_name = 'validation_rules' AND rank < 5", prepare=lambda v: _BOTH(v))
