@@ -62,11 +62,11 @@ def _boundary() -> Column:
     return F.when(F.col("type").isin("integer", "number"), number).when(F.col("type") == "string", text)
 
 
-_VALID = f"""CASE WHEN contains(lower(name), 'email') THEN '"test_' || (1000 + {_PICK.format(9000)}) || '@example.com"' WHEN contains(lower(name), 'phone') THEN '"+1' || (1000000000 + {_PICK.format(8999999999)}) || '"'
- WHEN contains(lower(name), 'uuid') THEN '"' || md5(id || ':' || name) || '"' WHEN contains(lower(name), 'date') THEN '"2024-01-' || lpad(CAST(1 + {_PICK.format(28)} AS VARCHAR), 2, '0') || '"'
- WHEN contains(lower(name), 'url') THEN '"https://example.com/api/' || (1 + {_PICK.format(100)}) || '"'
+_VALID = f"""CASE WHEN contains(lower(name), 'email') THEN '"test_' || (1000 + {_PICK.format(9000)}) || '@example.com"' WHEN contains(lower(name), 'phone') OR contains(lower(name), 'tel') THEN '"+1' || (1000000000 + {_PICK.format(8999999999)}) || '"'
+ WHEN contains(lower(name), 'uuid') OR contains(lower(name), 'guid') THEN '"' || md5(id || ':' || name) || '"' WHEN contains(lower(name), 'date') OR contains(lower(name), 'time') THEN '"2024-01-' || lpad(CAST(1 + {_PICK.format(28)} AS VARCHAR), 2, '0') || '"'
+ WHEN contains(lower(name), 'url') OR contains(lower(name), 'link') THEN '"https://example.com/api/' || (1 + {_PICK.format(100)}) || '"' WHEN contains(lower(name), 'ip') THEN '"192.168.' || {_PICK.format(256)} || '.' || (1 + {_PICK.format(254)}) || '"'
  WHEN type = 'integer' THEN CAST(coalesce(min_value, 1) + {_PICK.format('greatest(coalesce(max_value, 1000) - coalesce(min_value, 1) + 1, 1)')} AS VARCHAR)
- WHEN type = 'number' THEN CAST(coalesce(min_value, 0) + {_PICK.format('greatest(coalesce(max_value, 1000) - coalesce(min_value, 0) + 1, 1)')} AS VARCHAR)
+ WHEN type = 'number' THEN CAST(CAST((100 * coalesce(min_value, 0) + {_PICK.format('greatest(100 * (coalesce(max_value, 1000) - coalesce(min_value, 0)) + 1, 1)')}) / 100.0 AS DECIMAL(20, 2)) AS VARCHAR)
  WHEN type = 'boolean' THEN CASE WHEN {_PICK.format(2)} = 0 THEN 'false' ELSE 'true' END WHEN type = 'array' THEN '["x"]' WHEN type = 'object' THEN '{{"key":"value","nested":{{"data":"test"}}}}'
  ELSE '"' || repeat('a', CAST(coalesce(min_length, 1) + {_PICK.format('greatest(coalesce(max_length, 20) - coalesce(min_length, 1) + 1, 1)')} AS INT)) || '"' END"""
 
@@ -76,15 +76,18 @@ def _valid() -> Column:
     p = lambda n: pick(n if isinstance(n, Column) else F.lit(n), "id", "name")
     quoted = lambda *parts: F.concat(F.lit('"'), *[x if isinstance(x, Column) else F.lit(x) for x in parts], F.lit('"'))
     between = lambda low, low_default, high, high_default: F.coalesce(low, F.lit(low_default)) + p(F.greatest(F.coalesce(high, F.lit(high_default)) - F.coalesce(low, F.lit(low_default)) + 1, F.lit(1)))
-    has = lambda w: F.contains(name, F.lit(w))
+    has = lambda *words: name.rlike("|".join(words))
+    least, most = F.coalesce("min_value", F.lit(0)), F.coalesce("max_value", F.lit(1000))
+    hundredths = 100 * least + p(F.greatest(100 * (most - least) + 1, F.lit(1)))
     return (
         F.when(has("email"), quoted("test_", (1000 + p(9000)).cast("string"), "@example.com"))
-        .when(has("phone"), quoted("+1", (1000000000 + p(8999999999)).cast("string")))
-        .when(has("uuid"), quoted(F.md5(F.concat_ws(":", F.col("id").cast("string"), "name"))))
-        .when(has("date"), quoted("2024-01-", F.lpad((1 + p(28)).cast("string"), 2, "0")))
-        .when(has("url"), quoted("https://example.com/api/", (1 + p(100)).cast("string")))
+        .when(has("phone", "tel"), quoted("+1", (1000000000 + p(8999999999)).cast("string")))
+        .when(has("uuid", "guid"), quoted(F.md5(F.concat_ws(":", F.col("id").cast("string"), "name"))))
+        .when(has("date", "time"), quoted("2024-01-", F.lpad((1 + p(28)).cast("string"), 2, "0")))
+        .when(has("url", "link"), quoted("https://example.com/api/", (1 + p(100)).cast("string")))
+        .when(has("ip"), quoted("192.168.", p(256).cast("string"), ".", (1 + p(254)).cast("string")))
         .when(kind == "integer", between(F.col("min_value"), 1, F.col("max_value"), 1000).cast("string"))
-        .when(kind == "number", between(F.col("min_value"), 0, F.col("max_value"), 1000).cast("string"))
+        .when(kind == "number", (hundredths / 100).cast("decimal(20,2)").cast("string"))
         .when(kind == "boolean", F.when(p(2) == 0, "false").otherwise("true"))
         .when(kind == "array", F.lit('["x"]'))
         .when(kind == "object", F.lit('{"key":"value","nested":{"data":"test"}}'))
@@ -92,10 +95,18 @@ def _valid() -> Column:
     )
 
 
-@query("parameters", sql=f"SELECT id, {_VALID} AS value FROM parameters")
+@query(
+    "parameters",
+    prepare=lambda p: (p.withColumn("enum", F.when(F.col("id") % 9 == 0, F.array(F.lit('"low"'), F.lit('"mid"'), F.lit('"high"')))),),
+    sql=f"""SELECT id, CASE WHEN id % 9 = 0 THEN ['"low"', '"mid"', '"high"'][1 + {_PICK.format(3)}] ELSE {_VALID} END AS value FROM parameters""",
+)
 def valid_values(parameters: DataFrame) -> DataFrame:
-    """A valid JSON value: by what the name says, else by type within the constraints."""
-    return parameters.select("id", _valid().alias("value"))
+    """A valid JSON value: one of the ``enum`` (JSON values) if the table has such a column and it is not empty, else by what the name
+    says, else by type within the constraints."""
+    value = _valid()
+    if "enum" in parameters.columns:
+        value = F.when(F.size("enum") > 0, F.get("enum", pick(F.size("enum"), "id", "name").cast("int"))).otherwise(value)
+    return parameters.select("id", value.alias("value"))
 
 
 @query("parameters", sql=f"SELECT id, coalesce({_BOUND}, {_VALID}) AS value FROM parameters")

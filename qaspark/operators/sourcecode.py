@@ -40,16 +40,39 @@ def _clean(route: Column) -> Column:
     return F.when((F.length(one) > 1) & F.endswith(one, F.lit("/")), F.substring(one, F.lit(1), F.length(one) - 1)).otherwise(one)
 
 
-@query("source_files", sql="SELECT path, 'T' || p_partkey || 'Controller' AS controller, m AS method_name, CASE m WHEN 'GetOne' THEN 'GET' ELSE 'POST' END AS http_method, '/api/things/' || p_partkey || CASE m WHEN 'GetOne' THEN '/{id}' ELSE '' END AS route, CASE m WHEN 'GetOne' THEN 'id:int' ELSE 'item:Item' END AS parameters, m = 'GetOne' AS authorized FROM source_files, unnest(['GetOne', 'Create']) t(m) WHERE language = 'csharp'", prepare=lambda f: (f,))
+def _arguments(parameters: Column) -> Column:
+    """The parameters of a signature, one by one: commas within parentheses do not part them."""
+    return F.filter(F.transform(F.split(parameters, r",(?![^(]*\))"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _source(argument: Column, marks: dict[str, str], default: str) -> Column:
+    found = [F.when(F.contains(argument, F.lit(mark)), source) for mark, source in marks.items()]
+    return F.coalesce(*found, F.lit(default))
+
+
+# Where a parameter comes from, by what marks it.
+CSHARP_SOURCES = {"[FromBody]": "body", "[FromQuery]": "query", "[FromRoute]": "route"}
+JAVA_SOURCES = {"@PathVariable": "path", "@RequestParam": "query", "@RequestBody": "body"}
+FASTAPI_SOURCES = {"Query": "query", "Path": "path", "Body": "body", "Header": "header"}
+
+
+@query(
+    "source_files",
+    sql="""SELECT path, 'T' || p_partkey || 'Controller' AS controller, m AS method_name, CASE m WHEN 'GetOne' THEN 'GET' ELSE 'POST' END AS http_method, '/api/things/' || p_partkey || CASE m WHEN 'GetOne' THEN '/{id}' ELSE '' END AS route,
+    CASE m WHEN 'GetOne' THEN 'id:int:route' ELSE 'item:Item:body,n' || p_partkey || ':int?:query' END AS parameters, m = 'GetOne' AS authorized, CASE m WHEN 'GetOne' THEN 'Read' || p_partkey ELSE '' END AS policy
+    FROM source_files, unnest(['GetOne', 'Create']) t(m) WHERE language = 'csharp'""",
+    prepare=lambda f: (f,),
+)
 def endpoints_csharp(files: DataFrame) -> DataFrame:
-    """Actions of ASP.NET controllers; the base route gets the api/ prefix."""
+    """Actions of ASP.NET controllers; the base route gets the api/ prefix. Parameters come as name:type:source, from the route by default."""
     verb = r"\[Http(Get|Post|Put|Delete|Patch)(?:\(\"([^\"]*)\"\))?\]"
     signature = r"public\s+(?:async\s+)?(?:Task<)?(?:ActionResult(?:<[^>]*>)?|IActionResult)>?\s+(\w+)\s*\(([^)]*)\)"
     rows = _blocks(files, "csharp", r"(?=\[Http(?:Get|Post|Put|Delete|Patch))", verb).where(F.col("block").rlike(signature))
     base = _first(r"\[Route\(\"([^\"]+)\"\)\]", 1, "code")
     base = F.when((base == "") | F.startswith(base, F.lit("api/")), base).otherwise(F.concat(F.lit("api/"), base))
     guarded = F.col("block").rlike(r"\[Authorize") | F.get(F.split("code", r"public\s+class"), F.lit(0)).rlike(r"\[Authorize")
-    arguments = F.transform(F.filter(F.split(_first(signature, 2), ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), r"^(?:\[[^\]]*\]\s*)?(\S+)\s+(\w+).*$", "$2:$1"))
+    named = lambda x: F.regexp_replace(x, r"^(?:\[[^\]]*\]\s*)?(\S+)\s+(\w+).*$", "$2:$1")
+    arguments = F.transform(_arguments(_first(signature, 2)), lambda x: F.concat_ws(":", named(x), _source(x, CSHARP_SOURCES, "route")))
     return rows.select(
         "path",
         _first(r"public\s+class\s+(\w+)", 1, "code").alias("controller"),
@@ -58,16 +81,25 @@ def endpoints_csharp(files: DataFrame) -> DataFrame:
         _clean(F.concat_ws("/", base, _first(verb, 2))).alias("route"),
         F.array_join(arguments, ",").alias("parameters"),
         guarded.alias("authorized"),
+        _first(r"\[Authorize\([^\]]*?Policy\s*=\s*\"([^\"]*)\"").alias("policy"),
     )
 
 
-@query("source_files", sql="SELECT path, 'T' || p_partkey || 'Api' AS controller, m AS method_name, CASE m WHEN 'find' THEN 'GET' ELSE 'DELETE' END AS http_method, '/things' || p_partkey || '/{id}' AS route, CASE m WHEN 'find' THEN 'id:Long' ELSE 'id:Long,why:String' END AS parameters FROM source_files, unnest(['find', 'remove']) t(m) WHERE language = 'java'")
+@query(
+    "source_files",
+    sql="""SELECT path, 'T' || p_partkey || 'Api' AS controller, m AS method_name, CASE m WHEN 'find' THEN 'GET' ELSE 'DELETE' END AS http_method, '/things' || p_partkey || '/{id}' AS route,
+    CASE m WHEN 'find' THEN 'id:Long:path' ELSE 'id:Long:path,q' || p_partkey || ':String:query' END AS parameters FROM source_files, unnest(['find', 'remove']) t(m) WHERE language = 'java'""",
+)
 def endpoints_java(files: DataFrame) -> DataFrame:
-    """Handlers of Spring controllers; an annotation binds to the method after it."""
+    """Handlers of Spring controllers; an annotation binds to the method after it. Annotated parameters come as name:type:source, under
+    the name that the annotation gives them, if any."""
     verb = r"@(Get|Post|Put|Delete|Patch)Mapping(?:\(\s*(?:value\s*=\s*)?\"([^\"]*)\"[^)]*\))?"
     signature = r"(?:public|private|protected)\s+[\w<>\[\],\s?]+?\s+(\w+)\s*\((.*?)\)\s*(?:throws\s+\w+\s*)?\{"
     rows = _blocks(files, "java", r"(?=@(?:Get|Post|Put|Delete|Patch)Mapping)", verb).where(F.col("code").rlike(r"@(?:Rest)?Controller") & F.col("block").rlike(signature))
-    arguments = F.transform(F.filter(F.split(_first(signature, 2), ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), r"^(?:@\w+(?:\([^)]*\))?\s*)*(\S+)\s+(\w+)$", "$2:$1"))
+    given = lambda x: F.nullif(F.regexp_extract(x, r"@\w+\(\s*(?:(?:value|name)\s*=\s*)?\"(\w+)\"", 1), F.lit(""))
+    plain = lambda x, i: F.regexp_extract(x, r"(\S+)\s+(\w+)$", i)
+    marked = F.filter(_arguments(_first(signature, 2)), lambda x: x.rlike("@(?:PathVariable|RequestParam|RequestBody)"))
+    arguments = F.transform(marked, lambda x: F.concat_ws(":", F.coalesce(given(x), plain(x, 2)), plain(x, 1), _source(x, JAVA_SOURCES, "")))
     return rows.select(
         "path",
         _first(r"class\s+(\w+)", 1, "code").alias("controller"),
@@ -78,20 +110,28 @@ def endpoints_java(files: DataFrame) -> DataFrame:
     )
 
 
-@query("source_files", sql="SELECT path, 'flask' AS framework, f AS function_name, m AS http_method, '/things' || p_partkey || CASE f WHEN 'one' THEN '/<int:id>' ELSE '' END AS route FROM source_files, (VALUES ('one', 'GET'), ('one', 'PUT'), ('every', 'GET')) t(f, m) WHERE p_partkey % 5 = 2 UNION ALL SELECT path, 'fastapi', f, m, '/things' || p_partkey || CASE f WHEN 'one' THEN '/{id}' ELSE '' END FROM source_files, (VALUES ('one', 'GET'), ('create', 'POST')) t(f, m) WHERE p_partkey % 5 = 3")
+@query("source_files", sql="SELECT path, 'flask' AS framework, f AS function_name, m AS http_method, '/things' || p_partkey || CASE f WHEN 'one' THEN '/<int:id>' ELSE '' END AS route, '' AS parameters FROM source_files, (VALUES ('one', 'GET'), ('one', 'PUT'), ('every', 'GET')) t(f, m) WHERE p_partkey % 5 = 2 UNION ALL SELECT path, 'fastapi', f, m, '/things' || p_partkey || CASE f WHEN 'one' THEN '/{id}' ELSE '' END, CASE f WHEN 'one' THEN 'id:int:body:required,q:str:query:optional' ELSE 'item:Item' || p_partkey || ':body:required' END FROM source_files, (VALUES ('one', 'GET'), ('create', 'POST')) t(f, m) WHERE p_partkey % 5 = 3")
 def endpoints_python(files: DataFrame) -> DataFrame:
-    """Routes of Flask (a row for each method, GET by default), FastAPI and Django."""
+    """Routes of Flask (a row for each method, GET by default), FastAPI and Django.
+
+    FastAPI's typed parameters come as name:type:source:required or optional; they are from the body unless their default says otherwise.
+    """
     name = r"def\s+(\w+)\s*\("
     flask = r"@\w+\.route\(['\"]([^'\"]+)['\"](?:[^)]*?methods=\[([^\]]*)\])?"
     rows = _blocks(files, "python", r"(?=@\w+\.route\()", flask)
     methods = F.transform(F.split(F.when(_first(flask, 2) == "", "GET").otherwise(_first(flask, 2)), ","), lambda m: F.upper(F.regexp_replace(m, r"[\s'\"]", "")))
-    found = rows.select("path", F.lit("flask").alias("framework"), _first(name).alias("function_name"), F.explode(methods).alias("http_method"), _first(flask).alias("route"))
+    found = rows.select("path", F.lit("flask").alias("framework"), _first(name).alias("function_name"), F.explode(methods).alias("http_method"), _first(flask).alias("route"), F.lit("").alias("parameters"))
     fast = r"@(?:app|router)\.(get|post|put|delete|patch)\(['\"]([^'\"]+)['\"]"
+    typed = r"(\w+)\s*:\s*([\w\[\].]+)(?:\s*=\s*([^,)]+))?"
+    part = lambda x, i: F.regexp_extract(x, typed, i)
+    needed = lambda default: F.when((default == "") | F.contains(default, F.lit("...")), "required").otherwise("optional")
+    listed = F.regexp_extract_all(_first(r"def\s+\w+\s*\(((?:[^()]|\([^()]*\))*)\)"), F.lit(typed), F.lit(0))
+    arguments = F.transform(listed, lambda x: F.concat_ws(":", part(x, 1), part(x, 2), _source(part(x, 3), FASTAPI_SOURCES, "body"), needed(part(x, 3))))
     rows = _blocks(files, "python", r"(?=@(?:app|router)\.(?:get|post|put|delete|patch)\()", fast)
-    found = found.unionByName(rows.select("path", F.lit("fastapi").alias("framework"), _first(name).alias("function_name"), F.upper(_first(fast)).alias("http_method"), _first(fast, 2).alias("route")))
+    found = found.unionByName(rows.select("path", F.lit("fastapi").alias("framework"), _first(name).alias("function_name"), F.upper(_first(fast)).alias("http_method"), _first(fast, 2).alias("route"), F.array_join(arguments, ",").alias("parameters")))
     django = r"\bpath\(\s*['\"][^'\"]*['\"]\s*,\s*[\w.]+"
     each = files.where(F.col("language") == "python").select("path", F.explode(F.regexp_extract_all("code", F.lit(django), F.lit(0))).alias("block"))
-    return found.unionByName(each.select("path", F.lit("django").alias("framework"), _first(r",\s*(?:\w+\.)*(\w+)$").alias("function_name"), F.lit("GET").alias("http_method"), F.concat(F.lit("/"), _first(r"['\"]([^'\"]*)['\"]")).alias("route")))
+    return found.unionByName(each.select("path", F.lit("django").alias("framework"), _first(r",\s*(?:\w+\.)*(\w+)$").alias("function_name"), F.lit("GET").alias("http_method"), F.concat(F.lit("/"), _first(r"['\"]([^'\"]*)['\"]")).alias("route"), F.lit("").alias("parameters")))
 
 
 @query("source_files", sql="SELECT path, 'crow' AS framework, m AS http_method, '/things' || p_partkey || '/<int>' AS route FROM source_files, unnest(['GET', 'POST']) t(m) WHERE language = 'cpp'")
@@ -117,17 +157,26 @@ Parser = Callable[[DataFrame], DataFrame]
 PARSERS: dict[str, Parser] = {"csharp": endpoints_csharp, "java": endpoints_java, "python": endpoints_python, "cpp": endpoints_cpp}
 
 
-@query("source_files", sql="SELECT path, n AS name FROM source_files, (VALUES (0, 'GetOne'), (0, 'Create'), (1, 'find'), (1, 'remove'), (2, 'one'), (2, 'every'), (3, 'one'), (3, 'create'), (4, 'main'), (4, 'validateItem')) t(k, n) WHERE p_partkey % 5 = t.k")
+_METHODS = """(VALUES (0, 'GetOne', 'Task<ActionResult<Item>>', 'int id'), (0, 'Create', 'IActionResult', '[FromBody] Item item, [FromQuery] int? n§'), (1, 'find', 'Item', '@PathVariable Long id'), (1, 'remove', 'void', '@PathVariable Long id, @RequestParam("q§") String why'),
+ (2, 'one', '', 'id'), (2, 'every', '', ''), (3, 'one', '', 'id: int, q: str = Query(None)'), (3, 'create', '', 'item: Item§'), (4, 'main', 'int', ''), (4, 'validateItem', 'bool', 'const Item§& i')) t(k, n, r, p)"""
+
+
+@query("source_files", sql=f"SELECT path, n AS name, r AS return_type, replace(p, '§', CAST(p_partkey AS VARCHAR)) AS parameters FROM source_files, {_METHODS} WHERE p_partkey % 5 = t.k")
 def methods_inventory(files: DataFrame) -> DataFrame:
-    """Methods and functions of every file."""
-    by_language = {
-        "csharp": r"(?:public|private|protected)\s+(?:static\s+)?(?:async\s+)?[\w<>\[\]?]+\s+(\w+)\s*\(",
-        "java": r"(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(",
-        "python": r"(?m)^\s*(?:async\s+)?def\s+(\w+)\s*\(",
-        "cpp": r"(?m)^(?:[\w:<>&*]+\s+)+(\w+)\s*\([^;{]*\)\s*\{",
+    """Methods and functions of every file, with return type (empty if none is given) and parameters as written."""
+    inner = r"((?:[^()]|\([^()]*\))*)"
+    by_language = {  # pattern, and its groups of name, return type and parameters
+        "csharp": (r"(?:public|private|protected)\s+(?:static\s+)?(?:async\s+)?([\w<>\[\]?]+)\s+(\w+)\s*\(" + inner + r"\)", 2, 1, 3),
+        "java": (r"(?:public|private|protected)\s+(?:static\s+)?([\w<>\[\]]+)\s+(\w+)\s*\(" + inner + r"\)", 2, 1, 3),
+        "python": (r"(?m)^\s*(?:async\s+)?def\s+(\w+)\s*\(" + inner + r"\)\s*(?:->\s*([^:\n]+))?:", 1, 3, 2),
+        "cpp": (r"(?m)^((?:[\w:<>&*]+\s+)+)(\w+)\s*\(([^;{]*?)\)\s*\{", 2, 1, 3),
     }
-    names = F.coalesce(*[F.when(F.col("language") == k, F.regexp_extract_all("code", F.lit(p), F.lit(1))) for k, p in by_language.items()])
-    return files.select("path", F.explode(names).alias("name"))
+    parts = []
+    for at, alias in ((1, "name"), (2, "return_type"), (3, "parameters")):
+        found = [F.when(F.col("language") == k, F.regexp_extract_all("code", F.lit(v[0]), F.lit(v[at]))) for k, v in by_language.items()]
+        parts.append(F.coalesce(*found).alias(alias))
+    rows = files.select("path", F.explode(F.arrays_zip(*parts)).alias("m"))
+    return rows.select("path", "m.name", F.trim("m.return_type").alias("return_type"), F.trim("m.parameters").alias("parameters"))
 
 
 @query("source_files", sql="SELECT path, CASE p_partkey % 5 WHEN 0 THEN 'Item' || p_partkey || 'Dto' ELSE 'Item' || p_partkey END AS model, f AS field, CASE p_partkey % 5 WHEN 0 THEN CASE f WHEN 'Name' THEN 'string' ELSE 'int?' END WHEN 1 THEN CASE f WHEN 'name' THEN 'String' ELSE 'int' END WHEN 3 THEN CASE f WHEN 'name' THEN 'str' ELSE 'int' END ELSE CASE f WHEN 'name' THEN 'std::string' ELSE 'int' END END AS type FROM source_files, (VALUES (0, 'Name'), (0, 'Size'), (1, 'name'), (1, 'size'), (3, 'name'), (3, 'size'), (4, 'name'), (4, 'size')) t(k, f) WHERE p_partkey % 5 = t.k")
@@ -136,7 +185,7 @@ def models_inventory(files: DataFrame) -> DataFrame:
     shapes = {
         "csharp": (r"(?=public\s+class\s+\w+)", r"public\s+class\s+(\w+(?:Dto|DTO|Model|Request|Response))\b", r"public\s+([\w<>?\[\]]+)\s+(\w+)\s*\{\s*get", 2, 1),
         "java": (r"(?m)(?=^(?:public\s+)?class\s+\w+)", r"class\s+(\w+)\s*\{", r"private\s+([\w<>]+)\s+(\w+)\s*;", 2, 1),
-        "python": (r"(?m)(?=^(?:@dataclass\s+)?class\s+\w+)", r"class\s+(\w+)(?:\([^)]*BaseModel[^)]*\)):", r"(?m)^    (\w+):\s*([\w\[\], ]+?)\s*(?:=.*)?$", 1, 2),
+        "python": (r"(?m)(?=^@dataclass)|(?<!\)\n|dataclass\n)(?=^class\s+\w+)", r"(?:class\s+(?=\w+\([^)]*BaseModel)|@dataclass(?:\([^)]*\))?\s+class\s+)(\w+)(?:\([^)]*\))?:", r"(?m)^    (\w+):\s*([\w\[\], ]+?)\s*(?:=.*)?$", 1, 2),
         "cpp": (r"(?m)(?=^struct\s+\w+)", r"struct\s+(\w+)\s*\{", r"(?m)^\s+([\w:<>]+)\s+(\w+);", 2, 1),
     }
     found = None
@@ -144,7 +193,7 @@ def models_inventory(files: DataFrame) -> DataFrame:
         rows = _blocks(files, language, start, model)
         if language == "java":
             rows = rows.where(~F.col("block").rlike("@(?:Autowired|GetMapping|PostMapping)"))
-        rows = rows.withColumn("block", F.when(F.lit(language == "python"), F.get(F.split("block", r"(?m)^(?=@|def |async )"), F.lit(0))).otherwise(F.col("block")))
+        rows = rows.withColumn("block", F.when(F.lit(language == "python"), F.get(F.split("block", r"(?m)^(?=@(?!dataclass)|def |async )"), F.lit(0))).otherwise(F.col("block")))
         names, kinds = (F.regexp_extract_all("block", F.lit(field), F.lit(g)) for g in (name, kind))
         part = rows.select("path", _first(model).alias("model"), F.explode(F.arrays_zip(names.alias("field"), kinds.alias("type"))).alias("f")).select("path", "model", "f.field", "f.type")
         found = part if found is None else found.unionByName(part)
