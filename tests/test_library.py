@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaspark.functions import tables
-from qaspark.operators import assertions, chunking, knowledge, sourcecode, validation, vectors
+from qaspark.operators import assertions, cases, chunking, datagen, endpoints, knowledge, reports, rewards, sourcecode, validation, vectors
 from qaspark.operators.results import result_summary
 from qaspark.plans import workloads
 from qaspark.sources import adapters
@@ -128,3 +128,64 @@ def test_missing_values_do_not_crash(spark):
     cases = spark.createDataFrame([(1, 1, None, None, None, None, None)], "ordinal long, suite_id long, name string, method string, endpoint string, test_type string, test_case string")
     assert validation.validate_test_cases(cases).first().error == "Missing required fields: ['name']"
     assert validation.valid_http_method(cases).first().valid is False
+
+
+def test_dataclasses_and_models(spark):
+    code = "import x\n\n@dataclass\nclass Point:\n    x: int\n    y: float = 0.0\n\n@dataclass(frozen=True)\nclass Name(Base):\n    text: str\n\nclass Plain:\n    z: int\n\nclass Item(BaseModel):\n    size: int\n\ndef f(a: int):\n    b: int = 1\n"
+    files = spark.createDataFrame([("m.py", "python", code)], "path string, language string, code string")
+    got = {(r.model, r.field, r.type) for r in sourcecode.models_inventory(files).collect()}
+    assert got == {("Point", "x", "int"), ("Point", "y", "float"), ("Name", "text", "str"), ("Item", "size", "int")}
+
+
+def test_parameters_of_handlers(spark):
+    python = "@app.get('/a/{n}')\nasync def a(n: int = Path(...), h: str = Header(None), body: Item):\n    return n\n\n@app.delete('/b')\ndef b():\n    pass\n"
+    java = '@RestController\nclass A {\n @PostMapping("/x")\n public Item add(@RequestBody Item item, @RequestParam(value = "page", required = false) int p, Locale where) {\n }\n}\n'
+    files = spark.createDataFrame([("a.py", "python", python), ("A.java", "java", java)], "path string, language string, code string")
+    assert {(r.function_name, r.parameters) for r in sourcecode.endpoints_python(files).collect()} == {("a", "n:int:path:required,h:str:header:optional,body:Item:body:required"), ("b", "")}
+    assert [r.parameters for r in sourcecode.endpoints_java(files).collect()] == ["item:Item:body,page:int:query"]
+    got = {(r.name, r.return_type, r.parameters) for r in sourcecode.methods_inventory(files).collect()}
+    assert ("a", "", "n: int = Path(...), h: str = Header(None), body: Item") in got and ("add", "Item", '@RequestBody Item item, @RequestParam(value = "page", required = false) int p, Locale where') in got
+
+
+def test_arrays_of_knowledge(spark, tmp_path):
+    (tmp_path / "edge_cases.json").write_text('[\n  {"id": "a", "name": "x",\n   "tags": [1, 2]},\n  {"id": "b"}\n]\n')
+    (tmp_path / "bug_patterns.json").write_text("[]")
+    got = sorted(tuple(r) for r in reports.read_arrays(spark, str(tmp_path)).collect())
+    assert got == [("edge_cases", "a", '{"id":"a","name":"x","tags":[1,2]}'), ("edge_cases", "b", '{"id":"b"}')]
+    assert reports.read_arrays(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_responses_with_assertions(spark):
+    rows = [(1, 200, 200, None, '{"a": 1}', None), (2, 200, 200, '{"a": {"b": 1}}', '{"a": {"b": 1, "c": 2}}', ["a.b == 1"]), (3, 200, 200, "{}", '{"a": 1}', ["a > 0", "a == 2"]), (4, 200, None, "{}", "broken", []), (5, 200, 200, '{"l": [1]}', '{"l": [1, 2]}', [])]
+    df = spark.createDataFrame(rows, "id int, expected_status int, actual_status int, expected string, actual string, assertions array<string>")
+    got = {r.id: (r.status_ok, r.body_ok, r.assertions_ok, r.passed) for r in assertions.validate_responses(df).collect()}
+    assert got == {1: (True, True, True, True), 2: (True, True, True, True), 3: (True, True, False, False), 4: (False, True, True, False), 5: (True, False, True, False)}
+
+
+def test_missing_columns_of_documents(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "d"), (3, None, None), (4, "", "d")], "id int, text string, description string")
+    assert {r.id: r.content for r in cases.extract_content(df).collect()} == {1: "a", 2: "description: d"}
+    case = spark.createDataFrame([(1, [("go", "", "")])], "id int, steps array<struct<action:string,expected_result:string,data:string>>")
+    assert cases.format_case_document(case).first().document == "Test: Unnamed\nType: unknown\nEndpoint: \nMethod: \nSteps:\n  1. go"
+    record = spark.createDataFrame([(1, "", "GET", None, 5)], "id int, endpoint string, method string, name string, size int")
+    assert cases.structured_text(record).first().text == "Method: GET | size: 5"
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([(1, "get", {"a": "b"}, None, None), (2, "POST", {}, {"Authorization": "x", "Accept": "y"}, "t")], "ordinal int, method string, test_data map<string,string>, headers map<string,string>, auth_token string")
+    got = {r.ordinal: (r.query_params, r.body, r.headers) for r in endpoints.request_shape(df).collect()}
+    assert got[1] == ("a=b", None, ["Accept: application/json", "Content-Type: application/json"])
+    assert got[2] == (None, "{}", ["Accept: y", "Authorization: Bearer t", "Content-Type: application/json"])
+
+
+def test_rewards_without_supplied_signals(spark):
+    rows = adapters.load(spark, "/root/testdata/sf0.001", "results")
+    plain = {r.session_id: r.raw for r in rewards.session_reward(rows).collect()}
+    none = spark.createDataFrame([], "session_id long, test_failures int")
+    assert {r.session_id: r.raw for r in rewards.session_reward(rows, supplied=none).collect()} == plain
+
+
+def test_values_within_bounds(spark):
+    df = spark.createDataFrame([(i, f"n{i}", "number", 3, 5, None, None) for i in range(50)], "id int, name string, type string, min_value int, max_value int, min_length int, max_length int")
+    values = [float(r.value) for r in datagen.valid_values(df).collect()]
+    assert all(3 <= v <= 5 for v in values) and any(v != int(v) for v in values)
