@@ -43,14 +43,26 @@ _LENGTH = f"CASE WHEN min_length IS NOT NULL THEN greatest(min_length - 1, 0) WH
 @query("parameters", sql=f"SELECT id, repeat('x', {_LENGTH}) AS value FROM parameters")
 def invalid_length_values(parameters: DataFrame) -> DataFrame:
     """A string too short, else too long, else very long."""
+    return parameters.select("id", _bad_length().alias("value"))
+
+
+def _bad_length() -> Column:
     n = F.when(F.col("min_length").isNotNull(), F.greatest(F.col("min_length") - 1, F.lit(0))).when(F.col("max_length").isNotNull(), F.col("max_length") + 1).otherwise(VERY_LONG)
-    return parameters.select("id", F.repeat(F.lit("x"), n).alias("value"))
+    return F.repeat(F.lit("x"), n)
+
+
+_WORD = "regexp_extract(name, '^[a-z]+', 0)"
+_FORMAT = f"coalesce({_sql_case(BAD_FORMAT, _WORD)}, 'invalid_format')"
+
+
+def _bad_format() -> Column:
+    return F.coalesce(_case(BAD_FORMAT, F.regexp_extract("name", "^[a-z]+", 0)), F.lit("invalid_format"))
 
 
-@query("parameters", sql=f"SELECT id, coalesce({_sql_case(BAD_FORMAT, 'regexp_extract(name, chr(94) || chr(91) || chr(97) || chr(45) || chr(122) || chr(93) || chr(43), 0)')}, 'invalid_format') AS value FROM parameters")
+@query("parameters", sql=f"SELECT id, {_FORMAT} AS value FROM parameters")
 def invalid_format_values(parameters: DataFrame) -> DataFrame:
     """A value of invalid format, by the leading word of the name."""
-    return parameters.select("id", F.coalesce(_case(BAD_FORMAT, F.regexp_extract("name", "^[a-z]+", 0)), F.lit("invalid_format")).alias("value"))
+    return parameters.select("id", _bad_format().alias("value"))
 
 
 _BOUND = "CASE WHEN type IN ('integer', 'number') THEN CAST(coalesce(min_value, max_value, 0) AS VARCHAR) WHEN type = 'string' THEN '\"' || repeat('x', coalesce(min_length, max_length, 0)) || '\"' END"
@@ -126,21 +138,49 @@ def edge_values(parameters: DataFrame) -> DataFrame:
 
 
 _EDGE_FIRST = f"(CASE type {' '.join(f'WHEN {t!r} THEN {vs[0]!r}' for t, vs in EDGES.items())} END)"
-_DATA = f"""CASE test_type WHEN 'wrong_type' THEN {_sql_case(WRONG, 'type')} WHEN 'boundary' THEN coalesce({_BOUND}, {_VALID}) WHEN 'edge' THEN {_EDGE_FIRST} ELSE '"' || repeat('x', {_LENGTH}) || '"' END"""
+#: Tests of the query: kind, test type, description and input that is there already.
+_KINDS = [("missing", "validation", "a required field is missing", None), ("type", "validation", "wrong type", None), ("length", "validation", "too long: length", None), ("format", "validation", "bad format", None), ("plain", "validation", "fine", None), ("boundary", "boundary", None, None), ("edge", "edge_case", "", None), ("any", "functional", "", None), ("given", "functional", "", '{"given":1}')]
 
 
-@query("parameters", sql=f"SELECT endpoint, test_type, count(*) AS n, string_agg(name || '#' || id || '=' || {_DATA}, '&' ORDER BY id) AS test_data FROM parameters GROUP BY 1, 2")
-def generate_test_data(parameters: DataFrame) -> DataFrame:
-    """Test data of each endpoint and test type: a value for every parameter, by the test type."""
-    n = F.when(F.col("min_length").isNotNull(), F.greatest(F.col("min_length") - 1, F.lit(0))).when(F.col("max_length").isNotNull(), F.col("max_length") + 1).otherwise(VERY_LONG)
-    first = _case({t: v[0] for t, v in EDGES.items()}, F.col("type"))
+def _tests(parameters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kinds = parameters.sparkSession.createDataFrame(_KINDS, "kind string, test_type string, description string, test_data string")
+    every = parameters.select("endpoint").distinct().crossJoin(F.broadcast(kinds))  # a few kinds
+    return every.select(F.concat_ws(":", "endpoint", "kind").alias("test"), "endpoint", "test_type", "description", "test_data"), parameters
+
+
+@query(
+    "parameters",
+    prepare=_tests,
+    sql=f"""WITH k AS (SELECT unnest({[k[0] for k in _KINDS]}) AS k), t AS (SELECT endpoint || ':' || k AS test, endpoint AS ep, k FROM (SELECT DISTINCT endpoint FROM parameters), k),
+    v AS (SELECT test, id, name, CASE k WHEN 'type' THEN {_sql_case(WRONG, 'type')} WHEN 'length' THEN '"' || repeat('x', {_LENGTH}) || '"' WHEN 'format' THEN '"' || {_FORMAT} || '"' WHEN 'boundary' THEN coalesce({_BOUND}, {_VALID})
+      WHEN 'edge' THEN {_EDGE_FIRST} ELSE {_VALID} END AS value FROM t JOIN parameters p ON p.endpoint = t.ep WHERE CASE k WHEN 'missing' THEN NOT required WHEN 'any' THEN required OR {_PICK.format(10)} >= 3 WHEN 'given' THEN false ELSE true END),
+    m AS (SELECT test, name, arg_max(coalesce(value, 'null'), id) AS value FROM v GROUP BY 1, 2)
+    SELECT t.test, CASE k WHEN 'given' THEN '{{"given":1}}' ELSE '{{' || coalesce(string_agg('"' || name || '":' || value, ',' ORDER BY name), '') || '}}' END AS test_data FROM t LEFT JOIN m USING (test) GROUP BY t.test, k""",
+)
+def generate_test_data(tests: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Input of each test as a JSON object of its endpoint's parameters; ``test_data`` that a test has already is kept.
+
+    Tests of validation break what their description names: required parameters are left out, or values get a wrong type, length or
+    format. Tests of boundaries and edges get such values. All others get valid ones: of required parameters, and of seven in ten
+    others. Of parameters with the same name the one with the largest id counts. A test without parameters gets an empty object.
+    """
+    text = F.lower(F.coalesce("description", F.lit("")))
+    broken = F.when(text.rlike("missing|required"), "missing").when(text.rlike("type"), "type").when(text.rlike("length|size"), "length").when(text.rlike("format"), "format").otherwise("valid")
+    kind = F.when(F.col("test_type") == "validation", broken).when(F.col("test_type") == "boundary", "boundary").when(F.col("test_type") == "edge_case", "edge").otherwise("any")
+    due = tests.where("test_data is null").select("test", "endpoint", kind.alias("kind"))
+    rows = due.join(parameters.drop("test_type"), "endpoint")
+    needed = F.coalesce("required", F.lit(False))
+    rows = rows.where(F.when(F.col("kind") == "missing", ~needed).when(F.col("kind") == "any", needed | (pick(F.lit(10), "id", "name") >= 3)).otherwise(True))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     value = (
-        F.when(F.col("test_type") == "wrong_type", _case(WRONG, F.col("type")))
-        .when(F.col("test_type") == "boundary", F.coalesce(_boundary(), _valid()))
-        .when(F.col("test_type") == "edge", first)
-        .otherwise(F.concat(F.lit('"'), F.repeat(F.lit("x"), n), F.lit('"')))
+        F.when(F.col("kind") == "type", _case(WRONG, F.col("type")))
+        .when(F.col("kind") == "length", quoted(_bad_length()))
+        .when(F.col("kind") == "format", quoted(_bad_format()))
+        .when(F.col("kind") == "boundary", F.coalesce(_boundary(), _valid()))
+        .when(F.col("kind") == "edge", _case({k: v[0] for k, v in EDGES.items()}, F.col("type")))
+        .otherwise(_valid())
     )
-    line = F.concat("name", F.lit("#"), F.col("id").cast("string"), F.lit("="), value)
-    rows = parameters.select("endpoint", "test_type", "id", line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "&")
-    return rows.groupBy("endpoint", "test_type").agg(F.count(F.lit(1)).alias("n"), joined.alias("test_data"))
+    each = rows.groupBy("test", "name").agg(F.max_by(F.coalesce(value, F.lit("null")), "id").alias("value"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda x: F.concat(F.lit('"'), x["name"], F.lit('":'), x["value"]))
+    made = each.groupBy("test").agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("_made"))
+    return tests.select("test", "test_data").join(made, "test", "left").select("test", F.coalesce("test_data", "_made", F.lit("{}")).alias("test_data"))

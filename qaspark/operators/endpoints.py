@@ -221,14 +221,29 @@ def assess_complexity(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("ordinal", points.alias("points"), F.when(points < 5, "low").when(points < 15, "medium").otherwise("high").alias("complexity"))
 
 
-@query("endpoints_raw", sql=f"WITH e AS (SELECT controller, ordinal, {SQL_METHOD} || ' ' || coalesce(path, '/unknown') AS line, row_number() OVER (PARTITION BY controller ORDER BY ordinal) AS n FROM endpoints_raw) SELECT controller, 'API ' || controller || ': ' || string_agg(line, ', ' ORDER BY n) AS query_text FROM e WHERE n <= 5 GROUP BY 1")
-def assemble_context(endpoints: DataFrame, first: int = 5) -> DataFrame:
-    """Query text of each specification: its first endpoints."""
+@query(
+    "endpoints_raw",
+    prepare=lambda e: (e, e.select("controller", "ordinal", F.col("return_type").alias("model"))),
+    sql=f"""WITH e AS (SELECT controller, ordinal, {SQL_METHOD} || ' ' || coalesce(path, '/unknown') AS line, row_number() OVER (PARTITION BY controller ORDER BY ordinal) AS n FROM endpoints_raw),
+    m AS (SELECT controller, return_type AS model, row_number() OVER (PARTITION BY controller ORDER BY min(ordinal), return_type) AS n FROM endpoints_raw GROUP BY 1, 2),
+    l AS (SELECT controller, string_agg(model, ' ' ORDER BY n) AS models FROM m WHERE n <= 3 GROUP BY 1)
+    SELECT controller, string_agg(line, ' ' ORDER BY n) || ' ' || controller || coalesce(' ' || any_value(models), '') AS query_text FROM e LEFT JOIN l USING (controller) WHERE n <= 5 GROUP BY 1""",
+)
+def assemble_context(endpoints: DataFrame, models: DataFrame, first: int = 5, first_models: int = 3) -> DataFrame:
+    """Query text of each controller's specification: its first endpoints, its name and its first models (controller, ordinal, model)."""
     line = F.concat_ws(" ", F.upper(F.coalesce("http_method", F.lit("GET"))), F.coalesce("path", F.lit("/unknown")))
-    n = F.row_number().over(Window.partitionBy("controller").orderBy("ordinal"))
-    top = endpoints.select("controller", line.alias("line"), n.alias("n")).where(F.col("n") <= first)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), ", ")
-    return top.groupBy("controller").agg(joined.alias("lines")).select("controller", F.concat(F.lit("API "), "controller", F.lit(": "), "lines").alias("query_text"))
+    lines = _first_of(endpoints.select("controller", "ordinal", line.alias("line")), first, "ordinal", "line")
+    seen = models.where("model is not null").groupBy("controller", "model").agg(F.min("ordinal").alias("ordinal"))
+    text = F.concat_ws(" ", "lines", "controller", "models")
+    return lines.join(_first_of(seen, first_models, "ordinal", "model").withColumnRenamed("lines", "models"), "controller", "left").select("controller", text.alias("query_text"))
+
+
+def _first_of(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """controller and lines: the last of the columns in ``order`` in its first n rows, joined by spaces."""
+    at = F.row_number().over(Window.partitionBy("controller").orderBy(*order))
+    top = rows.withColumn("_n", at).where(F.col("_n") <= n)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", order[-1]))), lambda x: x[order[-1]]), " ")
+    return top.groupBy("controller").agg(joined.alias("lines"))
 
 
 _CODE = "CASE {0} WHEN 'GET' THEN 0.2 WHEN 'POST' THEN 0.4 WHEN 'PUT' THEN 0.6 WHEN 'DELETE' THEN 0.8 WHEN 'PATCH' THEN 1.0 ELSE 0.5 END".format(SQL_METHOD)
