@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.functions.tables import numbered
@@ -53,11 +53,22 @@ def knowledge_upsert(knowledge: DataFrame, changed: DataFrame, removed: DataFram
     return rows.select("id", F.coalesce("_json", "item_json").alias("item_json"), F.when(F.col("_json").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"))
 
 
-@query("knowledge", sql="SELECT id, 'name: ' || json_extract_string(item_json, '$.name') || ' method: ' || json_extract_string(item_json, '$.method') || ' lang: ' || json_extract_string(item_json, '$.lang') || ' source: ' || json_extract_string(item_json, '$.source') AS text FROM knowledge")
+@query(
+    "knowledge",
+    prepare=lambda k: (k.withColumn("item_json", F.concat(F.expr("left(item_json, length(item_json) - 1)"), F.lit(',"n":5,"more":{"a":"b"},"long":"'), F.repeat(F.lit("x"), F.lit(500)), F.lit('"}'))),),
+    sql="SELECT id, 'name: ' || json_extract_string(item_json, '$.name') || ' method: ' || json_extract_string(item_json, '$.method') || ' lang: ' || json_extract_string(item_json, '$.lang') || ' source: ' || json_extract_string(item_json, '$.source') || ' more: {\"a\":\"b\"}' AS text FROM knowledge",
+)
 def load_kb_items(knowledge: DataFrame) -> DataFrame:
-    """Searchable text of an item: its string fields under 500 characters, as "key: value"."""
-    fields = F.map_filter(F.from_json("item_json", "map<string,string>"), lambda k, v: F.length(v) < 500)
-    return knowledge.select("id", F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " ").alias("text"))
+    """Searchable text of an item: its string fields under 500 characters and its objects as JSON, as "key: value", in the item's order."""
+    fields = F.try_variant_get(F.try_parse_json("item_json"), "$", "map<string,variant>")
+    rows = knowledge.select("id", F.json_object_keys("item_json").alias("_keys"), fields.alias("_fields"))
+
+    def shown(key: Column) -> Column:
+        value = F.try_element_at("_fields", key)
+        kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+        return F.when((kind == "STRING") & (F.length(text) < 500), F.concat(key, F.lit(": "), text)).when(F.startswith(kind, F.lit("OBJECT")), F.concat(key, F.lit(": "), F.to_json(value)))
+
+    return rows.select("id", F.array_join(F.array_compact(F.transform("_keys", shown)), " ").alias("text"))
 
 
 _METHODS = "(VALUES ('Happy Path Testing', ['GET', 'POST', 'PUT', 'DELETE']), ('Null/Empty Testing', ['POST', 'PUT']), ('Boundary Testing', ['All']), ('Authentication Testing', ['All']), ('Concurrent Access Testing', ['PUT', 'DELETE'])) p(pattern, applicable_to)"

@@ -230,11 +230,25 @@ def services_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.arrays_zip(kinds.alias("type"), names.alias("name"))).alias("s")).select("path", "s.type", "s.name")
 
 
-@query("source_files", sql="SELECT path, CASE WHEN p_partkey % 5 = 0 THEN 'null_check' ELSE '' END AS checks FROM source_files")
+#: Where a method starts, by language; the group is its name.
+STARTS = {
+    "csharp": r"^[ \t]*(?:public|private|protected)\s+(?:static\s+)?(?:async\s+)?[\w<>\[\]?]+\s+(\w+)\s*\(",
+    "java": r"^[ \t]*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(",
+    "python": r"^[ \t]*(?:async\s+)?def\s+(\w+)\s*\(",
+    "cpp": r"^(?:[\w:<>&*]+\s+)+(\w+)\s*\([^;{]*\)\s*\{",
+}
+
+
+@query("source_files", sql=f"SELECT path, n AS method, CASE WHEN n = 'GetOne' THEN 'null_check' ELSE '' END AS checks FROM source_files, {_METHODS} WHERE p_partkey % 5 = t.k")
 def inline_validations(files: DataFrame) -> DataFrame:
-    """Kinds of checks that a file's code makes by hand."""
-    found = F.array_compact(F.array(*[F.when(F.col("code").rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
-    return files.select("path", F.array_join(found, ",").alias("checks"))
+    """Kinds of checks that each method makes by hand, from its first line to the next method."""
+    found = F.array_compact(F.array(*[F.when(F.col("block").rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
+    parts = None
+    for language, start in STARTS.items():
+        rows = _blocks(files, language, f"(?m)(?={start})", start)
+        part = rows.select("path", _first(start).alias("method"), F.array_join(found, ",").alias("checks"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 @query("source_files", sql="SELECT path, language, length(code) AS n_chars FROM source_files")
