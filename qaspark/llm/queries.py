@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import bpe, chat, decontamination, fingerprints, html_extract, minhash_dedup, quality, sharding, substring_dedup, toxicity
+from qaspark.llm import bpe, chat, decontamination, fingerprints, html_extract, minhash_dedup, prefix_trie, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.common import read
 
 
@@ -49,7 +49,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe, op11_prefix_trie)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,5 +111,25 @@ UNION ALL
 SELECT conv_id, NULL, turn, NULL, NULL, NULL, 'message', 0, 0,
   '{"message":{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}}'
 FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+""",
+    "op11_prefix_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END)) % 6 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, length(text) AS len, md5(length(role) || ':' || role || text) AS e FROM r),
+p AS (SELECT conv_id, depth, len, md5(string_agg(e, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS id FROM d UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT id, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, max(len) AS len FROM p GROUP BY id),
+up AS (SELECT n.id, q.id AS parent FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+k AS (SELECT parent AS id, count(*) AS n FROM up GROUP BY 1),
+s AS (SELECT q.id, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.len) AS saved
+  FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth LEFT JOIN k ON k.id = n.id GROUP BY 1),
+e AS (SELECT id, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, id, depth, max(depth) OVER (PARTITION BY conv_id) AS most FROM p) x WHERE depth = most GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n LEFT JOIN up ON up.id = n.id LEFT JOIN n m ON m.id = up.parent LEFT JOIN k ON k.id = n.id JOIN s ON s.id = n.id LEFT JOIN e ON e.id = n.id
 """,
 }
