@@ -76,7 +76,8 @@ def _id(depth: Column, *sums: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(",", depth, *sums).cast("binary")))
 
 
-ROOT = _id(F.lit(0), *[F.lit(0)] * 4)
+def root_id() -> Column:
+    return _id(F.lit(0), *[F.lit(0)] * 4)
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -176,10 +177,10 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     """
     turns, whole = rebuilt(conversations)
     reached = checkpointed(prefixes(turns).join(whole.select("conv_id", F.col("length").alias("depth"), F.lit(True).alias("_ends")), ["conv_id", "depth"], "left"))
-    ends = reached.where("_ends").select("id", "conv_id").unionByName(whole.where("length = 0").select(ROOT.alias("id"), "conv_id"))
+    ends = reached.where("_ends").select("id", "conv_id").unionByName(whole.where("length = 0").select(root_id().alias("id"), "conv_id"))
     nodes = reached.groupBy("id").agg(F.min("parent").alias("parent"), F.min("conv_id").alias("conv_id"), F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n_convs"), F.max("len").alias("len"))
     root = whole.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
-    root = root.select(ROOT.alias("id"), F.lit(None).cast("binary").alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.lit(0).cast("long").alias("len"))
+    root = root.select(root_id().alias("id"), F.lit(None).cast("binary").alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.lit(0).cast("long").alias("len"))
     nodes = nodes.unionByName(root)
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = checkpointed(nodes.join(kids, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
