@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import bpe, chat, decontamination, fingerprints, html_extract, minhash_dedup, prefix_trie, quality, sharding, substring_dedup, toxicity
+from qaspark.llm import bpe, chat, decontamination, fingerprints, html_extract, line_runs, minhash_dedup, prefix_trie, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.common import read
 
 
@@ -53,7 +53,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe, op11_prefix_trie)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.frequent_lines(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe, op11_prefix_trie, op12_line_dedup)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,5 +135,13 @@ e AS (SELECT id, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM
 SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
   sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM n LEFT JOIN up ON up.id = n.id LEFT JOIN n m ON m.id = up.parent LEFT JOIN k ON k.id = n.id JOIN s ON s.id = n.id LEFT JOIN e ON e.id = n.id
+""",
+    "op12_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, coalesce(doc_id::VARCHAR, '') AS doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10),
+s AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM k ANTI JOIN f USING (key) GROUP BY r)
+SELECT d.doc_id, len(d.ls)::BIGINT AS n_lines, (len(d.ls) - coalesce(s.n, 0))::BIGINT AS n_dropped, sha256(coalesce(s.text, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
 """,
 }
