@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import bpe, chat, decontamination, fingerprints, html_extract, line_runs, minhash_dedup, prefix_trie, quality, sharding, substring_dedup, toxicity
+from qaspark.llm import alignment, bpe, chat, decontamination, fingerprints, html_extract, line_runs, minhash_dedup, prefix_trie, quality, sharding, substring_dedup, toxicity
 from qaspark.llm.common import read
 
 
@@ -57,7 +57,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.frequent_lines(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe, op11_prefix_trie, op12_line_dedup)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_sharding, op4_fingerprints, op5_chat_formatting, op6_html_extraction, op7_decontamination, op8_quality, op9_substring_dedup, op10_bpe, op11_prefix_trie, op12_line_dedup, op13_alignment)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
