@@ -40,6 +40,27 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
     return found.select(*df.columns, (F.col(name) + F.col("_before")).cast("long").alias(name))
 
 
+#: Most rows that are broadcast beside a group's values, and the inverse of the share of all rows above which a group is hot.
+BROADCAST_ROWS = 500_000
+HOT_SHARE = 1000
+
+
+def with_group_values(rows: DataFrame, values: DataFrame, group: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has a row of bounded width for each group, and in ``count`` how many rows it has.
+
+    Few groups are broadcast. Of many, the hot ones are, fewer than HOT_SHARE whatever the size, and the others shuffle. Both sides
+    are read twice: cut their lineage before.
+    """
+    groups, total = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0))).first()
+    named = values.withColumnRenamed(group, "_of_group").drop(count)
+    same = F.col(group).eqNullSafe(F.col("_of_group"))
+    if groups <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(named), same).drop("_of_group")
+    few = F.broadcast(values.where(F.col(count) > total // HOT_SHARE).withColumnRenamed(group, "_of_group").drop(count))
+    rest = rows.join(few.select("_of_group"), same, "left_anti")
+    return rows.join(few, same).unionByName(rest.join(named, same)).drop("_of_group")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there a file or folder of this name, in whatever file system it names?"""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.functions.numbers import exact_sum
+from qaspark.functions.scans import with_previous, with_recurrence, with_sliding_max
+from qaspark.functions.tables import numbered, stored, with_group_values
 from qaspark.operators.results import _signals
 from qaspark.registry import query
 
@@ -127,9 +128,14 @@ def reward_statistics(experiences: DataFrame, last: int = 10, slope: float = 0.1
 
 @query("experiences", sql="SELECT episode, step, coalesce(max(priority) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 10000 PRECEDING AND 1 PRECEDING), 1.0) AS initial_priority FROM experiences")
 def initial_priority(experiences: DataFrame, capacity: int = BUFFER) -> DataFrame:
-    """Priority that a new experience gets: the largest so far in its buffer, 1 in an empty one."""
-    w = Window.partitionBy("episode").orderBy("step").rowsBetween(-capacity, -1)
-    return experiences.select("episode", "step", F.coalesce(F.max("priority").over(w), F.lit(1.0)).alias("initial_priority"))
+    """Priority that a new experience gets: the largest so far in its buffer, 1 in an empty one.
+
+    A sliding maximum over the last ``capacity`` experiences of an episode, by the maxima of blocks' starts and ends: an episode of any
+    length is spread over many tasks, and each row is looked at twice.
+    """
+    rows = stored(numbered(experiences.select("episode", "step", "priority"), ["episode"], ["step"], "n"))
+    found = with_sliding_max(rows, ["episode"], "n", "priority", capacity, "_most")
+    return found.select("episode", "step", F.coalesce("_most", F.lit(1.0)).alias("initial_priority"))
 
 
 @query("experiences", sql="SELECT episode, step, reward FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY step DESC) AS n FROM experiences) WHERE n <= 20", prepare=lambda e: (e, 20))
@@ -148,22 +154,21 @@ def buffer_tail(experiences: DataFrame, capacity: int = BUFFER) -> DataFrame:
     SELECT a.episode, a.step, round((a.advantage - m.mean) / (m.std + 1e-8), 5) AS advantage FROM a JOIN m USING (episode)""",
 )
 def gae_advantages(experiences: DataFrame, gamma: float = GAMMA, lam: float = LAMBDA) -> DataFrame:
-    """Generalised advantage estimates of each episode, in step order, normalised by sample deviation."""
-    ahead = F.coalesce(F.lead("value").over(Window.partitionBy("episode").orderBy("step")), "next_value")
+    """Generalised advantage estimates of each episode, in step order, normalised by sample deviation.
+
+    Backwards in steps, an advantage is a linear map of the one after it; the maps are composed by a segmented scan in blocks, so an
+    episode of any length is spread over many tasks. A missing reward or value counts 0, a missing ``done`` as false.
+    """
+    filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("reward", "value", "next_value")]
+    rows = experiences.select("episode", "step", *filled, F.coalesce("done", F.lit(False)).alias("done"))
+    rows = stored(numbered(rows, ["episode"], [F.desc("step")], "n"))
+    rows = with_previous(rows, ["episode"], "n", "value", "_ahead")
     going = 1 - F.col("done").cast("int")
-    rows = experiences.select("episode", "step", (F.col("reward") + gamma * ahead * going - F.col("value")).alias("delta"), (gamma * lam * going).alias("keep"))
-
-    def backwards(episode: pd.DataFrame) -> pd.DataFrame:
-        episode = episode.sort_values("step", ascending=False)
-        advantage, out = 0.0, []
-        for delta, keep in zip(episode["delta"], episode["keep"], strict=True):
-            advantage = delta + keep * advantage
-            out.append(advantage)
-        a = pd.Series(out, index=episode.index)
-        spread = a.std() if len(a) > 1 else 0.0
-        return pd.DataFrame({"episode": episode["episode"], "step": episode["step"], "advantage": ((a - a.mean()) / (spread + 1e-8)).round(5)})
-
-    return rows.groupBy("episode").applyInPandas(backwards, "episode long, step int, advantage double")
+    delta = F.col("reward") + gamma * F.coalesce("_ahead", "next_value") * going - F.col("value")
+    rows = stored(with_recurrence(rows, ["episode"], "n", gamma * lam * going, delta, "_raw").select("episode", "step", "_raw"))
+    each = stored(rows.groupBy("episode").agg(F.avg("_raw").alias("_mean"), F.coalesce(F.stddev_samp("_raw"), F.lit(0.0)).alias("_spread"), F.count(F.lit(1)).alias("_n")))
+    rows = with_group_values(rows, each, "episode", "_n")
+    return rows.select("episode", "step", F.round((F.col("_raw") - F.col("_mean")) / (F.col("_spread") + 1e-8), 5).alias("advantage"))
 
 
 _PROBS = {a: round(0.05 + 0.01 * i, 2) for i, a in enumerate(ACTIONS)}
