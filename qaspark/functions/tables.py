@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows, and about how many bytes, that a Python worker holds in an Arrow batch.
+ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches. Set for the session, to the same values by all operators: Spark has no narrower place."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``, which all executors share; only a local session without it gets its own folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

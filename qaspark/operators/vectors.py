@@ -1,11 +1,13 @@
 """Vectors: embedding, normalising, indexing, exact and approximate nearest neighbours, hybrid search and re-ranking.
 
-Search packs base and queries into blocks of vectors and pairs block with block (one matrix product each); a pair of blocks yields
-the nearest k of each of its queries, and what is left is ranked per query. Nothing is gathered in the driver, however many queries.
+Search packs base and queries into blocks of vectors and pairs block with block (one matrix product each). A task keeps the nearest k
+of each query over all the blocks that it meets and emits them once, so what is shuffled for the last ranking grows with the tasks, not
+with the blocks. Nothing is gathered in the driver, however many queries.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,60 +16,104 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaspark.functions.numbers import let
+from qaspark.functions.tables import small_batches, stored, with_group_values
 from qaspark.operators.cases import code_type
 from qaspark.registry import query
 
 #: About how many vectors a block holds. Search defaults: neighbours and least score.
 BASE_BLOCK, QUERY_BLOCK = 8192, 1024
 TOP_K, MIN_SCORE = 10, 0.3
+#: Hits that a task keeps before it emits them.
+HELD_HITS = 2_000_000
 
 _HITS = "query_id long, index_name string, id long, distance double"
 
 
-def blocks(vectors: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One row for about ``size`` vectors (id, vec) of equal ``keys``: ids and vecs, the vectors' numbers one after another.
+def blocks(vectors: DataFrame, key: str | None, size: int) -> DataFrame:
+    """One row for about ``size`` vectors (id, vec) of equal ``key``: block, ids and vecs, the vectors' numbers one after another.
 
-    Rows are dealt by hash, so a key of any size is cut into as many blocks as it needs.
+    Rows are dealt by hash, each key's into as many blocks as its own count needs. ``vectors`` is read twice.
     """
+    keys = [key] if key else []
     rows = vectors.where("vec is not null").select(*keys, "id", F.col("vec").cast("array<float>").alias("vec"))
-    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    deal = F.pmod(F.xxhash64("id"), F.lit(-(-most // size) or 1))
-    packed = rows.withColumn("_deal", deal).groupBy(*keys, "_deal").agg(F.collect_list(F.struct("id", "vec")).alias("b"))
-    return packed.select(*keys, F.transform("b", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("b", lambda x: x["vec"])).alias("vecs"))
-
-
-def search(pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, index_name, id, distance, rank and score of the nearest k. ``pairs``: index_name, ids, vecs, query_ids and query_vecs.
-
-    Equal distances rank by id. A pair that comes twice counts once.
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if key:
+        counts = counts.withColumn("_deals", F.ceil(F.col("_n") / size))
+        rows = with_group_values(rows, counts, key, "_n")
+    else:
+        rows = rows.withColumn("_deals", F.lit(-(-counts.first()[0] // size) or 1))
+    deal = F.pmod(F.xxhash64("id"), F.col("_deals"))
+    packed = rows.withColumn("block", deal).groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "vec")).alias("b"))
+    return packed.select(*keys, "block", F.transform("b", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("b", lambda x: x["vec"])).alias("vecs"))
+
+
+class Nearest:
+    """The nearest k of the queries of one block over the base blocks seen so far: ids and distances, ordered by (distance, id)."""
+
+    def __init__(self, query_ids: np.ndarray, query_vecs: np.ndarray, k: int) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.q = query_vecs.reshape(len(query_ids), -1).astype(np.float64)
+        self.ids = np.zeros((len(query_ids), 0), dtype=np.int64)
+        self.distances = np.zeros((len(query_ids), 0))
+
+    def see(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], vecs.reshape(len(ids), -1).astype(np.float64)[order]
+        d = np.round(np.maximum((self.q * self.q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * self.q @ v.T, 0), 6)
+        best = np.argsort(d, axis=1, kind="stable")[:, : self.k]
+        d = np.concatenate((self.distances, np.take_along_axis(d, best, 1)), 1)
+        ids = np.concatenate((self.ids, ids[best]), 1)
+        order = np.lexsort((ids, d), axis=1)[:, : self.k]
+        self.ids, self.distances = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+
+    def hits(self, name: str) -> pd.DataFrame:
+        n = self.ids.shape[1]
+        return pd.DataFrame({"query_id": np.repeat(self.query_ids, n), "index_name": name, "id": self.ids.ravel(), "distance": self.distances.ravel()})
+
+
+def local_hits(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, index_name, id, distance of the nearest k of each query within a task.
+
+    ``pairs``: index_name, ids, vecs, query_block, query_ids and query_vecs. A task that holds too many hits emits what it has.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, Nearest] = {}
+        size = 0
         for batch in batches:
-            for name, ids, vecs, query_ids, query_vecs in batch.itertuples(index=False):
-                order = np.argsort(ids, kind="stable")
-                v = vecs.reshape(len(ids), -1).astype(np.float64)[order]
-                q = query_vecs.reshape(len(query_ids), -1).astype(np.float64)
-                d = np.round(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0), 6)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(query_ids)), best.shape[1])
-                at = best.ravel()
-                yield pd.DataFrame({"query_id": query_ids[row], "index_name": name, "id": ids[order][at], "distance": d[row, at]})
-
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    hits = pairs.select("index_name", "ids", "vecs", "query_ids", "query_vecs").mapInPandas(run, _HITS)
+            for name, ids, vecs, block, query_ids, query_vecs in batch.itertuples(index=False):
+                if (name, block) not in held:
+                    if size + len(query_ids) * k > HELD_HITS:
+                        yield from (near.hits(key[0]) for key, near in held.items())
+                        held, size = {}, 0
+                    held[name, block] = Nearest(query_ids, query_vecs, k)
+                    size += len(query_ids) * k
+                held[name, block].see(ids, vecs)
+        yield from (near.hits(key[0]) for key, near in held.items())
+
+    small_batches(pairs.sparkSession)
+    return pairs.select("index_name", "ids", "vecs", "query_block", "query_ids", "query_vecs").mapInPandas(run, _HITS)
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """``hits`` of the nearest k, with rank (from 0; equal distances by id) and score."""
     rank = F.row_number().over(Window.partitionBy("query_id", "index_name").orderBy("distance", "id")) - 1
     return hits.withColumn("rank", rank).where(F.col("rank") < k).withColumn("score", 1 / (1 + F.col("distance")))
 
 
+def asked_blocks(queries: DataFrame, key: str | None = None) -> DataFrame:
+    found = blocks(queries, key, QUERY_BLOCK)
+    return found.withColumnsRenamed({"block": "query_block", "ids": "query_ids", "vecs": "query_vecs"})
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, index_name, id, distance (squared L2), score (1 / (1 + distance)) and rank (from 0) of each query's k nearest in each index.
 
     ``queries`` (id, vec) is a stated set. Every block of it meets every block of the base. Equal distances rank by id. Null vectors
     are left out.
     """
-    asked = blocks(queries, [], QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("vecs").alias("query_vecs"))
-    return search(blocks(base, ["index_name"], BASE_BLOCK).crossJoin(asked), k)
+    pairs = blocks(base, "index_name", BASE_BLOCK).drop("block").crossJoin(asked_blocks(queries))
+    return ranked(local_hits(pairs, k), k)
 
 
 _QUERIES = "(SELECT id AS query_id, vec AS q FROM vectors WHERE id % 50 = 0)"
@@ -170,16 +216,39 @@ def lexical_overlap(query_text: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, t)) / F.size(q)
 
 
-_OVERLAP = "len(list_intersect(list_distinct(string_split(lower('text label ' || query_id), ' ')), string_split(lower(content), ' '))) / len(list_distinct(string_split(lower('text label ' || query_id), ' ')))::DOUBLE"
+def pair_scorer(setup: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A scorer for ``rerank`` from a model: ``setup`` loads it once a task and gives a function from query texts and texts to scores."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = setup()
+        for asked, texts in batches:
+            yield pd.Series(model(asked.tolist(), texts.tolist()), dtype="float64")
+
+    return score
+
 
+_ASKED = "(SELECT id AS asked, content AS query_text FROM vectors WHERE id % 50 = 0)"
+_OVERLAP = "len(list_intersect(list_distinct(string_split(lower(query_text), ' ')), string_split(lower(content), ' '))) / len(list_distinct(string_split(lower(query_text), ' ')))::DOUBLE"
 
-@query("vectors", sql=f"{SQL_HITS}, s AS (SELECT query_id, id, {_OVERLAP} AS pair_score, score FROM h WHERE index_name = 'code' AND rank < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, score DESC, id) - 1 AS position FROM s) SELECT query_id, id, round(pair_score, 6) AS pair_score, round(score, 5) AS original_score, position FROM r WHERE position < 5", prepare=lambda v: _BOTH(v))
-def rerank(base: DataFrame, queries: DataFrame, k: int = 5, scorer: Callable[[Column, Column], Column] = lexical_overlap) -> DataFrame:
-    """Fetches 2k hits, scores each pair of texts anew, keeps the best k. The scorer is pluggable."""
-    hits = nearest(base.where("index_name = 'code'"), queries, 2 * k).join(base.select("index_name", "id", "content"), ["index_name", "id"])
-    scored = hits.withColumn("pair_score", scorer(F.concat(F.lit("text label "), F.col("query_id").cast("string")), F.col("content")))
+
+@query(
+    "vectors",
+    prepare=lambda v: (v, v.where("id % 50 = 0").select("id", "vec", F.col("content").alias("text"))),
+    sql=f"""{SQL_HITS}, s AS (SELECT query_id, id, query_text, {_OVERLAP} AS pair_score, score FROM h JOIN {_ASKED} ON asked = query_id WHERE index_name = 'code' AND rank < 10),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, score DESC, id) - 1 AS position FROM s)
+    SELECT query_id, id, query_text, round(pair_score, 6) AS pair_score, round(score, 5) AS original_score, position FROM r WHERE position < 5""",
+)
+def rerank(base: DataFrame, queries: DataFrame, k: int = 5, scorer: Callable[[Column, Column], Column] = lexical_overlap, index_name: str = "code") -> DataFrame:
+    """Fetches 2k hits of every query (id, vec, text), scores each pair of texts anew, keeps the best k. The scorer is pluggable."""
+    queries = stored(queries.select("id", "vec", "text"))
+    hits = nearest(base.where(F.col("index_name") == index_name), queries, 2 * k)
+    hits = hits.join(base.select("index_name", "id", "content"), ["index_name", "id"])
+    hits = hits.join(queries.select(F.col("id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    scored = hits.withColumn("pair_score", scorer(F.coalesce("query_text", F.lit("")), F.coalesce("content", F.lit(""))))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pair_score"), F.desc("score"), "id")) - 1
-    return scored.withColumn("position", at).where(F.col("position") < k).select("query_id", "id", F.round("pair_score", 6).alias("pair_score"), F.round("score", 5).alias("original_score"), "position")
+    scored = scored.withColumn("position", at).where(F.col("position") < k)
+    return scored.select("query_id", "id", "query_text", F.round("pair_score", 6).alias("pair_score"), F.round("score", 5).alias("original_score"), "position")
 
 
 @query("vectors", prepare=lambda v: _BOTH(v))
@@ -206,35 +275,99 @@ def mmr(base: DataFrame, queries: DataFrame, k: int = 5, weight: float = 0.5, di
     return rows.groupBy("query_id").applyInPandas(greedy, "query_id long, id long, position int")
 
 
-@query("vectors", prepare=lambda v: _BOTH(v))
-def ivf_search(base: DataFrame, queries: DataFrame, nlist: int = 50, nprobe: int = 30, k: int = TOP_K, train_rows: int = 10_000, seed: int = 1) -> DataFrame:
-    """Approximate search: k-means cells fitted on at most ``train_rows`` vectors; all are indexed, each query searches its nearest cells.
+#: Slack of the bounds on distances, which are rounded to six digits.
+_SLACK = 1e-4
+
+
+class Cells:
+    """k-means centres, with each cell's radius once its members are known."""
+
+    def __init__(self, centres: np.ndarray, radii: np.ndarray | None = None) -> None:
+        self.centres, self.radii = centres, radii
 
-    Queries and base meet in an equi-join on the cell, block by block, so a large cell is no single task. Fewer vectors than
-    ``nlist`` make as many cells. The default ``nprobe`` suits vectors without clusters; clustered ones need fewer.
+    def distances(self, vecs: pd.Series) -> np.ndarray:
+        v = np.array(vecs.tolist(), dtype=float)
+        return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * v @ self.centres.T, 0))
+
+    def own(self) -> Callable:
+        """Column of each vector's cell, and its distance from the centre."""
+
+        @F.pandas_udf("cell int, off double")
+        def own(vecs: pd.Series) -> pd.DataFrame:
+            d = self.distances(vecs)
+            return pd.DataFrame({"cell": d.argmin(1).astype(np.int32), "off": d.min(1)})
+
+        return own
+
+    def first(self, n: int) -> Callable:
+        """Column of the n cells with the nearest centres."""
+
+        @F.pandas_udf("array<int>")
+        def first(vecs: pd.Series) -> pd.Series:
+            return pd.Series(list(np.argsort(self.distances(vecs), axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return first
+
+    def others(self, n: int) -> Callable:
+        """Column of the cells beyond the first n that may hold a vector within ``worst``: no member is nearer than centre less radius."""
+
+        @F.pandas_udf("array<int>")
+        def others(vecs: pd.Series, worst: pd.Series) -> pd.Series:
+            d = self.distances(vecs)
+            later = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable") >= n
+            near = np.maximum(d - self.radii, 0) ** 2 <= worst.to_numpy()[:, None] + _SLACK
+            return pd.Series([np.flatnonzero(x).astype(np.int32) for x in later & near])
+
+        return others
+
+
+def ivf_hits(base: DataFrame, queries: DataFrame, nlist: int = 50, nprobe: int = 30, k: int = TOP_K, train_rows: int = 10_000, seed: int = 1, exact: bool = False) -> DataFrame:
+    """query_id, id, distance, rank and probes, the number of cells that the query has searched.
+
+    k-means cells are fitted on at most ``train_rows`` vectors; all are indexed. A query searches its ``nprobe`` nearest cells. With
+    ``exact`` it then searches every other cell that its radius does not rule out: a member is at least as far away as the centre less
+    the radius, so when that exceeds the distance of the k-th hit the cell can't add one. Queries and base meet in an equi-join on the
+    cell, block by block, so a large cell is no single task. Fewer vectors than ``nlist`` make as many cells.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    base = base.where("vec is not null")
+    base, queries = base.where("vec is not null"), queries.where("vec is not null").select("id", "vec")
     sample = base.orderBy(F.xxhash64("id"), "id").limit(train_rows).select(array_to_vector("vec").alias("features"))
     count = sample.count()
     if count < 2:
-        return nearest(base.withColumn("index_name", F.lit("all")), queries, k).select("query_id", "id", "rank")
-    centres = np.array(KMeans(k=min(nlist, count), seed=seed, maxIter=10).fit(sample).clusterCenters())
-
-    def cells(n: int):
-        @F.pandas_udf("array<int>")
-        def nearest_cells(vecs: pd.Series) -> pd.Series:
-            v = np.array(vecs.tolist(), dtype=float)
-            d = (v * v).sum(1)[:, None] + (centres**2).sum(1) - 2 * v @ centres.T
-            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
+        hits = nearest(base.withColumn("index_name", F.lit("all")), queries, k)
+        return hits.select("query_id", "id", "distance", "rank", F.lit(1).alias("probes"))
+    cells = Cells(np.array(KMeans(k=min(nlist, count), seed=seed, maxIter=10).fit(sample).clusterCenters()))
+    members = stored(base.select("id", "vec", cells.own()("vec").alias("c")).select("id", "vec", "c.cell", "c.off"))
+    packed = stored(blocks(members, "cell", BASE_BLOCK).drop("block"))
+
+    def searched(probes: DataFrame) -> DataFrame:
+        asked = asked_blocks(stored(probes.select("id", "vec", F.explode("cells").alias("cell"))), "cell")
+        pairs = packed.join(asked, "cell").withColumn("index_name", F.lit("all"))
+        return local_hits(pairs.withColumn("query_block", F.concat_ws("/", "cell", "query_block")), k)
+
+    probes = queries.withColumn("cells", cells.first(nprobe)("vec"))
+    hits = searched(probes)
+    spent = probes.select(F.col("id").alias("query_id"), F.size("cells").alias("probes"))
+    if exact:
+        radii = np.zeros(len(cells.centres))
+        for r in members.groupBy("cell").agg(F.max("off").alias("off")).collect():  # at most nlist rows
+            radii[r.cell] = r.off
+        cells.radii = radii
+        hits = stored(ranked(hits, k))
+        worst = hits.where(F.col("rank") == k - 1).select(F.col("query_id").alias("id"), F.col("distance").alias("worst"))
+        asked = queries.join(worst, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        more = stored(asked.withColumn("cells", cells.others(nprobe)("vec", "worst")))
+        hits = hits.select("query_id", "index_name", "id", "distance").unionByName(searched(more))
+        spent = spent.unionByName(more.select(F.col("id").alias("query_id"), F.size("cells").alias("probes"))).groupBy("query_id").agg(F.sum("probes").alias("probes"))
+    return ranked(hits, k).join(spent, "query_id").select("query_id", "id", "distance", "rank", F.col("probes").cast("int").alias("probes"))
 
-        return F.explode(nearest_cells("vec")).alias("cell")
 
-    stored = blocks(base.select("id", "vec", cells(1)), ["cell"], BASE_BLOCK).withColumn("index_name", F.lit("all"))
-    asked = blocks(queries.where("vec is not null").select("id", "vec", cells(nprobe)), ["cell"], QUERY_BLOCK)
-    return search(stored.join(asked.withColumnsRenamed({"ids": "query_ids", "vecs": "query_vecs"}), "cell"), k).select("query_id", "id", "rank")
+@query("vectors", prepare=lambda v: _BOTH(v), sql=f"{SQL_HITS.replace('v.index_name', chr(39) + 'all' + chr(39) + ' AS index_name')} SELECT query_id, id, distance, rank FROM h WHERE rank < 10")
+def ivf_search(base: DataFrame, queries: DataFrame, nlist: int = 50, nprobe: int = 8, k: int = TOP_K, exact: bool = True) -> DataFrame:
+    """The k nearest of each query by cells: exact by the cells' radii, or within ``nprobe`` cells only."""
+    return ivf_hits(base, queries, nlist, nprobe, k, exact=exact).select("query_id", "id", "distance", "rank")
 
 
 @query("vectors", prepare=lambda v: _BOTH(v), sql=f"{SQL_HITS.replace('v.index_name', chr(39) + 'all' + chr(39) + ' AS index_name')} SELECT query_id, id, distance, rank FROM h WHERE rank < 10")
@@ -270,20 +403,102 @@ def embed_hashed(documents: DataFrame, dim: int = 384) -> DataFrame:
     return rows.select("doc_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(dim // 2)), 6).alias("middle"), F.size("v").alias("dim"))
 
 
-@query("corpus", sql=f"WITH v AS (SELECT doc_id, {_BYTES.format(d=32, t='content')} AS v FROM corpus) SELECT doc_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, 32 AS dim FROM v", prepare=lambda c: (c, 32))
-def embed_batches(documents: DataFrame, dim: int = 384, encoder: Callable[[Column, int], Column] = hash_embedding) -> DataFrame:
-    """Norm and length of what the encoder (pluggable) makes of every document."""
-    rows = documents.select("doc_id", encoder(F.col("content"), dim).alias("v"))
-    return rows.select("doc_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.size("v").alias("dim"))
+#: Texts that an encoder gets at once.
+ENCODER_BATCH = 32
+
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def hash_encoder(dim: int = 384) -> Encoder:
+    """The encoder of ``hash_embedding``, before it is scaled to length 1, for tasks without the column form."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        digests = np.frombuffer(b"".join(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts), dtype=np.uint8)
+        return np.tile(digests.reshape(len(texts), 32) / 127.5 - 1, -(-dim // 32))[:, :dim]
+
+    return encode
+
+
+def fitted(rows: np.ndarray, dim: int) -> np.ndarray:
+    """Rows cut or padded with zeros to ``dim`` and scaled to length 1; a zero row stays."""
+    rows = np.pad(rows[:, :dim], ((0, 0), (0, max(0, dim - rows.shape[1])))).astype(np.float64)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=rows, where=norms > 0)
+
+
+def encoded(text: Column, setup: Callable[[], Encoder], dim: int = 384, batch: int = ENCODER_BATCH) -> Column:
+    """Unit vector of ``dim`` numbers for every text; null for null.
+
+    ``setup`` loads the encoder once a task; it then gets at most ``batch`` texts at a time, and whatever width it returns is fitted.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = setup()
+        for texts in batches:
+            out = np.full(len(texts), None, dtype=object)
+            there = np.flatnonzero(texts.notna().to_numpy())
+            for at in range(0, len(there), batch):
+                some = there[at : at + batch]
+                for i, row in zip(some, fitted(np.asarray(encoder(texts.iloc[some].tolist())), dim), strict=True):
+                    out[i] = row
+            yield pd.Series(out)
+
+    return encode(text)
+
+
+_V48 = _BYTES.format(d=48, t="content")
+_NORM = "sqrt(list_sum(list_transform(v, lambda x: x * x)))"
 
 
-@query("corpus", sql="SELECT sha1(content) AS key, count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 0) > 0 AS cached FROM corpus GROUP BY 1", prepare=lambda c: (c, c.where("doc_id % 2 = 0").select(F.sha1("content").alias("key"), hash_embedding(F.col("content"), 32).alias("vec")).dropDuplicates(["key"])))
+@query(
+    "corpus",
+    sql=f"WITH v AS (SELECT doc_id, {_V48} AS v FROM corpus) SELECT doc_id, round(v[1] / {_NORM}, 6) AS first, round(v[48] / {_NORM}, 6) AS last_own, 0.0::DOUBLE AS padding, 1.0::DOUBLE AS norm, 64 AS dim FROM v",
+    prepare=lambda c: (c, lambda: hash_encoder(48), 64),
+)
+def embed_batches(documents: DataFrame, setup: Callable[[], Encoder] = hash_encoder, dim: int = 384) -> DataFrame:
+    """Components, norm and length of what a batch encoder of any width makes of every document, fitted to ``dim``.
+
+    ``last_own`` is the last component that an encoder of three quarters of ``dim`` fills itself, ``padding`` the one after it.
+    """
+    small_batches(documents.sparkSession)
+    rows = documents.select("doc_id", encoded(F.col("content"), setup, dim).alias("v"))
+    at = lambda i: F.round(F.get("v", F.lit(i)), 6)
+    own = 3 * dim // 4
+    norm = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6)
+    return rows.select("doc_id", at(0).alias("first"), at(own - 1).alias("last_own"), at(own).alias("padding"), norm.alias("norm"), F.size("v").alias("dim"))
+
+
+_V32 = _BYTES.format(d=32, t="content")
+
+
+def _half_cached(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known = corpus.where("doc_id % 2 = 0").select(F.sha1("content").alias("key"), "content").dropDuplicates(["key"])
+    return corpus, stored(known.select("key", hash_embedding(F.col("content"), 32).alias("vec")))
+
+
+@query(
+    "corpus",
+    sql=f"""WITH t AS (SELECT content, count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 0) > 0 AS cached FROM corpus GROUP BY 1), v AS (SELECT *, {_V32} AS v FROM t)
+    SELECT sha1(content) AS key, n, cached, round(v[1] / {_NORM}, 6) AS first, round(v[32] / {_NORM}, 6) AS last, len(v) AS dim FROM v""",
+    prepare=_half_cached,
+)
 def embedding_cache(documents: DataFrame, cache: DataFrame) -> DataFrame:
-    """Distinct texts, how many documents have each, and whether the cache held it; only the others are encoded."""
-    keyed = documents.select(F.sha1("content").alias("key"), "content")
-    distinct = keyed.groupBy("key").agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("n"))
-    fresh = distinct.join(cache, "key", "left_anti").select("key", hash_embedding(F.col("content"), 32).alias("vec"), F.lit(False).alias("cached"))
-    return distinct.select("key", "n").join(fresh.unionByName(cache.withColumn("cached", F.lit(True))), "key").select("key", "n", "cached")
+    """Distinct texts, how many documents have each, whether the cache held it, and two components of its vector."""
+    found = with_cache(documents, cache, lambda text: hash_embedding(text, 32))
+    at = lambda i: F.round(F.get("vec", i), 6)
+    return found.select("key", "n", "cached", at(F.lit(0)).alias("first"), at(F.size("vec") - 1).alias("last"), F.size("vec").alias("dim"))
+
+
+def with_cache(documents: DataFrame, cache: DataFrame, encoder: Callable[[Column], Column]) -> DataFrame:
+    """key (sha1), n, cached and vec of every distinct text of ``documents``; only texts that ``cache`` (key, vec) lacks are encoded.
+
+    Copies meet before anything is encoded. The result's rows with ``cached`` false are what a next cache adds.
+    """
+    keyed = documents.where("content is not null").select(F.sha1("content").alias("key"), "content")
+    distinct = stored(keyed.groupBy("key").agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("n")))
+    fresh = distinct.join(cache, "key", "left_anti").select("key", "n", F.lit(False).alias("cached"), encoder(F.col("content")).alias("vec"))
+    return distinct.select("key", "n").join(cache.select("key", F.lit(True).alias("cached"), "vec"), "key").unionByName(fresh)
 
 
 _FIT = "list_concat(vec[1:80], list_transform(range(greatest(0, 80 - len(vec))), lambda i: 0.0::FLOAT))"
