@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.operators.scopes import with_scopes
 from qaspark.registry import query
 
 # File endings by language, and flags of inline validation.
@@ -134,9 +135,10 @@ def endpoints_python(files: DataFrame) -> DataFrame:
     return found.unionByName(each.select("path", F.lit("django").alias("framework"), _first(r",\s*(?:\w+\.)*(\w+)$").alias("function_name"), F.lit("GET").alias("http_method"), F.concat(F.lit("/"), _first(r"['\"]([^'\"]*)['\"]")).alias("route"), F.lit("").alias("parameters")))
 
 
-@query("source_files", sql="SELECT path, 'crow' AS framework, m AS http_method, '/things' || p_partkey || '/<int>' AS route FROM source_files, unnest(['GET', 'POST']) t(m) WHERE language = 'cpp'")
+@query("source_files", sql="SELECT path, 'crow' AS framework, m AS http_method, '/things' || p_partkey || '/<int>' AS route FROM source_files, unnest(['GET', 'POST']) t(m) WHERE language = 'cpp' UNION ALL SELECT path, 'cpprest', 'GET', '/rest' || p_partkey FROM source_files WHERE language = 'cpp'")
 def endpoints_cpp(files: DataFrame) -> DataFrame:
-    """Routes of Crow and Restbed (routes by methods), Pistache and cpprest handlers."""
+    """Routes of Crow and Restbed (routes by methods), Pistache handlers, and cpprest handlers under the route that they name or else
+    the path of their listener's address."""
     code = files.where(F.col("language") == "cpp")
     crow = r"CROW_ROUTE\(\w+,\s*\"([^\"]+)\"\)(?:\s*\.methods\(([^)]*)\))?"
     rows = _blocks(files, "cpp", r"(?=CROW_ROUTE\()", crow)
@@ -148,38 +150,56 @@ def endpoints_cpp(files: DataFrame) -> DataFrame:
     found = found.unionByName(each.select("path", F.lit("pistache").alias("framework"), F.upper(_first(r"Routes::(\w+)")).alias("http_method"), _first(r"\"([^\"]+)\"").alias("route")))
     verbs = F.regexp_extract_all("code", F.lit(r"set_method_handler\(\s*\"(\w+)\""), F.lit(1))
     restbed = code.select("path", "code", F.explode(F.regexp_extract_all("code", F.lit(r"set_path\(\s*\"([^\"]+)\""), F.lit(1))).alias("route")).select("path", F.lit("restbed").alias("framework"), F.explode(verbs).alias("http_method"), "route")
-    rest = code.select("path", F.lit("cpprest").alias("framework"), F.explode(F.regexp_extract_all("code", F.lit(r"support\(\s*methods::(\w+)"), F.lit(1))).alias("http_method"), F.lit("/").alias("route"))
+    support = r"(\w+)\s*(?:\.|->)\s*support\(\s*(?:web::http::)?methods::(\w+)\s*,\s*(?:U\(\s*)?(?:\"([^\"]*)\")?"
+    each = code.select("path", "code", F.explode(F.regexp_extract_all("code", F.lit(support), F.lit(0))).alias("block"))
+    listener = F.concat(F.lit(r"\bhttp_listener\s+"), _first(support), F.lit(r"\s*[({]\s*(?:U\(\s*)?\"(?:\w+://[^/\"]*)?([^\"?#]*)"))
+    own = F.regexp_replace(F.call_function("regexp_extract", F.col("code"), listener, F.lit(1)), r"(?<=.)/$", "")
+    route = F.coalesce(F.nullif(_first(support, 3), F.lit("")), F.nullif(own, F.lit("")), F.lit("/"))
+    rest = each.select("path", F.lit("cpprest").alias("framework"), F.upper(F.replace(_first(support, 2), F.lit("DEL"), F.lit("DELETE"))).alias("http_method"), route.alias("route"))
     return found.unionByName(restbed).unionByName(rest)
 
 
 Parser = Callable[[DataFrame], DataFrame]
-#: Parser of endpoints by language; another language is added by an entry.
+#: Parser of endpoints by language; ``register_parser`` adds others.
 PARSERS: dict[str, Parser] = {"csharp": endpoints_csharp, "java": endpoints_java, "python": endpoints_python, "cpp": endpoints_cpp}
 
 
-_METHODS = """(VALUES (0, 'GetOne', 'Task<ActionResult<Item>>', 'int id'), (0, 'Create', 'IActionResult', '[FromBody] Item item, [FromQuery] int? n§'), (1, 'find', 'Item', '@PathVariable Long id'), (1, 'remove', 'void', '@PathVariable Long id, @RequestParam("q§") String why'),
- (2, 'one', '', 'id'), (2, 'every', '', ''), (3, 'one', '', 'id: int, q: str = Query(None)'), (3, 'create', '', 'item: Item§'), (4, 'main', 'int', ''), (4, 'validateItem', 'bool', 'const Item§& i')) t(k, n, r, p)"""
+def register_parser(language: str, parser: Parser) -> None:
+    """``all_endpoints`` gives ``parser`` the files of this language; it returns path, http_method and route at least."""
+    PARSERS[language] = parser
 
 
-@query("source_files", sql=f"SELECT path, n AS name, r AS return_type, replace(p, '§', CAST(p_partkey AS VARCHAR)) AS parameters FROM source_files, {_METHODS} WHERE p_partkey % 5 = t.k")
+@query("source_files", sql="""SELECT path, language, unnest(CASE p_partkey % 5 WHEN 0 THEN ['GET', 'POST'] WHEN 1 THEN ['GET', 'DELETE'] WHEN 2 THEN ['GET', 'PUT', 'GET'] WHEN 3 THEN ['GET', 'POST'] ELSE ['GET', 'POST', 'GET'] END) AS http_method,
+    unnest(list_transform(CASE p_partkey % 5 WHEN 0 THEN ['/api/things/§/{id}', '/api/things/§'] WHEN 1 THEN ['/things§/{id}', '/things§/{id}'] WHEN 2 THEN ['/things§/<int:id>', '/things§/<int:id>', '/things§'] WHEN 3 THEN ['/things§/{id}', '/things§']
+    ELSE ['/things§/<int>', '/things§/<int>', '/rest§'] END, lambda x: replace(x, '§', CAST(p_partkey AS VARCHAR)))) AS route FROM source_files""")
+def all_endpoints(files: DataFrame) -> DataFrame:
+    """path, language, http_method and route of the endpoints of all files, by each language's registered parser."""
+    found = None
+    for language, parser in PARSERS.items():
+        part = parser(files.where(F.col("language") == language)).select("path", F.lit(language).alias("language"), "http_method", "route")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+_METHODS = """(VALUES (0, 'T§Controller', 'GetOne', 'Task<ActionResult<Item>>', 'int id', '{ if (id == null) { throw new Exception("no { §"); } /* } */ if (id < ¤) { return Ok("}"); } return Ok(); }'),
+ (0, 'T§Controller', 'Create', 'IActionResult', '[FromBody] Item item, [FromQuery] int? n§', 'Ok(¤);'),
+ (1, 'T§Api', 'find', 'Item', '@PathVariable Long id', '{ return repo.get(id); }'), (1, 'T§Api', 'remove', 'void', '@PathVariable Long id, @RequestParam("q§") String why', '{ log("}"); }'),
+ (2, '', 'one', '', 'id', '    if id is None:~        return "def x(): §"~    return ¤'), (2, '', 'every', '', '', '    return []'),
+ (3, '', 'one', '', 'id: int, q: str = Query(None)', '    return id'), (3, '', 'create', '', 'item: Item§', '    return item'), (3, 'Item§', 'check_size', '', 'cls, v', '        return v'),
+ (4, '', 'main', 'int', '', '{~  CROW_ROUTE(app, "/things§/<int>").methods("GET"_method, "POST"_method)([](int id) { return ¤; });~  http_listener rest("http://0.0.0.0:80/rest§");~  rest.support(methods::GET, handle);~}'),
+ (4, '', 'validateItem', 'bool', 'const Item§& i', '{ return true; }')) t(k, o, n, r, p, b)"""
+_FILLED = "replace(replace(replace({}, '§', CAST(p_partkey AS VARCHAR)), '¤', CAST(p_size AS VARCHAR)), '~', chr(10))"
+
+
+@query("source_files", sql=f"SELECT path, {_FILLED.format('o')} AS owner, n AS name, r AS return_type, {_FILLED.format('p')} AS parameters, {_FILLED.format('b')} AS body FROM source_files, {_METHODS} WHERE p_partkey % 5 = t.k")
 def methods_inventory(files: DataFrame) -> DataFrame:
-    """Methods and functions of every file, with return type (empty if none is given) and parameters as written."""
-    inner = r"((?:[^()]|\([^()]*\))*)"
-    by_language = {  # pattern, and its groups of name, return type and parameters
-        "csharp": (r"(?:public|private|protected)\s+(?:static\s+)?(?:async\s+)?([\w<>\[\]?]+)\s+(\w+)\s*\(" + inner + r"\)", 2, 1, 3),
-        "java": (r"(?:public|private|protected)\s+(?:static\s+)?([\w<>\[\]]+)\s+(\w+)\s*\(" + inner + r"\)", 2, 1, 3),
-        "python": (r"(?m)^\s*(?:async\s+)?def\s+(\w+)\s*\(" + inner + r"\)\s*(?:->\s*([^:\n]+))?:", 1, 3, 2),
-        "cpp": (r"(?m)^((?:[\w:<>&*]+\s+)+)(\w+)\s*\(([^;{]*?)\)\s*\{", 2, 1, 3),
-    }
-    parts = []
-    for at, alias in ((1, "name"), (2, "return_type"), (3, "parameters")):
-        found = [F.when(F.col("language") == k, F.regexp_extract_all("code", F.lit(v[0]), F.lit(v[at]))) for k, v in by_language.items()]
-        parts.append(F.coalesce(*found).alias(alias))
-    rows = files.select("path", F.explode(F.arrays_zip(*parts)).alias("m"))
-    return rows.select("path", "m.name", F.trim("m.return_type").alias("return_type"), F.trim("m.parameters").alias("parameters"))
+    """Methods and functions of every file: owner (the class around, or empty), return type (empty if none is given), parameters as
+    written, and the body, also of braces in strings and comments, expression bodies and nested blocks; empty for a declaration."""
+    rows = with_scopes(files).where("kind = 'method'")
+    return rows.select("path", "owner", "name", F.col("type").alias("return_type"), "parameters", "body")
 
 
-@query("source_files", sql="SELECT path, CASE p_partkey % 5 WHEN 0 THEN 'Item' || p_partkey || 'Dto' ELSE 'Item' || p_partkey END AS model, f AS field, CASE p_partkey % 5 WHEN 0 THEN CASE f WHEN 'Name' THEN 'string' ELSE 'int?' END WHEN 1 THEN CASE f WHEN 'name' THEN 'String' ELSE 'int' END WHEN 3 THEN CASE f WHEN 'name' THEN 'str' ELSE 'int' END ELSE CASE f WHEN 'name' THEN 'std::string' ELSE 'int' END END AS type FROM source_files, (VALUES (0, 'Name'), (0, 'Size'), (1, 'name'), (1, 'size'), (3, 'name'), (3, 'size'), (4, 'name'), (4, 'size')) t(k, f) WHERE p_partkey % 5 = t.k")
+@query("source_files", sql="SELECT path, CASE p_partkey % 5 WHEN 0 THEN 'Item' || p_partkey || 'Dto' ELSE 'Item' || p_partkey END AS model, f AS field, CASE p_partkey % 5 WHEN 0 THEN CASE f WHEN 'Name' THEN 'string' ELSE 'int?' END WHEN 1 THEN CASE f WHEN 'name' THEN 'String' ELSE 'int' END WHEN 3 THEN CASE f WHEN 'size' THEN 'int' ELSE 'str' END ELSE CASE f WHEN 'name' THEN 'std::string' ELSE 'int' END END AS type FROM source_files, (VALUES (0, 'Name'), (0, 'Size'), (1, 'name'), (1, 'size'), (3, 'name'), (3, 'size'), (3, 'code'), (4, 'name'), (4, 'size')) t(k, f) WHERE p_partkey % 5 = t.k")
 def models_inventory(files: DataFrame) -> DataFrame:
     """Typed fields of data classes: C# DTOs, Java classes, pydantic models and dataclasses, C++ structs."""
     shapes = {
@@ -200,18 +220,29 @@ def models_inventory(files: DataFrame) -> DataFrame:
     return found
 
 
-@query("source_files", sql="SELECT path, 'Item' || p_partkey || 'Validator' AS validator, f AS field, r AS rules FROM source_files, (VALUES ('Name', 'NotEmpty,MaximumLength'), ('Size', 'GreaterThan')) t(f, r) WHERE p_partkey % 5 = 0 UNION ALL SELECT path, 'Item' || p_partkey, 'name', 'NotNull,Size' FROM source_files WHERE p_partkey % 5 = 1 UNION ALL SELECT path, 'validateItem', '', 'function' FROM source_files WHERE p_partkey % 5 = 4")
+@query(
+    "source_files",
+    sql="""SELECT path, 'Item' || p_partkey || 'Validator' AS validator, f AS field, replace(r, '¤', CAST(p_size AS VARCHAR)) AS rules FROM source_files, (VALUES ('Name', 'NotEmpty,MaximumLength(¤),Matches("[(].*;$")'), ('Size', 'GreaterThan(0)')) t(f, r) WHERE p_partkey % 5 = 0
+    UNION ALL SELECT path, 'Item' || p_partkey, 'name', 'NotNull,Size(min = ' || p_size || ')' FROM source_files WHERE p_partkey % 5 = 1
+    UNION ALL SELECT path, 'Item' || p_partkey, f, replace(r, '¤', CAST(p_size AS VARCHAR)) FROM source_files, (VALUES ('code', 'min_length(2),max_length(¤),regex([a-z]+$)'), ('size', 'custom:check_size')) t(f, r) WHERE p_partkey % 5 = 3
+    UNION ALL SELECT path, 'validateItem', '', 'function' FROM source_files WHERE p_partkey % 5 = 4""",
+)
 def validators_inventory(files: DataFrame) -> DataFrame:
-    """Rules of fluent validators, bean annotations, pydantic validators and C++ validate functions."""
-    fluent = files.where("language = 'csharp'").select("path", _first(r"class\s+(\w+)\s*:\s*AbstractValidator", 1, "code").alias("validator"), F.explode(F.regexp_extract_all("code", F.lit(r"RuleFor\([^;]*;"), F.lit(0))).alias("block"))
-    rules = F.array_join(F.regexp_extract_all("block", F.lit(r"\)\s*\.(\w+)\("), F.lit(1)), ",")
-    found = fluent.select("path", "validator", _first(r"=>\s*\w+\.(\w+)").alias("field"), rules.alias("rules"))
-    bean = r"((?:@(?:NotNull|NotBlank|NotEmpty|Size|Min|Max|Email|Pattern)(?:\([^)]*\))?\s*)+)private\s+[\w<>]+\s+(\w+)"
-    rows = _blocks(files, "java", r"(?m)(?=^(?:public\s+)?class\s+\w+)", bean).select("path", _first(r"class\s+(\w+)").alias("validator"), F.explode(F.regexp_extract_all("block", F.lit(bean), F.lit(0))).alias("block"))
-    found = found.unionByName(rows.select("path", "validator", _first(bean, 2).alias("field"), F.array_join(F.regexp_extract_all("block", F.lit(r"@(\w+)"), F.lit(1)), ",").alias("rules")))
-    rows = _blocks(files, "python", r"(?=@(?:field_)?validator\()", r"@(?:field_)?validator\(")
-    found = found.unionByName(rows.select("path", _first(r"def\s+(\w+)").alias("validator"), _first(r"validator\(\s*['\"](\w+)").alias("field"), F.lit("custom").alias("rules")))
-    rows = files.where("language = 'cpp'").select("path", F.explode(F.regexp_extract_all("code", F.lit(r"bool\s+(validate\w*)\s*\("), F.lit(1))).alias("validator"))
+    """Rules with their parameters, each under its own class: fluent validators, bean annotations, pydantic field limits and validators
+    (with the function's name), and C++ validate functions."""
+    found = with_scopes(files).select("path", F.col("name").alias("validator"), F.explode("rules").alias("r")).select("path", "validator", "r.field", "r.rules")
+    classes = with_scopes(files.where("language in ('java', 'python')")).where("kind = 'class'")
+    bean = r"((?:@\w+(?:\([^)]*\))?\s*)+)private\s+[\w<>]+\s+(\w+)"
+    known = r"@((?:NotNull|NotBlank|NotEmpty|Size|Min|Max|Email|Pattern)\b(?:\([^)]*\))?)"
+    rows = classes.where("language = 'java'").select("path", F.col("name").alias("validator"), F.explode(F.regexp_extract_all("body", F.lit(bean), F.lit(0))).alias("block"))
+    marks = F.array_join(F.regexp_extract_all("block", F.lit(known), F.lit(1)), ",")
+    found = found.unionByName(rows.select("path", "validator", _first(bean, 2).alias("field"), marks.alias("rules")).where("rules <> ''"))
+    checked = r"@(?:field_)?validator\(\s*['\"]\w+['\"][^)]*\)\s*(?:@classmethod\s*)?(?:async\s+)?def\s+\w+"
+    whole = r"@(?:root|model)_validator(?:\([^)]*\))?\s*(?:@classmethod\s*)?(?:async\s+)?def\s+\w+"
+    for form, field in ((checked, _first(r"validator\(\s*['\"](\w+)")), (whole, F.lit(""))):
+        rows = classes.where("language = 'python'").select("path", F.col("name").alias("validator"), F.explode(F.regexp_extract_all("body", F.lit(form), F.lit(0))).alias("block"))
+        found = found.unionByName(rows.select("path", "validator", field.alias("field"), F.concat(F.lit("custom:"), _first(r"def\s+(\w+)$")).alias("rules")))
+    rows = files.where("language = 'cpp'").select("path", F.explode(F.regexp_extract_all("code", F.lit(r"(?:bool|int)\s+(validate\w*)\s*\("), F.lit(1))).alias("validator"))
     return found.unionByName(rows.select("path", "validator", F.lit("").alias("field"), F.lit("function").alias("rules")))
 
 
@@ -230,25 +261,12 @@ def services_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.arrays_zip(kinds.alias("type"), names.alias("name"))).alias("s")).select("path", "s.type", "s.name")
 
 
-#: Where a method starts, by language; the group is its name.
-STARTS = {
-    "csharp": r"^[ \t]*(?:public|private|protected)\s+(?:static\s+)?(?:async\s+)?[\w<>\[\]?]+\s+(\w+)\s*\(",
-    "java": r"^[ \t]*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(",
-    "python": r"^[ \t]*(?:async\s+)?def\s+(\w+)\s*\(",
-    "cpp": r"^(?:[\w:<>&*]+\s+)+(\w+)\s*\([^;{]*\)\s*\{",
-}
-
-
-@query("source_files", sql=f"SELECT path, n AS method, CASE WHEN n = 'GetOne' THEN 'null_check' ELSE '' END AS checks FROM source_files, {_METHODS} WHERE p_partkey % 5 = t.k")
+@query("source_files", sql=f"SELECT path, n AS method, CASE WHEN n IN ('GetOne', 'one') AND t.k = 0 THEN 'null_check,range_check' ELSE '' END AS checks FROM source_files, {_METHODS} WHERE p_partkey % 5 = t.k")
 def inline_validations(files: DataFrame) -> DataFrame:
-    """Kinds of checks that each method makes by hand, from its first line to the next method."""
-    found = F.array_compact(F.array(*[F.when(F.col("block").rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
-    parts = None
-    for language, start in STARTS.items():
-        rows = _blocks(files, language, f"(?m)(?={start})", start)
-        part = rows.select("path", _first(start).alias("method"), F.array_join(found, ",").alias("checks"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Kinds of checks that each method makes by hand, inside its own body; strings and comments count for nothing."""
+    found = F.array_compact(F.array(*[F.when(F.col("code").rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
+    rows = with_scopes(files).where("kind = 'method'")
+    return rows.select("path", F.col("name").alias("method"), F.array_join(found, ",").alias("checks"))
 
 
 @query("source_files", sql="SELECT path, language, length(code) AS n_chars FROM source_files")

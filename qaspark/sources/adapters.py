@@ -119,12 +119,12 @@ FROM part""",
 SELECT concat('src/f', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.cs' WHEN 1 THEN '.java' WHEN 2 THEN '.py' WHEN 3 THEN '_api.py' ELSE '.cpp' END) AS path,
   CASE p_partkey % 5 WHEN 0 THEN 'csharp' WHEN 1 THEN 'java' WHEN 4 THEN 'cpp' ELSE 'python' END AS language,
   replace(replace(replace(replace(CASE p_partkey % 5
-    WHEN 0 THEN 'using System;~using Shop.Core;~[Route("things/§")]~public class T§Controller : ControllerBase~{~  private readonly IT§Service _service;~  [HttpGet("{id}")]~  [Authorize(Policy = "Read§")]~  public async Task<ActionResult<Item>> GetOne(int id) { if (id == null) { throw new Exception(); } return Ok(); }~  [HttpPost]~  public IActionResult Create([FromBody] Item item, [FromQuery] int? n§) { return Ok(); }~}~public class Item§Dto~{~  public string Name { get; set; }~  public int? Size { get; set; }~}~public class Item§Validator : AbstractValidator<Item§Dto>~{~  public Item§Validator() { RuleFor(x => x.Name).NotEmpty().MaximumLength(50); RuleFor(x => x.Size).GreaterThan(0); }~}'
-    WHEN 1 THEN 'import java.util.List;~import org.shop.Item;~@RestController~@RequestMapping("/things§")~public class T§Api {~  @Autowired~  private T§Repo repo;~  @GetMapping("/{id}")~  public Item find(@PathVariable Long id) { return repo.get(id); }~  @DeleteMapping("/{id}")~  public void remove(@PathVariable Long id, @RequestParam("q§") String why) { }~}~class Item§ {~  @NotNull~  @Size(min = 2)~  private String name;~  private int size;~}'
-    WHEN 2 THEN 'import os~from flask import Flask~app = Flask(__name__)~@app.route(^/things§/<int:id>^, methods=[^GET^, ^PUT^])~def one(id):~    if id is None:~        return 1~    return 2~~@app.route(^/things§^)~def every():~    return []~'
-    WHEN 3 THEN 'from fastapi import FastAPI, Query~from pydantic import BaseModel~~class Item§(BaseModel):~    name: str~    size: int = 0~~@app.get(^/things§/{id}^)~async def one(id: int, q: str = Query(None)):~    return id~~@router.post(^/things§^)~def create(item: Item§):~    return item~'
-    ELSE '#include "crow.h"~#include <string>~struct Item§ {~  std::string name;~  int size;~};~int main() {~  CROW_ROUTE(app, "/things§/<int>").methods("GET"_method, "POST"_method)([](int id) { return 1; });~}~bool validateItem(const Item§& i) { return true; }~' END,
-    '~', chr(10)), '^', chr(39)), '§', CAST(p_partkey AS STRING)), chr(13), '') AS code, p_partkey
+    WHEN 0 THEN 'using System;~using Shop.Core;~[Route("things/§")]~public class T§Controller : ControllerBase~{~  private readonly IT§Service _service;~  [HttpGet("{id}")]~  [Authorize(Policy = "Read§")]~  public async Task<ActionResult<Item>> GetOne(int id) { if (id == null) { throw new Exception("no { §"); } /* } */ if (id < ¤) { return Ok("}"); } return Ok(); }~  [HttpPost]~  public IActionResult Create([FromBody] Item item, [FromQuery] int? n§) => Ok(¤);~}~public class Item§Dto~{~  public string Name { get; set; }~  public int? Size { get; set; }~}~public class Item§Validator : AbstractValidator<Item§Dto>~{~  public Item§Validator() { RuleFor(x => x.Name).NotEmpty().MaximumLength(¤).Matches("[(].*;$"); RuleFor(x => x.Size).GreaterThan(0); }~}'
+    WHEN 1 THEN 'import java.util.List;~import org.shop.Item;~@RestController~@RequestMapping("/things§")~public class T§Api {~  @Autowired~  private T§Repo repo;~  @GetMapping("/{id}")~  public Item find(@PathVariable Long id) { return repo.get(id); }~  @DeleteMapping("/{id}")~  public void remove(@PathVariable Long id, @RequestParam("q§") String why) { log("}"); }~}~class Item§ {~  @NotNull~  @Size(min = ¤)~  private String name;~  private int size;~}'
+    WHEN 2 THEN 'import os~from flask import Flask~app = Flask(__name__)~@app.route(^/things§/<int:id>^, methods=[^GET^, ^PUT^])~def one(id):~    if id is None:~        return "def x(): §"~    return ¤~~@app.route(^/things§^)~def every():~    return []~'
+    WHEN 3 THEN 'from fastapi import FastAPI, Query~from pydantic import BaseModel~~class Item§(BaseModel):~    name: str~    size: int = 0~    code: str = Field(..., min_length=2, max_length=¤, regex=^[a-z]+$^)~    @validator(^size^)~    def check_size(cls, v):~        return v~~@app.get(^/things§/{id}^)~async def one(id: int, q: str = Query(None)):~    return id~~@router.post(^/things§^)~def create(item: Item§):~    return item~'
+    ELSE '#include "crow.h"~#include <string>~struct Item§ {~  std::string name;~  int size;~};~int main() {~  CROW_ROUTE(app, "/things§/<int>").methods("GET"_method, "POST"_method)([](int id) { return ¤; });~  http_listener rest("http://0.0.0.0:80/rest§");~  rest.support(methods::GET, handle);~}~bool validateItem(const Item§& i) { return true; }~' END,
+    '~', chr(10)), '^', chr(39)), '§', CAST(p_partkey AS STRING)), '¤', CAST(p_size AS STRING)) AS code, p_partkey, p_size
 FROM part""",
     ),
     "validator_rows": (
