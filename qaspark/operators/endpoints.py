@@ -221,21 +221,25 @@ def assess_complexity(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("ordinal", points.alias("points"), F.when(points < 5, "low").when(points < 15, "medium").otherwise("high").alias("complexity"))
 
 
-@query(
-    "endpoints_raw",
-    prepare=lambda e: (e, e.select("controller", "ordinal", F.col("return_type").alias("model"))),
-    sql=f"""WITH e AS (SELECT controller, ordinal, {SQL_METHOD} || ' ' || coalesce(path, '/unknown') AS line, row_number() OVER (PARTITION BY controller ORDER BY ordinal) AS n FROM endpoints_raw),
+CONTEXT_SQL = f"""SELECT controller, query_text FROM (WITH e AS (SELECT controller, ordinal, {SQL_METHOD} || ' ' || coalesce(path, '/unknown') AS line, row_number() OVER (PARTITION BY controller ORDER BY ordinal) AS n FROM endpoints_raw),
     m AS (SELECT controller, return_type AS model, row_number() OVER (PARTITION BY controller ORDER BY min(ordinal), return_type) AS n FROM endpoints_raw GROUP BY 1, 2),
     l AS (SELECT controller, string_agg(model, ' ' ORDER BY n) AS models FROM m WHERE n <= 3 GROUP BY 1)
-    SELECT controller, string_agg(line, ' ' ORDER BY n) || ' ' || controller || coalesce(' ' || any_value(models), '') AS query_text FROM e LEFT JOIN l USING (controller) WHERE n <= 5 GROUP BY 1""",
-)
+    SELECT controller, string_agg(line, ' ' ORDER BY n) || ' ' || controller || coalesce(' ' || any_value(models), '') AS query_text FROM e LEFT JOIN l USING (controller) WHERE n <= 5 GROUP BY 1)"""
+
+
+@query("endpoints_raw", prepare=lambda e: (e, e.select("controller", "ordinal", F.col("return_type").alias("model"))), sql=CONTEXT_SQL)
 def assemble_context(endpoints: DataFrame, models: DataFrame, first: int = 5, first_models: int = 3) -> DataFrame:
-    """Query text of each controller's specification: its first endpoints, its name and its first models (controller, ordinal, model)."""
+    """Query text of each controller's specification: its first endpoints, its name and its first models (controller, ordinal, model).
+
+    Endpoints and models without a controller belong together. Only the first rows of a controller are shuffled, so a hot one does
+    not gather in a task.
+    """
     line = F.concat_ws(" ", F.upper(F.coalesce("http_method", F.lit("GET"))), F.coalesce("path", F.lit("/unknown")))
     lines = _first_of(endpoints.select("controller", "ordinal", line.alias("line")), first, "ordinal", "line")
     seen = models.where("model is not null").groupBy("controller", "model").agg(F.min("ordinal").alias("ordinal"))
+    named = _first_of(seen, first_models, "ordinal", "model").select(F.col("controller").alias("_of"), F.col("lines").alias("models"))
     text = F.concat_ws(" ", "lines", "controller", "models")
-    return lines.join(_first_of(seen, first_models, "ordinal", "model").withColumnRenamed("lines", "models"), "controller", "left").select("controller", text.alias("query_text"))
+    return lines.join(named, F.col("controller").eqNullSafe(F.col("_of")), "left").select("controller", text.alias("query_text"))
 
 
 def _first_of(rows: DataFrame, n: int, *order: str) -> DataFrame:

@@ -393,10 +393,10 @@ def normalized(vec: Column) -> Column:
     return let(vec, scaled)
 
 
-_BYTES = "list_transform(range(0, {d}), lambda i: (CAST('0x' || substr(sha256({t}), CAST(2 * (i % 32) + 1 AS BIGINT), 2) AS BIGINT) / 127.5 - 1)::DOUBLE)"
+SQL_BYTES = "list_transform(range(0, {d}), lambda i: (CAST('0x' || substr(sha256({t}), CAST(2 * (i % 32) + 1 AS BIGINT), 2) AS BIGINT) / 127.5 - 1)::DOUBLE)"
 
 
-@query("corpus", sql=f"WITH v AS (SELECT doc_id, {_BYTES.format(d=64, t='content')} AS v FROM corpus) SELECT doc_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[33] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS middle, len(v) AS dim FROM v", name="hash_embedding", prepare=lambda c: (c, 64))
+@query("corpus", sql=f"WITH v AS (SELECT doc_id, {SQL_BYTES.format(d=64, t='content')} AS v FROM corpus) SELECT doc_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[33] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS middle, len(v) AS dim FROM v", name="hash_embedding", prepare=lambda c: (c, 64))
 def embed_hashed(documents: DataFrame, dim: int = 384) -> DataFrame:
     """Two components and the length of each document's hash embedding."""
     rows = documents.select("doc_id", hash_embedding(F.col("content"), dim).alias("v"))
@@ -447,7 +447,7 @@ def encoded(text: Column, setup: Callable[[], Encoder], dim: int = 384, batch: i
     return encode(text)
 
 
-_V48 = _BYTES.format(d=48, t="content")
+_V48 = SQL_BYTES.format(d=48, t="content")
 _NORM = "sqrt(list_sum(list_transform(v, lambda x: x * x)))"
 
 
@@ -469,7 +469,7 @@ def embed_batches(documents: DataFrame, setup: Callable[[], Encoder] = hash_enco
     return rows.select("doc_id", at(0).alias("first"), at(own - 1).alias("last_own"), at(own).alias("padding"), norm.alias("norm"), F.size("v").alias("dim"))
 
 
-_V32 = _BYTES.format(d=32, t="content")
+_V32 = SQL_BYTES.format(d=32, t="content")
 
 
 def _half_cached(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
