@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -76,3 +77,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Is there a file or folder of this name, in whatever file system it names?"""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def _manifest(spark: SparkSession, folder: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, folder: str, part: int, facts: dict) -> None:
+    """Make ``part`` of the tables in ``folder`` visible, with facts about it: its entry appears whole, by a rename, or not at all."""
+    place, fs = _manifest(spark, folder)
+    made, entry = (spark._jvm.org.apache.hadoop.fs.Path(place, name) for name in (f".{part}.{uuid.uuid4().hex}", f"{part}.json"))
+    out = fs.create(made, True)
+    out.write(bytearray(json.dumps(facts), "utf-8"))
+    out.close()
+    if not fs.rename(made, entry):  # a run that was taken for lost has published it
+        fs.delete(made, False)
+
+
+def published(spark: SparkSession, folder: str) -> dict[int, dict]:
+    """The parts that have been published in ``folder``, with their facts."""
+    place, fs = _manifest(spark, folder)
+    found = {}
+    for status in fs.listStatus(place) if fs.exists(place) else []:
+        name = status.getPath().getName()
+        if name.endswith(".json") and name[0] != ".":
+            into = fs.open(status.getPath())
+            found[int(name[: -len(".json")])] = json.loads(bytes(into.readAllBytes()))
+            into.close()
+    return dict(sorted(found.items()))
+
+
+def unpublish(spark: SparkSession, folder: str, part: int, *tables: str) -> None:
+    """Take a part out of the manifest, then delete its rows in ``tables``."""
+    place, fs = _manifest(spark, folder)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(place, f"{part}.json"), False)
+    for table in tables:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}/part={part}"), True)
+
+
+def published_table(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
+    """``table`` of all published parts; what an unpublished part has left behind is not read. Empty if there are none."""
+    parts = [f"{folder}/{table}/part={n}" for n in published(spark, folder)]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{folder}/{table}").parquet(*parts)

@@ -279,9 +279,12 @@ def flatten_suites(files: DataFrame) -> DataFrame:
 def extract_content(documents: DataFrame) -> DataFrame:
     """Content of a document: its content, else text, else code, else its described fields as lines. Empty documents are skipped, and
     columns that the table lacks count as missing."""
+    return documents.select("id", content_of(documents).alias("content")).where("content <> ''")
+
+
+def content_of(documents: DataFrame) -> Column:
     lines = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), _given(documents, c)) for c in ("name", "description", "summary", "body")])
-    content = F.coalesce(*[_given(documents, c) for c in ("content", "text", "code")], lines)
-    return documents.select("id", content.alias("content")).where("content <> ''")
+    return F.coalesce(*[_given(documents, c) for c in ("content", "text", "code")], lines)
 
 
 _CODE = "lower(code)"

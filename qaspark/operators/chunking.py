@@ -91,7 +91,6 @@ def code(text: str, language: str = "python") -> list[Piece]:
     return out
 
 
-STRATEGIES: dict[str, Callable[[str], list[Piece]]] = {"sliding": sliding, "semantic": semantic, "code": code}
 
 
 def chunked(documents: DataFrame, cut: Callable[[str], list[Piece]], prefix: str = "chunk", most: int | None = None) -> DataFrame:
@@ -105,6 +104,38 @@ def chunked(documents: DataFrame, cut: Callable[[str], list[Piece]], prefix: str
     return rows.select("doc_id", "chunk_index", F.concat(F.lit(f"{prefix}_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "c.*")
 
 
+def lines(text: str, n: int = LINES) -> list[Piece]:
+    """Blocks of so many lines."""
+    out, at, rows = [], 0, text.split("\n")
+    for i in range(0, len(rows), n):
+        body = "\n".join(rows[i : i + n])
+        out.append((body, at, at + len(body)))
+        at += len(body) + 1
+    return out
+
+
+STRATEGIES: dict[str, Callable[[str], list[Piece]]] = {"sliding": sliding, "semantic": semantic, "code": code, "lines": lines}
+
+
+def pieces_or_error(strategies: dict[str, Callable[[str], list[Piece]]]) -> Callable:
+    """Column from (content, strategy) to the pieces, and the error of a text that can't be cut: it does not fail the others."""
+
+    def one(text: str | None, strategy: str | None) -> dict:
+        try:
+            cut = strategies.get(strategy)
+            if cut is None:
+                return {"pieces": None, "error": f"unknown strategy {strategy}"}
+            return {"pieces": [{"text": t, "start_idx": a, "end_idx": b} for t, a, b in cut(text or "")], "error": None}
+        except Exception as e:  # any error of a pluggable strategy is this document's status
+            return {"pieces": None, "error": f"{type(e).__name__}: {e}"}
+
+    @F.pandas_udf(f"pieces {_PIECES}, error string")
+    def cut(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t, n) for t, n in zip(texts, names, strict=True)], columns=["pieces", "error"])
+
+    return cut
+
+
 @query("corpus")
 def chunk_sliding(documents: DataFrame) -> DataFrame:
     return chunked(documents, sliding)

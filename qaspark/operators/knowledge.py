@@ -118,12 +118,30 @@ def route_index(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce(F.try_element_at(table, F.coalesce("type", F.lit(""))), F.lit("test_patterns")).alias("index_name"))
 
 
-@query("corpus", sql="SELECT count(*) AS total_documents, count(*) FILTER (WHERE doc_id % 3 <> 0 AND content <> '') AS indexed, count(*) FILTER (WHERE doc_id % 3 = 0 OR content = '') AS skipped FROM corpus", prepare=lambda c: (c, c.where("doc_id % 3 = 0").select("doc_id")))
-def indexing_stats(documents: DataFrame, ledger: DataFrame) -> DataFrame:
-    """How many documents an indexing run takes and skips (already indexed, or empty)."""
-    known = documents.join(ledger.distinct().withColumn("_known", F.lit(True)), "doc_id", "left")
-    taken = F.col("_known").isNull() & (F.coalesce("content", F.lit("")) != "")
-    return known.agg(F.count(F.lit(1)).alias("total_documents"), F.count_if(taken).alias("indexed"), F.count_if(~taken).alias("skipped"))
+#: A document's row in the ledger: what became of it in the run ``part``, why, and how many chunks it gave.
+LEDGER = "doc_id long, index_name string, status string, reason string, chunks long, part int"
+
+
+def _planned(corpus: DataFrame) -> DataFrame:
+    known, empty, broken = F.col("doc_id") % 3 == 0, F.coalesce("content", F.lit("")) == "", F.col("doc_id") % 11 == 0
+    status = F.when(known | empty, "skipped").when(broken, "failed").otherwise("indexed")
+    reason = F.when(known, "already_indexed").when(empty, "no_content").when(broken, "ValueError")
+    return corpus.select("doc_id", status.alias("status"), reason.alias("reason"), F.when(status == "indexed", F.size(F.split("content", "\n"))).otherwise(0).alias("chunks"))
+
+
+@query(
+    "corpus",
+    prepare=lambda c: (_planned(c),),
+    sql="""WITH l AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'known' WHEN coalesce(content, '') = '' THEN 'empty' WHEN doc_id % 11 = 0 THEN 'broken' ELSE 'fine' END AS s, len(string_split(content, chr(10))) AS n FROM corpus)
+    SELECT count(*) AS total_documents, count(*) FILTER (WHERE s = 'fine') AS indexed, count(*) FILTER (WHERE s IN ('known', 'empty')) AS skipped, count(*) FILTER (WHERE s = 'known') AS already_indexed,
+    count(*) FILTER (WHERE s = 'empty') AS no_content, 0::BIGINT AS no_chunks, count(*) FILTER (WHERE s = 'broken') AS failed, coalesce(sum(n) FILTER (WHERE s = 'fine'), 0)::BIGINT AS chunks_created FROM l""",
+)
+def indexing_stats(ledger: DataFrame) -> DataFrame:
+    """What an indexing run has done with its documents: indexed, skipped (and why), failed, and the chunks created."""
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    reasons = [is_("reason", r).alias(r) for r in ("already_indexed", "no_content", "no_chunks")]
+    chunks = F.coalesce(F.sum(F.when(F.col("status") == "indexed", F.col("chunks"))), F.lit(0)).cast("long")
+    return ledger.agg(F.count(F.lit(1)).alias("total_documents"), is_("status", "indexed").alias("indexed"), is_("status", "skipped").alias("skipped"), *reasons, is_("status", "failed").alias("failed"), chunks.alias("chunks_created"))
 
 
 @query("corpus", sql=f"SELECT doc_id, index_name, 100 + row_number() OVER (PARTITION BY index_name ORDER BY doc_id) AS vector_id FROM (SELECT doc_id, {_ROUTE} AS index_name FROM corpus)", prepare=lambda c: (route_index(c), route_index(c).select("index_name").distinct().withColumn("last_id", F.lit(100))))

@@ -1,59 +1,133 @@
-"""Composed jobs: incremental indexing from new documents to stored vectors."""
+"""Composed jobs: incremental indexing from new documents to stored vectors.
+
+An index is a folder of tables in parts, one part a run. A part becomes visible by its entry in the manifest, written when all its
+tables are, so a run that fails leaves no trace and can be repeated, and a part that has been published is not written again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.functions.tables import exists, numbered, shared_folder
-from qaspark.operators.chunking import chunked, sliding
-from qaspark.operators.knowledge import _ROUTE, route_index
+from qaspark.functions.tables import numbered, publish, published, published_table, shared_folder, small_batches, stored
+from qaspark.operators.cases import content_of
+from qaspark.operators.chunking import STRATEGIES, Piece, pieces_or_error
+from qaspark.operators.knowledge import _ROUTE, LEDGER, indexing_stats, route_index
 from qaspark.operators.vectors import hash_embedding
 from qaspark.registry import query
 
-_TABLES = {"vectors": "index_name string, vector_id long, doc_id long, chunk_id string, text string, vec array<double>, part int", "ledger": "doc_id long, index_name string, part int"}
+_TABLES = {"vectors": "index_name string, vector_id long, doc_id long, chunk_id string, text string, start_idx int, end_idx int, vec array<double>, part int", "ledger": LEDGER}
 
 
-def index_vectors(documents: DataFrame, last: DataFrame, dim: int = 384) -> DataFrame:
-    """Documents routed to their index, cut to chunks, embedded, and numbered per index after its ``last_id``.
+def stored_index(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Table "vectors" or "ledger" of the published parts of an index in ``folder``."""
+    return published_table(spark, folder, table, _TABLES[table])
 
-    Returns index_name, vector_id, doc_id, chunk_id, text and vec. Chunks are embedded where they are cut, then numbered in order of
-    document, without a task that holds a whole index.
-    """
-    cut = chunked(documents, sliding).join(route_index(documents), "doc_id")
-    rows = cut.select("index_name", "doc_id", "chunk_index", "chunk_id", "text", hash_embedding(F.col("text"), dim).alias("vec"))
-    rows = numbered(rows, ["index_name"], ["doc_id", "chunk_index"], "n").join(last, "index_name", "left")
-    return rows.select("index_name", (F.coalesce(F.col("last_id") + 1, F.lit(0)) + F.col("n")).cast("long").alias("vector_id"), "doc_id", "chunk_id", "text", "vec")
 
+def _column(documents: DataFrame, name: str, kind: str, default: object) -> Column:
+    return F.coalesce(F.col(name).cast(kind), F.lit(default)) if name in documents.columns else F.lit(default)
 
-def stored_index(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Table "vectors" or "ledger" of an index in ``folder``; empty if nothing has been indexed."""
-    there = exists(spark, f"{folder}/{table}")
-    return spark.read.schema(_TABLES[table]).parquet(f"{folder}/{table}") if there else spark.createDataFrame([], _TABLES[table])
+
+def planned(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, index_name, content, strategy and the reason, if any, to skip each document: one row an id.
+
+    ``known`` holds the ids that have been indexed; a document with ``force_reindex`` is taken again. Of rows that repeat an id one
+    counts. Contents come from whichever columns a document has.
+    """
+    one = documents.select(
+        "doc_id",
+        _column(documents, "type", "string", "").alias("type"),
+        content_of(documents).alias("content"),
+        _column(documents, "chunking_strategy", "string", "sliding").alias("strategy"),
+        _column(documents, "force_reindex", "boolean", False).alias("_force"),
+    )
+    one = one.where("doc_id is not null").dropDuplicates(["doc_id"])
+    one = stored(one.join(known.select("doc_id", F.lit(True).alias("_known")).distinct(), "doc_id", "left"))
+    reason = F.when(F.col("_known") & ~F.col("_force"), "already_indexed").when(F.coalesce("content", F.lit("")) == "", "no_content")
+    return one.join(route_index(one), "doc_id").select("doc_id", "index_name", "content", "strategy", reason.alias("reason"))
 
 
-def index_into(documents: DataFrame, folder: str, part: int, dim: int = 384) -> DataFrame:
-    """Add the documents that the ledger in ``folder`` lacks to the stored index; returns total, indexed and skipped documents.
+def index_into(
+    documents: DataFrame,
+    folder: str,
+    part: int,
+    dim: int = 384,
+    strategies: dict[str, Callable[[str], list[Piece]]] = STRATEGIES,
+    encoder: Callable[[Column, int], Column] = hash_embedding,
+) -> DataFrame:
+    """Add the documents that the index in ``folder`` lacks to it, as ``part``; returns the run's statistics.
 
-    A run writes its own ``part`` of vectors and ledger and replaces it if it is repeated, so a run that was cut off can be repeated.
-    A document counts once; empty ones, and those of other parts, are skipped.
+    Documents are routed to an index, cut by their own strategy (``chunking_strategy``, sliding by default), and their chunks embedded
+    and numbered per index after its last id, without a task that holds a whole index. A document whose text can't be cut, or
+    that has a chunk without a vector, has failed and adds nothing; the others go on. The ledger has a row for each document: its
+    status, why it was skipped or failed, and its chunks. Rows without an id, and those that repeat one, count as skipped.
     """
     spark = documents.sparkSession
-    known = stored_index(spark, folder, "ledger").where(F.col("part") != part)
-    fresh = documents.where("content <> ''").dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
-    last = stored_index(spark, folder, "vectors").where(F.col("part") != part).groupBy("index_name").agg(F.max("vector_id").alias("last_id"))
-    index_vectors(fresh, last, dim).write.mode("overwrite").parquet(f"{folder}/vectors/part={part}")
-    route_index(fresh).write.mode("overwrite").parquet(f"{folder}/ledger/part={part}")
-    done = stored_index(spark, folder, "ledger").where(F.col("part") == part).agg(F.count(F.lit(1)).alias("indexed"))
-    return documents.agg(F.count(F.lit(1)).alias("total_documents")).crossJoin(done).select("total_documents", "indexed", (F.col("total_documents") - F.col("indexed")).alias("skipped"))
+    entries = published(spark, folder)
+    if part not in entries:
+        _write_part(documents, folder, part, dim, strategies, encoder, entries)
+        entries = published(spark, folder)
+    names = indexing_stats(spark.createDataFrame([], LEDGER)).columns
+    return spark.createDataFrame([tuple(entries[part]["stats"][n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-@query("corpus", sql=f"WITH n AS (SELECT {_ROUTE} AS index_name, count(*) FILTER (WHERE doc_id % 3 = 0) AS before, count(*) FILTER (WHERE doc_id % 3 <> 0) AS added FROM corpus WHERE content <> '' GROUP BY 1) SELECT index_name, before, added, true AS gapless FROM n")
+def _write_part(documents: DataFrame, folder: str, part: int, dim: int, strategies: dict, encoder: Callable, entries: dict[int, dict]) -> None:
+    spark = documents.sparkSession
+    small_batches(spark)
+    plan = stored(planned(documents, stored_index(spark, folder, "ledger").where("status = 'indexed'")))
+    cut = plan.where("reason is null").withColumn("c", pieces_or_error(strategies)("content", "strategy"))
+    cut = stored(cut.select("doc_id", "index_name", "c.pieces", "c.error"))
+    chunks = cut.select("doc_id", "index_name", F.posexplode("pieces").alias("chunk_index", "c")).select("doc_id", "index_name", "chunk_index", "c.*")
+    chunks = stored(chunks.withColumn("vec", encoder(F.col("text"), dim)))
+    each = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("vec").isNull()).alias("_lost"))
+    done = plan.join(cut.select("doc_id", "error"), "doc_id", "left").join(each, "doc_id", "left")
+    reason = F.coalesce("reason", "error", F.when(F.col("chunks").isNull(), "no_chunks"), F.when(F.col("_lost") > 0, "no_vector"))
+    skipped = F.coalesce("reason", F.when(F.col("error").isNull() & F.col("chunks").isNull(), "no_chunks"))
+    status = F.when(skipped.isNotNull(), "skipped").when(reason.isNotNull(), "failed").otherwise("indexed")
+    ledger = done.select("doc_id", "index_name", status.alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("chunks")).otherwise(0).alias("chunks"))
+    ledger.write.mode("overwrite").parquet(f"{folder}/ledger/part={part}")
+    ledger = spark.read.parquet(f"{folder}/ledger/part={part}")
+
+    last: dict[str, int] = {}
+    for facts in entries.values():
+        last = {k: max(v, last.get(k, -1)) for k, v in {**last, **facts["last"]}.items()}
+    rows = chunks.join(ledger.where("status = 'indexed'").select("doc_id"), "doc_id", "left_semi")
+    rows = numbered(rows, ["index_name"], ["doc_id", "chunk_index"], "n")
+    after = F.lit(0)
+    for name, n in last.items():
+        after = F.when(F.col("index_name") == name, F.lit(n + 1)).otherwise(after)
+    rows = rows.select("index_name", (after + F.col("n")).cast("long").alias("vector_id"), "doc_id", F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "start_idx", "end_idx", F.col("vec").cast("array<double>").alias("vec"))
+    rows.write.mode("overwrite").parquet(f"{folder}/vectors/part={part}")
+    ends = spark.read.parquet(f"{folder}/vectors/part={part}").groupBy("index_name").agg(F.max("vector_id").alias("last")).collect()  # a row an index
+    stats = indexing_stats(ledger).first().asDict()
+    repeats = documents.count() - stats["total_documents"]
+    stats |= {"total_documents": stats["total_documents"] + repeats, "skipped": stats["skipped"] + repeats}
+    publish(spark, folder, part, {"stats": stats, "last": {r.index_name: r.last for r in ends}})
+
+
+_CUT = "CAST(ceil(len(string_split(content, chr(10))) / 50.0) AS BIGINT)"
+
+
+@query(
+    "corpus",
+    sql=f"""WITH d AS (SELECT {_ROUTE} AS index_name, doc_id % 3 = 0 AS first, doc_id % 13 = 5 AS broken, {_CUT} AS n FROM corpus WHERE content <> '')
+    SELECT index_name, count(*) FILTER (WHERE first AND NOT broken) AS before, count(*) FILTER (WHERE NOT first AND NOT broken) AS added, count(*) FILTER (WHERE first AND NOT broken) AS known, count(*) FILTER (WHERE broken) + count(*) FILTER (WHERE broken AND first) AS failed,
+    coalesce(sum(n) FILTER (WHERE NOT broken), 0)::BIGINT AS chunks, true AS gapless FROM d GROUP BY 1""",
+)
 def index_documents(documents: DataFrame) -> DataFrame:
-    """Two runs into one index, the second with all documents: documents that each adds to an index, and whether its ids have no gaps."""
+    """Two runs into one index, the second with all documents, cut by lines; some ask for a strategy that doesn't exist.
+
+    Per index: documents that each run adds, that the second run skips as known, that failed in either, all chunks, and whether the
+    vector ids have no gaps.
+    """
     spark, folder = documents.sparkSession, shared_folder(documents.sparkSession)
-    index_into(documents.where("doc_id % 3 = 0"), folder, 0, 64)
-    index_into(documents, folder, 1, 64)
-    ledger = stored_index(spark, folder, "ledger").groupBy("index_name").agg(F.count_if(F.col("part") == 0).alias("before"), F.count_if(F.col("part") == 1).alias("added"))
-    ids = stored_index(spark, folder, "vectors").groupBy("index_name").agg((F.max("vector_id") + 1 == F.count(F.lit(1))).alias("_all"), (F.sum("vector_id") * 2 == F.max("vector_id") * F.count(F.lit(1))).alias("_sum"))
-    return ledger.join(ids, "index_name").select("index_name", "before", "added", (F.col("_all") & F.col("_sum")).alias("gapless"))
+    rows = documents.withColumn("chunking_strategy", F.when(F.col("doc_id") % 13 == 5, "none such").otherwise("lines"))
+    index_into(rows.where("doc_id % 3 = 0"), folder, 0, 64)
+    index_into(rows, folder, 1, 64)
+    of = lambda part, status, reason=True: F.count_if((F.col("part") == part) & (F.col("status") == status) & reason)
+    known = of(1, "skipped", F.col("reason") == "already_indexed").alias("known")
+    ledger = stored_index(spark, folder, "ledger").groupBy("index_name").agg(of(0, "indexed").alias("before"), of(1, "indexed").alias("added"), known, F.count_if(F.col("status") == "failed").alias("failed"), F.sum("chunks").alias("chunks"))
+    ids = stored_index(spark, folder, "vectors").groupBy("index_name").agg((F.max("vector_id") + 1 == F.count(F.lit(1))).alias("_all"), (F.sum("vector_id") * 2 == F.max("vector_id") * F.count(F.lit(1))).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    return ledger.join(ids, "index_name").select("index_name", "before", "added", "known", "failed", "chunks", (F.col("_all") & F.col("_sum") & (F.col("_n") == F.col("chunks"))).alias("gapless"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.functions.tables import shared_folder
+from qaspark.functions.tables import publish, published, published_table, shared_folder, unpublish
 from qaspark.operators.knowledge import _ROUTE
 from qaspark.operators.metrics import SQL_ENDPOINT, endpoint_statistics
 from qaspark.operators.results import bug_patterns, discovered_edge_cases, success_documents
@@ -25,42 +25,50 @@ def _stream(spark: SparkSession, sf_dir: str, base: str, table: str) -> DataFram
 def stream_endpoint_stats(results: DataFrame, folder: str) -> DataFrame:
     """Statistics per endpoint as results arrive. Each micro-batch writes the table of all of them anew (there are few endpoints).
 
-    Tables are numbered and stay, so readers of an earlier one are not disturbed; the last one is returned.
+    Tables are parts of ``folder`` that become visible when they are whole. The newest is returned, also by a restart with nothing
+    new; the one before stays for its readers, older ones are dropped. Without any results the table is empty.
     """
-    written: list[int] = []
+    spark, stats = results.sparkSession, endpoint_statistics(results)
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table={number}")
-        written.append(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/stats/part={number}")
+        publish(spark, folder, number, {})
+        for old in list(published(spark, folder))[:-2]:
+            unpublish(spark, folder, old, "stats")
 
-    spark = results.sparkSession
-    run = endpoint_statistics(results).writeStream.outputMode("complete").foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run = stats.writeStream.outputMode("complete").foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/table={max(written)}")
+    parts = list(published(spark, folder))
+    return spark.read.schema(stats.schema).parquet(f"{folder}/stats/part={parts[-1]}") if parts else spark.createDataFrame([], stats.schema)
 
 
 def stream_incremental_index(documents: DataFrame, folder: str, dim: int = 384) -> DataFrame:
     """The stored index of the documents as they arrive: each micro-batch adds its chunks' vectors and its ledger rows, as its own part.
 
-    The ledger, not the stream's state, knows what has been indexed, so the state stays empty. Returns the ledger.
+    The ledger, not the stream's state, knows what has been indexed, so the state stays empty; a micro-batch that is repeated after
+    a crash finds its part published, or writes it again from the start. Returns the ledger's indexed documents.
     """
     run = documents.writeStream.foreachBatch(lambda batch, number: index_into(batch, folder, number, dim) and None)
     run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return stored_index(documents.sparkSession, folder, "ledger").select("doc_id", "index_name")
+    return stored_index(documents.sparkSession, folder, "ledger").where("status = 'indexed'").select("doc_id", "index_name")
 
 
 def stream_feedback(results: DataFrame, folder: str) -> DataFrame:
-    """What each batch of results adds: success documents, bug patterns and edge cases; returns their numbers."""
-    kinds = {"success": success_documents, "bugs": bug_patterns, "edge_cases": discovered_edge_cases}
+    """What each batch of results adds: success documents, bug patterns and edge cases; returns their numbers, 0 before any batch."""
+    spark, kinds = results.sparkSession, {"success": success_documents, "bugs": bug_patterns, "edge_cases": discovered_edge_cases}
 
     def append(batch: DataFrame, number: int) -> None:
         for kind, rows in kinds.items():
-            rows(batch).write.mode("overwrite").parquet(f"{folder}/{kind}/batch={number}")
+            rows(batch).write.mode("overwrite").parquet(f"{folder}/{kind}/part={number}")
+        publish(spark, folder, number, {})
 
     results.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    spark = results.sparkSession
-    counts = [spark.read.parquet(f"{folder}/{kind}").agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")) for kind in kinds]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    found = None
+    for kind, rows in kinds.items():
+        stored_rows = published_table(spark, folder, kind, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows(results).schema))
+        part = stored_rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 QUERIES |= {

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from qaspark.functions import tables
 from qaspark.operators import assertions, cases, chunking, datagen, endpoints, knowledge, reports, rewards, sourcecode, validation, vectors
 from qaspark.operators.results import result_summary
-from qaspark.plans import workloads
 from qaspark.sources import adapters
 
 
@@ -82,17 +81,6 @@ def test_numbers_have_no_gaps(spark):
         assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: -r.id)] == list(range(sum(r.g == g for r in got)))
 
 
-def test_a_second_run_indexes_new_documents_only(spark):
-    folder = tables.shared_folder(spark)
-    docs = spark.createDataFrame([(i, "test_case" if i % 2 else None, "Some words. " * 80, "en") for i in range(6)] + [(9, None, "", "en")], "doc_id long, type string, content string, lang string")
-    first = workloads.index_into(docs.where("doc_id < 3"), folder, 0, 8).first().asDict()
-    second = workloads.index_into(docs, folder, 1, 8).first().asDict()
-    assert first == {"total_documents": 3, "indexed": 3, "skipped": 0} and second == {"total_documents": 7, "indexed": 3, "skipped": 4}
-    assert workloads.index_into(docs, folder, 1, 8).first().asDict() == second  # repeated
-    ids = [r.vector_id for r in workloads.stored_index(spark, folder, "vectors").collect()]
-    assert sorted(ids) == list(range(len(ids)))
-
-
 def test_mmr_without_diversity_keeps_score_order(spark):
     df = spark.createDataFrame([(i, "api_patterns", [float(i), 1.0]) for i in range(20)], "id long, index_name string, vec array<float>")
     got = vectors.mmr(df, df.where("id = 3"), k=4, diversity="none").orderBy("position").collect()
