@@ -18,7 +18,7 @@ empty table gives no rows; extra columns, of whatever name, are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from qaspark.llm.common import checkpointed, join_by_key, small_batches
 #: Default tokenizers, files of public_tokenizers.
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
-#: Tokens of A in a lane, and characters that are encoded at once: encodings take far more memory than their text.
+#: Tokens of A in a lane, and characters that are encoded at once: ids take far more memory than their text.
 LANE = 256
 CHUNK_CHARS = 1 << 20
 
@@ -45,37 +45,64 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers and their tokens' bytes. Files are read where the tasks run."""
+    """The two tokenizers and their tokens' bytes. Files are read where the tasks run.
+
+    A's vocabulary must hold its merges in the order of their ids; the same merges then run by rank, without the character offsets
+    and strings that the tokenizers library makes for every token.
+    """
 
     def __init__(self, byte_bpe: str | None = None, pieces: str | None = None) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(byte_bpe or public_tokenizers.path(BYTE_BPE))
-        self.a.encode_special_tokens = True
-        letters = byte_letters()
-        vocabulary = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+
+        with open(byte_bpe or public_tokenizers.path(BYTE_BPE), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, vocabulary = byte_letters(), model["vocab"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [vocabulary[m] for m in merged]
+        if ids != sorted(set(ids)):
+            raise ValueError("the vocabulary's ids must follow its merges")
+        ranks = {bytes(letters[c] for c in t): vocabulary[t] for t in [*letters, *merged]}
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b = SentencePieceProcessor(model_file=pieces or public_tokenizers.path(PIECES))
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.a_sizes = np.array([len(t) for t in self.a_bytes])
         self.b_sizes = np.array([len(t) for t in self.b_bytes])
+        #: What the digest writes for a token: an id, and what stands after it inside and at the end of its side of a group.
+        a_ids, b_ids = range(len(self.a_bytes)), range(len(self.b_bytes))
+        self.written = [*(f"{i}," for i in a_ids), *(f"{i}|" for i in a_ids), *(f"{i}," for i in b_ids), *(f"{i};" for i in b_ids)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B; none of either if one doesn't give back the bytes of the blank and the text."""
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
         b = self.b.encode(texts, num_threads=1)
         out, none = [], np.zeros(0, dtype=np.int64)
-        for text, x, y in zip(texts, a, b, strict=True):
-            want, ids = b" " + text.encode("utf-8", "surrogatepass"), x.ids
-            same = text and b"".join(map(self.a_bytes.__getitem__, ids)) == want and b"".join(map(self.b_bytes.__getitem__, y)) == want
-            out.append((np.array(ids, dtype=np.int64), np.array(y, dtype=np.int64)) if same else (none, none))
+        for text, y in zip(texts, b, strict=True):
+            want, x = b" " + text.encode("utf-8", "surrogatepass"), self.a.encode_ordinary(" " + text)
+            same = text and b"".join(map(self.a_bytes.__getitem__, x)) == want and b"".join(map(self.b_bytes.__getitem__, y)) == want
+            out.append((np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)) if same else (none, none))
         return out
 
+    def groups_text(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: ids between cuts, which follow the tokens at ``i`` and ``j``; every token is part of a group.
+
+        A token stands after the tokens of its own side before it and those of the other side in earlier groups, and for A's side of a
+        group in none of its own.
+        """
+        what = np.empty(len(a) + len(b), dtype=np.int64)
+        at_a, at_b = np.arange(len(a)), np.arange(len(b))
+        of_a = at_a + np.concatenate(([0], j + 1))[np.searchsorted(i, at_a)]
+        of_b = at_b + (i + 1)[np.searchsorted(j, at_b)]
+        width_a, width_b = len(self.a_bytes), len(self.b_bytes)
+        what[of_a] = a
+        what[of_b] = 2 * width_a + b
+        what[of_a[i]] += width_a
+        what[of_b[j]] += width_b
+        return "".join(map(self.written.__getitem__, what.tolist()))[:-1]
+
 
 def lockstep(a_ends: list[np.ndarray], b_ends: list[np.ndarray], lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links as (document, token of A, token of B), in order, from the documents' ascending byte offsets where tokens end.
@@ -119,15 +146,6 @@ def lockstep(a_ends: list[np.ndarray], b_ends: list[np.ndarray], lane: int = LAN
     return doc, i - a_base[doc], j - b_base[doc]
 
 
-def groups_text(a: list[int], b: list[int], i: list[int], j: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids between cuts, which follow the tokens at ``i`` and ``j``."""
-    parts, from_a, from_b = [], 0, 0
-    for x, y in zip(i, j, strict=True):
-        parts.append(",".join(map(str, a[from_a : x + 1])) + "|" + ",".join(map(str, b[from_b : y + 1])))
-        from_a, from_b = x + 1, y + 1
-    return ";".join(parts)
-
-
 #: A pair of ids is one number, a * B_IDS + b.
 B_IDS = 1 << 32
 FOUND = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, n array<int>"
@@ -155,7 +173,7 @@ def found(pair: Pair, texts: list[str], lane: int = LANE) -> list[tuple]:
     for d, (a, b) in enumerate(ids):
         x, y = i[at[d] : at[d + 1]], j[at[d] : at[d + 1]]
         pairs, n = np.unique(a[x] * B_IDS + b[y], return_counts=True)
-        digest = hashlib.sha256(groups_text(a.tolist(), b.tolist(), x.tolist(), y.tolist()).encode()).hexdigest() if len(a) else ""
+        digest = hashlib.sha256(pair.groups_text(a, b, x, y).encode()).hexdigest() if len(a) else ""
         rows.append((len(a), len(b), len(x), len(x), digest, pairs, n.astype(np.int32)))
     return rows
 
