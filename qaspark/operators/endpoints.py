@@ -15,13 +15,14 @@ TYPE_MAP = {
 }
 SPEC_TYPES = {"int": "integer", "long": "integer", "string": "string", "bool": "boolean", "double": "number", "float": "number", "decimal": "number", "DateTime": "string", "DateOnly": "string", "Guid": "string"}
 LOCATIONS = {"body": "body", "query": "query", "path": "path", "route": "path", "header": "header", "form": "formData"}
+LOCATIONS_SPEC = {"query": "query", "route": "path", "path": "path", "body": "body", "header": "header"}
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
+def lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-def _sql_lookup(table: dict[str, str], key: str) -> str:
+def sql_lookup(table: dict[str, str], key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
@@ -52,12 +53,12 @@ def normalize_method(endpoints: DataFrame) -> DataFrame:
 def type_of(kind: Column) -> Column:
     """API type of a source type; of a generic one by its base, object by default; unknown ones in lower case."""
     base = F.substring_index(kind, "<", 1)
-    return F.when(F.contains(kind, F.lit("<")), F.coalesce(_lookup(TYPE_MAP, base), F.lit("object"))).otherwise(F.coalesce(_lookup(TYPE_MAP, kind), F.lower(kind)))
+    return F.when(F.contains(kind, F.lit("<")), F.coalesce(lookup(TYPE_MAP, base), F.lit("object"))).otherwise(F.coalesce(lookup(TYPE_MAP, kind), F.lower(kind)))
 
 
 def sql_type_of(kind: str) -> str:
     base = f"split_part({kind}, '<', 1)"
-    return f"CASE WHEN contains({kind}, '<') THEN coalesce({_sql_lookup(TYPE_MAP, base)}, 'object') ELSE coalesce({_sql_lookup(TYPE_MAP, kind)}, lower({kind})) END"
+    return f"CASE WHEN contains({kind}, '<') THEN coalesce({sql_lookup(TYPE_MAP, base)}, 'object') ELSE coalesce({sql_lookup(TYPE_MAP, kind)}, lower({kind})) END"
 
 
 @query("endpoints_raw", sql=f"SELECT ordinal, {sql_type_of('return_type')} AS type FROM endpoints_raw")
@@ -65,60 +66,167 @@ def normalize_type(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("ordinal", type_of(F.col("return_type")).alias("type"))
 
 
-@query("endpoints_raw", sql=f"SELECT ordinal, CASE WHEN contains(return_type, '<') THEN 'object' ELSE coalesce({_sql_lookup(SPEC_TYPES, "replace(return_type, '?', '')")}, 'string') END AS type FROM endpoints_raw")
-def map_spec_type(endpoints: DataFrame) -> DataFrame:
+def spec_type(kind: Column) -> Column:
     """Specification type: nullable marks are dropped, generics are objects, unknown types strings."""
-    bare = F.replace("return_type", F.lit("?"), F.lit(""))
-    return endpoints.select("ordinal", F.when(F.contains("return_type", F.lit("<")), "object").otherwise(F.coalesce(_lookup(SPEC_TYPES, bare), F.lit("string"))).alias("type"))
+    bare = F.replace(kind, F.lit("?"), F.lit(""))
+    return F.when(F.contains(bare, F.lit("<")), "object").otherwise(F.coalesce(lookup(SPEC_TYPES, bare), F.lit("string")))
+
 
+def sql_spec_type(kind: str) -> str:
+    return f"CASE WHEN contains({kind}, '<') THEN 'object' ELSE coalesce({sql_lookup(SPEC_TYPES, f"replace({kind}, '?', '')")}, 'string') END"
 
-@query("parameters", sql=f"SELECT id, coalesce({_sql_lookup(LOCATIONS, 'source')}, 'query') AS location FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'body' WHEN 1 THEN 'route' WHEN 2 THEN 'form' WHEN 3 THEN 'header' END AS source FROM parameters)", prepare=lambda p: (p.select("id", F.get(F.array(F.lit("body"), F.lit("route"), F.lit("form"), F.lit("header")), (F.col("id") % 5).cast("int")).alias("source")),))
+
+@query("endpoints_raw", sql=f"SELECT ordinal, {sql_spec_type('return_type')} AS type FROM endpoints_raw")
+def map_spec_type(endpoints: DataFrame) -> DataFrame:
+    return endpoints.select("ordinal", spec_type(F.col("return_type")).alias("type"))
+
+
+@query("parameters", sql=f"SELECT id, coalesce({sql_lookup(LOCATIONS, 'source')}, 'query') AS location FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'body' WHEN 1 THEN 'route' WHEN 2 THEN 'form' WHEN 3 THEN 'header' END AS source FROM parameters)", prepare=lambda p: (p.select("id", F.get(F.array(F.lit("body"), F.lit("route"), F.lit("form"), F.lit("header")), (F.col("id") % 5).cast("int")).alias("source")),))
 def param_location(parameters: DataFrame) -> DataFrame:
     """Where a parameter is sent; in the query by default."""
-    return parameters.select("id", F.coalesce(_lookup(LOCATIONS, F.coalesce("source", F.lit(""))), F.lit("query")).alias("location"))
+    return parameters.select("id", F.coalesce(lookup(LOCATIONS, F.coalesce("source", F.lit(""))), F.lit("query")).alias("location"))
+
 
+# Constraints that a parameter may have, by the column that holds each, and those that validations are translated to.
+CONSTRAINTS = {"min": "min_value", "max": "max_value", "minLength": "min_length", "maxLength": "max_length", "pattern": "pattern", "enum": "enum", "format": "format", "multipleOf": "multiple_of"}
+VALIDATIONS = {"min_length": "minLength", "max_length": "maxLength", "pattern": "pattern"}
+
+
+def constraints_of(parameters: DataFrame) -> Column:
+    """Map of the constraints that a parameter has; what its validations (type, value) say replaces them, the last of a type first."""
+    given = {k: F.col(c).cast("string") for k, c in CONSTRAINTS.items() if c in parameters.columns}
+
+    def last(kind: str) -> Column:
+        stated = F.filter("validations", lambda v: (v["type"] == kind) & v["value"].isNotNull())
+        return F.try_element_at(F.transform(stated, lambda v: v["value"].cast("string")), F.lit(-1))
+
+    if "validations" in parameters.columns:
+        for kind, name in VALIDATIONS.items():
+            given[name] = F.coalesce(last(kind), given[name]) if name in given else last(kind)
+    return F.map_filter(F.create_map(*[x for k, c in given.items() for x in (F.lit(k), c)]), lambda k, v: v.isNotNull())
+
+
+def _constrained(parameters: DataFrame) -> DataFrame:
+    i, odd = F.col("id"), F.col("id") % 2 == 1
+    stated = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))
+    validations = F.array(stated("min_length", i % 7), stated("pattern", F.lit("p")), stated("min_length", F.when(i % 3 == 0, i % 5)), stated("custom", i))
+    return parameters.select(
+        "*",
+        F.when(i % 4 == 0, "^[a-z]+$").alias("pattern"),
+        F.when(i % 6 == 0, "a|b").alias("enum"),
+        F.when(i % 5 == 0, "date").alias("format"),
+        F.when(i % 9 == 0, 3).alias("multiple_of"),
+        F.when(odd, validations).alias("validations"),
+    )
 
-@query("parameters", sql="SELECT id, array_to_string(list_filter(['max=' || max_value, 'maxLength=' || max_length, 'min=' || min_value, 'minLength=' || min_length], lambda x: x IS NOT NULL), ';') AS constraints FROM parameters")
+
+@query(
+    "parameters",
+    prepare=lambda p: (_constrained(p),),
+    sql="""SELECT id, array_to_string(list_filter(['enum=' || CASE WHEN id % 6 = 0 THEN 'a|b' END, 'format=' || CASE WHEN id % 5 = 0 THEN 'date' END, 'max=' || max_value, 'maxLength=' || max_length, 'min=' || min_value,
+    'minLength=' || CASE WHEN id % 2 = 0 THEN min_length WHEN id % 3 = 0 THEN id % 5 ELSE id % 7 END, 'multipleOf=' || CASE WHEN id % 9 = 0 THEN 3 END, 'pattern=' || CASE WHEN id % 2 = 1 THEN 'p' WHEN id % 4 = 0 THEN '^[a-z]+$' END], lambda x: x IS NOT NULL), ';') AS constraints FROM parameters""",
+)
 def param_constraints(parameters: DataFrame) -> DataFrame:
     """The known constraints that a parameter has, by name."""
-    known = {"max": "max_value", "maxLength": "max_length", "min": "min_value", "minLength": "min_length"}
-    every = F.create_map(*[x for k, c in known.items() for x in (F.lit(k), F.col(c))])
-    present = F.map_filter(every, lambda k, v: v.isNotNull())
-    return parameters.select("id", F.array_join(F.transform(F.array_sort(F.map_entries(present)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("constraints"))
+    entries = F.array_sort(F.map_entries(constraints_of(parameters)))
+    return parameters.select("id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("constraints"))
+
+
+def auth_of(endpoints: DataFrame) -> Column:
+    """Authorisation as (required, type, scopes): the record ``authorization`` as it is, else what auth_required and auth_type say."""
+    has = lambda c, default: F.coalesce(F.col(c), default) if c in endpoints.columns else default
+    none = F.array().cast("array<string>")
+    flags = F.struct(has("auth_required", has("authorization_required", F.lit(False))).alias("required"), has("auth_type", F.lit(None).cast("string")).alias("type"), none.alias("scopes"))
+    if "authorization" not in endpoints.columns:
+        return flags
+    given = F.col("authorization")
+    return F.when(given.isNotNull(), F.struct(F.coalesce(given["required"], F.lit(False)).alias("required"), given["type"].alias("type"), F.coalesce(given["scopes"], none).alias("scopes"))).otherwise(flags)
+
+
+def _guarded(endpoints: DataFrame) -> DataFrame:
+    n = F.col("ordinal")
+    record = F.struct(F.col("authorization_required").alias("required"), F.lit("bearer").alias("type"), F.array(F.lit("read"), F.concat(F.lit("s"), n % 2)).alias("scopes"))
+    return endpoints.select("*", F.when(n % 3 == 0, record).alias("authorization"), (n % 2 == 0).alias("auth_required"), F.when(n % 4 == 1, "apiKey").alias("auth_type"))
 
 
-@query("endpoints_raw", sql="SELECT ordinal, authorization_required AS required, CASE WHEN authorization_required THEN 'bearer' ELSE 'none' END AS type FROM endpoints_raw")
+@query(
+    "endpoints_raw",
+    prepare=lambda e: (_guarded(e),),
+    sql="""SELECT ordinal, CASE WHEN ordinal % 3 = 0 THEN authorization_required ELSE ordinal % 2 = 0 END AS required, CASE WHEN ordinal % 3 = 0 THEN 'bearer' WHEN ordinal % 4 = 1 THEN 'apiKey' END AS type,
+    CASE WHEN ordinal % 3 = 0 THEN 'read,s' || (ordinal % 2) ELSE '' END AS scopes FROM endpoints_raw""",
+)
 def endpoint_auth(endpoints: DataFrame) -> DataFrame:
-    """Authorisation that an endpoint needs."""
-    need = F.coalesce("authorization_required", F.lit(False))
-    return endpoints.select("ordinal", need.alias("required"), F.when(need, "bearer").otherwise("none").alias("type"))
+    """Authorisation that an endpoint needs: whether it does, of which type, with which scopes."""
+    return endpoints.select("ordinal", auth_of(endpoints).alias("a")).select("ordinal", "a.required", "a.type", F.array_join("a.scopes", ",").alias("scopes"))
 
 
 _KIND = f"CASE WHEN {SQL_METHOD} IN ('POST', 'PUT', 'PATCH') THEN 'mutation' WHEN {SQL_METHOD} = 'GET' THEN 'query' WHEN {SQL_METHOD} = 'DELETE' THEN 'deletion' END"
+_EXPLICIT = "CASE WHEN ordinal % 3 = 0 THEN ['beta', controller] WHEN ordinal % 3 = 1 THEN ['query', NULL, 'alpha'] ELSE []::VARCHAR[] END"
+_TAGS = f"array_to_string(list_sort(list_distinct(list_concat([controller, {_KIND}], {_EXPLICIT}))), ',')"
 
 
-@query("endpoints_raw", sql=f"SELECT ordinal, array_to_string(list_sort(list_filter([controller, {_KIND}], lambda x: x IS NOT NULL)), ',') AS tags FROM endpoints_raw")
+def _tagged(endpoints: DataFrame) -> DataFrame:
+    n = F.col("ordinal") % 3
+    return endpoints.withColumn("tags", F.when(n == 0, F.array(F.lit("beta"), "controller")).when(n == 1, F.array(F.lit("query"), F.lit(None), F.lit("alpha"))))
+
+
+@query("endpoints_raw", prepare=lambda e: (_tagged(e),), sql=f"SELECT ordinal, {_TAGS} AS tags FROM endpoints_raw")
 def endpoint_tags(endpoints: DataFrame) -> DataFrame:
-    """Distinct tags: controller, and mutation, query or deletion by method."""
-    return endpoints.select("ordinal", F.array_join(_tags(), ",").alias("tags"))
+    """Distinct tags: controller, the endpoint's own ``tags``, and mutation, query or deletion by method."""
+    return endpoints.select("ordinal", F.array_join(tags_of(endpoints), ",").alias("tags"))
 
 
-def _tags() -> Column:
-    m = F.upper(F.coalesce("http_method", F.lit("GET")))
+def _first_given(endpoints: DataFrame, names: tuple[str, ...], default: str) -> Column:
+    """The first of the columns, of those that the table has, that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names if c in endpoints.columns], F.lit(default))
+
+
+def method_of(endpoints: DataFrame) -> Column:
+    return F.upper(_first_given(endpoints, ("method", "http_method"), "GET"))
+
+
+def tags_of(endpoints: DataFrame) -> Column:
+    m = method_of(endpoints)
     kind = F.when(m.isin("POST", "PUT", "PATCH"), "mutation").when(m == "GET", "query").when(m == "DELETE", "deletion")
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(F.col("controller"), kind))))
+    own = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in endpoints.columns else F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(F.col("controller"), kind), own))))
+
+
+def _renamed(endpoints: DataFrame) -> DataFrame:
+    """Some endpoints name their path route or url, and their method function_name or name, as other languages' parsers do."""
+    n = F.col("ordinal")
+    rows = _tagged(_guarded(endpoints)).withColumn("method", F.when(n % 8 == 0, "options"))
+    rows = rows.withColumn("route", F.when(n % 7 == 0, F.col("path"))).withColumn("url", F.when(n % 11 == 0, F.col("path"))).withColumn("path", F.when((n % 7 == 0) | (n % 11 == 0), F.lit("")).otherwise(F.col("path")))
+    return rows.withColumn("function_name", F.when(n % 5 == 2, F.concat(F.lit("fn"), n))).withColumn("name", F.when(n % 5 == 4, F.concat(F.lit("any"), n)))
+
 
+_METHOD9 = f"CASE WHEN ordinal % 8 = 0 THEN 'OPTIONS' ELSE {SQL_METHOD} END"
+_LOCATION = f"coalesce({sql_lookup(LOCATIONS, 'p.source')}, 'query')"
 
-@query("endpoints_raw", sql=f"SELECT ordinal, {SQL_PATH} AS path, {SQL_METHOD} AS method, coalesce(method_name, 'unnamed') AS name, {sql_type_of('return_type')} AS return_type, array_to_string(list_transform(parameters, lambda p: p.name || ':' || p.type), ',') AS parameters FROM endpoints_raw")
+
+@query(
+    "endpoints_raw",
+    prepare=lambda e: (_renamed(e),),
+    sql=f"""SELECT ordinal, {SQL_PATH} AS path, {_METHOD9} AS method, CASE WHEN ordinal % 5 = 2 THEN 'fn' || ordinal WHEN method_name IS NOT NULL THEN method_name WHEN ordinal % 5 = 4 THEN 'any' || ordinal ELSE 'unknown' END AS name, {sql_type_of('return_type')} AS return_type,
+    array_to_string(list_transform(parameters, lambda p: p.name || ':' || {sql_type_of('p.type')} || ':' || {_LOCATION} || ':' || coalesce(p.required, false)), ',') AS parameters,
+    CASE WHEN ordinal % 3 = 0 THEN authorization_required ELSE ordinal % 2 = 0 END AS auth_required, {_TAGS.replace(SQL_METHOD, '(' + _METHOD9 + ')')} AS tags FROM endpoints_raw""",
+)
 def normalize_endpoints(endpoints: DataFrame) -> DataFrame:
-    """Every endpoint with normalised path, method, name and types."""
+    """Every endpoint with normalised path, method, name, types, parameters (name:type:location:required), authorisation and tags.
+
+    The path is whichever of path, route and url is given, the name the first of function_name, method_name and name, the method that
+    of method and http_method. Columns that the table lacks count as missing.
+    """
+    one = lambda p: F.concat_ws(":", p["name"], type_of(p["type"]), F.coalesce(lookup(LOCATIONS, F.coalesce(p["source"], F.lit(""))), F.lit("query")), F.coalesce(p["required"], F.lit(False)).cast("string"))
     return endpoints.select(
         "ordinal",
-        path_of(F.col("path")).alias("path"),
-        F.upper(F.coalesce("http_method", F.lit("GET"))).alias("method"),
-        F.coalesce("method_name", F.lit("unnamed")).alias("name"),
+        path_of(F.nullif(_first_given(endpoints, ("path", "route", "url"), ""), F.lit(""))).alias("path"),
+        method_of(endpoints).alias("method"),
+        _first_given(endpoints, ("function_name", "method_name", "name"), "unknown").alias("name"),
         type_of(F.col("return_type")).alias("return_type"),
-        F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",").alias("parameters"),
+        F.array_join(F.transform("parameters", one), ",").alias("parameters"),
+        auth_of(endpoints)["required"].alias("auth_required"),
+        F.array_join(tags_of(endpoints), ",").alias("tags"),
     )
 
 
@@ -145,52 +253,53 @@ def _latest(endpoints: DataFrame) -> DataFrame:
     return rows.groupBy("path", "method").agg(last).select("path", "method", "e.*")
 
 
-@query(
-    "endpoints_raw",
-    sql=f"""WITH l AS (SELECT coalesce(path, '/unknown') AS path, {SQL_METHOD} AS method, arg_max(authorization_required, ordinal) AS auth FROM endpoints_raw GROUP BY 1, 2)
-    SELECT path, string_agg(method, ',' ORDER BY method) AS methods, count(*) FILTER (WHERE auth) AS secured FROM l GROUP BY 1""",
-)
-def build_paths(endpoints: DataFrame) -> DataFrame:
-    """Paths of the specification with their methods; the last of repeated endpoints wins."""
-    operation = F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", F.coalesce("authorization_required", F.lit(False)).alias("auth")))))
-    paths = _latest(endpoints).groupBy("path").agg(operation.alias("operations"))
-    return paths.select("path", F.array_join(F.map_keys("operations"), ",").alias("methods"), F.size(F.filter(F.map_values("operations"), lambda a: a)).cast("long").alias("secured"))
-
-
-@query("endpoints_raw", sql=f"SELECT coalesce(path, '/unknown') || '_' || {SQL_METHOD} AS doc_id, arg_max('Operation: ' || coalesce(method_name, '') || chr(10) || 'Controller: ' || controller, ordinal) AS content FROM endpoints_raw GROUP BY 1")
+@query("endpoints_raw", sql=f"SELECT coalesce(path, '/unknown') || '_' || {SQL_METHOD} AS doc_id, arg_max('Operation: ' || coalesce(method_name, '') || chr(10) || 'Controller: ' || coalesce(controller, ''), ordinal) AS content FROM endpoints_raw GROUP BY 1")
 def format_operation_document(endpoints: DataFrame) -> DataFrame:
     """One document for each operation of the specification."""
-    text = F.concat(F.lit("Operation: "), F.coalesce("method_name", F.lit("")), F.lit("\nController: "), "controller")
+    text = F.concat(F.lit("Operation: "), F.coalesce("method_name", F.lit("")), F.lit("\nController: "), F.coalesce("controller", F.lit("")))
     return _latest(endpoints).select(F.concat_ws("_", "path", "method").alias("doc_id"), text.alias("content"))
 
 
-@query("endpoints_raw", sql="WITH p AS (SELECT controller AS model, ordinal, unnest(parameters) AS q FROM endpoints_raw) SELECT model, q.name AS property, arg_max(rtrim(q.type, chr(63)), ordinal) AS type, arg_max(ends_with(q.type, chr(63)), ordinal) AS nullable FROM p GROUP BY 1, 2")
-def build_schemas(models: DataFrame) -> DataFrame:
-    """Properties of each model, with type and nullability; the last of repeated properties wins."""
-    rows = models.select(F.col("controller").alias("model"), "ordinal", F.explode("parameters").alias("q"))
-    last = F.max_by("q.type", "ordinal").alias("type")
-    found = rows.groupBy("model", F.col("q.name").alias("property")).agg(last)
-    return found.select("model", "property", F.rtrim("type", F.lit("?")).alias("type"), F.endswith("type", F.lit("?")).alias("nullable"))
-
-
 @query("endpoints_raw", sql="SELECT controller, min(ordinal) AS first_seen FROM endpoints_raw GROUP BY 1 ORDER BY 2")
 def controllers(endpoints: DataFrame) -> DataFrame:
     """Controllers in the order in which they are first seen."""
     return endpoints.groupBy(F.coalesce("controller", F.lit("Unknown")).alias("controller")).agg(F.min("ordinal").alias("first_seen")).orderBy("first_seen")
 
 
-@query("endpoints_raw", sql=f"SELECT path, method, min(ordinal) AS ordinal FROM (SELECT coalesce(path, '') AS path, {SQL_METHOD} AS method, ordinal FROM endpoints_raw) GROUP BY 1, 2")
-def dedupe_parsed(endpoints: DataFrame) -> DataFrame:
-    """The first parsed endpoint of each (path, method)."""
-    return endpoints.groupBy(F.coalesce("path", F.lit("")).alias("path"), F.upper(F.coalesce("http_method", F.lit("GET"))).alias("method")).agg(F.min("ordinal").alias("ordinal"))
+_RECORD = "ordinal, kind, name, path, http_method, controller, return_type, parameters"
+_KINDS_SQL = """(SELECT ordinal, CASE WHEN ordinal % 5 = 3 THEN 'models' ELSE 'endpoints' END AS kind, CASE WHEN ordinal % 9 <> 4 THEN coalesce(method_name, 'same') END AS name, path, http_method, controller, return_type,
+    array_to_string(list_transform(parameters, lambda p: p.name || ':' || p.type), ',') AS parameters FROM endpoints_raw)"""
+_ID = "CASE WHEN path IS NOT NULL AND http_method IS NOT NULL THEN 'p' || path || '_' || http_method WHEN name IS NOT NULL THEN 'n' || name ELSE 'r' || to_json([name, path, http_method, controller, return_type, parameters])::VARCHAR END"
+_FIRSTS = f"SELECT {_RECORD} FROM {_KINDS_SQL} QUALIFY row_number() OVER (PARTITION BY kind, {_ID} ORDER BY ordinal) = 1"
+
+
+def _records(endpoints: DataFrame) -> DataFrame:
+    n = F.col("ordinal")
+    parameters = F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
+    kind = F.when(n % 5 == 3, "models").otherwise("endpoints")
+    return endpoints.select("ordinal", kind.alias("kind"), F.when(n % 9 != 4, F.coalesce("method_name", F.lit("same"))).alias("name"), "path", "http_method", "controller", "return_type", parameters.alias("parameters"))
+
+
+@query("endpoints_raw", prepare=lambda e: (_records(e),), sql=_FIRSTS)
+def dedupe_parsed(records: DataFrame) -> DataFrame:
+    """The first, by ordinal, of the parsed records that are the same: whole records, of whatever columns.
+
+    Records are told apart by path and http_method if they have both, else by name, else by all that they hold but the ordinal. Kinds
+    (if there is a column ``kind``) are told apart too.
+    """
+    has = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    whole = F.to_json(F.struct(*[c for c in records.columns if c not in ("ordinal", "kind")]))
+    key = F.coalesce(F.concat(F.lit("p"), has("path"), F.lit("_"), has("http_method")), F.concat(F.lit("n"), has("name")), F.concat(F.lit("r"), whole))
+    first = records.groupBy(has("kind").alias("_kind"), key.alias("_key")).agg(F.min_by(F.struct(*records.columns), "ordinal").alias("r"))
+    return first.select("r.*")
 
 
-@query("endpoints_raw", sql=f"SELECT path, method, min(ordinal) AS ordinal FROM (SELECT coalesce(path, '') AS path, {SQL_METHOD} AS method, ordinal FROM endpoints_raw) GROUP BY 1, 2", prepare=lambda e: ([e.where("ordinal % 2 = 0"), e.where("ordinal % 2 = 1")],))
+@query("endpoints_raw", prepare=lambda e: ([_records(e.where("ordinal % 2 = 0")), _records(e.where("ordinal % 3 <> 1")), _records(e.where("ordinal % 2 = 1"))],), sql=_FIRSTS)
 def combine_parsed(parts: list[DataFrame]) -> DataFrame:
     """What several parsers found, together, without repeats."""
     whole = parts[0]
     for p in parts[1:]:
-        whole = whole.unionByName(p)
+        whole = whole.unionByName(p, allowMissingColumns=True)
     return dedupe_parsed(whole)
 
 
@@ -217,7 +326,8 @@ _COMPLEX = f"len(parameters) + 5 * CAST({SQL_METHOD} IN ('POST', 'PUT', 'PATCH')
 def assess_complexity(endpoints: DataFrame) -> DataFrame:
     """Points for parameters, body, responses and dependencies, and their class."""
     body = F.upper(F.coalesce("http_method", F.lit("GET"))).isin("POST", "PUT", "PATCH").cast("int")
-    points = F.size("parameters") + 5 * body + F.col("n_responses") + 2 * F.col("n_dependencies")
+    size = F.size(F.coalesce("parameters", F.array().cast(endpoints.schema["parameters"].dataType)))
+    points = size + 5 * body + F.coalesce("n_responses", F.lit(0)) + 2 * F.coalesce("n_dependencies", F.lit(0))
     return endpoints.select("ordinal", points.alias("points"), F.when(points < 5, "low").when(points < 15, "medium").otherwise("high").alias("complexity"))
 
 
@@ -271,9 +381,10 @@ def api_features(endpoints: DataFrame, size: int = 128) -> DataFrame:
     return endpoints.select("ordinal", F.concat(F.array(*parts), F.array_repeat(F.lit(0.0), size - len(parts))).alias("features"))
 
 
-@query("test_cases", sql="SELECT ordinal, 'http://api' || replace(endpoint, '{id}', CAST(k AS VARCHAR)) AS url FROM test_cases WHERE endpoint IS NOT NULL", prepare=lambda c: (c.where("endpoint is not null").withColumn("test_data", F.create_map(F.lit("id"), F.col("k").cast("string"))), "http://api/"))
+@query("test_cases", sql="SELECT ordinal, 'http://api' || replace(endpoint, '{id}', CAST(k AS VARCHAR)) AS url FROM test_cases", prepare=lambda c: (c.withColumn("test_data", F.create_map(F.lit("id"), F.col("k").cast("string"))), "http://api/"))
 def build_url(requests: DataFrame, base: str) -> DataFrame:
-    """URL of a request: path parameters from the test data, else its id, else 1; as written without test data."""
+    """URL of a request: path parameters from the test data, else its id, else 1; as written without test data.
+    A request without an endpoint has no URL."""
     named = F.regexp_extract_all("endpoint", F.lit(r"\{(\w+)\}"), F.lit(1))
     filled = F.aggregate(named, F.col("endpoint"), lambda url, p: F.replace(url, F.concat(F.lit("{"), p, F.lit("}")), F.coalesce(F.try_element_at("test_data", p), F.try_element_at("test_data", F.lit("id")), F.lit("1"))))
     path = F.when(F.size("test_data") > 0, filled).otherwise(F.col("endpoint"))

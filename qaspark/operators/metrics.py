@@ -69,10 +69,14 @@ def agent_metric_summary(agents: DataFrame) -> DataFrame:
     return agents.agg(*_agent())
 
 
-@query("agent_metrics", sql=f"SELECT agent_type, {SQL_AGENT} FROM agent_metrics GROUP BY 1")
+_PER_RUN = [f"{sql_round2(f'CAST(sum({c}) AS DOUBLE) / count(*)')} AS avg_{c.removesuffix('_used')}" for c in ("tokens_used", "api_calls")]
+
+
+@query("agent_metrics", sql=f"SELECT agent_type, {SQL_AGENT}, {', '.join(_PER_RUN)} FROM agent_metrics GROUP BY 1")
 def agent_type_breakdown(agents: DataFrame) -> DataFrame:
-    """Totals per agent type."""
-    return agents.groupBy("agent_type").agg(*_agent())
+    """Totals per agent type, and the mean tokens and calls of an execution."""
+    each = [round2(F.coalesce(F.sum(c), F.lit(0)).cast("double") / _all()).alias(f"avg_{c.removesuffix('_used')}") for c in ("tokens_used", "api_calls")]
+    return agents.groupBy("agent_type").agg(*_agent(), *each)
 
 
 SQL_KEY = "method || ':' || coalesce(endpoint, 'unknown')"

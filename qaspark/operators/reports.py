@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaspark.functions.numbers import sql_round2, sql_sum
 from qaspark.functions.tables import exists, shared_folder
 from qaspark.operators.knowledge import TYPES
 from qaspark.operators.metrics import SQL_REPORT, comprehensive_report
-from qaspark.operators.results import _priority, report_rows, severity
+from qaspark.operators.results import SQL_OUTCOMES, SQL_PRIORITY, SQL_SEVERITY, _priority, report_rows, result_summary, severity
 from qaspark.registry import query
 
 # Header of the CSV export.
@@ -47,20 +48,85 @@ def training_extract(results: DataFrame, n: int = 100) -> DataFrame:
     return results.orderBy("ts", "id").limit(n).select("id", "name", "error")
 
 
-_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+# The parts of an HTML report.
+HTML_STYLE = """body { font-family: Arial, sans-serif; margin: 20px; }
+        .summary { background: #f0f0f0; padding: 20px; margin-bottom: 20px; }
+        .test-case { border: 1px solid #ddd; margin: 10px 0; padding: 15px; }
+        .passed { border-left: 5px solid green; }
+        .failed { border-left: 5px solid red; }
+        .critical { background: #ffe0e0; }
+        table { width: 100%; border-collapse: collapse; }
+        th, td { border: 1px solid #ddd; padding: 8px; text-align: left; }
+        th { background: #4CAF50; color: white; }"""
+HTML_END = "</body>\n</html>"
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 
 
-@query("results", sql=f"SELECT id, '<tr class=\"' || CASE WHEN coalesce(passed, false) THEN 'passed' ELSE 'failed' END || '\"><td>' || {_ESC.format('name')} || '</td><td>' || {_ESC.format(chr(99) + 'oalesce(error, ' + chr(39) * 2 + ')')} || '</td></tr>' AS html FROM results")
-def html_report_rows(results: DataFrame) -> DataFrame:
-    """One table row per result, with its text escaped."""
+def html_text(c: Column) -> Column:
+    c = F.coalesce(c, F.lit(""))
+    for a, b in ENTITIES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _paragraph(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"<p><strong>{name}:</strong> "), value, F.lit("</p>\n"))
+
 
-    def escaped(c):
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-            c = F.replace(c, F.lit(a), F.lit(b))
-        return c
+_ESC = "replace(replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+_P = "'<p><strong>{}:</strong> ' || {} || '</p>' || chr(10)"
+_CLASS = f"CASE WHEN {SQL_SEVERITY} = 'critical' THEN ' critical' ELSE '' END"
+_STATUS = "CASE WHEN coalesce(passed, false) THEN 'PASSED' ELSE 'FAILED' END"
+_SQL_FIELDS = {"Type": _ESC.format("test_type"), "Endpoint": f"{_ESC.format('method')} || ' ' || {_ESC.format('endpoint')}", "Severity": SQL_SEVERITY, "Priority": SQL_PRIORITY, "Execution Time": "coalesce(printf('%.2f', execution_time), '') || 's'"}
+
+
+@query(
+    "results",
+    sql=f"""SELECT id, '<div class="test-case ' || lower({_STATUS}) || {_CLASS} || '">' || chr(10) || '<h3>' || {_ESC.format("coalesce(name, 'Unnamed Test')")} || ' - ' || {_STATUS} || '</h3>' || chr(10) || {' || '.join(_P.format(k, v) for k, v in _SQL_FIELDS.items())}
+    || CASE WHEN coalesce(error, '') <> '' THEN {_P.format('Error', _ESC.format('error'))} ELSE '' END || '</div>' AS html FROM results""",
+)
+def html_report_rows(results: DataFrame) -> DataFrame:
+    """The fragment of a report for each result: status and severity as classes, title, type, call, severity, priority, time, error.
 
+    Texts are escaped. ``html_summary`` is what stands before the fragments.
+    """
     rows = report_rows(results)
-    return rows.select("id", F.concat(F.lit('<tr class="'), F.lower("status"), F.lit('"><td>'), escaped(F.col("title")), F.lit("</td><td>"), escaped(F.col("error")), F.lit("</td></tr>")).alias("html"))
+    time = F.format_string("%.2fs", F.col("execution_time").cast("double"))
+    shown = {
+        "Type": html_text(F.col("test_type")),
+        "Endpoint": F.concat(html_text(F.col("method")), F.lit(" "), html_text(F.col("endpoint"))),
+        "Severity": F.col("severity"),
+        "Priority": F.col("priority"),
+        "Execution Time": F.when(F.col("execution_time").isNull(), "s").otherwise(time),
+    }
+    critical = F.when(F.col("severity") == "critical", " critical").otherwise("")
+    head = F.concat(F.lit('<div class="test-case '), F.lower("status"), critical, F.lit('">\n<h3>'), html_text(F.col("title")), F.lit(" - "), "status", F.lit("</h3>\n"))
+    error = F.when(F.col("error") != "", _paragraph("Error", html_text(F.col("error")))).otherwise("")
+    return rows.select("id", F.concat(head, *[_paragraph(k, c) for k, c in shown.items()], error, F.lit("</div>")).alias("html"))
+
+
+@query(
+    "results",
+    prepare=lambda r: (result_summary(r), "API <tests>", "2025-01-01T00:00:00"),
+    sql=f"""WITH s AS (SELECT {SQL_OUTCOMES}, coalesce({sql_round2(sql_sum('execution_time'))}, 0.0) AS total_time FROM results)
+    SELECT '<h1>API &lt;tests&gt;</h1>' || chr(10) || '<p>Generated: 2025-01-01T00:00:00</p>' || chr(10) || '<div class="summary">' || chr(10) || '<h2>Summary</h2>' || chr(10) || {_P.format('Total Tests', 'total')} || {_P.format('Passed', 'passed')} || {_P.format('Failed', 'failed')}
+    || {_P.format('Pass Rate', "printf('%.2f', pass_rate) || '%'")} || {_P.format('Execution Time', "printf('%.2f', total_time) || 's'")} || '</div>' || chr(10) || '<h2>Test Cases</h2>' AS summary FROM s""",
+)
+def html_summary(summary: DataFrame, title: str, generated_at: str) -> DataFrame:
+    """What stands before the fragments of a report: title, time, and the totals of ``result_summary``."""
+    number = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    totals = {"Total Tests": F.col("total").cast("string"), "Passed": F.col("passed").cast("string"), "Failed": F.col("failed").cast("string"), "Pass Rate": F.concat(number("pass_rate"), F.lit("%")), "Execution Time": F.concat(number("total_time"), F.lit("s"))}
+    head = F.concat(F.lit("<h1>"), html_text(F.lit(title)), F.lit("</h1>\n<p>Generated: "), html_text(F.lit(generated_at)), F.lit('</p>\n<div class="summary">\n<h2>Summary</h2>\n'))
+    return summary.select(F.concat(head, *[_paragraph(k, v) for k, v in totals.items()], F.lit("</div>\n<h2>Test Cases</h2>")).alias("summary"))
+
+
+def write_html(results: DataFrame, title: str, generated_at: str, folder: str) -> None:
+    """The report as text: sorted part files which, read one after another, are one page. No task holds more than its fragments."""
+    top = F.concat(F.lit("<!DOCTYPE html>\n<html>\n<head>\n<title>"), html_text(F.lit(title)), F.lit(f"</title>\n<style>\n        {HTML_STYLE}\n</style>\n</head>\n<body>\n"), "summary")
+    head = html_summary(result_summary(results), title, generated_at).select(F.lit(0).alias("at"), F.lit(None).cast("long").alias("id"), top.alias("text"))
+    rows = html_report_rows(results).select(F.lit(1).alias("at"), "id", F.col("html").alias("text"))
+    whole = head.unionByName(rows).unionByName(head.select(F.lit(2).alias("at"), "id", F.lit(HTML_END).alias("text")))
+    whole.orderBy("at", "id").select("text").write.text(folder)
 
 
 @query("knowledge", sql="SELECT knowledge_type, '2025-01-01T00:00:00' AS exported_at, count(*) AS n FROM knowledge GROUP BY 1", prepare=lambda k: (k, "2025-01-01T00:00:00"))

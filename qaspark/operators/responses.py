@@ -30,14 +30,34 @@ def extract_json_responses(responses: DataFrame) -> DataFrame:
     return found.select("id", F.when(good, F.col("json")).alias("json"), F.when(good, "ok").otherwise("failed").alias("status"))
 
 
-_MARK = r"^\s*(?:[-*•]|\d+[.)])\s+"
+# Fixed value: what marks a line as an item.
+_MARK = r"^[-*\d.]+\s*"
 
 
-@query("llm_responses", sql=r"SELECT id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*(?:[-*•]|\d+[.)])\s+', ''))), lambda x: x <> ''), '|') AS items FROM llm_responses")
+def _lists(responses: DataFrame) -> DataFrame:
+    """Some responses are JSON lists, bare or in a fence, with texts, numbers, objects and nulls."""
+    n = F.col("conv_id") + F.col("turn")
+    items = F.concat(F.lit('["a, b", '), n.cast("string"), F.lit(', {"k": [1]}, null, "- x"]'))
+    return responses.withColumn("text", F.when(n % 3 == 0, items).when(n % 3 == 1, F.concat(F.lit("```json\n"), items, F.lit("\n```"))).otherwise(F.concat(F.lit("* first\n\n2. second\n-third "), "text")))
+
+
+_PLAIN = r"list_filter(list_transform(string_split(trim(text, chr(10) || ' '), chr(10)), lambda x: regexp_replace(trim(x, chr(9) || chr(13) || ' '), '^[-*\d.]+\s*', '')), lambda x: x <> '')"
+
+
+@query(
+    "llm_responses",
+    prepare=lambda r: (_lists(r),),
+    sql=f"""WITH t AS (SELECT id, (conv_id + turn) % 3 < 2 AS listed, conv_id + turn AS n, '* first' || chr(10) || chr(10) || '2. second' || chr(10) || '-third ' || text AS text FROM llm_responses)
+    SELECT id, CASE WHEN listed THEN ['a, b', n::VARCHAR, '{{"k":[1]}}', 'null', '- x'] ELSE {_PLAIN} END AS items FROM t""",
+)
 def parse_list_responses(responses: DataFrame) -> DataFrame:
-    """Lines of a response without bullets and numbers; blank ones are dropped."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, _MARK, ""))), lambda x: x != "")
-    return responses.select("id", F.array_join(lines, "|").alias("items"))
+    """Items of a response: of its JSON if that is a list (texts as they are, anything else as JSON), else its lines without bullets and
+    numbers, blank ones dropped. A text that is JSON as a whole is taken as it is."""
+    parsed = F.coalesce(F.try_parse_json("text"), F.try_parse_json(json_text(F.col("text"))))
+    listed = F.try_variant_get(parsed, "$", "array<variant>")
+    item = lambda v: F.when(v.isNull() | F.is_variant_null(v), "null").when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    lines = F.filter(F.transform(F.split(F.trim("text", F.lit(" \n")), "\n"), lambda x: F.regexp_replace(F.trim(x, F.lit(" \t\r")), _MARK, "")), lambda x: x != "")
+    return responses.select("id", F.coalesce(F.transform(listed, item), lines).alias("items"))
 
 
 @query("llm_responses", sql=r"SELECT id, CASE WHEN contains(text, '```') THEN regexp_extract(text, '(?s)```(\w*)\s*\n?(.*?)```', 1) ELSE '' END AS language, CASE WHEN contains(text, '```') THEN trim(regexp_extract(text, '(?s)```(\w*)\s*\n?(.*?)```', 2), chr(10) || ' ') ELSE text END AS code, trim(split_part(text, '```', 1), ' ') AS description FROM llm_responses")
@@ -54,17 +74,31 @@ def parse_code_responses(responses: DataFrame) -> DataFrame:
 
 
 def _headed(responses: DataFrame) -> DataFrame:
-    return responses.select("id", F.concat(F.lit("# First Part\n"), "text", F.lit("\n## Second one\nrow "), "id").alias("text"))
+    text = F.concat(F.lit("before\n# First Part\n"), "text", F.lit("\n## Second one\nrow "), "id", F.lit("\n# First Part\nagain\n**Bold\n2. Second one"))
+    return responses.select("id", F.when(F.col("text").isNotNull(), text).alias("text"))
+
+
+# Fixed value: what starts a section.
+_HEAD = r"(?:\d+\.|#{1,3}\s|\*\*)"
 
 
-@query("llm_responses", prepare=lambda r: (_headed(r),), sql="SELECT id, 'first_part' AS section, trim(text, chr(10) || ' ') AS content FROM llm_responses WHERE text IS NOT NULL UNION ALL SELECT id, 'second_one', 'row ' || id FROM llm_responses WHERE text IS NOT NULL")
+@query(
+    "llm_responses",
+    prepare=lambda r: (_headed(r),),
+    sql="""SELECT id, unnest(['content', 'first_part', 'second_one', 'bold']) AS section, unnest([['before'], [trim(text, chr(10) || ' '), 'again'], ['row ' || id, ''], ['']]) AS content
+    FROM llm_responses WHERE text IS NOT NULL""",
+)
 def parse_sections(responses: DataFrame) -> DataFrame:
-    """Sections of a response by heading (numbered, # or **); the key is in lower case with underscores."""
-    heading = r"^\s*(?:#+\s*|\*\*|\d+\.\s+)([^\n*]+?)(?:\*\*)?:?\s*(?:\n|$)"
-    part = F.explode(F.filter(F.split("text", r"(?m)(?=^(?:#+ |\*\*|\d+\. ))"), lambda x: F.trim(x) != ""))
-    rows = responses.select("id", part.alias("part")).where(F.col("part").rlike(heading))
-    key = F.regexp_replace(F.lower(F.trim(F.regexp_extract("part", heading, 1))), r"\s+", "_")
-    return rows.select("id", key.alias("section"), F.trim(F.regexp_replace("part", heading, ""), F.lit(" \n")).alias("content"))
+    """Sections of a response by heading (numbered, #, ## or ###, **), in lower case with underscores, each with the list of its texts: one
+    for every time that the heading comes. What stands before the first heading is the section "content"."""
+    parts = F.filter(F.transform(F.split("text", rf"\n(?={_HEAD})"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    head = lambda x: F.regexp_extract(x, rf"^{_HEAD}([^\n]+)", 1)
+    key = lambda x: F.replace(F.lower(F.trim(head(x))), F.lit(" "), F.lit("_"))
+    body = lambda x: F.regexp_replace(F.regexp_replace(x, rf"^{_HEAD}[^\n]*\n?", ""), r"^\s+|\s+$", "")
+    pairs = F.transform(parts, lambda x: F.struct(F.when(head(x) != "", key(x)).otherwise("content").alias("key"), body(x).alias("text")))
+    rows = responses.select("id", F.posexplode(pairs).alias("at", "p")).select("id", "at", F.col("p.key").alias("section"), "p.text")
+    found = rows.groupBy("id", "section").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+    return found.select("id", "section", F.transform("t", lambda x: x["text"]).alias("content"))
 
 
 @query("llm_responses", sql=f"SELECT id, array_to_string(list_filter(['name', 'endpoint', 'method'], lambda k: NOT coalesce(list_contains(json_keys(CASE WHEN json_valid({_JSON}) THEN {_JSON} END), k), false)), ',') AS missing FROM llm_responses")

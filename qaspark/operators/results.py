@@ -158,6 +158,7 @@ def session_coverage(results: DataFrame) -> DataFrame:
 )
 def recommendations(results: DataFrame) -> DataFrame:
     """Advice by rule, in order: pass rate, critical failures, slow tests, most common error, diversity."""
+    # The texts of the advice and the limits that they name.
     top = top_errors(results, 1).agg(F.first("error").alias("_error"), F.first("n").alias("_n"))
     mean = results.agg((exact_sum("execution_time") / F.count("execution_time")).alias("_mean"))
     total, passed = F.count(F.lit(1)), F.count_if(_passed())

@@ -18,7 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Modules that register operators when they are imported.
 MODULES = """operators.results operators.metrics operators.validation operators.rewards operators.cases operators.knowledge
- operators.vectors operators.chunking operators.endpoints operators.validators operators.datagen
+ operators.vectors operators.chunking operators.endpoints operators.specification operators.validators operators.datagen
  operators.assertions operators.responses operators.sourcecode operators.reports operators.context streaming.jobs plans.workloads""".split()
 
 

@@ -24,8 +24,8 @@ DIALECT = {
     ),
     "TAGS": ("array('smoke', concat('t', doc_id % 3))", "['smoke', 't' || (doc_id % 3)]"),
     "PARAMS": (
-        "array(named_struct('name', 'id', 'type', 'int'), named_struct('name', 'page', 'type', CASE page_id % 3 WHEN 0 THEN 'List<string>' ELSE 'bool?' END))",
-        "[{'name': 'id', 'type': 'int'}, {'name': 'page', 'type': CASE page_id % 3 WHEN 0 THEN 'List<string>' ELSE 'bool?' END}]",
+        "array(named_struct('name', 'id', 'type', 'int', 'source', 'route', 'required', true), named_struct('name', 'page', 'type', CASE page_id % 3 WHEN 0 THEN 'List<string>' ELSE 'bool?' END, 'source', CASE page_id % 5 WHEN 0 THEN 'query' WHEN 1 THEN 'body' WHEN 2 THEN 'header' WHEN 3 THEN 'form' END, 'required', page_id % 2 = 0))",
+        "[{'name': 'id', 'type': 'int', 'source': 'route', 'required': true}, {'name': 'page', 'type': CASE page_id % 3 WHEN 0 THEN 'List<string>' ELSE 'bool?' END, 'source': CASE page_id % 5 WHEN 0 THEN 'query' WHEN 1 THEN 'body' WHEN 2 THEN 'header' WHEN 3 THEN 'form' END, 'required': page_id % 2 = 0}]",
     ),
     "PATH": ("regexp_replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/[0-9]+', CASE page_id % 3 WHEN 0 THEN '/:id' WHEN 1 THEN '/<id>' ELSE '/<int:id>' END)", "regexp_replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/[0-9]+', CASE page_id % 3 WHEN 0 THEN '/:id' WHEN 1 THEN '/<id>' ELSE '/<int:id>' END, 'g')"),
     "RULES": (
