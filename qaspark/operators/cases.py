@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import small_batches, stored, with_group_values
 from qaspark.registry import query
 
 # Keywords by test type, in order of precedence, and words of edge cases and of fields.
@@ -224,40 +225,101 @@ def structured_text(records: DataFrame) -> DataFrame:
 
 
 def _suite_texts(documents: DataFrame) -> DataFrame:
-    """A suite tree per source, as JSON text: the source's documents are cases of nested suites."""
+    """A suite tree per source, as JSON text: the source's documents are cases of nested suites. Some texts are cut off, some missing."""
     case = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("lang").alias("priority")))
     suite = F.concat(F.lit('{"title":"L'), F.col("doc_id") % 3, F.lit('","cases":['), case, F.lit('],"suites":[{"cases":['), case, F.lit("]}]}"))
-    return documents.select(F.col("source").alias("path"), F.concat(F.lit('{"suites":['), suite, F.lit("]}")).alias("content"))
+    text = F.concat(F.lit('{"suites":['), suite, F.when(F.col("doc_id") % 50 == 7, "").otherwise("]}"))
+    return documents.select(F.col("source").alias("path"), F.when(F.col("doc_id") % 50 != 8, text).alias("content"))
+
+
+def suite_cases(tree: dict) -> Iterator[tuple[str, int, dict[str, str]]]:
+    """Suite path, id and fields of the cases of a suite tree, a suite's own before those of its children; without recursion."""
+    waiting = [(s, "") for s in reversed(tree.get("suites") or [])]
+    while waiting:
+        suite, above = waiting.pop()
+        title = suite.get("title") or "Unknown Suite"
+        at = f"{above} > {title}" if above else title
+        for c in suite.get("cases") or []:
+            yield at, c.get("id"), {k: v if isinstance(v, str) else json.dumps(v) for k, v in c.items() if k != "id"}
+        waiting.extend((s, at) for s in reversed(suite.get("suites") or []))
 
 
 _CASE_FIELDS = "MAP {'title': coalesce(text, ''), 'priority': coalesce(lang, '')}"
+_ERROR = "CASE doc_id % 50 WHEN 7 THEN 'no JSON' WHEN 8 THEN 'no content' END"
 
 
 @query(
     "documents",
     prepare=lambda d: (_suite_texts(d.fillna("", ["text", "lang"])),),
-    sql=f"SELECT source AS path, 'L' || (doc_id % 3) AS suite_path, doc_id AS id, {_CASE_FIELDS} AS fields FROM documents UNION ALL SELECT source, 'L' || (doc_id % 3) || ' > Unknown Suite', doc_id, {_CASE_FIELDS} FROM documents",
+    sql=f"""SELECT source AS path, 'L' || (doc_id % 3) AS suite_path, doc_id AS id, {_CASE_FIELDS} AS fields, NULL::VARCHAR AS error FROM documents WHERE {_ERROR} IS NULL
+    UNION ALL SELECT source, 'L' || (doc_id % 3) || ' > Unknown Suite', doc_id, {_CASE_FIELDS}, NULL FROM documents WHERE {_ERROR} IS NULL UNION ALL SELECT source, NULL, NULL, NULL, {_ERROR} FROM documents WHERE {_ERROR} IS NOT NULL""",
 )
 def flatten_suites(files: DataFrame) -> DataFrame:
-    """Cases of suite trees (JSON texts in ``content``), depth first, with the path of suite titles and all their fields; any depth.
+    """Cases of suite trees (JSON texts in ``content``) with the path of suite titles and all their fields; any depth.
 
-    Fields that are no strings come as JSON.
+    Fields that are no strings come as JSON. A file that can't be read as a suite tree gives one row that says why in ``error`` and
+    has nothing else but its path; the others are not affected.
     """
 
-    def walk(suites: list, above: str) -> Iterator[tuple[str, int, dict[str, str]]]:
-        for s in suites or []:
-            title = s.get("title") or "Unknown Suite"
-            at = f"{above} > {title}" if above else title
-            for c in s.get("cases") or []:
-                yield at, c.get("id"), {k: v if isinstance(v, str) else json.dumps(v) for k, v in c.items() if k != "id"}
-            yield from walk(s.get("suites"), at)
+    def rows_of(path: str, text: str | None) -> list[tuple]:
+        if text is None:
+            return [(path, None, None, None, "no content")]
+        try:
+            return [(path, *x, None) for x in suite_cases(json.loads(text))]
+        except ValueError:
+            return [(path, None, None, None, "no JSON")]
+        except (AttributeError, TypeError):
+            return [(path, None, None, None, "no suite tree")]
+        except RecursionError:
+            return [(path, None, None, None, "nested too deeply")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *x) for p, t in zip(b["path"], b["content"], strict=True) for x in walk(json.loads(t).get("suites"), "")]
-            yield pd.DataFrame(rows, columns=["path", "suite_path", "id", "fields"])
+            rows = [r for p, t in zip(b["path"], b["content"], strict=True) for r in rows_of(p, t)]
+            yield pd.DataFrame(rows, columns=["path", "suite_path", "id", "fields", "error"]).astype({"id": "Int64"})
+
+    small_batches(files.sparkSession)
+    return files.select("path", "content").mapInPandas(run, "path string, suite_path string, id long, fields map<string,string>, error string")
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, suite_path string, id long, fields map<string,string>")
+_TREE = """WITH RECURSIVE tree(id, suite_path, depth) AS (
+  SELECT id, coalesce(nullif(title, ''), 'Unknown Suite'), 1 FROM {suites} WHERE parent_id IS NULL
+  UNION ALL SELECT s.id, concat(tree.suite_path, ' > ', coalesce(nullif(s.title, ''), 'Unknown Suite')), depth + 1 FROM {suites} s JOIN tree ON s.parent_id = tree.id)
+SELECT id, suite_path, depth FROM tree"""
+
+
+def suite_paths(suites: DataFrame, levels: int = 1000) -> DataFrame:
+    """id, suite_path and depth of every suite of a table (id, parent_id, title) that hangs below one without a parent.
+
+    A level of the tree is a join; a tree of more than ``levels`` levels is an error, not a cut. Suites on a cycle hang below none.
+    """
+    spark = suites.sparkSession
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return stored(spark.sql(_TREE, suites=stored(suites.select("id", "parent_id", "title"))))
+
+
+def _suite_table(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Suites three deep: sources, their languages, and a number; a document is a case of the innermost."""
+    third = F.col("doc_id") % 4
+    key = lambda *parts: F.concat_ws("/", *[F.coalesce(F.col(p) if isinstance(p, str) else p.cast("string"), F.lit("")) for p in parts])
+    rows = documents.select("doc_id", "source", "lang", third.alias("m"))
+    level = lambda *names: rows.select(key(*names).alias("id"), (key(*names[:-1]) if names[:-1] else F.lit(None).cast("string")).alias("parent_id"), F.col(names[-1]).cast("string").alias("title")).distinct()
+    suites = level("source").unionByName(level("source", "lang")).unionByName(level("source", "lang", "m"))
+    return suites.withColumn("title", F.when(F.col("title") != "2", F.col("title"))), rows.select(F.col("doc_id").alias("id"), key("source", "lang", "m").alias("suite_id"))
+
+
+@query(
+    "documents",
+    prepare=_suite_table,
+    sql="SELECT doc_id AS id, source || ' > ' || lang || ' > ' || CASE WHEN doc_id % 4 = 2 THEN 'Unknown Suite' ELSE (doc_id % 4)::VARCHAR END AS suite_path, 3 AS depth FROM documents",
+)
+def flatten_suite_table(suites: DataFrame, cases: DataFrame) -> DataFrame:
+    """``flatten_suites`` of suites in a table: id, suite_path and depth of the cases (id, suite_id) of every suite of the tree."""
+    cases = stored(cases.select("id", "suite_id"))
+    sizes = cases.groupBy(F.col("suite_id").alias("_suite")).agg(F.count(F.lit(1)).alias("_n"))
+    paths = suite_paths(suites).join(sizes, F.col("id") == F.col("_suite")).select(F.col("id").alias("suite_id"), "suite_path", "depth", "_n")
+    return with_group_values(cases, stored(paths), "suite_id", "_n").select("id", "suite_path", "depth")
 
 
 @query(

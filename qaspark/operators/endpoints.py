@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import numbered, stored, with_group_values
 from qaspark.registry import query
 
 # Types of source languages in API terms, and where a parameter is sent.
@@ -234,16 +235,19 @@ _SEG = f"list_filter(string_split({SQL_PATH}, '/'), lambda x: x <> '')"
 _RES = rf"CASE WHEN regexp_full_match(coalesce({_SEG}[1], ''), 'v\d+') THEN coalesce({_SEG}[2], 'root') ELSE coalesce({_SEG}[1], 'root') END"
 
 
-@query("endpoints_raw", sql=f"SELECT {_RES} AS resource, count(*) AS n, string_agg({SQL_METHOD} || ' ' || {SQL_PATH}, ',' ORDER BY ordinal) AS endpoints FROM endpoints_raw GROUP BY 1")
+@query("endpoints_raw", sql=f"SELECT {_RES} AS resource, row_number() OVER (PARTITION BY {_RES} ORDER BY ordinal) - 1 AS position, count(*) OVER (PARTITION BY {_RES}) AS n, {SQL_METHOD} || ' ' || {SQL_PATH} AS endpoint FROM endpoints_raw")
 def endpoints_by_resource(endpoints: DataFrame) -> DataFrame:
-    """Endpoints of each resource: the first path segment that is no version."""
+    """Endpoints of each resource (the first path segment that is no version), numbered in their order, and how many it has.
+
+    Endpoints stay rows and are numbered over range partitions, so a resource may hold any number of them.
+    """
     segments = F.filter(F.split(path_of(F.col("path")), "/"), lambda x: x != "")
     first = F.get(segments, F.lit(0))
     resource = F.coalesce(F.when(first.rlike(r"^v\d+$"), F.get(segments, F.lit(1))).otherwise(first), F.lit("root"))
     line = F.concat_ws(" ", F.upper(F.coalesce("http_method", F.lit("GET"))), path_of(F.col("path")))
-    each = endpoints.select(resource.alias("resource"), "ordinal", line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), ",")
-    return each.groupBy("resource").agg(F.count(F.lit(1)).alias("n"), joined.alias("endpoints"))
+    rows = stored(numbered(endpoints.select(resource.alias("resource"), "ordinal", line.alias("endpoint")), ["resource"], ["ordinal"], "position"))
+    sizes = stored(rows.groupBy("resource").agg(F.count(F.lit(1)).alias("n")).withColumn("_n", F.col("n")))
+    return with_group_values(rows, sizes, "resource", "_n").select("resource", "position", "n", "endpoint")
 
 
 def _latest(endpoints: DataFrame) -> DataFrame:

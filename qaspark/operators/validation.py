@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import numbered, stored
 from qaspark.registry import query
 
 # HTTP verbs and the patterns of valid e-mail addresses and URLs.
@@ -45,15 +46,19 @@ def validate_test_cases(cases: DataFrame) -> DataFrame:
 @query(
     "test_cases",
     sql=f"""WITH c AS (SELECT suite_id, ordinal, row_number() OVER (PARTITION BY suite_id ORDER BY ordinal) - 1 AS idx, {SQL_ERROR} AS error FROM test_cases)
-    SELECT suite_id, count(error) = 0 AS is_valid, coalesce(array_to_string(list('Test case ' || idx || ': ' || error ORDER BY idx) FILTER (WHERE error IS NOT NULL), chr(10)), '') AS errors FROM c GROUP BY 1""",
+    SELECT suite_id, false AS is_valid, idx, 'Test case ' || idx || ': ' || error AS error FROM c WHERE error IS NOT NULL UNION ALL SELECT suite_id, true, NULL, NULL FROM c GROUP BY 1 HAVING count(error) = 0""",
 )
 def validate_suite(cases: DataFrame) -> DataFrame:
-    """Validity of each suite and its errors, in the order of its cases."""
-    from pyspark.sql import Window
-
-    indexed = cases.select("suite_id", (F.row_number().over(Window.partitionBy("suite_id").orderBy("ordinal")) - 1).alias("idx"), case_error().alias("error"))
-    line = F.when(F.col("error").isNotNull(), F.struct("idx", F.concat(F.lit("Test case "), F.col("idx"), F.lit(": "), "error").alias("line")))
-    return indexed.groupBy("suite_id").agg((F.count("error") == 0).alias("is_valid"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("errors"))
+    """A row for each error of a suite, with the number of its case in the suite, and one row for a suite without errors.
+
+    Cases are numbered over range partitions and errors stay rows, so a suite of any size is spread over many tasks.
+    """
+    rows = cases.select("suite_id", "ordinal", case_error().alias("error"))
+    indexed = stored(numbered(rows, ["suite_id"], ["ordinal"], "idx"))
+    line = F.concat(F.lit("Test case "), F.col("idx").cast("string"), F.lit(": "), "error")
+    errors = indexed.where("error is not null").select("suite_id", F.lit(False).alias("is_valid"), "idx", line.alias("error"))
+    fine = indexed.groupBy("suite_id").agg(F.count("error").alias("_n")).where("_n = 0")
+    return errors.unionByName(fine.select("suite_id", F.lit(True).alias("is_valid"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("error")))
 
 
 @query("test_cases", sql=f"SELECT ordinal, name, test_type, method, endpoint FROM test_cases WHERE {SQL_ERROR} IS NULL AND NOT (test_case IS NOT NULL AND method IS NULL)")

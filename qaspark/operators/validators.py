@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import numbered
 from qaspark.registry import query
 
 # Parts of rule names by category, in order of precedence.
@@ -54,9 +55,25 @@ def validation_test_cases(validators: DataFrame) -> DataFrame:
     return rows.select("ordinal", "rule", F.explode(cases).alias("c")).select("ordinal", "rule", "c.*")
 
 
-@query("validator_rows", sql="SELECT model || '_' || field AS key, count(*) AS n, array_to_string(flatten(list(rules ORDER BY ordinal)), ',') AS rules FROM validator_rows GROUP BY 1")
+def _with_validations(validators: DataFrame) -> DataFrame:
+    return validators.withColumn("validations", F.when(F.col("min_length") % 2 == 0, F.array(F.concat(F.lit("min "), F.col("min_length").cast("string")))))
+
+
+@query(
+    "validator_rows",
+    prepare=lambda v: (_with_validations(v),),
+    sql="""WITH r AS (SELECT model || '_' || field AS key, ordinal, 'rules' AS kind, unnest(rules) AS value, generate_subscripts(rules, 1) AS i FROM validator_rows
+      UNION ALL SELECT model || '_' || field, ordinal, 'validations', 'min ' || min_length, 1 FROM validator_rows WHERE min_length % 2 = 0)
+    SELECT key, kind, row_number() OVER (PARTITION BY key, kind ORDER BY ordinal, i) - 1 AS position, value FROM r""",
+)
 def merge_validators(validators: DataFrame) -> DataFrame:
-    """Validators of one model and field as one: their rules in order."""
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "rules")))
-    merged = F.flatten(F.transform(rows, lambda x: x["rules"]))
-    return validators.groupBy(F.concat_ws("_", "model", "field").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.array_join(merged, ",").alias("rules"))
+    """Validators of one model and field as one: its rules and its validations, numbered in order.
+
+    What is merged stays rows and is numbered over range partitions, so any number of validators may share a key.
+    """
+    key = F.concat_ws("_", "model", "field").alias("key")
+    parts = [validators.select(key, "ordinal", F.lit(c).alias("kind"), F.posexplode(c).alias("_i", "value")) for c in ("rules", "validations") if c in validators.columns]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return numbered(rows, ["key", "kind"], ["ordinal", "_i"], "position").select("key", "kind", "position", "value")
