@@ -16,7 +16,7 @@ items' shingles: these are joined to what the search has found.
 
 Edge cases: null texts and texts without words match nothing; an item of fewer than five words is one shingle and matches windows
 equal to it; items of equal text all match; texts of any length are searched whole; repeated rows are reported once; rows of one id
-with different texts are all searched; rows without an id are kept and not reported; an empty benchmark or an empty table gives no
+with different texts are all searched; windows of equal similarity, also of one document, are all reported; rows without an id are kept and not reported; an empty benchmark or an empty table gives no
 matches; extra columns, of whatever name, are ignored by ``leaks`` and kept by ``without_leaks``.
 """
 

@@ -7,7 +7,8 @@ functions: the array functions run per row, nothing is exploded, and the only sh
 
 Edge cases: a null text counts as empty; an empty text (or one without words) has the fingerprint "", which is fully like itself
 and not like any other; a text of fewer than five words is one shingle. Null ids sort below all others. Rows of one id are
-ordered by the hash of their text. The only row of a table is its own next row; an empty table gives no rows.
+ordered by the hash of their text, and rows that repeat are each other's next. A text of any length is hashed whole. The only row of
+a table is its own next row; an empty table gives no rows; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 Shallow trees, boosted in turn over the features, add up to one lookup table per feature and one per chosen pair; scoring adds the
 table entries of a row's bins, vectorised over Arrow batches.
 
-Edge cases: a null text counts as empty and gets a score; null labels and null ids are not learned from; an empty label table
-gives a constant score; extra columns are ignored.
+Edge cases: a null or empty text gets the score of a text without words; a text of any length is read whole; null labels and null ids
+are not learned from; rows that repeat an id are scored each by its own text, and equal texts alike; a tie, a score equal to the
+threshold, counts as 1; an empty label table gives a constant score, an empty table no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

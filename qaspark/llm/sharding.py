@@ -4,8 +4,10 @@ Differencing runs over a bounded number of items: every group of equal texts tha
 own, the many small groups are bundled by hash into ``BUNDLES`` items. So the hot group of a skewed corpus is placed first and
 the bundles fill up the other shards, and the differencing step never sees more than ``BUNDLES + GIANTS * shards`` rows.
 
-Edge cases: a null text has no bytes and goes with the empty texts; null ids and repeated rows are placed like any row; an empty
-table gives no rows; extra columns are ignored. A group larger than a fair shard can't be split, so its shard is larger.
+Edge cases: a null text has no bytes and goes with the empty texts; null ids and repeated rows are placed like any row; items of equal
+size are placed in order of their hash, so ties fall alike in every run; a text of any length is one row, and one that is larger
+than a fair shard, as a group that is, can't be split, so its shard is larger; an empty table gives no rows; extra columns, of whatever
+name, are ignored.
 """
 
 from __future__ import annotations

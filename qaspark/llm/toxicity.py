@@ -5,8 +5,9 @@ obfuscated (letters replaced by digits or signs, also insults found only after u
 word stems that the labels mark, for languages and coinages that a fixed list misses. Each half of the training rows gets the stems
 learned from the other half, so that the trees see how far unseen stems can be trusted; scoring uses the stems of all of them.
 
-Edge cases: a null text counts as empty and gets a score; null labels and null ids are not learned from; an empty label table
-gives a constant score; extra columns are ignored by ``score_documents`` and kept by ``drop_toxic``.
+Edge cases: a null or empty text gets the score of a text without words; a text of any length is read whole; null labels and null ids
+are not learned from; rows that repeat an id are scored each by its own text, and equal texts alike; a tie, a score equal to the
+threshold, counts as 1; an empty label table gives a constant score, an empty table no rows; extra columns are ignored by ``score_documents`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
