@@ -114,7 +114,23 @@ def lines(text: str, n: int = LINES) -> list[Piece]:
     return out
 
 
-STRATEGIES: dict[str, Callable[[str], list[Piece]]] = {"sliding": sliding, "semantic": semantic, "code": code, "lines": lines}
+_TEST_LINE = re.compile(TEST_STARTS)
+
+
+def tests(text: str) -> list[Piece]:
+    """A piece for each test, from its first line on; a text without tests is cut by sentences."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if _TEST_LINE.search(line):
+            out.append([line, at])
+        elif out:
+            out[-1][0] += "\n" + line
+        at += len(line) + 1
+    return [(body, start, start + len(body)) for body, start in out] or sliding(text)
+
+
+#: Ways to cut a text, by name; any other name, or none, means sliding.
+STRATEGIES: dict[str, Callable[[str], list[Piece]]] = {"sliding": sliding, "semantic": semantic, "code": code, "test": tests, "lines": lines}
 
 
 def pieces_or_error(strategies: dict[str, Callable[[str], list[Piece]]]) -> Callable:
@@ -122,9 +138,7 @@ def pieces_or_error(strategies: dict[str, Callable[[str], list[Piece]]]) -> Call
 
     def one(text: str | None, strategy: str | None) -> dict:
         try:
-            cut = strategies.get(strategy)
-            if cut is None:
-                return {"pieces": None, "error": f"unknown strategy {strategy}"}
+            cut = strategies.get(strategy) or strategies["sliding"]
             return {"pieces": [{"text": t, "start_idx": a, "end_idx": b} for t, a, b in cut(text or "")], "error": None}
         except Exception as e:  # any error of a pluggable strategy is this document's status
             return {"pieces": None, "error": f"{type(e).__name__}: {e}"}
@@ -157,10 +171,11 @@ def chunk_code(documents: DataFrame, language: str = "python") -> DataFrame:
 
 @query("corpus", prepare=lambda c: (c.withColumn("strategy", F.get(F.array(F.lit("sliding"), F.lit("semantic"), F.lit(None).cast("string")), (F.col("doc_id") % 3).cast("int"))),))
 def chunk_documents(documents: DataFrame, most: int | None = None, strategies: dict[str, Callable[[str], list[Piece]]] | None = None) -> DataFrame:
-    """Each document by its own strategy, sliding by default; strategies are pluggable."""
-    parts = None
-    for name, cut in (strategies or STRATEGIES).items():
-        part = chunked(documents.where(F.coalesce("strategy", F.lit("sliding")) == name), cut, most=most).withColumn("strategy", F.lit(name))
+    """Each document by its own strategy, sliding by default and for an unknown one; strategies are pluggable."""
+    parts, cuts = None, strategies or STRATEGIES
+    own = F.when(F.col("strategy").isin(*cuts), F.col("strategy")).otherwise("sliding")
+    for name, cut in cuts.items():
+        part = chunked(documents.where(own == name), cut, most=most).withColumn("strategy", F.lit(name))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

@@ -107,6 +107,10 @@ def _write_part(documents: DataFrame, folder: str, part: int, dim: int, strategi
     publish(spark, folder, part, {"stats": stats, "last": {r.index_name: r.last for r in ends}})
 
 
+def _broken(text: str) -> list[Piece]:
+    raise ValueError("can't be cut")
+
+
 _CUT = "CAST(ceil(len(string_split(content, chr(10))) / 50.0) AS BIGINT)"
 
 
@@ -117,15 +121,16 @@ _CUT = "CAST(ceil(len(string_split(content, chr(10))) / 50.0) AS BIGINT)"
     coalesce(sum(n) FILTER (WHERE NOT broken), 0)::BIGINT AS chunks, true AS gapless FROM d GROUP BY 1""",
 )
 def index_documents(documents: DataFrame) -> DataFrame:
-    """Two runs into one index, the second with all documents, cut by lines; some ask for a strategy that doesn't exist.
+    """Two runs into one index, the second with all documents, cut by lines; some are cut by a strategy that fails.
 
     Per index: documents that each run adds, that the second run skips as known, that failed in either, all chunks, and whether the
     vector ids have no gaps.
     """
     spark, folder = documents.sparkSession, shared_folder(documents.sparkSession)
-    rows = documents.withColumn("chunking_strategy", F.when(F.col("doc_id") % 13 == 5, "none such").otherwise("lines"))
-    index_into(rows.where("doc_id % 3 = 0"), folder, 0, 64)
-    index_into(rows, folder, 1, 64)
+    rows = documents.withColumn("chunking_strategy", F.when(F.col("doc_id") % 13 == 5, "broken").otherwise("lines"))
+    cuts = STRATEGIES | {"broken": _broken}
+    index_into(rows.where("doc_id % 3 = 0"), folder, 0, 64, cuts)
+    index_into(rows, folder, 1, 64, cuts)
     of = lambda part, status, reason=True: F.count_if((F.col("part") == part) & (F.col("status") == status) & reason)
     known = of(1, "skipped", F.col("reason") == "already_indexed").alias("known")
     ledger = stored_index(spark, folder, "ledger").groupBy("index_name").agg(of(0, "indexed").alias("before"), of(1, "indexed").alias("added"), known, F.count_if(F.col("status") == "failed").alias("failed"), F.sum("chunks").alias("chunks"))

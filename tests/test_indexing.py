@@ -33,22 +33,23 @@ def test_every_document_has_a_status(spark):
     cuts = workloads.STRATEGIES | {"broken": broken, "nothing": lambda text: []}
     encoder = lambda text, dim: F.when(text != "bad", hash_embedding(text, dim))
     long = "Some words. " * 80
-    rows = [(1, "test_case", long), (2, None, None, "from the text column"), (3, "bug", "x", None, "broken"), (4, None, "x", None, "unheard of"), (5, None, ""), (6, None, "a\n\n" + "b" * 600, None, "semantic")]
+    rows = [(1, "test_case", long), (2, None, None, "from the text column"), (3, "bug", "x", None, "broken"), (4, None, "x", None, "unheard of"), (10, None, "x", None, "broken"), (5, None, ""), (6, None, "a\n\n" + "b" * 600, None, "semantic")]
     rows += [(7, None, "bad"), (8, None, "x", None, "nothing"), (1, "test_case", long), (None, None, "no id")]
     got = stats(workloads.index_into(docs(spark, *rows), folder, 0, 8, cuts, encoder))
-    assert got == {"total_documents": 10, "indexed": 3, "skipped": 4, "no_content": 1, "no_chunks": 1, "failed": 3, "chunks_created": 5}
+    assert got == {"total_documents": 11, "indexed": 4, "skipped": 4, "no_content": 1, "no_chunks": 1, "failed": 3, "chunks_created": 6}
     assert statuses(spark, folder) == {
         (0, 1): ("indexed", None, 2),
         (0, 2): ("indexed", None, 1),
         (0, 3): ("failed", "ValueError: no way", 0),
-        (0, 4): ("failed", "unknown strategy unheard of", 0),
+        (0, 4): ("indexed", None, 1),
+        (0, 10): ("failed", "ValueError: no way", 0),
         (0, 5): ("skipped", "no_content", 0),
         (0, 6): ("indexed", None, 2),
         (0, 7): ("failed", "no_vector", 0),
         (0, 8): ("skipped", "no_chunks", 0),
     }
     vectors = workloads.stored_index(spark, folder, "vectors").collect()
-    assert sorted(r.vector_id for r in vectors) == list(range(5)) and {r.doc_id for r in vectors} == {1, 2, 6}
+    assert sorted(r.vector_id for r in vectors) == list(range(6)) and {r.doc_id for r in vectors} == {1, 2, 4, 6}
     # the next run takes what is new, what has failed, and what is forced, and numbers on
     more = [(1, "test_case", long), (2, None, "again", None, None, True), (3, "bug", "x"), (9, None, "new")]
     got = stats(workloads.index_into(docs(spark, *more), folder, 1, 8, cuts, encoder))
@@ -56,7 +57,7 @@ def test_every_document_has_a_status(spark):
     ids = {}
     for r in workloads.stored_index(spark, folder, "vectors").collect():
         ids.setdefault(r.index_name, []).append(r.vector_id)
-    assert {k: sorted(v) for k, v in ids.items()} == {"test_patterns": list(range(7)), "bug_patterns": [0]}
+    assert {k: sorted(v) for k, v in ids.items()} == {"test_patterns": list(range(8)), "bug_patterns": [0]}
 
 
 def test_a_published_part_is_not_written_again(spark):

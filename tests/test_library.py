@@ -177,3 +177,13 @@ def test_values_within_bounds(spark):
     df = spark.createDataFrame([(i, f"n{i}", "number", 3, 5, None, None) for i in range(50)], "id int, name string, type string, min_value int, max_value int, min_length int, max_length int")
     values = [float(r.value) for r in datagen.valid_values(df).collect()]
     assert all(3 <= v <= 5 for v in values) and any(v != int(v) for v in values)
+
+
+def test_strategies_and_weights_are_pluggable(spark):
+    docs = spark.createDataFrame([(1, "a|b", "bars"), (2, "One. Two.", "unheard of"), (3, "x\ndef test_a():\n  1\ndef test_b():\n  2", "test"), (4, "plain", None)], "doc_id long, content string, strategy string")
+    bars = lambda text: [(p, 0, len(p)) for p in text.split("|")]
+    got = {(r.doc_id, r.chunk_index): (r.text, r.strategy) for r in chunking.chunk_documents(docs, strategies=chunking.STRATEGIES | {"bars": bars}).collect()}
+    assert got == {(1, 0): ("a", "bars"), (1, 1): ("b", "bars"), (2, 0): ("One. Two.", "sliding"), (3, 0): ("def test_a():\n  1", "test"), (3, 1): ("def test_b():\n  2", "test"), (4, 0): ("plain", "sliding")}
+    results = spark.createDataFrame([(1, False, "security", "e", "GET", "{}", "boom"), (1, True, "edge_case", "e", "GET", "{}", None)], "session_id long, passed boolean, test_type string, endpoint string, method string, request_data string, error string")
+    own = {k: 0.0 for k in rewards.WEIGHTS} | {"bugs_found": 7.0}
+    assert rewards.session_reward(results, own).first().raw == 7.0
