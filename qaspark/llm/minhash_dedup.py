@@ -4,7 +4,9 @@ Each distinct shingle set gets a signature. The forest is ``ORDERS`` sorted orde
 values: neighbours in an order share the longest prefixes there are, so every region is searched as deep as it is dense (down to
 ``KEY`` values), with no bucket ever gathered. Neighbours that a small sketch calls similar are candidates; links are confirmed on
 the full sets. First every set is checked against its best smaller candidate; of the other candidates, likeliest first, only those
-between groups still separate need a check. Components are found by joins.
+between groups still separate need a check. Components are found by joins. The orders are searched in steps: from the second on, the
+groups so far are known, and neighbours of one group are no candidates any more. So the candidates of a dense group come from the
+few orders of the first step.
 
 An order shows each set at most ``REACH`` neighbours to each side. What that hides is a set with very many partners that are not
 partners of each other, as an original with thousands of copies edited each in its own way. Such sets, hubs, have many confirmed
@@ -37,6 +39,8 @@ from qaspark.llm.shingling import mix, pair_set
 ORDERS, OWN, KEY, REGION = 20, 6, 8, 4
 KEY_BYTES = KEY + REGION
 VALUES = ORDERS * OWN
+#: Orders up to which each step searches.
+STEPS = (3, 9, ORDERS)
 #: Neighbours looked at in each order, to each side; they share the first value at least.
 REACH = 8
 #: Four-bit sketch values, and how many must agree: far below what a similarity of 0.8 gives (52, deviation 3).
@@ -123,38 +127,40 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pairs_within(rows: pd.DataFrame) -> pd.DataFrame:
     order, ids = rows["order"].to_numpy(), rows["id"].to_numpy()
+    roots = rows["root"].to_numpy()
     keys, sketch = _matrix(rows["key"], np.uint8, KEY_BYTES)[:, :2], _matrix(rows["sketch"], np.uint8, SKETCH // 2)
     found = []
     for step in range(1, min(REACH, len(rows) - 1) + 1):
-        near = (order[step:] == order[:-step]) & (keys[step:] == keys[:-step]).all(1)
+        near = (order[step:] == order[:-step]) & (keys[step:] == keys[:-step]).all(1) & (roots[step:] != roots[:-step])
         i = np.flatnonzero(near)
         agree = _agreement(sketch[i], sketch[i + step])
         i, agree = i[agree >= AGREE], agree[agree >= AGREE]
         found.append((np.minimum(ids[i], ids[i + step]), np.maximum(ids[i], ids[i + step]), agree))
     a, b, agree = (np.concatenate(x) if found else np.zeros(0) for x in (zip(*found, strict=True) if found else ([], [], [])))
     out = pd.DataFrame({"a": a, "b": b, "agree": agree}).drop_duplicates()
-    return out.assign(order=None, key=None, id=None, sketch=None)[["order", "key", "id", "sketch", "a", "b", "agree"]]
+    return out.assign(order=None, key=None, id=None, sketch=None, root=None)[["order", "key", "id", "sketch", "root", "a", "b", "agree"]]
 
 
-_SORTED = "order int, key binary, id long, sketch binary"
+_SORTED = "order int, key binary, id long, sketch binary, root long"
 
 
-def in_orders(sets: DataFrame, size: int) -> DataFrame:
-    """order, key (its first ``size`` bytes), id and sketch of each set in each order."""
-    orders = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda i: F.struct(i.alias("order"), F.substring("keys", i * KEY_BYTES + 1, F.lit(size)).alias("key")))
-    return sets.select("id", "sketch", F.explode(orders).alias("o")).select("o.order", "o.key", "id", "sketch")
+def in_orders(sets: DataFrame, size: int, first: int = 0, stop: int = ORDERS) -> DataFrame:
+    """order, key (its first ``size`` bytes) and the columns of ``sets`` but its keys, of each set in each of the orders."""
+    orders = F.transform(F.sequence(F.lit(first), F.lit(stop - 1)), lambda i: F.struct(i.alias("order"), F.substring("keys", i * KEY_BYTES + 1, F.lit(size)).alias("key")))
+    own = [c for c in sets.columns if c != "keys"]
+    return sets.select(*own, F.explode(orders).alias("o")).select("o.order", "o.key", *own)
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b, agree), a < b: similar neighbours in some order. ``sets`` has id, keys and sketch.
+def candidates(sets: DataFrame, first: int = 0, stop: int = ORDERS) -> DataFrame:
+    """(a, b, agree), a < b: similar neighbours of different roots in some order. ``sets`` has id, keys, sketch and root.
 
     Every order is sorted by range partitions. Pairs across a border come from the rows at the borders, a few for each partition.
     """
-    rows = in_orders(sets, KEY_BYTES)
+    rows = in_orders(sets.select("id", "sketch", "root", "keys"), KEY_BYTES, first, stop)
     schema = f"{_SORTED}, a long, b long, agree int"
     sort = ("order", "key", "id")
     found = checkpointed(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInPandas(neighbours, schema))
-    borders = found.where("id is not null").select("order", "key", "id", "sketch").distinct()
+    borders = found.where("id is not null").select("order", "key", "id", "sketch", "root").distinct()
     across = borders.repartitionByRange(1, *sort).sortWithinPartitions(*sort).mapInPandas(neighbours, schema)
     return found.union(across).where("a is not null and a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
@@ -186,7 +192,7 @@ def joined_by_hubs(docs: DataFrame, sets: DataFrame, found: DataFrame, links: Da
         return labels
     region = ["order", "key"]
     similar = found.select(F.col("a").alias("id")).unionAll(found.select("b")).distinct()
-    members, drop_members = written(in_orders(sets.join(similar, "id", "left_semi"), 2 * REGION))
+    members, drop_members = written(in_orders(sets.select("id", "sketch", "keys").join(similar, "id", "left_semi"), 2 * REGION))
     hubs = checkpointed(members.join(small_or_shuffled(hubs), "id").select(*region, F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), F.struct("links", -F.col("id")).alias("rank")))
     group = members.join(hubs.select(*region).distinct(), region, "left_semi").join(labels.select(F.col("node").alias("id"), "root"), "id", "left")
     group = group.groupBy(*region).agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("root", "id")).alias("_least"), F.max(F.coalesce("root", "id")).alias("_most"))
@@ -213,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = checkpointed(docs.select("doc_id", describe("text").alias("d")).select("doc_id", "d.*"))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("kind").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
-    found = checkpointed(candidates(classes))
+    found = checkpointed(candidates(classes.withColumn("root", F.col("id")), 0, STEPS[0]))
 
     best = F.max_by("a", F.struct(F.least("agree", F.lit(54)), -F.col("a")))
     first = checkpointed(found.groupBy("b").agg(best.alias("a")).select("a", "b"))
@@ -223,6 +229,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for least, below in zip(BANDS, (SKETCH + 1, *BANDS), strict=False):
         labels, new = joined(docs, others.where((F.col("agree") >= least) & (F.col("agree") < below)), labels)
         links = links.unionAll(new)
+    for start, stop in zip(STEPS, STEPS[1:], strict=False):
+        rooted = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = checkpointed(candidates(rooted, start, stop))
+        labels, new = joined(docs, pairs, labels)
+        found, links = found.unionAll(pairs), links.unionAll(new)
     labels = joined_by_hubs(docs, classes, found, links, labels)
 
     group = classes.join(labels, classes["id"] == labels["node"], "left").select("kind", F.coalesce("root", "id").alias("component_id"))
