@@ -1,4 +1,4 @@
-"""Endpoints, models, validators and dependencies of source files, by regular expressions over blocks of code.
+"""Endpoints, models, validators and dependencies of source files, by regular expressions over blocks of code and over scopes.
 
 Every parser is a set of columns over ``source_files`` (path, language, code): code is split where an annotation starts, so that an
 annotation belongs to the method after it, and each block gives one row. Further languages register in ``PARSERS``.
