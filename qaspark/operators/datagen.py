@@ -148,6 +148,20 @@ def _tests(parameters: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.select(F.concat_ws(":", "endpoint", "kind").alias("test"), "endpoint", "test_type", "description", "test_data"), parameters
 
 
+def counting(parameters: DataFrame) -> DataFrame:
+    """The parameter that counts for each endpoint and name, by scope of a test: of all, of those not required (missing), or of those
+    required and seven in ten others (any).
+
+    Only the largest ids are aggregated and joined back, so a test meets a row a name, however many parameters share the name.
+    """
+    needed = F.coalesce("required", F.lit(False))
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(~needed, "missing"), F.when(needed | (pick(F.lit(10), "id", "name") >= 3), "any")))
+    key = ["endpoint", "name", "id"]
+    largest = parameters.where("endpoint is not null").select("endpoint", "name", "id", F.explode(scopes).alias("scope")).groupBy("endpoint", "name", "scope").agg(F.max("id").alias("id"))
+    largest = largest.select(*[F.col(c).alias(f"_{c}") for c in key], "scope")
+    return parameters.drop("test_type").join(largest, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).drop(*[f"_{c}" for c in key])
+
+
 @query(
     "parameters",
     prepare=_tests,
@@ -168,9 +182,7 @@ def generate_test_data(tests: DataFrame, parameters: DataFrame) -> DataFrame:
     broken = F.when(text.rlike("missing|required"), "missing").when(text.rlike("type"), "type").when(text.rlike("length|size"), "length").when(text.rlike("format"), "format").otherwise("valid")
     kind = F.when(F.col("test_type") == "validation", broken).when(F.col("test_type") == "boundary", "boundary").when(F.col("test_type") == "edge_case", "edge").otherwise("any")
     due = tests.where("test_data is null").select("test", "endpoint", kind.alias("kind"))
-    rows = due.join(parameters.drop("test_type"), "endpoint")
-    needed = F.coalesce("required", F.lit(False))
-    rows = rows.where(F.when(F.col("kind") == "missing", ~needed).when(F.col("kind") == "any", needed | (pick(F.lit(10), "id", "name") >= 3)).otherwise(True))
+    rows = due.withColumn("scope", F.when(F.col("kind").isin("missing", "any"), F.col("kind")).otherwise("all")).join(counting(parameters), ["endpoint", "scope"])
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     value = (
         F.when(F.col("kind") == "type", _case(WRONG, F.col("type")))
