@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qaspark.functions.tables import small_batches
 from qaspark.registry import query
 
 # Chunk and overlap size in characters, lines in a block, and the patterns of sentence ends and of tests.
@@ -92,16 +94,53 @@ def code(text: str, language: str = "python") -> list[Piece]:
 
 
 
+#: About how many characters of pieces a task holds before it emits them.
+HELD_CHARS = 4_000_000
 
-def chunked(documents: DataFrame, cut: Callable[[str], list[Piece]], prefix: str = "chunk", most: int | None = None) -> DataFrame:
-    """doc_id, chunk_index, chunk_id, text, start_idx and end_idx; ``cut`` is any function from a text to pieces."""
+Cut = Callable[[str], list[Piece]]
+
+
+def chunked_by(documents: DataFrame, cuts: dict[str, Cut], prefix: str = "chunk", most: int | None = None) -> DataFrame:
+    """doc_id, chunk_index, chunk_id, text, start_idx, end_idx and strategy of the pieces of every document (doc_id, content, strategy).
+
+    ``cuts`` has a function from a text to pieces for every strategy. One pass over the documents; pieces leave a task as rows, some
+    megabytes at a time, and never as lists of a whole batch.
+    """
+    small_batches(documents.sparkSession)
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, rows, held = [], [], [], 0
 
-    @F.pandas_udf(_PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "start_idx": a, "end_idx": b} for t, a, b in cut(x or "")[:most]] for x in texts])
+        def out() -> pa.RecordBatch:
+            at, texts, starts, ends = zip(*rows, strict=True)
+            kinds = (id_, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            columns = (ids, at, texts, starts, ends, names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "chunk_index", "text", "start_idx", "end_idx", "strategy"])
 
-    rows = documents.select("doc_id", F.posexplode(pieces("content")).alias("chunk_index", "c"))
-    return rows.select("doc_id", "chunk_index", F.concat(F.lit(f"{prefix}_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "c.*")
+        for batch in batches:
+            id_ = batch.schema.field("doc_id").type
+            for doc, text, name in zip(*(batch.column(i) for i in range(3)), strict=True):
+                name = name.as_py()
+                for i, piece in enumerate(cuts[name](text.as_py() or "")[:most]):
+                    ids.append(doc.as_py())
+                    names.append(name)
+                    rows.append((i, *piece))
+                    held += len(piece[0])
+                    if held > HELD_CHARS:
+                        yield out()
+                        ids, names, rows, held = [], [], [], 0
+            if rows:
+                yield out()
+                ids, names, rows, held = [], [], [], 0
+
+    found = documents.select("doc_id", "content", "strategy").mapInArrow(run, f"doc_id {id_type}, chunk_index int, text string, start_idx int, end_idx int, strategy string")
+    return found.select("doc_id", "chunk_index", F.concat(F.lit(f"{prefix}_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "start_idx", "end_idx", "strategy")
+
+
+def chunked(documents: DataFrame, cut: Cut, prefix: str = "chunk") -> DataFrame:
+    """doc_id, chunk_index, chunk_id, text, start_idx and end_idx; ``cut`` is any function from a text to pieces."""
+    return chunked_by(documents.withColumn("strategy", F.lit("")), {"": cut}, prefix).drop("strategy")
 
 
 def lines(text: str, n: int = LINES) -> list[Piece]:
@@ -172,12 +211,9 @@ def chunk_code(documents: DataFrame, language: str = "python") -> DataFrame:
 @query("corpus", prepare=lambda c: (c.withColumn("strategy", F.get(F.array(F.lit("sliding"), F.lit("semantic"), F.lit(None).cast("string")), (F.col("doc_id") % 3).cast("int"))),))
 def chunk_documents(documents: DataFrame, most: int | None = None, strategies: dict[str, Callable[[str], list[Piece]]] | None = None) -> DataFrame:
     """Each document by its own strategy, sliding by default and for an unknown one; strategies are pluggable."""
-    parts, cuts = None, strategies or STRATEGIES
+    cuts = {"sliding": sliding} | (strategies or STRATEGIES)
     own = F.when(F.col("strategy").isin(*cuts), F.col("strategy")).otherwise("sliding")
-    for name, cut in cuts.items():
-        part = chunked(documents.where(own == name), cut, most=most).withColumn("strategy", F.lit(name))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return chunked_by(documents.withColumn("strategy", own), cuts, most=most)
 
 
 @query("corpus", sql="WITH l AS (SELECT doc_id, string_split(content, chr(10)) AS lines FROM corpus) SELECT doc_id, i AS chunk_index, array_to_string(lines[i * 2 + 1:i * 2 + 2], chr(10)) AS text FROM l, range(0, 100000) g(i) WHERE i * 2 < len(lines)", prepare=lambda c: (c, 2))
