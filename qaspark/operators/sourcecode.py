@@ -195,7 +195,7 @@ _FILLED = "replace(replace(replace({}, '§', CAST(p_partkey AS VARCHAR)), '¤',
 def methods_inventory(files: DataFrame) -> DataFrame:
     """Methods and functions of every file: owner (the class around, or empty), return type (empty if none is given), parameters as
     written, and the body, also of braces in strings and comments, expression bodies and nested blocks; empty for a declaration."""
-    rows = with_scopes(files).where("kind = 'method'")
+    rows = with_scopes(files, "method")
     return rows.select("path", "owner", "name", F.col("type").alias("return_type"), "parameters", "body")
 
 
@@ -230,8 +230,8 @@ def models_inventory(files: DataFrame) -> DataFrame:
 def validators_inventory(files: DataFrame) -> DataFrame:
     """Rules with their parameters, each under its own class: fluent validators, bean annotations, pydantic field limits and validators
     (with the function's name), and C++ validate functions."""
-    found = with_scopes(files).select("path", F.col("name").alias("validator"), F.explode("rules").alias("r")).select("path", "validator", "r.field", "r.rules")
-    classes = with_scopes(files.where("language in ('java', 'python')")).where("kind = 'class'")
+    found = with_scopes(files, "class").select("path", F.col("name").alias("validator"), F.explode("rules").alias("r")).select("path", "validator", "r.field", "r.rules")
+    classes = with_scopes(files.where("language in ('java', 'python')"), "class")
     bean = r"((?:@\w+(?:\([^)]*\))?\s*)+)private\s+[\w<>]+\s+(\w+)"
     known = r"@((?:NotNull|NotBlank|NotEmpty|Size|Min|Max|Email|Pattern)\b(?:\([^)]*\))?)"
     rows = classes.where("language = 'java'").select("path", F.col("name").alias("validator"), F.explode(F.regexp_extract_all("body", F.lit(bean), F.lit(0))).alias("block"))
@@ -265,7 +265,7 @@ def services_inventory(files: DataFrame) -> DataFrame:
 def inline_validations(files: DataFrame) -> DataFrame:
     """Kinds of checks that each method makes by hand, inside its own body; strings and comments count for nothing."""
     found = F.array_compact(F.array(*[F.when(F.col("code").rlike(p), F.lit(n)) for n, p in CHECKS.items()]))
-    rows = with_scopes(files).where("kind = 'method'")
+    rows = with_scopes(files, "method")
     return rows.select("path", F.col("name").alias("method"), F.array_join(found, ",").alias("checks"))
 
 
