@@ -11,7 +11,7 @@ def files(spark, n):
 
 def test_one_partition_of_files_becomes_many(spark, monkeypatch):
     monkeypatch.setattr(scopes, "TASK_FILES", 10)
-    for query in (sourcecode.inline_validations,):
+    for query in (sourcecode.methods_inventory, sourcecode.inline_validations):
         got = query(files(spark, 100))
         assert got.rdd.getNumPartitions() == 10 and got.count() == 100
     assert scopes.spread(files(spark, 0)).count() == 0
