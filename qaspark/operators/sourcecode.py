@@ -230,18 +230,20 @@ def models_inventory(files: DataFrame) -> DataFrame:
 def validators_inventory(files: DataFrame) -> DataFrame:
     """Rules with their parameters, each under its own class: fluent validators, bean annotations, pydantic field limits and validators
     (with the function's name), and C++ validate functions."""
-    found = with_scopes(files, "class").select("path", F.col("name").alias("validator"), F.explode("rules").alias("r")).select("path", "validator", "r.field", "r.rules")
-    classes = with_scopes(files.where("language in ('java', 'python')"), "class")
     bean = r"((?:@\w+(?:\([^)]*\))?\s*)+)private\s+[\w<>]+\s+(\w+)"
     known = r"@((?:NotNull|NotBlank|NotEmpty|Size|Min|Max|Email|Pattern)\b(?:\([^)]*\))?)"
-    rows = classes.where("language = 'java'").select("path", F.col("name").alias("validator"), F.explode(F.regexp_extract_all("body", F.lit(bean), F.lit(0))).alias("block"))
-    marks = F.array_join(F.regexp_extract_all("block", F.lit(known), F.lit(1)), ",")
-    found = found.unionByName(rows.select("path", "validator", _first(bean, 2).alias("field"), marks.alias("rules")).where("rules <> ''"))
     checked = r"@(?:field_)?validator\(\s*['\"]\w+['\"][^)]*\)\s*(?:@classmethod\s*)?(?:async\s+)?def\s+\w+"
     whole = r"@(?:root|model)_validator(?:\([^)]*\))?\s*(?:@classmethod\s*)?(?:async\s+)?def\s+\w+"
-    for form, field in ((checked, _first(r"validator\(\s*['\"](\w+)")), (whole, F.lit(""))):
-        rows = classes.where("language = 'python'").select("path", F.col("name").alias("validator"), F.explode(F.regexp_extract_all("body", F.lit(form), F.lit(0))).alias("block"))
-        found = found.unionByName(rows.select("path", "validator", field.alias("field"), F.concat(F.lit("custom:"), _first(r"def\s+(\w+)$")).alias("rules")))
+    stated = lambda field, rule: F.struct(field.alias("field"), rule.alias("rules"))
+    custom = lambda x: F.concat(F.lit("custom:"), F.regexp_extract(x, r"def\s+(\w+)$", 1))
+    blocks = lambda form: F.regexp_extract_all("body", F.lit(form), F.lit(0))
+    marks = lambda x: F.array_join(F.regexp_extract_all(x, F.lit(known), F.lit(1)), ",")
+    beans = F.filter(F.transform(blocks(bean), lambda x: stated(F.regexp_extract(x, bean, 2), marks(x))), lambda r: r["rules"] != "")
+    fields = F.transform(blocks(checked), lambda x: stated(F.regexp_extract(x, r"validator\(\s*['\"](\w+)", 1), custom(x)))
+    wholes = F.transform(blocks(whole), lambda x: stated(F.lit(""), custom(x)))
+    every = F.when(F.col("language") == "java", F.concat("rules", beans)).when(F.col("language") == "python", F.concat("rules", fields, wholes)).otherwise(F.col("rules"))
+    classes = with_scopes(files, "class")  # one pass for all forms
+    found = classes.select("path", F.col("name").alias("validator"), F.explode(every).alias("r")).select("path", "validator", "r.field", "r.rules")
     rows = files.where("language = 'cpp'").select("path", F.explode(F.regexp_extract_all("code", F.lit(r"(?:bool|int)\s+(validate\w*)\s*\("), F.lit(1))).alias("validator"))
     return found.unionByName(rows.select("path", "validator", F.lit("").alias("field"), F.lit("function").alias("rules")))
 

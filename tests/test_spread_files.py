@@ -1,4 +1,4 @@
-"""Source files are dealt out over tasks."""
+"""Source files are dealt out over tasks, and every file is parsed once."""
 
 from qaspark.operators import scopes, sourcecode
 
@@ -17,6 +17,11 @@ def test_one_partition_of_files_becomes_many(spark, monkeypatch):
     assert scopes.spread(files(spark, 0)).count() == 0
 
 
+def test_validators_parse_a_file_once(spark):
+    plan = sourcecode.validators_inventory(files(spark, 3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("PythonMapInArrow") <= 2 and "MapInArrow" in plan
+
+
 def test_scopes_leave_in_parts(spark, monkeypatch):
     monkeypatch.setattr(scopes, "HELD_CHARS", 20)
     rows = scopes.with_scopes(files(spark, 5), "method").collect()
