@@ -230,12 +230,34 @@ def update_priorities(experiences: DataFrame, errors: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("_given").isNull(), F.col("priority")).when(fine, new).otherwise(EPSILON).alias("priority"))
 
 
+#: Bins of the numbers from 0 to 1.
+BINS = 65_536
+
+
+def first_by_chance(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows (ordinal, _u) of least (_u, ordinal), in that order; ``_u`` is spread evenly over (0, 1).
+
+    Rows are counted by bins: all bins before that of the n-th row are taken whole, and only that one is ranked by a single task. So
+    n may be any share of the rows.
+    """
+    rows = stored(rows.withColumn("_bin", F.coalesce(F.floor(F.col("_u") * BINS), F.lit(-1))))
+    left, border = n, None
+    for bin_, count in sorted(map(tuple, rows.groupBy("_bin").count().collect())):  # at most BINS + 1 rows
+        if count > left:
+            border = bin_
+            break
+        left -= count
+    if border is not None:
+        rows = rows.where(F.col("_bin") < border).unionByName(rows.where(F.col("_bin") == border).orderBy("_u", "ordinal").limit(left))
+    return rows.orderBy("_u", "ordinal").drop("_bin")
+
+
 @query("test_cases", sql=f"SELECT ordinal FROM test_cases WHERE ordinal % 3 <> 0 ORDER BY {_sql_uniform('ordinal', 5)}, ordinal LIMIT (SELECT greatest(1, CAST(floor(0.2 * count(*)) AS BIGINT)) FROM test_cases WHERE ordinal % 3 = 0)", prepare=lambda c: (c, c.where("ordinal % 3 = 0")))
 def exploration_tests(cases: DataFrame, selected: DataFrame, rate: float = 0.2, seed: int = 5) -> DataFrame:
     """Random unselected cases, a share of the selected ones' number, at least one."""
     n = max(1, int(rate * selected.count()))
     rest = cases.join(selected.select("ordinal"), "ordinal", "left_anti")
-    return rest.orderBy(uniform("ordinal", seed), "ordinal").limit(n).select("ordinal")
+    return first_by_chance(rest.select("ordinal", uniform("ordinal", seed).alias("_u")), n).select("ordinal")
 
 
 @query("test_cases", sql="SELECT c.ordinal FROM test_cases c WHERE EXISTS (SELECT 1 FROM test_cases t WHERE t.ordinal % 10 = 0 AND t.test_type IS NOT DISTINCT FROM c.test_type AND t.endpoint IS NOT DISTINCT FROM c.endpoint AND t.method IS NOT DISTINCT FROM c.method)", prepare=lambda c: (c, c.where("ordinal % 10 = 0")))
