@@ -36,8 +36,8 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
-    """``df`` with ``name``: 0, 1, ... in each group, in the given order.
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str, weight: str | None = None) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in each group, in the given order; with a ``weight``, its sum over the group's earlier rows.
 
     Rows are sorted into range partitions over all groups; a row's number is its place in its group's part of the partition after
     the sizes of the group's earlier parts. So a group of any size is numbered by as many tasks as it fills.
@@ -45,9 +45,10 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
     part = [*group, "_part"]
     rows = stored(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*part).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1
+    place = Window.partitionBy(*part).orderBy(*order)
+    inside = F.coalesce(F.sum(weight).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(place) - 1
     found = rows.withColumn(name, inside).join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part])
     return found.select(*df.columns, (F.col(name) + F.col("_before")).cast("long").alias(name))
 

@@ -114,8 +114,12 @@ _ROUTE = "CASE type WHEN 'test_case' THEN 'test_patterns' WHEN 'api_specificatio
 @query("corpus", sql=f"SELECT doc_id, {_ROUTE} AS index_name FROM corpus")
 def route_index(documents: DataFrame) -> DataFrame:
     """Index of a document by its type; test_patterns by default."""
+    return documents.select("doc_id", index_of(F.col("type")).alias("index_name"))
+
+
+def index_of(kind: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in INDEX_OF.items() for x in kv])
-    return documents.select("doc_id", F.coalesce(F.try_element_at(table, F.coalesce("type", F.lit(""))), F.lit("test_patterns")).alias("index_name"))
+    return F.coalesce(F.try_element_at(table, F.coalesce(kind, F.lit(""))), F.lit("test_patterns"))
 
 
 #: A document's row in the ledger: what became of it in the run ``part``, why, and how many chunks it gave.

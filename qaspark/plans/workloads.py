@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.functions.tables import numbered, publish, published, published_table, shared_folder, small_batches, stored
+from qaspark.functions.tables import numbered, publish, published, published_table, shared_folder, small_batches, stored, unpublish
 from qaspark.operators.cases import content_of
 from qaspark.operators.chunking import STRATEGIES, Piece, pieces_or_error
-from qaspark.operators.knowledge import _ROUTE, LEDGER, indexing_stats, route_index
+from qaspark.operators.knowledge import _ROUTE, LEDGER, index_of, indexing_stats
 from qaspark.operators.vectors import hash_embedding
 from qaspark.registry import query
 
@@ -44,9 +44,9 @@ def planned(documents: DataFrame, known: DataFrame) -> DataFrame:
         _column(documents, "force_reindex", "boolean", False).alias("_force"),
     )
     one = one.where("doc_id is not null").dropDuplicates(["doc_id"])
-    one = stored(one.join(known.select("doc_id", F.lit(True).alias("_known")).distinct(), "doc_id", "left"))
+    one = one.join(known.select("doc_id", F.lit(True).alias("_known")).distinct(), "doc_id", "left")
     reason = F.when(F.col("_known") & ~F.col("_force"), "already_indexed").when(F.coalesce("content", F.lit("")) == "", "no_content")
-    return one.join(route_index(one), "doc_id").select("doc_id", "index_name", "content", "strategy", reason.alias("reason"))
+    return one.select("doc_id", index_of(F.col("type")).alias("index_name"), "content", "strategy", reason.alias("reason"))
 
 
 def index_into(
@@ -67,7 +67,12 @@ def index_into(
     spark = documents.sparkSession
     entries = published(spark, folder)
     if part not in entries:
-        _write_part(documents, folder, part, dim, strategies, encoder, entries)
+        try:
+            _write_part(documents, folder, part, dim, strategies, encoder, entries)
+        except Exception:
+            if part not in published(spark, folder):
+                unpublish(spark, folder, part, *_TABLES)
+            raise
         entries = published(spark, folder)
     names = indexing_stats(spark.createDataFrame([], LEDGER)).columns
     return spark.createDataFrame([tuple(entries[part]["stats"][n] for n in names)], ", ".join(f"{n} long" for n in names))
@@ -76,31 +81,48 @@ def index_into(
 def _write_part(documents: DataFrame, folder: str, part: int, dim: int, strategies: dict, encoder: Callable, entries: dict[int, dict]) -> None:
     spark = documents.sparkSession
     small_batches(spark)
-    plan = stored(planned(documents, stored_index(spark, folder, "ledger").where("status = 'indexed'")))
-    cut = plan.where("reason is null").withColumn("c", pieces_or_error(strategies)("content", "strategy"))
-    cut = stored(cut.select("doc_id", "index_name", "c.pieces", "c.error"))
-    chunks = cut.select("doc_id", "index_name", F.posexplode("pieces").alias("chunk_index", "c")).select("doc_id", "index_name", "chunk_index", "c.*")
-    chunks = stored(chunks.withColumn("vec", encoder(F.col("text"), dim)))
-    each = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("vec").isNull()).alias("_lost"))
-    done = plan.join(cut.select("doc_id", "error"), "doc_id", "left").join(each, "doc_id", "left")
-    reason = F.coalesce("reason", "error", F.when(F.col("chunks").isNull(), "no_chunks"), F.when(F.col("_lost") > 0, "no_vector"))
-    skipped = F.coalesce("reason", F.when(F.col("error").isNull() & F.col("chunks").isNull(), "no_chunks"))
-    status = F.when(skipped.isNotNull(), "skipped").when(reason.isNotNull(), "failed").otherwise("indexed")
-    ledger = done.select("doc_id", "index_name", status.alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("chunks")).otherwise(0).alias("chunks"))
-    ledger.write.mode("overwrite").parquet(f"{folder}/ledger/part={part}")
-    ledger = spark.read.parquet(f"{folder}/ledger/part={part}")
+    plan = planned(documents, stored_index(spark, folder, "ledger").where("status = 'indexed'"))
+    due = lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    plan = plan.withColumn("c", pieces_or_error(strategies)(due("content"), due("strategy")))
+    # what has been skipped counts as an empty text without an error
+    plan = stored(plan.select("doc_id", "index_name", "reason", due("c.pieces").alias("pieces"), due("c.error").alias("error")))
+    chunks = F.when(F.size("pieces") > 0, F.size("pieces"))
 
     last: dict[str, int] = {}
     for facts in entries.values():
         last = {k: max(v, last.get(k, -1)) for k, v in {**last, **facts["last"]}.items()}
-    rows = chunks.join(ledger.where("status = 'indexed'").select("doc_id"), "doc_id", "left_semi")
-    rows = numbered(rows, ["index_name"], ["doc_id", "chunk_index"], "n")
     after = F.lit(0)
     for name, n in last.items():
         after = F.when(F.col("index_name") == name, F.lit(n + 1)).otherwise(after)
-    rows = rows.select("index_name", (after + F.col("n")).cast("long").alias("vector_id"), "doc_id", F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "start_idx", "end_idx", F.col("vec").cast("array<double>").alias("vec"))
-    rows.write.mode("overwrite").parquet(f"{folder}/vectors/part={part}")
-    ends = spark.read.parquet(f"{folder}/vectors/part={part}").groupBy("index_name").agg(F.max("vector_id").alias("last")).collect()  # a row an index
+
+    def placed(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        """``rows`` with their document's index and the number of its first chunk; ``counts``: index_name, doc_id, n."""
+        return rows.join(numbered(counts, ["index_name"], ["doc_id"], "_start", "n").drop("n"), "doc_id")
+
+    def write(rows: DataFrame) -> DataFrame:
+        chunk = rows.select("index_name", (after + F.col("_start") + F.col("chunk_index")).cast("long").alias("vector_id"), "doc_id", F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "start_idx", "end_idx", F.col("vec").cast("array<double>").alias("vec"))
+        chunk.write.mode("overwrite").parquet(f"{folder}/vectors/part={part}")
+        return spark.read.schema(chunk.schema).parquet(f"{folder}/vectors/part={part}")
+
+    # a document's texts are shuffled once, and its vectors written once, with their ids: only sizes are numbered
+    counts = plan.select("index_name", "doc_id", chunks.cast("long").alias("n")).where("n is not null")
+    rows = placed(plan.where(chunks.isNotNull()).select("doc_id", "pieces"), counts)
+    rows = rows.select("index_name", "doc_id", "_start", F.posexplode("pieces").alias("chunk_index", "c")).select("index_name", "doc_id", "_start", "chunk_index", "c.*")
+    vectors = write(rows.withColumn("vec", encoder(F.col("text"), dim)))
+    lost = stored(vectors.where("vec is null").select("doc_id").distinct())
+    if not lost.isEmpty():  # documents that fail leave no gap in the ids: the others are numbered and written anew
+        rest = vectors.join(lost, "doc_id", "left_anti").drop("index_name", "vector_id")
+        rest = stored(rest.withColumn("chunk_index", F.substring("chunk_id", len("chunk_") + 1, 10).cast("int")))
+        vectors = write(placed(rest, counts.join(lost, "doc_id", "left_anti")))
+
+    done = plan.select("doc_id", "index_name", "reason", "error", chunks.cast("long").alias("chunks")).join(lost.withColumn("_lost", F.lit(True)), "doc_id", "left")
+    reason = F.coalesce("reason", "error", F.when(F.col("chunks").isNull(), "no_chunks"), F.when(F.col("_lost"), "no_vector"))
+    skipped = F.coalesce("reason", F.when(F.col("error").isNull() & F.col("chunks").isNull(), "no_chunks"))
+    status = F.when(skipped.isNotNull(), "skipped").when(reason.isNotNull(), "failed").otherwise("indexed")
+    ledger = done.select("doc_id", "index_name", status.alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("chunks")).otherwise(0).alias("chunks"))
+    ledger.write.mode("overwrite").parquet(f"{folder}/ledger/part={part}")
+    ledger = spark.read.parquet(f"{folder}/ledger/part={part}")
+    ends = vectors.groupBy("index_name").agg(F.max("vector_id").alias("last")).collect()  # a row an index
     stats = indexing_stats(ledger).first().asDict()
     repeats = documents.count() - stats["total_documents"]
     stats |= {"total_documents": stats["total_documents"] + repeats, "skipped": stats["skipped"] + repeats}
