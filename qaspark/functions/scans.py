@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qaspark.functions.tables import stored
+from qaspark.functions.tables import BROADCAST_ROWS, stored, tasks_for
 
 BLOCK = 4096
 
@@ -23,20 +23,21 @@ def _block(n: str, size: int) -> Column:
     return F.floor(F.col(n) / size)
 
 
-def _with(rows: DataFrame, other: DataFrame, group: list[str], at: str, columns: list[str]) -> DataFrame:
-    """``rows`` with ``columns`` of the row of ``other`` of the same group (nulls are one) and the same number ``at``; null if there is none."""
-    keys = [*group, at]
-    named = other.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *columns)
-    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").select(*rows.columns, *columns)
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the rows of a block in one task, and in a task as many blocks as their number of rows allows."""
+    return rows.repartition(tasks_for(rows.sparkSession, rows.count()), *keys)
 
 
 def with_previous(rows: DataFrame, group: list[str], n: str, column: str, name: str, size: int = BLOCK) -> DataFrame:
-    """``rows`` with ``name``: ``column`` of the row numbered one less in the group, null in the first."""
-    blocks = rows.withColumn("_block", _block(n, size))
-    ends = blocks.where(F.col(n) % size == size - 1).select(*group, (F.col("_block") + 1).alias("_block"), F.col(column).alias("_end"))
-    inside = F.lag(column).over(Window.partitionBy(*group, "_block").orderBy(n))
-    found = _with(blocks.withColumn(name, inside), ends, group, "_block", ["_end"])
-    return found.withColumn(name, F.when(F.col(n) % size == 0, F.col("_end")).otherwise(F.col(name))).drop("_end", "_block")
+    """``rows`` with ``name``: ``column`` of the row numbered one less in the group, null in the first.
+
+    The last row of a block is dealt to the next block too. ``rows`` is read twice: cut its lineage before.
+    """
+    keys = [*group, "_block"]
+    blocks = rows.withColumn("_block", _block(n, size)).withColumn("_copy", F.lit(False))
+    ends = blocks.where(F.col(n) % size == size - 1).withColumn("_block", F.col("_block") + 1).withColumn("_copy", F.lit(True))
+    found = _dealt(blocks.unionByName(ends), keys).withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy(n)))
+    return found.where(~F.col("_copy")).select(*rows.columns, name)
 
 
 def segmented_scan(scale: np.ndarray, offset: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,26 +74,31 @@ def with_recurrence(rows: DataFrame, group: list[str], n: str, scale: Column, of
             yield batch.set_column(at("_offset"), "_offset", pa.array(o[1:]))
 
     keys = [*group, "_block"]
-    rows = stored(rows.repartition(*keys).sortWithinPartitions(*keys, n).mapInArrow(local, rows.schema))
-    ends = rows.groupBy(*keys).agg(F.max_by(F.struct("_scale", "_offset"), n).alias("_end"))
+    rows = stored(_dealt(rows, keys).sortWithinPartitions(*keys, n).mapInArrow(local, rows.schema))
     if rows.where("_block > 0").isEmpty():
         return rows.withColumn(name, F.col("_offset")).drop("_block", "_scale", "_offset")
-    ends = with_recurrence(ends.withColumnRenamed("_block", "_n"), group, "_n", F.col("_end._scale"), F.col("_end._offset"), "_y", size)
-    ends = ends.select(*group, (F.col("_n") + 1).alias("_block"), F.col("_y").alias("_before"))
-    found = _with(rows, ends, group, "_block", ["_before"])
-    return found.withColumn(name, F.col("_scale") * F.coalesce("_before", F.lit(0.0)) + F.col("_offset")).drop("_block", "_scale", "_offset", "_before")
+    ends = rows.where(F.col(n) % size == size - 1).select(*group, F.col("_block").alias("_n"), F.col("_scale").alias("_s"), F.col("_offset").alias("_o"))
+    ends = with_recurrence(ends, group, "_n", F.col("_s"), F.col("_o"), "_y", size)
+    ends = stored(ends.select(*[F.col(c).alias(f"_of_{c}") for c in group], (F.col("_n") + 1).alias("_of__block"), F.col("_y").alias("_before")))
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends  # a row a block
+    found = rows.join(few, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], "left")
+    y = F.col("_scale") * F.coalesce("_before", F.lit(0.0)) + F.col("_offset")
+    return found.withColumn(name, y).drop(*[f"_of_{c}" for c in keys], "_block", "_scale", "_offset", "_before")
 
 
 def with_sliding_max(rows: DataFrame, group: list[str], n: str, column: str, width: int, name: str) -> DataFrame:
     """``rows`` with ``name``: the largest ``column`` of the ``width`` rows before each, null if there are none.
 
     In blocks of ``width`` rows, the rows before are the end of the last block and the start of this one, so the maxima of all starts
-    and of all ends of blocks answer every row: each row is looked at twice, however wide the frame.
+    and of all ends of blocks answer every row: a block is dealt to a task with the one before it, and each row is looked at twice in
+    both, however wide the frame. ``rows`` is read three times: cut its lineage before.
     """
     keys = [*group, "_block"]
-    blocks = rows.withColumn("_block", _block(n, width))
-    start = F.max(column).over(Window.partitionBy(*keys).orderBy(n).rowsBetween(Window.unboundedPreceding, -1))
-    end = F.max(column).over(Window.partitionBy(*keys).orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, 0))
-    ends = blocks.withColumn("_end", end).select(*group, (F.col(n) + width).alias(n), "_end")
-    found = _with(blocks.withColumn("_start", start), ends, group, n, ["_end"])
-    return found.withColumn(name, F.greatest("_start", "_end")).drop("_block", "_start", "_end")
+    both = rows.withColumn("_block", _block(n, width)).withColumn("_place", F.col(n)).withColumn("_copy", F.lit(False))
+    if not rows.where(F.col(n) >= width).isEmpty():
+        last = both.withColumn("_block", F.col("_block") + 1).withColumn("_place", F.col(n) + width).withColumn("_copy", F.lit(True))
+        both = both.unionByName(last)
+    start = F.max(F.when(~F.col("_copy"), F.col(column))).over(Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    end = F.max(F.when(F.col("_copy"), F.col(column))).over(Window.partitionBy(*keys).orderBy(F.desc("_place")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = _dealt(both, keys).withColumn("_start", start).withColumn("_end", end).where(~F.col("_copy"))
+    return found.select(*rows.columns, F.greatest("_start", "_end").alias(name))

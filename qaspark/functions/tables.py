@@ -36,21 +36,45 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: About how many rows a task of a sort, window or join of a table gets; of a table of over FEW_TASKS times as many, up to MOST_ROWS.
+TASK_ROWS = 100_000
+MOST_ROWS = 1_000_000
+#: So many parts are written by a shuffle without a sort in the memory of the tasks that write.
+FEW_TASKS = 200
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many parts a table of so many rows is dealt into: by their count, so that what a task holds doesn't grow with the table.
+
+    Given to ``repartition`` as a number, it is kept; without one, Spark has a fixed number of parts and merges those of few bytes.
+    """
+    return max(spark.sparkContext.defaultParallelism, min(FEW_TASKS, -(-rows // TASK_ROWS)), -(-rows // MOST_ROWS))
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str, weight: str | None = None) -> DataFrame:
     """``df`` with ``name``: 0, 1, ... in each group, in the given order; with a ``weight``, its sum over the group's earlier rows.
 
-    Rows are sorted into range partitions over all groups; a row's number is its place in its group's part of the partition after
-    the sizes of the group's earlier parts. So a group of any size is numbered by as many tasks as it fills.
+    Rows are dealt by their count into range partitions over all groups; a row's number is its place in its group's part of the
+    partition after the sizes of the group's earlier parts. So a group of any size is numbered by as many tasks as it fills. Only the
+    first group of a partition can have earlier parts: a row a partition at most is broadcast. ``df`` is read three times.
     """
-    part = [*group, "_part"]
-    rows = stored(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*part).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    part = ["_part", *group]
+    tasks = tasks_for(df.sparkSession, df.count())
+    rows = df.repartitionByRange(tasks, *group, *order).withColumn("_part", F.spark_partition_id()).repartitionById(tasks, F.col("_part"))
     place = Window.partitionBy(*part).orderBy(*order)
     inside = F.coalesce(F.sum(weight).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(place) - 1
-    found = rows.withColumn(name, inside).join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part])
-    return found.select(*df.columns, (F.col(name) + F.col("_before")).cast("long").alias(name))
+    first = F.row_number().over(Window.partitionBy("_part").orderBy(*group, *order)) == 1  # the same sort
+    rows = stored(rows.withColumn("_inside", inside).withColumn("_first", first))
+
+    split = rows
+    if group:
+        firsts = rows.where("_first").select(*[F.col(c).alias(f"_of_{c}") for c in group]).distinct()
+        split = rows.join(F.broadcast(firsts), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group], "left_semi")
+    sizes = split.groupBy(*part).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.sum("_n").over(before).alias("_before")).where("_before is not null")
+    found = rows.join(F.broadcast(sizes), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part], "left")
+    return found.select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
 
 
 #: Most rows that are broadcast beside a group's values, and the inverse of the share of all rows above which a group is hot.
@@ -61,17 +85,20 @@ HOT_SHARE = 1000
 def with_group_values(rows: DataFrame, values: DataFrame, group: str, count: str) -> DataFrame:
     """Inner join of ``rows`` with ``values``, which has a row of bounded width for each group, and in ``count`` how many rows it has.
 
-    Few groups are broadcast. Of many, the hot ones are, fewer than HOT_SHARE whatever the size, and the others shuffle. Both sides
-    are read twice: cut their lineage before.
+    Few groups are broadcast. Of many, the hot ones and null are, at most HOT_SHARE whatever the size, and the others shuffle, dealt by
+    the count of rows. Both sides are read twice: cut their lineage before.
     """
     groups, total = values.agg(F.count(F.lit(1)), F.coalesce(F.sum(count), F.lit(0))).first()
-    named = values.withColumnRenamed(group, "_of_group").drop(count)
+    named = values.withColumnRenamed(group, "_of_group")
     same = F.col(group).eqNullSafe(F.col("_of_group"))
     if groups <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(named), same).drop("_of_group")
-    few = F.broadcast(values.where(F.col(count) > total // HOT_SHARE).withColumnRenamed(group, "_of_group").drop(count))
-    rest = rows.join(few.select("_of_group"), same, "left_anti")
-    return rows.join(few, same).unionByName(rest.join(named, same)).drop("_of_group")
+        return rows.join(F.broadcast(named.drop(count)), same).drop("_of_group")
+    hot = F.col("_of_group").isNull() | (F.col(count) > total // HOT_SHARE)
+    few = F.broadcast(named.where(hot).drop(count))
+    tasks = tasks_for(rows.sparkSession, total)
+    rest = rows.join(few.select("_of_group"), same, "left_anti").repartition(tasks, group)
+    others = named.where(~hot).drop(count).repartition(tasks, "_of_group")
+    return rows.join(few, same).unionByName(rest.join(others, F.col(group) == F.col("_of_group"))).drop("_of_group")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -34,7 +34,7 @@ def retrieve_context(endpoints: DataFrame, models: DataFrame, vectors: DataFrame
     steps); a hit without an item is shown as Unknown. A hit's relevance is its score. Specifications without hits have empty arrays
     and say so.
     """
-    asked = numbered(assemble_context(endpoints, models), [], ["controller"], "query_id")
+    asked = numbered(stored(assemble_context(endpoints, models)), [], ["controller"], "query_id")
     asked = stored(asked.withColumn("vec", encoder(F.col("query_text"))))
     base = vectors.where(F.col("index_name").isin(*INDICES.values()))
     hits = nearest(base, asked.select(F.col("query_id").alias("id"), "vec"), k)

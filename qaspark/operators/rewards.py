@@ -133,7 +133,7 @@ def initial_priority(experiences: DataFrame, capacity: int = BUFFER) -> DataFram
     A sliding maximum over the last ``capacity`` experiences of an episode, by the maxima of blocks' starts and ends: an episode of any
     length is spread over many tasks, and each row is looked at twice.
     """
-    rows = stored(numbered(experiences.select("episode", "step", "priority"), ["episode"], ["step"], "n"))
+    rows = stored(numbered(stored(experiences.select("episode", "step", "priority")), ["episode"], ["step"], "n"))
     found = with_sliding_max(rows, ["episode"], "n", "priority", capacity, "_most")
     return found.select("episode", "step", F.coalesce("_most", F.lit(1.0)).alias("initial_priority"))
 
@@ -161,7 +161,7 @@ def gae_advantages(experiences: DataFrame, gamma: float = GAMMA, lam: float = LA
     """
     filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("reward", "value", "next_value")]
     rows = experiences.select("episode", "step", *filled, F.coalesce("done", F.lit(False)).alias("done"))
-    rows = stored(numbered(rows, ["episode"], [F.desc("step")], "n"))
+    rows = stored(numbered(stored(rows), ["episode"], [F.desc("step")], "n"))
     rows = with_previous(rows, ["episode"], "n", "value", "_ahead")
     going = 1 - F.col("done").cast("int")
     delta = F.col("reward") + gamma * F.coalesce("_ahead", "next_value") * going - F.col("value")

@@ -1,12 +1,13 @@
 """Running computations over long groups against plain loops."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qaspark.functions import scans
+from qaspark.functions import scans, tables
 from qaspark.operators import rewards
 
 GROUPS = {"a": 700, "b": 1, None: 65, "c": 64}
@@ -75,3 +76,54 @@ def test_missing_values_of_an_episode(spark):
     got = rewards.gae_advantages(df).collect()
     assert len(got) == 3 and all(r.advantage is not None for r in got)
     assert rewards.gae_advantages(df.limit(0)).isEmpty()
+
+
+def _rows_by_task(spark, path):
+    """Rows of each file below a folder of Parquet tables, which its tasks have written."""
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path).groupBy(F.input_file_name()).count().collect()
+    return [r["count"] for r in files]
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_numbers_of_many_small_tasks(spark, monkeypatch, group, weight):
+    """Parts go by the count of rows, not by the session: no task gets much more than its share, and no number is lost."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    folders = []
+    monkeypatch.setattr(tables, "shared_folder", lambda spark, f=tables.shared_folder: folders.append(f(spark)) or folders[-1])
+    g = F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 == 6, None).otherwise((F.col("id") % 500).cast("string"))
+    df = spark.range(5000).select(g.alias("g"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 4).alias("w"))
+    got = tables.numbered(df, group, [F.desc("id")], "n", weight).collect()
+    assert len(got) == 5000
+    seen = {}
+    for r in sorted(got, key=lambda r: -r.id):
+        key = tuple(r[c] for c in group)
+        assert r.n == seen.get(key, 0)
+        seen[key] = r.n + (r.w or 0 if weight else 1)
+    assert max(_rows_by_task(spark, folders[0])) < 300
+
+
+def test_blocks_are_dealt_by_their_rows(spark, rows, monkeypatch):
+    """Sorts of the running computations get as many tasks as the rows need, which Spark may not merge."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    _, df = rows
+    for found in (scans.with_sliding_max(df, ["g"], "n", "v", 16, "most"), scans.with_previous(df, ["g"], "n", "offset", "before", 16)):
+        assert found.count() == sum(GROUPS.values())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        counts = [int(x) for x in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert counts and min(counts) >= 17 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_values_of_many_groups_are_dealt_by_rows(spark, monkeypatch):
+    """With more groups than are broadcast, hot ones and null are, and the others meet in as many parts as the rows need."""
+    for name, value in (("TASK_ROWS", 100), ("BROADCAST_ROWS", 10), ("HOT_SHARE", 10)):
+        monkeypatch.setattr(tables, name, value)
+    g = F.when(F.col("id") % 4 == 0, 7).when(F.col("id") % 101 == 0, None).otherwise(F.col("id") % 300)
+    rows = tables.stored(spark.range(2000).select("id", g.alias("g")))
+    values = tables.stored(rows.groupBy("g").agg(F.max("id").alias("most"), F.count(F.lit(1)).alias("n")))
+    found = tables.with_group_values(rows, values, "g", "n")
+    most = {r.g: r.most for r in values.collect()}
+    got = found.collect()
+    assert len(got) == 2000 == len({r.id for r in got}) and all(r.most == most[r.g] for r in got) and None in most
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan).count("20") >= 2 and "hashpartitioning" not in re.sub(r"hashpartitioning\([^)]*\), REPARTITION_BY_NUM", "", plan)
